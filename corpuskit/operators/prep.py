@@ -58,6 +58,11 @@ def build_qa_pairs(questions: DataFrame, answers: DataFrame, *, min_answer_chars
         html_to_text(F.col("a_body")).alias("answer"),
         F.col("a_score").alias("answer_score"),
     )
+    # Optimizer barrier: a plain filter on the cleaned columns would be
+    # pushed below the projection with the cleaning expressions inlined,
+    # cleaning every text twice.  Filters cannot cross a generator on its
+    # own output, so the one-element inline() keeps cleaning at once per row.
+    pairs = pairs.select(F.inline(F.array(F.struct(*[F.col(c) for c in QA_COLUMNS]))))
     return pairs.filter((F.length("answer") > min_answer_chars)
                         & (F.length("question_body") > min_body_chars))
 
