@@ -1,0 +1,25 @@
+"""Quantization code tables."""
+
+from __future__ import annotations
+
+# The 16 NormalFloat-4 levels (QLoRA paper), ascending.
+NF4 = [
+    -1.0, -0.6961928009986877, -0.5250730514526367, -0.39491748809814453,
+    -0.28444138169288635, -0.18477343022823334, -0.09105003625154495, 0.0,
+    0.07958029955625534, 0.16093020141124725, 0.24611230194568634, 0.33791524171829224,
+    0.44070982933044434, 0.5626170039176941, 0.7229568362236023, 1.0,
+]
+
+# The FP4 (e2m1) levels normalised to [-1, 1], ascending
+# (positive and negative zero share one level).
+FP4 = [
+    -1.0, -0.6666666666666666, -0.5, -0.3333333333333333, -0.25, -0.16666666666666666,
+    -0.005208333333333333, 0.0, 0.005208333333333333, 0.16666666666666666, 0.25,
+    0.3333333333333333, 0.5, 0.6666666666666666, 1.0,
+]
+
+CODEBOOKS = {"nf4": NF4, "fp4": FP4}
+
+
+def midpoints(levels: list[float]) -> list[float]:
+    return [(a + b) / 2.0 for a, b in zip(levels, levels[1:])]

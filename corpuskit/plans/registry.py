@@ -45,4 +45,4 @@ def all_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from . import queries_eval, queries_metrics, queries_prep, queries_tokens  # noqa: F401
+    from . import queries_eval, queries_metrics, queries_prep, queries_tokens, queries_vectors  # noqa: F401
