@@ -1,0 +1,159 @@
+"""Porter stemmer (the 1980 algorithm with the common NLTK-style
+extensions), as a per-token helper.  Applied to token arrays by an Arrow
+pandas UDF with a per-worker cache, so each distinct token is stemmed once
+per executor process."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Irregular forms returned as-is by the extended algorithm.
+IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie",
+    "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
+    "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
+    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
+_VOWELS = set("aeiou")
+
+
+def _cons(w: str, i: int) -> bool:
+    if w[i] in _VOWELS:
+        return False
+    if w[i] == "y":
+        return i == 0 or not _cons(w, i - 1)
+    return True
+
+
+def _m(stem: str) -> int:
+    seq = "".join("c" if _cons(stem, i) else "v" for i in range(len(stem)))
+    return seq.count("vc")
+
+
+def _has_vowel(stem: str) -> bool:
+    return any(not _cons(stem, i) for i in range(len(stem)))
+
+
+def _double_c(w: str) -> bool:
+    return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
+
+
+def _cvc(w: str) -> bool:
+    if len(w) >= 3 and _cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1) \
+            and w[-1] not in "wxy":
+        return True
+    return len(w) == 2 and not _cons(w, 0) and _cons(w, 1)
+
+
+def _rules(w: str, rules) -> str:
+    """First rule whose suffix matches decides: replace if its condition
+    holds on the stem, otherwise leave the word unchanged."""
+    for suffix, repl, cond in rules:
+        if suffix == "*d":
+            if _double_c(w):
+                stem = w[:-2]
+                return stem + repl if cond is None or cond(stem) else w
+            continue
+        if w.endswith(suffix):
+            stem = w[: len(w) - len(suffix)]
+            return stem + repl if cond is None or cond(stem) else w
+    return w
+
+
+def _pos(stem: str) -> bool:
+    return _m(stem) > 0
+
+
+def _step1a(w: str) -> str:
+    if w.endswith("ies") and len(w) == 4:
+        return w[:-3] + "ie"
+    return _rules(w, [("sses", "ss", None), ("ies", "i", None), ("ss", "ss", None), ("s", "", None)])
+
+
+def _step1b(w: str) -> str:
+    if w.endswith("ied"):
+        return w[:-3] + ("ie" if len(w) == 4 else "i")
+    if w.endswith("eed"):
+        stem = w[:-3]
+        return stem + "ee" if _m(stem) > 0 else w
+    for suffix in ("ed", "ing"):
+        if w.endswith(suffix) and _has_vowel(w[: -len(suffix)]):
+            s = w[: -len(suffix)]
+            return _rules(s, [("at", "ate", None), ("bl", "ble", None), ("iz", "ize", None),
+                              ("*d", s[-1], lambda st: s[-1] not in "lsz"),
+                              ("", "e", lambda st: _m(st) == 1 and _cvc(st))])
+    return w
+
+
+def _step1c(w: str) -> str:
+    return _rules(w, [("y", "i", lambda st: len(st) > 1 and _cons(st, len(st) - 1))])
+
+
+def _step2(w: str) -> str:
+    if w.endswith("alli") and _pos(w[:-4]):
+        return _step2(w[:-4] + "al")
+    return _rules(w, [
+        ("ational", "ate", _pos), ("tional", "tion", _pos), ("enci", "ence", _pos), ("anci", "ance", _pos),
+        ("izer", "ize", _pos), ("bli", "ble", _pos), ("alli", "al", _pos), ("entli", "ent", _pos),
+        ("eli", "e", _pos), ("ousli", "ous", _pos), ("ization", "ize", _pos), ("ation", "ate", _pos),
+        ("ator", "ate", _pos), ("alism", "al", _pos), ("iveness", "ive", _pos), ("fulness", "ful", _pos),
+        ("ousness", "ous", _pos), ("aliti", "al", _pos), ("iviti", "ive", _pos), ("biliti", "ble", _pos),
+        ("fulli", "ful", _pos), ("logi", "log", lambda st: _pos(w[:-3])),
+    ])
+
+
+def _step3(w: str) -> str:
+    return _rules(w, [("icate", "ic", _pos), ("ative", "", _pos), ("alize", "al", _pos),
+                      ("iciti", "ic", _pos), ("ical", "ic", _pos), ("ful", "", _pos), ("ness", "", _pos)])
+
+
+def _step4(w: str) -> str:
+    gt1 = lambda st: _m(st) > 1
+    return _rules(w, [(s, "", gt1) for s in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement",
+                                             "ment", "ent")]
+                  + [("ion", "", lambda st: _m(st) > 1 and st[-1:] in ("s", "t"))]
+                  + [(s, "", gt1) for s in ("ou", "ism", "ate", "iti", "ous", "ive", "ize")])
+
+
+def _step5(w: str) -> str:
+    if w.endswith("e"):
+        stem = w[:-1]
+        if _m(stem) > 1 or (_m(stem) == 1 and not _cvc(stem)):
+            w = stem
+    if w.endswith("ll") and _m(w[:-1]) > 1:
+        w = w[:-1]
+    return w
+
+
+@lru_cache(maxsize=1 << 20)
+def stem(word: str) -> str:
+    w = word.lower()
+    if w in IRREGULAR:
+        return IRREGULAR[w]
+    if len(w) <= 2:
+        return w
+    for step in (_step1a, _step1b, _step1c, _step2, _step3, _step4, _step5):
+        w = step(w)
+    return w
+
+
+def stem_long_tokens(tokens: list[str] | None, min_len: int = 4) -> list[str]:
+    """ROUGE rule: stem tokens longer than three characters."""
+    if tokens is None:
+        return []
+    return [stem(t) if len(t) >= min_len else t for t in tokens]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stem_udf(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda ts: stem_long_tokens(list(ts) if ts is not None else None))
+
+
+def stem_array(col: Column) -> Column:
+    return _stem_udf(col)

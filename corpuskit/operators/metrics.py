@@ -150,3 +150,10 @@ def evaluate_responses(pairs: DataFrame, stemmer=None) -> DataFrame:
                  F.count(F.lit(1)).alias("num_samples"))
 
 
+
+
+def porter_stemmer(tok: DataFrame) -> DataFrame:
+    """Stem the ROUGE token arrays (tokens longer than three characters)."""
+    from ..functions.porter import stem_array
+
+    return tok.withColumn("__rt", stem_array(F.col("__rt"))).withColumn("__ht", stem_array(F.col("__ht")))

@@ -45,4 +45,5 @@ def all_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from . import queries_eval, queries_metrics, queries_prep, queries_tokens, queries_vectors  # noqa: F401
+    from . import (queries_eval, queries_io, queries_metrics, queries_prep,  # noqa: F401
+                   queries_tokens, queries_vectors)
