@@ -21,8 +21,9 @@ from ..functions.text import rouge_tokens, word_tokens
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Array of space-joined n-grams of a token array."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0))),
-                       lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    count = F.size(tokens) - n + 1
+    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
 def _ngram_counts(tok: DataFrame, orders: list[int]) -> DataFrame:
