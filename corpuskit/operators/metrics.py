@@ -19,27 +19,52 @@ from pyspark.sql import types as T
 from ..functions.text import rouge_tokens, word_tokens
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Array of space-joined n-grams of a token array."""
+def ngrams(tokens: Column, n: int, prefix: str = "") -> Column:
+    """Array of space-joined n-grams of a token array (each led by ``prefix``)."""
+    if n == 1:
+        return F.transform(tokens, lambda t: F.concat(F.lit(prefix), t)) if prefix else tokens
     count = F.size(tokens) - n + 1
     starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-
-def _ngram_counts(tok: DataFrame, orders: list[int]) -> DataFrame:
-    """``(pair_id, n, overlap)`` with overlap = sum over grams of
-    min(ref count, hyp count), for pairs with at least one shared gram."""
-    sides = []
-    for n in orders:
-        for side, col in (("r", "__rt"), ("h", "__ht")):
-            sides.append(F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"),
-                                  ngrams(F.col(col), n).alias("grams")))
-    exploded = (tok.select("pair_id", F.explode(F.array(*sides)).alias("s"))
-                .select("pair_id", "s.n", "s.side", F.explode("s.grams").alias("gram")))
-    per_gram = exploded.groupBy("pair_id", "n", "gram").agg(
-        F.count_if(F.col("side") == "r").alias("cr"), F.count_if(F.col("side") == "h").alias("ch"))
-    return (per_gram.filter((F.col("cr") > 0) & (F.col("ch") > 0))
-            .groupBy("pair_id", "n").agg(F.sum(F.least("cr", "ch")).alias("overlap")))
+    return F.transform(starts, lambda i: F.concat(F.lit(prefix), F.array_join(F.slice(tokens, i, n), " ")))
+
+
+def gram_stats(tok: DataFrame, specs: list[tuple[str, str, str, list[int]]],
+               carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pair with, for every ``(kind, ref_col, hyp_col, orders)``
+    spec and order n: ``{kind}_o{n}`` (clipped overlap, sum over grams of
+    min(ref count, hyp count)), ``{kind}_r{n}`` and ``{kind}_h{n}`` (n-gram
+    counts of each side).
+
+    Every gram becomes one string ``<side><kind-id><n>|<gram>``; all of a
+    pair's strings are exploded at once (plus one marker, so pairs without
+    grams still appear), counted by (pair, gram key) with the side read off
+    the first character, then summed per pair.  Two map-side-combined
+    shuffles, one scan, no join back; the generator carries only the pair
+    id, and the first shuffle is keyed by the gram, so one very long text is
+    spread over many tasks.  ``carry`` columns (per-pair values) are kept
+    with ``max``.
+    """
+    parts = [F.array(F.lit("x"))]
+    tags = {}
+    for kid, (kind, rcol, hcol, orders) in enumerate(specs):
+        for n in orders:
+            tags[(kind, n)] = f"{kid}{n}|"
+            parts.append(ngrams(F.col(rcol), n, f"r{kid}{n}|"))
+            parts.append(ngrams(F.col(hcol), n, f"h{kid}{n}|"))
+    exploded = tok.select("pair_id", *carry, F.explode(F.concat(*parts)).alias("__g"))
+    side = F.substring("__g", 1, 1)
+    per_gram = exploded.groupBy("pair_id", F.expr("substring(__g, 2)").alias("key")).agg(
+        F.count_if(side == "r").alias("cr"), F.count_if(side == "h").alias("ch"),
+        *[F.max(c).alias(c) for c in carry])
+    tag_of = F.substring_index("key", "|", 1)
+    aggs = [F.max(c).alias(c) for c in carry]
+    for kind, _, _, orders in specs:
+        for n in orders:
+            hit = tag_of == tags[(kind, n)][:-1]
+            aggs += [F.coalesce(F.sum(F.when(hit, F.least("cr", "ch"))), F.lit(0)).alias(f"{kind}_o{n}"),
+                     F.coalesce(F.sum(F.when(hit, F.col("cr"))), F.lit(0)).alias(f"{kind}_r{n}"),
+                     F.coalesce(F.sum(F.when(hit, F.col("ch"))), F.lit(0)).alias(f"{kind}_h{n}")]
+    return per_gram.groupBy("pair_id").agg(*aggs)
 
 
 def _f1(overlap: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -48,30 +73,28 @@ def _f1(overlap: Column, n_ref: Column, n_hyp: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def _count(tokens: Column, n: int) -> Column:
-    return F.greatest(F.size(tokens) - n + 1, F.lit(0))
+def _rouge_tok(pairs: DataFrame, stemmer=None) -> DataFrame:
+    tok = pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
+                       rouge_tokens(F.col("hypothesis")).alias("__ht"))
+    return stemmer(tok) if stemmer is not None else tok
+
+
+def _rouge_cols(stats: DataFrame, orders) -> list[Column]:
+    return [_f1(F.col(f"rouge_o{n}"), F.col(f"rouge_r{n}"), F.col(f"rouge_h{n}")).alias(f"rouge{n}_f1")
+            for n in orders]
 
 
 def rouge_n(pairs: DataFrame, orders: tuple[int, ...] = (1, 2), stemmer=None) -> DataFrame:
     """ROUGE-N F1 per pair: ``pair_id, rouge{n}_f1`` for each order.
 
-    ``stemmer`` (optional) maps the token column of a table to stemmed
-    tokens (see :func:`stem_tokens`)."""
-    tok = pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
-                       rouge_tokens(F.col("hypothesis")).alias("__ht"))
-    if stemmer is not None:
-        tok = stemmer(tok)
-    counts = _ngram_counts(tok, list(orders))
-    wide = counts.groupBy("pair_id").agg(*[
-        F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"__o{n}") for n in orders])
-    out = tok.join(wide, "pair_id", "left")
-    return out.select("pair_id", *[
-        _f1(F.coalesce(F.col(f"__o{n}"), F.lit(0)), _count(F.col("__rt"), n), _count(F.col("__ht"), n))
-        .alias(f"rouge{n}_f1") for n in orders])
+    ``stemmer`` (optional) maps the token table to stemmed tokens
+    (see :func:`porter_stemmer`)."""
+    stats = gram_stats(_rouge_tok(pairs, stemmer), [("rouge", "__rt", "__ht", list(orders))])
+    return stats.select("pair_id", *_rouge_cols(stats, orders))
 
 
-def bleu(pairs: DataFrame, max_order: int = 4, k: float = 5.0) -> DataFrame:
-    """Sentence BLEU-4 with smoothing method 4 per pair: ``pair_id, bleu``.
+def _bleu_col(max_order: int = 4, k: float = 5.0) -> Column:
+    """Sentence BLEU-4 with smoothing method 4 from ``bleu_*`` gram stats.
 
     p_n = clipped matches / max(1, hyp n-grams).  No unigram match, or an
     empty side, scores 0.  With h > 1 hypothesis tokens, the j-th order with
@@ -79,21 +102,12 @@ def bleu(pairs: DataFrame, max_order: int = 4, k: float = 5.0) -> DataFrame:
     Orders with p_n = 0 are skipped in the geometric mean; BP = 1 if h > r
     else exp(1 - r/h).
     """
-    tok = pairs.select("pair_id", word_tokens(F.col("reference")).alias("__rt"),
-                       word_tokens(F.col("hypothesis")).alias("__ht"))
-    orders = list(range(1, max_order + 1))
-    counts = _ngram_counts(tok, orders)
-    wide = counts.groupBy("pair_id").agg(*[
-        F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"__m{n}") for n in orders])
-    t = tok.join(wide, "pair_id", "left").select(
-        "pair_id", F.size("__rt").alias("__r"), F.size("__ht").alias("__h"),
-        *[F.coalesce(F.col(f"__m{n}"), F.lit(0)).alias(f"__m{n}") for n in orders])
-    h, r = F.col("__h"), F.col("__r")
+    h, r = F.col("bleu_h1"), F.col("bleu_r1")
     log_terms = []
     zeros_before = F.lit(0)
-    for n in orders:
-        m = F.col(f"__m{n}")
-        denom = F.greatest(h - n + 1, F.lit(1)).cast("double")
+    for n in range(1, max_order + 1):
+        m = F.col(f"bleu_o{n}")
+        denom = F.greatest(F.col(f"bleu_h{n}"), F.lit(1)).cast("double")
         j = zeros_before + 1  # this order's rank among the zero-match orders
         smoothed = F.log(h.cast("double")) / (F.lit(k) * F.pow(F.lit(2.0), j)) / denom
         p = F.when(m > 0, m / denom).when(h > 1, smoothed).otherwise(F.lit(0.0))
@@ -101,8 +115,18 @@ def bleu(pairs: DataFrame, max_order: int = 4, k: float = 5.0) -> DataFrame:
         zeros_before = zeros_before + F.when(m == 0, 1).otherwise(0)
     bp = F.when(h > r, F.lit(1.0)).otherwise(F.exp(1 - r / h))
     score = bp * F.exp(sum(log_terms[1:], log_terms[0]))
-    return t.select("pair_id", F.when((r == 0) | (h == 0) | (F.col("__m1") == 0), F.lit(0.0))
-                    .otherwise(score).alias("bleu"))
+    return F.when((r == 0) | (h == 0) | (F.col("bleu_o1") == 0), F.lit(0.0)).otherwise(score)
+
+
+def _bleu_tok(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", word_tokens(F.col("reference")).alias("__wr"),
+                        word_tokens(F.col("hypothesis")).alias("__wh"))
+
+
+def bleu(pairs: DataFrame, max_order: int = 4, k: float = 5.0) -> DataFrame:
+    """Sentence BLEU per pair: ``pair_id, bleu`` (see :func:`_bleu_col`)."""
+    stats = gram_stats(_bleu_tok(pairs), [("bleu", "__wr", "__wh", list(range(1, max_order + 1)))])
+    return stats.select("pair_id", _bleu_col(max_order, k).alias("bleu"))
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -129,18 +153,27 @@ def _lcs_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 def rouge_l(pairs: DataFrame, stemmer=None) -> DataFrame:
     """ROUGE-L F1 per pair: ``pair_id, rougeL_f1`` (0 if either side is empty)."""
-    tok = pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
-                       rouge_tokens(F.col("hypothesis")).alias("__ht"))
-    if stemmer is not None:
-        tok = stemmer(tok)
+    tok = _rouge_tok(pairs, stemmer)
     lcs = _lcs_udf(F.col("__rt"), F.col("__ht"))
     return tok.select("pair_id", _f1(lcs, F.size("__rt"), F.size("__ht")).alias("rougeL_f1"))
 
 
 def per_sample_scores(pairs: DataFrame, stemmer=None) -> DataFrame:
-    """All four scores per pair."""
-    return (rouge_n(pairs, (1, 2), stemmer).join(rouge_l(pairs, stemmer), "pair_id")
-            .join(bleu(pairs), "pair_id"))
+    """ROUGE-1/2/L F1 and BLEU per pair in one pipeline: texts are tokenized
+    once, the LCS is computed on the token arrays, and all n-grams of both
+    token rules share one explode and two aggregations."""
+    tok = (pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
+                        rouge_tokens(F.col("hypothesis")).alias("__ht"),
+                        word_tokens(F.col("reference")).alias("__wr"),
+                        word_tokens(F.col("hypothesis")).alias("__wh")))
+    if stemmer is not None:
+        tok = stemmer(tok)
+    tok = tok.withColumn("__lcs", _lcs_udf(F.col("__rt"), F.col("__ht")))
+    stats = gram_stats(tok, [("rouge", "__rt", "__ht", [1, 2]), ("bleu", "__wr", "__wh", [1, 2, 3, 4])],
+                       carry=("__lcs",))
+    return stats.select("pair_id", *_rouge_cols(stats, (1, 2)),
+                        _f1(F.col("__lcs"), F.col("rouge_r1"), F.col("rouge_h1")).alias("rougeL_f1"),
+                        _bleu_col().alias("bleu"))
 
 
 def evaluate_responses(pairs: DataFrame, stemmer=None) -> DataFrame:
@@ -151,8 +184,6 @@ def evaluate_responses(pairs: DataFrame, stemmer=None) -> DataFrame:
                  F.count(F.lit(1)).alias("num_samples"))
 
 
-
-
 def porter_stemmer(tok: DataFrame) -> DataFrame:
     """Stem the ROUGE token arrays (tokens longer than three characters)."""
     from ..functions.porter import stem_array
