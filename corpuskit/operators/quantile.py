@@ -9,75 +9,81 @@ most ``accuracy`` values (where the sketch's rank error is not below the
 bracket margin) use Spark's exact ``percentile``, whose per-group map is then
 bounded by ``accuracy`` entries.  The result equals NumPy's / DuckDB
 ``quantile_cont`` value.
+
+Three passes over the input: (1) counts and the sketch, together with any
+other aggregates the caller wants per group; (2) counts below/at the bracket
+ends plus the small-group exact percentile; (3) the rows inside the bracket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def exact_percentile(df: DataFrame, group_cols: list[str], value: str, p: float,
-                     out: str = "percentile", accuracy: int = 100_000) -> DataFrame:
-    """One row per group: ``group_cols..., out`` (NULL when no values)."""
+                     out: str = "percentile", accuracy: int = 100_000,
+                     extra_aggs: list[Column] = ()) -> DataFrame:
+    """One row per group: ``group_cols..., *extra_aggs, out`` (``out`` NULL
+    when the group has no non-NULL value)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be within [0, 1]")
     margin = 4.0 / accuracy
     lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
-    v = F.col(value)
-    vals = df.select(*group_cols, v.cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    v = F.col(value).cast("double")
 
-    # pass 1: count and a bracket [lb, ub] around the target rank per group
-    stats = (vals.groupBy(*group_cols)
-             .agg(F.count(F.lit(1)).alias("__n"),
-                  F.percentile_approx("__v", F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias("__b"),
-                  F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-             .select(*group_cols, "__n",
-                     # widen to the extremes when the bracket touches them
-                     F.when(F.lit(lo_p) <= 0.0, F.col("__min")).otherwise(F.col("__b")[0]).alias("__lb"),
-                     F.when(F.lit(hi_p) >= 1.0, F.col("__max")).otherwise(F.col("__b")[1]).alias("__ub")))
+    # pass 1: per group count and a bracket [lb, ub] around the target rank
+    stats = df.groupBy(*group_cols).agg(
+        *extra_aggs,
+        F.count(v).alias("__n"),
+        F.percentile_approx(v, F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias("__b"),
+        F.min(v).alias("__min"), F.max(v).alias("__max"))
+    stats = (stats.withColumn("__lb", F.when(F.lit(lo_p) <= 0.0, F.col("__min")).otherwise(F.col("__b")[0]))
+                  .withColumn("__ub", F.when(F.lit(hi_p) >= 1.0, F.col("__max")).otherwise(F.col("__b")[1]))
+                  .drop("__b", "__min", "__max"))
+    bounds = stats.select(*group_cols, "__n", "__lb", "__ub")
 
-    joined = vals.join(stats, group_cols)
-    small = (joined.filter(F.col("__n") <= accuracy).groupBy(*group_cols)
-             .agg(F.percentile("__v", F.lit(p)).alias(out)))
-    joined = joined.filter(F.col("__n") > accuracy)
+    vals = df.select(*group_cols, v.alias("__v")).filter(F.col("__v").isNotNull())
+    joined = vals.join(bounds, group_cols)
+    small = F.col("__n") <= accuracy
+    big = ~small
 
-    # pass 2: counts below / at the bracket ends, and the inside rows
-    counts = (joined.groupBy(*group_cols)
-              .agg(F.first("__n").alias("__n"), F.first("__lb").alias("__lb"), F.first("__ub").alias("__ub"),
-                   F.count_if(F.col("__v") < F.col("__lb")).alias("__below"),
-                   F.count_if(F.col("__v") == F.col("__lb")).alias("__eq_lb"),
-                   F.count_if((F.col("__v") == F.col("__ub")) & (F.col("__ub") != F.col("__lb"))).alias("__eq_ub"),
-                   F.count_if((F.col("__v") > F.col("__lb")) & (F.col("__v") < F.col("__ub"))).alias("__inside")))
-    h = (F.col("__n") - 1) * F.lit(p)
-    counts = (counts.withColumn("__i", F.floor(h).cast("long"))
-                    .withColumn("__frac", h - F.floor(h))
-                    .withColumn("__j", F.least(F.col("__i") + 1, F.col("__n") - 1)))
+    # pass 2: positions of the bracket ends; exact percentile of small groups
+    counts = joined.groupBy(*group_cols).agg(
+        F.percentile(F.when(small, F.col("__v")), F.lit(p)).alias("__small"),
+        F.count_if(big & (F.col("__v") < F.col("__lb"))).alias("__below"),
+        F.count_if(big & (F.col("__v") == F.col("__lb"))).alias("__eq_lb"),
+        F.count_if(big & (F.col("__v") == F.col("__ub")) & (F.col("__ub") != F.col("__lb"))).alias("__eq_ub"),
+        F.count_if(big & (F.col("__v") > F.col("__lb")) & (F.col("__v") < F.col("__ub"))).alias("__inside"))
 
-    # the inside rows are ranked; at most about 2*margin*n rows per group
-    inside = (joined.filter((F.col("__v") > F.col("__lb")) & (F.col("__v") < F.col("__ub")))
+    # pass 3: the rows strictly inside the bracket, ranked per group
+    # (about 2 * margin * n rows per group)
+    inside = (joined.filter(big & (F.col("__v") > F.col("__lb")) & (F.col("__v") < F.col("__ub")))
               .select(*group_cols, "__v")
               .withColumn("__r", F.row_number().over(Window.partitionBy(*group_cols).orderBy("__v")) - 1))
 
-    def value_at(k: str, alias: str) -> DataFrame:
-        # position of rank k inside the bracket-ordered run of values
-        c = counts.select(*group_cols, F.col(k).alias("__k"), "__below", "__eq_lb", "__inside", "__eq_ub",
-                          "__lb", "__ub")
-        rel = F.col("__k") - F.col("__below")
-        c = c.withColumn("__rel", rel)
-        picked = c.join(inside, group_cols, "left")
-        res = picked.groupBy(*group_cols).agg(
-            F.first(F.when(F.col("__rel") < 0, F.lit(None))
-                    .when(F.col("__rel") < F.col("__eq_lb"), F.col("__lb"))
-                    .when(F.col("__rel") < F.col("__eq_lb") + F.col("__inside"),
-                          F.when(F.col("__r") == F.col("__rel") - F.col("__eq_lb"), F.col("__v")))
-                    .when(F.col("__rel") < F.col("__eq_lb") + F.col("__inside") + F.col("__eq_ub"), F.col("__ub")),
-                    ignorenulls=True).alias(alias))
-        return res
+    st = stats.join(counts, group_cols, "left")
+    h = (F.col("__n") - 1) * F.lit(p)
+    st = (st.withColumn("__i", F.floor(h).cast("long"))
+            .withColumn("__frac", h - F.floor(h))
+            .withColumn("__j", F.least(F.col("__i") + 1, F.col("__n") - 1)))
+
+    def value_at(k: str) -> Column:
+        # value of rank k in the order: [< lb] [= lb]* [inside, ranked] [= ub]* [> ub]
+        rel = F.col(k) - F.col("__below")
+        return (F.when(rel < 0, F.lit(None))
+                 .when(rel < F.col("__eq_lb"), F.col("__lb"))
+                 .when(rel < F.col("__eq_lb") + F.col("__inside"),
+                       F.when(F.col("__r") == rel - F.col("__eq_lb"), F.col("__v")))
+                 .when(rel < F.col("__eq_lb") + F.col("__inside") + F.col("__eq_ub"), F.col("__ub")))
 
-    # a group whose ranks fall outside the bracket would give NULL: the
-    # sketch guarantees rank error below n/accuracy, inside the margin.
-    xi, xj = value_at("__i", "__xi"), value_at("__j", "__xj")
-    result = (counts.select(*group_cols, "__frac").join(xi, group_cols).join(xj, group_cols)
-              .select(*group_cols, (F.col("__xi") + F.col("__frac") * (F.col("__xj") - F.col("__xi"))).alias(out)))
-    return result.unionByName(small)
+    picked = st.join(inside, group_cols, "left")
+    keep = [c for c in st.columns if c not in group_cols]
+    res = picked.groupBy(*group_cols).agg(
+        *[F.first(c).alias(c) for c in keep],
+        F.first(value_at("__i"), ignorenulls=True).alias("__xi"),
+        F.first(value_at("__j"), ignorenulls=True).alias("__xj"))
+    exact = F.col("__xi") + F.col("__frac") * (F.col("__xj") - F.col("__xi"))
+    result = F.when(F.col("__n") == 0, F.lit(None)).when(F.col("__n") <= accuracy, F.col("__small")).otherwise(exact)
+    extra_cols = [c for c in stats.columns if c not in group_cols and not c.startswith("__")]
+    return res.select(*group_cols, *extra_cols, result.alias(out))

@@ -5,7 +5,7 @@ word counts, positional pairing and method availability."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_word_count
@@ -38,7 +38,7 @@ def report_summary(samples: DataFrame, p95: str = "exact") -> DataFrame:
     per-task memory (see :mod:`.quantile`); ``"approx"`` uses one sketch.
     """
     s = sample_throughput(samples)
-    agg = s.groupBy("method").agg(
+    aggs = [
         F.count(F.lit(1)).alias("total_samples"),
         F.coalesce(F.sum("num_tokens"), F.lit(0)).cast("long").alias("total_tokens"),
         _mean("num_tokens").alias("avg_tokens_per_sample"),
@@ -51,27 +51,34 @@ def report_summary(samples: DataFrame, p95: str = "exact") -> DataFrame:
         _mean("rouge2_f1").alias("rouge2_f1"),
         _mean("rougeL_f1").alias("rougeL_f1"),
         _mean("bleu_score").alias("bleu_score"),
-        *([F.percentile_approx("latency", 0.95, 100_000).cast("double").alias("p95_latency_seconds")]
-          if p95 == "approx" else []),
-    )
+    ]
     if p95 == "exact":
-        q = exact_percentile(s, ["method"], "latency", 0.95, out="p95_latency_seconds")
-        agg = agg.join(q, "method", "left")
+        agg = exact_percentile(s, ["method"], "latency", 0.95, out="p95_latency_seconds", extra_aggs=aggs)
+    else:
+        agg = s.groupBy("method").agg(
+            *aggs, F.percentile_approx("latency", 0.95, 100_000).cast("double").alias("p95_latency_seconds"))
     return agg.withColumn("p95_latency_seconds", F.coalesce("p95_latency_seconds", F.lit(0.0))) \
               .select(*SUMMARY_COLUMNS)
 
 
+def _baseline(col: str, baseline: str) -> Column:
+    """The baseline method's value of ``col`` on every row.  The summary has
+    one row per method, so this unpartitioned window is over a handful of
+    rows, and the summary is computed once (no self-join)."""
+    return F.first(F.when(F.col("method") == baseline, F.col(col)), ignorenulls=True).over(
+        Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
 def baseline_compare(summary: DataFrame, baseline: str) -> DataFrame:
     """Each method against the named baseline: latency speedup (both > 0,
     else NULL), throughput gain % (baseline > 0, else NULL), ROUGE-1 and
-    BLEU deltas.  The baseline side is one row (one method), so broadcast."""
-    b = summary.filter(F.col("method") == baseline).select(
-        F.col("method").alias("baseline"),
-        F.col("avg_latency_seconds").alias("b_lat"),
-        F.col("avg_throughput_tokens_per_sec").alias("b_thr"),
-        F.col("rouge1_f1").alias("b_r1"), F.col("bleu_score").alias("b_bleu"))
-    j = summary.crossJoin(F.broadcast(b))
-    return j.select(
+    BLEU deltas.  No row when the baseline is absent."""
+    j = summary.select(
+        "*", _baseline("method", baseline).alias("baseline"),
+        _baseline("avg_latency_seconds", baseline).alias("b_lat"),
+        _baseline("avg_throughput_tokens_per_sec", baseline).alias("b_thr"),
+        _baseline("rouge1_f1", baseline).alias("b_r1"), _baseline("bleu_score", baseline).alias("b_bleu"))
+    return j.filter(F.col("baseline").isNotNull()).select(
         "method", "baseline",
         F.when((F.col("avg_latency_seconds") > 0) & (F.col("b_lat") > 0),
                F.col("b_lat") / F.col("avg_latency_seconds")).alias("latency_speedup"),
@@ -98,13 +105,13 @@ def cross_method(summary: DataFrame) -> DataFrame:
 
 def memory_reduction(df: DataFrame, config: str, value: str, baseline: str) -> DataFrame:
     """Value rounded to 1 decimal first, then
-    ``round(100 * (1 - v / max(baseline_v, 1)), 1)``; the baseline is named."""
-    rounded = df.select(F.col(config).alias("config"), F.round(F.col(value), 1).alias("peak_mb"))
-    base = rounded.filter(F.col("config") == baseline).select(F.col("peak_mb").alias("__base"))
-    return (rounded.crossJoin(F.broadcast(base))  # one row
-            .select("config", "peak_mb",
-                    F.round(100 * (1 - F.col("peak_mb") / F.greatest(F.col("__base"), F.lit(1.0))), 1)
-                     .alias("reduction_pct")))
+    ``round(100 * (1 - v / max(baseline_v, 1)), 1)``; the baseline is named.
+    ``df`` is one row per configuration (a small table)."""
+    rounded = df.select(F.col(config).alias("method"), F.round(F.col(value), 1).alias("peak_mb"))
+    base = _baseline("peak_mb", baseline)
+    return rounded.select(F.col("method").alias("config"), "peak_mb",
+                          F.round(100 * (1 - F.col("peak_mb") / F.greatest(base, F.lit(1.0))), 1)
+                           .alias("reduction_pct"))
 
 
 def response_words(df: DataFrame, text: str, out: str = "num_tokens") -> DataFrame:

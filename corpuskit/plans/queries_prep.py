@@ -24,7 +24,10 @@ def qa_pairs_df(spark, sf):
 
 
 def split_df(spark, sf):
-    return split.grouped_split(qa_pairs_df(spark, sf), test_size=TEST, val_size=VAL, seed=SEED)
+    from .prepare import prepare_corpus
+
+    return prepare_corpus(derived.questions(spark, sf), derived.answers(spark, sf), min_score=5,
+                          max_samples=None, test_size=TEST, val_size=VAL, seed=SEED)
 
 
 # --- SQL restatements -------------------------------------------------------
