@@ -28,43 +28,53 @@ def ngrams(tokens: Column, n: int, prefix: str = "") -> Column:
     return F.transform(starts, lambda i: F.concat(F.lit(prefix), F.array_join(F.slice(tokens, i, n), " ")))
 
 
-def gram_stats(tok: DataFrame, specs: list[tuple[str, str, str, list[int]]],
-               carry: tuple[str, ...] = ()) -> DataFrame:
+def gram_stats(tok: DataFrame, specs: list[tuple[str, str, str, list[int]]]) -> DataFrame:
     """One row per pair with, for every ``(kind, ref_col, hyp_col, orders)``
     spec and order n: ``{kind}_o{n}`` (clipped overlap, sum over grams of
     min(ref count, hyp count)), ``{kind}_r{n}`` and ``{kind}_h{n}`` (n-gram
-    counts of each side).
-
-    Every gram becomes one string ``<side><kind-id><n>|<gram>``; all of a
-    pair's strings are exploded at once (plus one marker, so pairs without
-    grams still appear), counted by (pair, gram key) with the side read off
-    the first character, then summed per pair.  Two map-side-combined
-    shuffles, one scan, no join back; the generator carries only the pair
-    id, and the first shuffle is keyed by the gram, so one very long text is
-    spread over many tasks.  ``carry`` columns (per-pair values) are kept
-    with ``max``.
+    counts of each side, from the token array sizes).
+
+    Each side is one branch: its n-grams of every kind and order, tagged
+    ``<kind-id><n>|``, are exploded at once next to a literal side flag, so
+    each text is read and tokenized once (column pruning keeps the other
+    side out of the branch).  The union is counted by (pair, tagged gram),
+    only grams present on both sides go on, and a per-pair sum gives the
+    overlaps.  Both aggregations are map-side combined; the first is keyed by
+    the gram, so one very long text is spread over many tasks.  A marker row
+    per pair keeps pairs without shared grams.
     """
-    parts = [F.array(F.lit("x"))]
-    tags = {}
-    for kid, (kind, rcol, hcol, orders) in enumerate(specs):
+    cols = {"r": [], "h": []}
+    for _, rcol, hcol, _ in specs:
+        cols["r"].append(rcol)
+        cols["h"].append(hcol)
+    size_names = {c: f"__size_{c}" for side in cols for c in cols[side]}
+    branches = []
+    for side, flag in (("r", 1), ("h", 0)):
+        parts = [F.array(F.lit(""))] if side == "r" else []
+        for kid, (kind, rcol, hcol, orders) in enumerate(specs):
+            col = rcol if side == "r" else hcol
+            parts += [ngrams(F.col(col), n, f"{kid}{n}|") for n in orders]
+        sizes = [F.size(c).alias(size_names[c]) if c in cols[side] else F.lit(None).cast("int").alias(size_names[c])
+                 for c in size_names]
+        branches.append(tok.select("pair_id", F.lit(flag).alias("__r"), *sizes,
+                                   F.explode(F.concat(*parts)).alias("__g")))
+    grams = branches[0].unionByName(branches[1])
+    per_gram = grams.groupBy("pair_id", "__g").agg(
+        F.sum("__r").alias("cr"), (F.count(F.lit(1)) - F.sum("__r")).alias("ch"),
+        *[F.max(c).alias(c) for c in size_names.values()])
+    shared = per_gram.filter(((F.col("cr") > 0) & (F.col("ch") > 0)) | (F.col("__g") == ""))
+    tag_of = F.substring_index("__g", "|", 1)
+    aggs = [F.max(c).alias(c) for c in size_names.values()]
+    for kid, (kind, _, _, orders) in enumerate(specs):
         for n in orders:
-            tags[(kind, n)] = f"{kid}{n}|"
-            parts.append(ngrams(F.col(rcol), n, f"r{kid}{n}|"))
-            parts.append(ngrams(F.col(hcol), n, f"h{kid}{n}|"))
-    exploded = tok.select("pair_id", *carry, F.explode(F.concat(*parts)).alias("__g"))
-    side = F.substring("__g", 1, 1)
-    per_gram = exploded.groupBy("pair_id", F.expr("substring(__g, 2)").alias("key")).agg(
-        F.count_if(side == "r").alias("cr"), F.count_if(side == "h").alias("ch"),
-        *[F.max(c).alias(c) for c in carry])
-    tag_of = F.substring_index("key", "|", 1)
-    aggs = [F.max(c).alias(c) for c in carry]
-    for kind, _, _, orders in specs:
+            aggs.append(F.coalesce(F.sum(F.when((tag_of == f"{kid}{n}") & (F.col("__g") != ""),
+                                                F.least("cr", "ch"))), F.lit(0)).alias(f"{kind}_o{n}"))
+    out = shared.groupBy("pair_id").agg(*aggs)
+    for kind, rcol, hcol, orders in specs:
         for n in orders:
-            hit = tag_of == tags[(kind, n)][:-1]
-            aggs += [F.coalesce(F.sum(F.when(hit, F.least("cr", "ch"))), F.lit(0)).alias(f"{kind}_o{n}"),
-                     F.coalesce(F.sum(F.when(hit, F.col("cr"))), F.lit(0)).alias(f"{kind}_r{n}"),
-                     F.coalesce(F.sum(F.when(hit, F.col("ch"))), F.lit(0)).alias(f"{kind}_h{n}")]
-    return per_gram.groupBy("pair_id").agg(*aggs)
+            out = (out.withColumn(f"{kind}_r{n}", F.greatest(F.col(size_names[rcol]) - n + 1, F.lit(0)))
+                      .withColumn(f"{kind}_h{n}", F.greatest(F.col(size_names[hcol]) - n + 1, F.lit(0))))
+    return out.drop(*size_names.values())
 
 
 def _f1(overlap: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -159,21 +169,18 @@ def rouge_l(pairs: DataFrame, stemmer=None) -> DataFrame:
 
 
 def per_sample_scores(pairs: DataFrame, stemmer=None) -> DataFrame:
-    """ROUGE-1/2/L F1 and BLEU per pair in one pipeline: texts are tokenized
-    once, the LCS is computed on the token arrays, and all n-grams of both
-    token rules share one explode and two aggregations."""
-    tok = (pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
-                        rouge_tokens(F.col("hypothesis")).alias("__ht"),
-                        word_tokens(F.col("reference")).alias("__wr"),
-                        word_tokens(F.col("hypothesis")).alias("__wh")))
+    """ROUGE-1/2/L F1 and BLEU per pair: the n-gram scores of both token
+    rules come from one :func:`gram_stats` pass; ROUGE-L (which needs both
+    token arrays in one row) is a third branch joined on ``pair_id``."""
+    tok = pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
+                       rouge_tokens(F.col("hypothesis")).alias("__ht"),
+                       word_tokens(F.col("reference")).alias("__wr"),
+                       word_tokens(F.col("hypothesis")).alias("__wh"))
     if stemmer is not None:
         tok = stemmer(tok)
-    tok = tok.withColumn("__lcs", _lcs_udf(F.col("__rt"), F.col("__ht")))
-    stats = gram_stats(tok, [("rouge", "__rt", "__ht", [1, 2]), ("bleu", "__wr", "__wh", [1, 2, 3, 4])],
-                       carry=("__lcs",))
-    return stats.select("pair_id", *_rouge_cols(stats, (1, 2)),
-                        _f1(F.col("__lcs"), F.col("rouge_r1"), F.col("rouge_h1")).alias("rougeL_f1"),
-                        _bleu_col().alias("bleu"))
+    stats = gram_stats(tok, [("rouge", "__rt", "__ht", [1, 2]), ("bleu", "__wr", "__wh", [1, 2, 3, 4])])
+    ngram = stats.select("pair_id", *_rouge_cols(stats, (1, 2)), _bleu_col().alias("bleu"))
+    return ngram.join(rouge_l(pairs, stemmer), "pair_id")
 
 
 def evaluate_responses(pairs: DataFrame, stemmer=None) -> DataFrame:

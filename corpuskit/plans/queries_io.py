@@ -65,12 +65,12 @@ def read_predictions(spark, sf):
 def write_roundtrip(spark, sf):
     """The per-method summary written as CSV, JSON and parquet (one file
     each: one row per method); the parquet copy is read back."""
-    s = round_doubles(summary_df(spark, sf))
     base = scratch_path(spark, "summary")
+    files.write_results(round_doubles(summary_df(spark, sf)), f"{base}/parquet", "parquet", single_file=True)
+    s = spark.read.parquet(f"{base}/parquet")  # computed once, copied to the other formats
     files.write_results(s, f"{base}/csv", "csv", single_file=True)
     files.write_results(s, f"{base}/json", "json", single_file=True)
-    files.write_results(s, f"{base}/parquet", "parquet", single_file=True)
-    return spark.read.parquet(f"{base}/parquet")
+    return s
 
 
 @register("clean_html_parser")
