@@ -111,11 +111,13 @@ def _events_schema(spark, sf):
 @register("run_summary_stream", with_views(RUN_SUMMARY_SQL, "steps"))
 def run_summary_stream(spark, sf):
     """Run summary maintained by a streaming aggregation over the events
-    files (complete mode, processed to the end of the available data)."""
+    files (update mode: each micro-batch appends the runs it changed; the
+    latest row per run is the summary), processed to the end of the
+    available data."""
     steps = runs.step_stream(spark, f"{sf.rstrip('/')}/events*.parquet", _events_schema(spark, sf))
     out, ck = scratch_path(spark, "run-summary-stream"), scratch_path(spark, "run-summary-ckpt")
-    runs.run_to_table(runs.run_summary_stream(steps), out, ck, "complete")
-    return round_doubles(runs.finish_run_summary(spark.read.parquet(out)))
+    runs.run_to_table(runs.run_summary_stream(steps), out, ck, "update")
+    return round_doubles(runs.finish_run_summary(runs.latest_state(spark.read.parquet(out), ["run_id"])))
 
 
 @register("step_times_stream", with_views(

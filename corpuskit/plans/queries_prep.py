@@ -165,3 +165,21 @@ def test_head(spark, sf):
     "questions", "answers"))
 def count_contract(spark, sf):
     return prep.count_contract(derived.answers(spark, sf), derived.questions(spark, sf))
+
+
+TOP_N = 200
+TOP_QA_SQL_CTE = QA_SQL_CTE.replace(
+    "join questions q on a.ParentId = q.Id",
+    f"join (select * from questions where Score > 5 order by Score desc, Id limit {TOP_N}) q on a.ParentId = q.Id")
+
+
+@register("prepared_top200", with_views("select * from sp", "questions", "answers",
+                                         extra={"qa": TOP_QA_SQL_CTE, "sp": SPLIT_SQL_CTE}))
+def prepared_top200(spark, sf):
+    """The reference's default preparation: top 200 questions by score
+    (the limit is the feature), their answers above the score cut, cleaned,
+    filtered and split."""
+    from .prepare import prepare_corpus
+
+    return prepare_corpus(derived.questions(spark, sf), derived.answers(spark, sf), min_score=5,
+                          max_samples=TOP_N, test_size=TEST, val_size=VAL, seed=SEED)

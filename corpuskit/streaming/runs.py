@@ -89,12 +89,31 @@ def step_times_stream(steps: DataFrame) -> DataFrame:
 
 
 def run_to_table(query_df: DataFrame, out_path: str, checkpoint: str, mode: str) -> None:
-    """Run a streaming query to completion over the data available now,
-    writing each micro-batch to parquet at ``out_path`` (append, or
-    overwrite of the full result in complete mode)."""
+    """Run a streaming query to completion over the data available now.
+
+    ``append``: each micro-batch's rows are appended.  ``update``: each
+    micro-batch appends only the keys whose aggregate changed, stamped with
+    the batch id, so the table is a changelog whose latest row per key is
+    the current state (:func:`latest_state`); no batch rewrites the whole
+    result.  ``complete``: each batch overwrites the full result (small
+    results only).
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out_path)
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out_path)
+        elif mode == "update":
+            batch.withColumn("__epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out_path)
+        else:
+            batch.write.mode("append").parquet(out_path)
 
     q = (query_df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_state(changelog: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest row per key of an update-mode changelog (map-side combined)."""
+    values = [c for c in changelog.columns if c not in keys and c != "__epoch"]
+    latest = changelog.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), F.col("__epoch")).alias("__s"))
+    return latest.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in values])

@@ -23,3 +23,26 @@ def test_stream_step_times_equal_batch(spark):
     stream = spark.read.parquet(out).select("run_id", "step", "step_time_ms")
     batch = logs.step_times_window(derived.steps(spark, SF_SMALL)).select("run_id", "step", "step_time_ms")
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+
+
+def test_update_mode_changelog_over_several_batches(spark):
+    import tempfile
+
+    import pyarrow.parquet as pq
+
+    src = tempfile.mkdtemp(prefix="events-")
+    events = table(spark, SF_SMALL, "events")
+    # three files arriving as three micro-batches (one file per trigger)
+    whole = pq.read_table(f"{SF_SMALL}/events.parquet")
+    third = (whole.num_rows + 2) // 3
+    for i in range(3):
+        pq.write_table(whole.slice(i * third, third), f"{src}/events-{i}.parquet")
+    steps = runs.step_stream(spark, f"{src}/events-*.parquet", events.schema, max_files=1)
+    out, ck = scratch_path(spark, "t-upd"), scratch_path(spark, "t-upd-ck")
+    runs.run_to_table(runs.run_summary_stream(steps), out, ck, "update")
+    log = spark.read.parquet(out)
+    assert log.select("__epoch").distinct().count() == 3
+    stream = runs.finish_run_summary(runs.latest_state(log, ["run_id"]))
+    batch = logs.run_summary(derived.steps(spark, SF_SMALL))
+    assert stream.exceptAll(batch.select(*stream.columns)).count() == 0
+    assert stream.count() == batch.count()
