@@ -90,12 +90,15 @@ def token_stats(encoded: DataFrame, group: str, max_length: int = 128) -> DataFr
         F.count_if(F.col("n_tokens") > max_length).alias("truncated_rows"))
 
 
-def batches(encoded: DataFrame, key: str, batch_size: int = 16, shards: int = 64) -> DataFrame:
+def batches(encoded: DataFrame, key: str, batch_size: int = 16, shards: int | None = None) -> DataFrame:
     """Fixed-size training batches.  Rows are spread over ``shards`` by a
     hash of ``key`` (uniform, so no shard is hot), ordered inside a shard by
     the same hash, and cut into groups of ``batch_size``; the last batch of a
     shard may be short.  Each batch row stacks at most ``batch_size``
-    arrays."""
+    arrays.  ``shards`` defaults to 8x the shuffle partitions; choose it so
+    that rows / shards fits one task."""
+    if shards is None:
+        shards = 8 * int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = F.md5(F.col(key).cast("string"))
     shard = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % shards).cast("int")
     w = Window.partitionBy("shard").orderBy("__h", key)

@@ -64,3 +64,29 @@ def test_count_contract(spark):
 def test_unicode_trim(spark):
     df = spark.createDataFrame([("　\t x y  \n",)], "t string")
     assert df.select(prep.trim_title(F.col("t")).alias("t")).first().t == "x y"
+
+
+def test_hot_parent_key_with_skew_join(spark):
+    """One question holds most answers; with broadcasting off the join is a
+    sort-merge join whose hot partition AQE splits.  Results stay whole."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        q = spark.createDataFrame([(i, f"title {i}", "<p>Question body</p>", 10) for i in range(50)], Q_SCHEMA)
+        a = spark.createDataFrame([(10_000 + j, 0 if j < 4000 else j % 50, LONG, 9) for j in range(5000)],
+                                  A_SCHEMA)
+        out = prep.build_qa_pairs(q, a)
+        assert out.count() == 5000
+        assert out.filter(F.col("question_title") == "title 0").count() == 4000 + 20
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
