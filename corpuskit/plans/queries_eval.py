@@ -99,7 +99,7 @@ def memory_reduction(spark, sf):
 
 
 @register("response_words", f"""
-    select conv_id, turn, len(list_filter(regexp_split_to_array(text, '[{PY_SPACE}]+'), lambda w: w <> ''))
+    select conv_id, turn, len(list_filter(regexp_split_to_array(text, '[{PY_SPACE}]+'), lambda w: w <> ''))::integer
         as num_tokens
     from conversations where role = 'assistant'""")
 def response_words(spark, sf):

@@ -93,8 +93,8 @@ def clean_html(spark, sf):
 
 
 @register("clean_stats", f"""
-    select count(*) as rows_in, count_if(length(t) > 50) as rows_out,
-           count_if(length(t) <= 50) as rows_dropped,
+    select count(*) as rows_in, count_if(length(t) > 50)::bigint as rows_out,
+           count_if(length(t) <= 50)::bigint as rows_dropped,
            coalesce(sum(length(html)), 0)::bigint as chars_before,
            coalesce(sum(length(t)), 0)::bigint as chars_after
     from (select html, {html_to_text_sql('html')} as t from pages)""")
