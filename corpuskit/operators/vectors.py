@@ -21,35 +21,48 @@ def with_log_softmax(df: DataFrame, src: str, out: str) -> DataFrame:
     column evaluated once per row, not an expression re-evaluated inside
     every lambda call.
     """
-    m, lse = f"__{out}_m", f"__{out}_lse"
-    df = df.withColumn(m, F.array_max(src))
-    df = df.withColumn(lse, F.col(m) + F.log(F.aggregate(
-        src, F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col(m)))))
-    return df.withColumn(out, F.transform(src, lambda v: v - F.col(lse))).drop(m, lse)
+    df = with_logsumexp(df, src, f"__{out}_lse")
+    return df.withColumn(out, F.transform(src, lambda v: v - F.col(f"__{out}_lse"))).drop(f"__{out}_lse")
+
+
+def with_logsumexp(df: DataFrame, src: str, out: str, scale: Column | None = None) -> DataFrame:
+    """Add ``out`` = log(sum(exp(x * scale))) of an array, max-shifted."""
+    k = scale if scale is not None else F.lit(1.0)
+    m = f"__{out}_m"
+    df = df.withColumn(m, F.array_max(src) * k)
+    return df.withColumn(out, F.col(m) + F.log(F.aggregate(
+        src, F.lit(0.0), lambda acc, v: acc + F.exp(v * k - F.col(m))))).drop(m)
 
 
 def distill_terms(logits: DataFrame, temperature: Column | float = 2.0, shift: bool = False) -> DataFrame:
     """Per valid position: ``kl`` = KL(teacher || student) on log-softmax of
     logits / T, and ``ce`` = student cross-entropy of the label (T = 1).
     Positions labelled -100 are dropped.  ``shift=True`` takes the label of
-    the next position of the sample, as a causal LM loss does."""
+    the next position of the sample, as a causal LM loss does.
+
+    With p = softmax(t/T): KL = sum(p * (t - s)) / T - lse(t/T) + lse(s/T)
+    (since sum(p) = 1), and CE = lse(s) - s[label]; so each row needs only a
+    few passes over its arrays and no intermediate arrays.
+    """
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     df = logits
     if shift:
         df = df.withColumn("label", F.lead("label").over(Window.partitionBy("sample_id").orderBy("pos")))
     df = df.filter(F.col("label").isNotNull() & (F.col("label") != -100))
-    df = (df.withColumn("__t", t)
-            .withColumn("__s1", F.col("student").cast("array<double>"))
-            .withColumn("__ss", F.transform("__s1", lambda v: v / F.col("__t")))
-            .withColumn("__ts", F.transform(F.col("teacher").cast("array<double>"), lambda v: v / F.col("__t"))))
-    df = with_log_softmax(df, "__ss", "__ls")
-    df = with_log_softmax(df, "__ts", "__lt")
-    df = with_log_softmax(df, "__s1", "__l1")
-    kl = F.aggregate(F.zip_with("__lt", "__ls", lambda a, b: F.exp(a) * (a - b)), F.lit(0.0),
-                     lambda acc, v: acc + v)
-    ce = -F.element_at(F.col("__l1"), F.col("label") + 1)
+    df = (df.withColumn("__k", 1.0 / t)
+            .withColumn("__s", F.col("student").cast("array<double>"))
+            .withColumn("__t", F.col("teacher").cast("array<double>")))
+    df = with_logsumexp(df, "__s", "__lse_sT", F.col("__k"))
+    df = with_logsumexp(df, "__t", "__lse_tT", F.col("__k"))
+    df = with_logsumexp(df, "__s", "__lse_s")
+    k = F.col("__k")
+    n = F.least(F.size("__s"), F.size("__t"))
+    cross = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.exp(
+        F.element_at("__t", i) * k - F.col("__lse_tT")) * (F.element_at("__t", i) - F.element_at("__s", i)))
+    kl = cross * k - F.col("__lse_tT") + F.col("__lse_sT")
+    ce = F.col("__lse_s") - F.element_at("__s", F.col("label") + 1)
     return (df.withColumn("kl", kl).withColumn("ce", ce)
-              .drop("__t", "__s1", "__ss", "__ts", "__ls", "__lt", "__l1"))
+              .drop("__k", "__s", "__t", "__lse_sT", "__lse_tT", "__lse_s"))
 
 
 def distill_loss(logits: DataFrame, temperature: float = 2.0, alpha: float = 0.5, shift: bool = False,
