@@ -59,12 +59,13 @@ _MARKUP_REFS = [("amp", AMP_SENTINEL), ("lt", LT_SENTINEL), ("gt", GT_SENTINEL)]
 
 
 def _reference_regex() -> str:
-    """One alternation matching every reference we decode (longest names first)."""
+    """What may follow an ``&`` to form a reference we decode (longest names
+    first; legacy names also without ``;``)."""
     legacy = sorted([n for n, _, lg in NAMED_ENTITIES if lg] + [n for n, _ in _MARKUP_REFS],
                     key=len, reverse=True)
     strict = sorted([n for n, _, lg in NAMED_ENTITIES if not lg], key=len, reverse=True)
-    return (f"&(?:(?:{'|'.join(strict)});|(?:{'|'.join(legacy)});?"
-            f"|#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?)")
+    return (f"(?:{'|'.join(strict)});|(?:{'|'.join(legacy)});?"
+            f"|#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?")
 
 
 def _named_map() -> Column:
@@ -82,8 +83,9 @@ def _codepoint_char(cp: Column) -> Column:
             .otherwise(F.lit("\ufffd")))
 
 
-def _decode_reference(m: Column) -> Column:
-    body = F.regexp_replace(m, "^&|;$", "")
+def _decode_reference(body: Column) -> Column:
+    """Decode one reference given without its ``&`` (``;`` optional)."""
+    body = F.regexp_replace(body, ";$", "")
     is_hex = body.startswith("#x") | body.startswith("#X")
     is_dec = body.startswith("#") & ~is_hex
     cp = (F.when(is_hex, F.conv(F.substring(body, 3, 16), 16, 10).cast("long"))
@@ -93,17 +95,21 @@ def _decode_reference(m: Column) -> Column:
 
 
 def decode_references(s: Column) -> Column:
-    """Decode character references in one regex pass over the text.
-
-    The distinct references found are replaced longest-first, so ``&copy``
-    never eats the front of ``&copy;``; references outside the table stay
-    as written.  Rows without ``&`` skip the work entirely.
-    """
-    refs = F.array_sort(
-        F.array_distinct(F.regexp_extract_all(s, F.lit(_reference_regex()), 0)),
-        lambda a, b: F.length(b) - F.length(a),
-    )
-    decoded = F.aggregate(refs, s, lambda acc, m: F.replace(acc, m, _decode_reference(m)))
+    """Decode character references in one left-to-right pass, linear in
+    the text: split at ``&``; a piece that starts with a known reference has
+    it decoded, any other piece gets its ``&`` back.  Each ``&`` is looked
+    at once, so ``&amp;lt;`` decodes to ``&lt;``.  Rows without ``&`` skip
+    the work entirely."""
+    head = f"^(?:{_reference_regex()})"
+    parts = F.split(s, "&")
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, head, 0)
+        return F.when(ref == "", F.concat(F.lit("&"), p)).otherwise(
+            F.concat(_decode_reference(ref), F.substring(p, F.length(ref) + 1, 1 << 30)))
+
+    decoded = F.concat(F.element_at(parts, 1),
+                       F.array_join(F.transform(F.slice(parts, 2, 1 << 30), piece), ""))
     return F.when(F.instr(s, "&") > 0, decoded).otherwise(s)
 
 

@@ -49,3 +49,13 @@ def test_cleaning_is_one_codegen_project(spark):
     df = table(spark, SF_MID, "pages").select(html_to_text(F.col("html")).alias("t"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_many_distinct_references_decode_in_one_pass(spark):
+    # a page written entirely as numeric references (thousands of distinct ones)
+    text = "".join(f"&#{cp};" for cp in range(0x4E00, 0x4E00 + 5000))
+    html = f"<p>{text}</p><p>&#x4E00;&amp;lt;</p>"
+    df = spark.createDataFrame([(html,)], "h string")
+    got = df.select(html_to_text(F.col("h")).alias("t")).first().t
+    assert got == parse_text(html)
+    assert len(got) == 5000 + 1 + 1 + 3
