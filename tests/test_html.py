@@ -58,4 +58,4 @@ def test_many_distinct_references_decode_in_one_pass(spark):
     df = spark.createDataFrame([(html,)], "h string")
     got = df.select(html_to_text(F.col("h")).alias("t")).first().t
     assert got == parse_text(html)
-    assert len(got) == 5000 + 1 + 1 + 3
+    assert len(got) == 5000 + 1 + 1 + 4
