@@ -127,4 +127,4 @@ def step_times_stream(spark, sf):
     steps = runs.step_stream(spark, f"{sf.rstrip('/')}/events*.parquet", _events_schema(spark, sf))
     out, ck = scratch_path(spark, "step-times-stream"), scratch_path(spark, "step-times-ckpt")
     runs.run_to_table(runs.step_times_stream(steps), out, ck, "append")
-    return round_doubles(spark.read.parquet(out))
+    return round_doubles(runs.read_table(spark, out))

@@ -63,7 +63,10 @@ STEP_STATE = T.StructType([T.StructField("last_us", T.LongType())])
 
 
 def _step_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["__us", "step"], kind="stable")
+    frames = [p for p in pdfs if not p.empty]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True).sort_values(["__us", "step"], kind="stable")
     us = pdf["__us"].to_numpy(dtype=np.int64)
     prev = np.empty(len(us), dtype=np.float64)
     prev[1:] = us[:-1]
@@ -91,29 +94,34 @@ def step_times_stream(steps: DataFrame) -> DataFrame:
 def run_to_table(query_df: DataFrame, out_path: str, checkpoint: str, mode: str) -> None:
     """Run a streaming query to completion over the data available now.
 
-    ``append``: each micro-batch's rows are appended.  ``update``: each
-    micro-batch appends only the keys whose aggregate changed, stamped with
-    the batch id, so the table is a changelog whose latest row per key is
-    the current state (:func:`latest_state`); no batch rewrites the whole
-    result.  ``complete``: each batch overwrites the full result (small
-    results only).
+    Every micro-batch is written to its own ``epoch=<id>`` folder with
+    overwrite, so a batch replayed after a failure replaces its own output
+    instead of duplicating it (the sink is idempotent).  ``append``: the
+    folders together are the output.  ``update``: each batch holds only the
+    keys whose aggregate changed, so the folders form a changelog whose
+    latest row per key is the current state (:func:`latest_state`); no batch
+    rewrites the whole result.  ``complete``: each batch overwrites the full
+    result (small results only).
     """
     def sink(batch: DataFrame, epoch: int) -> None:
         if mode == "complete":
             batch.write.mode("overwrite").parquet(out_path)
-        elif mode == "update":
-            batch.withColumn("__epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out_path)
         else:
-            batch.write.mode("append").parquet(out_path)
+            batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = (query_df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_table(spark: SparkSession, out_path: str) -> DataFrame:
+    """Rows written by :func:`run_to_table` in append mode."""
+    return spark.read.parquet(out_path).drop("epoch")
+
+
 def latest_state(changelog: DataFrame, keys: list[str]) -> DataFrame:
     """Latest row per key of an update-mode changelog (map-side combined)."""
-    values = [c for c in changelog.columns if c not in keys and c != "__epoch"]
+    values = [c for c in changelog.columns if c not in keys and c != "epoch"]
     latest = changelog.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), F.col("__epoch")).alias("__s"))
+        F.max_by(F.struct(*values), F.col("epoch")).alias("__s"))
     return latest.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in values])

@@ -20,7 +20,7 @@ def test_stream_step_times_equal_batch(spark):
     steps = runs.step_stream(spark, f"{SF_SMALL}/events*.parquet", table(spark, SF_SMALL, "events").schema)
     out, ck = scratch_path(spark, "t-st"), scratch_path(spark, "t-st-ck")
     runs.run_to_table(runs.step_times_stream(steps), out, ck, "append")
-    stream = spark.read.parquet(out).select("run_id", "step", "step_time_ms")
+    stream = runs.read_table(spark, out).select("run_id", "step", "step_time_ms")
     batch = logs.step_times_window(derived.steps(spark, SF_SMALL)).select("run_id", "step", "step_time_ms")
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
 
@@ -41,7 +41,7 @@ def test_update_mode_changelog_over_several_batches(spark):
     out, ck = scratch_path(spark, "t-upd"), scratch_path(spark, "t-upd-ck")
     runs.run_to_table(runs.run_summary_stream(steps), out, ck, "update")
     log = spark.read.parquet(out)
-    assert log.select("__epoch").distinct().count() == 3
+    assert log.select("epoch").distinct().count() == 3
     stream = runs.finish_run_summary(runs.latest_state(log, ["run_id"]))
     batch = logs.run_summary(derived.steps(spark, SF_SMALL))
     assert stream.exceptAll(batch.select(*stream.columns)).count() == 0
