@@ -17,7 +17,7 @@ STAND_INS = {"extract16": 16, "extract32": 32, "extract64": 64}
 
 def prompt_table(test: DataFrame) -> DataFrame:
     """``idx, prompt, reference, question`` from a test split."""
-    keyed = test.withColumn("idx", F.conv(F.substring(F.md5(F.concat_ws("\u0000", "question_title", "answer")),
+    keyed = test.withColumn("idx", F.conv(F.substring(F.md5(F.concat_ws("\u0001", "question_title", "answer")),
                                                       1, 15), 16, 10).cast("long"))
     return prep.render_prompt(keyed).select("idx", "prompt", F.col("answer").alias("reference"),
                                             F.col("question_title").alias("question"))

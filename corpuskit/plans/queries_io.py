@@ -14,6 +14,7 @@ from ..plans import evaluate
 from ..session import scratch_path
 from ..sources import derived, files
 from ..sources.tables import table
+from ..functions.text import PY_SPACE
 from ..streaming import runs
 from .oracle import with_views
 from .queries_eval import RUN_SUMMARY_SQL, STEP_TIME_SQL, SUMMARY_SQL, round_doubles, summary_df, _r
@@ -88,7 +89,12 @@ def rouge_l_stem(spark, sf):
     return round_doubles(metrics.rouge_l(derived.score_pairs(spark, sf), metrics.porter_stemmer))
 
 
-@register("batch_generate")
+@register("batch_generate", with_views(f"""
+    select ('0x' || substr(md5(question_title || chr(1) || answer), 1, 15))::bigint as idx,
+           array_to_string(w[1:64], ' ') as response, least(len(w), 64)::integer as num_tokens
+    from (select question_title, answer,
+                 list_filter(regexp_split_to_array(question_body, '[{PY_SPACE}]+'), lambda x: x <> '') as w
+          from sp)""", "questions", "answers", extra={"qa": QA_SQL_CTE, "sp": SPLIT_SQL_CTE}))
 def batch_generate(spark, sf):
     """The stand-in model over every prompt of the prepared corpus."""
     prompts = evaluate.prompt_table(split_df(spark, sf))
