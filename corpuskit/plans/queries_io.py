@@ -16,7 +16,7 @@ from ..sources import derived, files
 from ..sources.tables import table
 from ..functions.text import PY_SPACE
 from ..streaming import runs
-from .oracle import with_views
+from .oracle import html_to_text_sql, with_views
 from .queries_eval import RUN_SUMMARY_SQL, STEP_TIME_SQL, SUMMARY_SQL, round_doubles, summary_df, _r
 from .queries_prep import QA_SQL_CTE, SPLIT_SQL_CTE, split_df
 from .registry import register
@@ -74,7 +74,7 @@ def write_roundtrip(spark, sf):
     return s
 
 
-@register("clean_html_parser")
+@register("clean_html_parser", f"select page_id, {html_to_text_sql('html')} as text from pages")
 def clean_html_parser(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_ops.html_to_text_parser(F.col("html")).alias("text"))
 
