@@ -5,7 +5,6 @@ from __future__ import annotations
 from ..functions.text import WORD_PATTERN
 from ..operators import metrics
 from ..sources import derived
-from .oracle import with_views
 from .queries_eval import round_doubles
 from .registry import register
 

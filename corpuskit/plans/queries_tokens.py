@@ -3,7 +3,6 @@ chat rendering (over the ``documents`` and ``conversations`` tables)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import tokens
 from ..sources.tables import table

@@ -46,3 +46,16 @@ def test_line_index_is_consecutive(spark):
     idx = files.with_line_index(df).collect()
     assert sorted(r.idx for r in idx) == list(range(1000))
     assert all(int(r.text) == r.idx for r in idx)
+
+
+def test_csv_to_parquet_and_samples_head(spark):
+    d = tempfile.mkdtemp(prefix="conv-")
+    q = spark.createDataFrame([(i, None, None, None, i, f"t{i}", f"<p>b\n{i}</p>") for i in range(20)],
+                              files.QUESTIONS_SCHEMA)
+    files.write_qa_csv(q, f"{d}/csv")
+    pq = files.csv_to_parquet(spark, f"{d}/csv", f"{d}/pq", files.QUESTIONS_SCHEMA)
+    assert pq.count() == 20 and pq.filter("Body = '<p>b\\n7</p>'").count() == 1
+    s = spark.createDataFrame([(i, f"p{i}", f"a{i}") for i in range(30)], "idx long, prompt string, answer string")
+    files.write_jsonl(s, f"{d}/jsonl")
+    head = files.read_samples(spark, f"{d}/jsonl", num_samples=5).collect()
+    assert [r.idx for r in head] == [0, 1, 2, 3, 4]
