@@ -66,3 +66,11 @@ def test_methods_present_missing(spark):
     s = spark.createDataFrame([("a", 1)], "method string, x int")
     assert [r.method for r in report.methods_present(conf, s).collect()] == ["a"]
     assert [r.method for r in report.methods_missing(conf, s).collect()] == ["b"]
+
+
+def test_p95_approx_option(spark):
+    s = _samples(spark, [("m", 1, float(x), 0.0, 0.0, 1.0, 0.1, 0.1, 0.1, 0.1) for x in range(1, 101)])
+    exact = report.report_summary(s).first().p95_latency_seconds
+    approx = report.report_summary(s, p95="approx").first().p95_latency_seconds
+    assert exact == pytest.approx(float(np.percentile(range(1, 101), 95)))
+    assert abs(approx - exact) <= 1.0

@@ -71,3 +71,16 @@ def test_nonfinite_norm_raises(spark):
     with pytest.raises(ValueError):
         vectors.global_norm_clip(df, error_if_nonfinite=True)
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_distill_shifted_labels(spark):
+    # with shift=True the label of position p is the label stored at p + 1
+    rows = [(0, 0, [2.0, 0.0, 0.0], [1.0, 1.0, 0.0], -100), (0, 1, [0.0, 0.0, 5.0], [0.0, 0.0, 1.0], 0),
+            (0, 2, [1.0, 1.0, 1.0], [1.0, 1.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, LOGITS)
+    shifted = vectors.distill_loss(df, 2.0, 0.5, shift=True).first()
+    aligned = vectors.distill_loss(spark.createDataFrame([(0, 0, [2.0, 0.0, 0.0], [1.0, 1.0, 0.0], 0),
+                                                          (0, 1, [0.0, 0.0, 5.0], [0.0, 0.0, 1.0], 2)], LOGITS),
+                                   2.0, 0.5).first()
+    assert shifted.valid_positions == 2
+    assert shifted.total_loss == pytest.approx(aligned.total_loss)
