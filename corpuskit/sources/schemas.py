@@ -1,0 +1,46 @@
+"""Explicit schemas of the record types the operators exchange (no schema
+inference on any path)."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+# Q&A pairs produced by preparation
+QA_PAIRS = T.StructType([
+    T.StructField("question_title", T.StringType()), T.StructField("question_body", T.StringType()),
+    T.StructField("question_score", T.IntegerType()), T.StructField("answer", T.StringType()),
+    T.StructField("answer_score", T.IntegerType())])
+
+# one evaluated sample (the long ``samples`` table; methods are a column)
+SAMPLE = T.StructType([
+    T.StructField("method", T.StringType()), T.StructField("sample_id", T.LongType()),
+    T.StructField("num_tokens", T.IntegerType()), T.StructField("latency", T.DoubleType()),
+    T.StructField("cpu_percent", T.DoubleType()), T.StructField("memory_percent", T.DoubleType()),
+    T.StructField("gpu_memory_mb", T.DoubleType()), T.StructField("rouge1_f1", T.DoubleType()),
+    T.StructField("rouge2_f1", T.DoubleType()), T.StructField("rougeL_f1", T.DoubleType()),
+    T.StructField("bleu_score", T.DoubleType())])
+
+# one training-step record (nullable GPU fields)
+STEP_METRICS = T.StructType([
+    T.StructField("run_id", T.LongType()), T.StructField("step", T.LongType()),
+    T.StructField("ts", T.TimestampType()), T.StructField("loss", T.DoubleType()),
+    T.StructField("step_time_ms", T.DoubleType()), T.StructField("cpu_percent", T.DoubleType()),
+    T.StructField("memory_gb", T.DoubleType()), T.StructField("gpu_memory_mb", T.DoubleType()),
+    T.StructField("gpu_utilization", T.DoubleType())])
+
+METHODS = ["qlora", "mixed_precision", "gradient_checkpointing", "prompt_tuning", "knowledge_distillation",
+           "zero3"]
+
+# result records with an open metadata map
+TRAINING_RESULT = T.StructType([
+    T.StructField("output_dir", T.StringType()), T.StructField("final_train_loss", T.DoubleType()),
+    T.StructField("final_eval_loss", T.DoubleType()), T.StructField("total_steps", T.IntegerType()),
+    T.StructField("total_tokens", T.LongType()), T.StructField("training_time_seconds", T.DoubleType()),
+    T.StructField("peak_gpu_memory_gb", T.DoubleType()), T.StructField("method", T.StringType()),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
+
+EVALUATION_RESULT = T.StructType([
+    T.StructField("method", T.StringType()), T.StructField("rouge1_f1", T.DoubleType()),
+    T.StructField("rouge2_f1", T.DoubleType()), T.StructField("rougeL_f1", T.DoubleType()),
+    T.StructField("bleu_score", T.DoubleType()), T.StructField("perplexity", T.DoubleType()),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])

@@ -1,0 +1,19 @@
+from pyspark.sql import functions as F
+
+from corpuskit.sources import schemas
+
+
+def test_training_result_round_trip(spark):
+    row = ("/out/qlora", 1.25, None, 100, 12800, 60.5, 2.4, "qlora", {"note": "x"})
+    df = spark.createDataFrame([row], schemas.TRAINING_RESULT)
+    r = df.first()
+    assert (r.method, r.total_steps, r.final_eval_loss, r.metadata["note"]) == ("qlora", 100, None, "x")
+    assert df.filter(F.col("method").isin(schemas.METHODS)).count() == 1
+
+
+def test_samples_schema_feeds_report(spark):
+    from corpuskit.operators import report
+
+    df = spark.createDataFrame([("m", 1, 10, 0.5, 1.0, 2.0, None, 0.2, 0.1, 0.15, 0.05)], schemas.SAMPLE)
+    r = report.report_summary(df).first()
+    assert r.avg_throughput_tokens_per_sec == 20.0 and r.avg_gpu_memory_mb == 0.0
