@@ -41,14 +41,41 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators assume (idempotent)."""
+    """Apply the runtime SQL settings the operators assume and ship this
+    package to the executors' Python workers (idempotent)."""
     for k, v in DEFAULT_CONF.items():
         if k.startswith("spark.sql.") and k != "spark.sql.execution.arrow.maxRecordsPerBatch":
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Zip the ``corpuskit`` sources and ``addPyFile`` them, so Python UDFs,
+    ``mapInPandas`` and streaming state functions import the package on
+    every executor, whatever the workers' own path is."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="corpuskit-py-"), "corpuskit.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
+
+
 _LOCAL_CHECKPOINT: dict[int, str] = {}
 
 
