@@ -40,18 +40,24 @@ def vocab(df: DataFrame, text: str, vocab_size: int = 32000) -> DataFrame:
     return specials.unionByName(ranked.select("token", "id", "count"))
 
 
+# Largest vocabulary broadcast by plan (rows); larger ones are joined as AQE decides.
+BROADCAST_VOCAB_ROWS = 2_000_000
+
+
 def encode(df: DataFrame, text: str, v: DataFrame, keys: list[str], max_length: int = 128,
-           pad_id: int = EOS) -> DataFrame:
+           pad_id: int = EOS, vocab_rows: int | None = None) -> DataFrame:
     """Token table keyed by ``keys``: ``input_ids``, ``attention_mask``,
     ``labels``, ``n_tokens`` (count before truncation).
 
     Tokens are truncated to ``max_length`` *before* they are exploded, looked
-    up in the vocabulary by a broadcast hash join (the vocabulary is bounded
-    by its size; unknown -> ``<unk>``), and regrouped per text: at most
+    up in the vocabulary (unknown -> ``<unk>``), and regrouped per text: at most
     ``max_length`` small rows per text cross the shuffle, never the text.
     Padding is ``pad_id`` (the end-of-sequence id, as the reference's
     tokenizer is configured); ``labels`` equal the ids where the mask is 1
-    and -100 on padding.
+    and -100 on padding.  ``vocab_rows`` is the vocabulary's proven size
+    bound (``vocab_size + 4`` for :func:`vocab` output): within
+    ``BROADCAST_VOCAB_ROWS`` the lookup is a broadcast hash join by plan;
+    without a bound AQE picks the join from measured sizes.
     """
     toks = tokenize(F.col(text))
     # tokenize once per row (sizes and the truncated array share it), then
@@ -59,7 +65,9 @@ def encode(df: DataFrame, text: str, v: DataFrame, keys: list[str], max_length:
     base = (df.select(*keys, toks.alias("__all"))
               .select(*keys, F.size("__all").alias("n_tokens"), F.slice("__all", 1, max_length).alias("__t"))
               .select(*keys, "n_tokens", F.posexplode_outer("__t").alias("__pos", "__tok")))
-    vb = F.broadcast(v.select(F.col("token").alias("__tok"), F.col("id").alias("__id")))
+    vb = v.select(F.col("token").alias("__tok"), F.col("id").alias("__id"))
+    if vocab_rows is not None and vocab_rows <= BROADCAST_VOCAB_ROWS:
+        vb = F.broadcast(vb)
     looked = base.join(vb, "__tok", "left")
     entry = F.when(F.col("__pos").isNotNull(),
                    F.struct(F.col("__pos"), F.coalesce(F.col("__id"), F.lit(UNK)).alias("id")))

@@ -44,7 +44,8 @@ def _vocab(spark, sf):
 
 def _encoded(spark, sf):
     docs = table(spark, sf, "documents")
-    return tokens.encode(docs, "text", _vocab(spark, sf), ["doc_id", "lang"], MAX_LEN)
+    return tokens.encode(docs, "text", _vocab(spark, sf), ["doc_id", "lang"], MAX_LEN,
+                         vocab_rows=VOCAB_SIZE + len(tokens.SPECIALS))
 
 
 @register("vocab", f"with vocab as ({VOCAB_CTE}) select * from vocab")

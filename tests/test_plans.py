@@ -49,7 +49,7 @@ def test_run_summary_is_one_aggregate_no_window(spark):
 
 def test_encode_joins_vocabulary_by_broadcast(spark):
     docs = table(spark, SF_SMALL, "documents")
-    plan = _executed(tokens.encode(docs, "text", tokens.vocab(docs, "text", 100), ["doc_id"]))
+    plan = _executed(tokens.encode(docs, "text", tokens.vocab(docs, "text", 100), ["doc_id"], vocab_rows=104))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
