@@ -2,16 +2,16 @@
 
 Rule being reproduced: every text node of the document, each stripped of
 surrounding whitespace, empty ones dropped, joined by one space; comments,
-doctype, ``<script>`` and ``<style>`` contribute no text; character
-references are decoded exactly once.
-
-Plan: protect ``&amp; &lt; &gt;`` (and their numeric forms) as private-use
-sentinels, decode every other reference, replace comments/script/style and
-then every tag by U+0001, collapse "whitespace, marker, whitespace/markers"
-runs into one space, trim, and finally turn the sentinels back into
-``& < >``.  Because ``<`` and ``>`` only come back at the very end, a decoded
+doctype, ``<script>``, ``<style>``, ``<template>`` and ruby annotations
+contribute no text; character references are decoded exactly once.
+
+Plan: decode every character reference in one left-to-right pass, turning
+``& < >`` into private-use sentinels; replace comments and no-text elements,
+then every tag, by U+0001; collapse "whitespace, marker, whitespace/markers"
+runs into one space; trim; finally turn the sentinels back into ``& < >``.
+Because ``<`` and ``>`` only come back at the very end, a decoded
 ``&lt;p&gt;`` is never mistaken for a tag, and ``&amp;lt;`` decodes to
-``&lt;`` (one pass), as an HTML parser does.
+``&lt;``, as an HTML parser does.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from .text import PY_SPACE
 
 MARK = "\u0001"
+
+# Elements whose content is not document text (scripts, style
+# sheets, templates, ruby annotations).
+NO_TEXT_ELEMENTS = ["script", "style", "template", "rt", "rp"]
 AMP_SENTINEL = "\ue000"
 LT_SENTINEL = "\ue001"
 GT_SENTINEL = "\ue002"
@@ -118,7 +122,7 @@ def html_to_text(col: Column) -> Column:
     s = decode_references(F.coalesce(col, F.lit("")))
     # markup that carries no text, then every remaining tag, become markers
     s = F.regexp_replace(
-        s, r"(?s)<!--.*?-->|(?is)<script\b[^>]*>.*?</script\s*>|(?is)<style\b[^>]*>.*?</style\s*>", MARK)
+        s, "(?s)<!--.*?-->|" + "|".join(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in NO_TEXT_ELEMENTS), MARK)
     s = F.regexp_replace(s, r"<[a-zA-Z/!?][^>]*>", MARK)
     # strip each text node, drop empty ones, join with one space
     s = F.regexp_replace(s, f"{_SP}*{MARK}[{PY_SPACE}{MARK}]*", " ")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.html import html_to_text
+from ..functions.html import NO_TEXT_ELEMENTS, html_to_text
 
 
 def clean_html(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -23,9 +23,9 @@ def clean_html(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 
 class _TextNodes(HTMLParser):
-    """Collects stripped, non-empty text nodes outside script/style."""
+    """Collects stripped, non-empty text nodes outside no-text elements."""
 
-    _SKIP = {"script", "style"}
+    _SKIP = set(NO_TEXT_ELEMENTS)
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

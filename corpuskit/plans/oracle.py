@@ -6,7 +6,7 @@ compares results with the Spark side.  Fragments here are SQL text only.
 
 from __future__ import annotations
 
-from ..functions.html import AMP_SENTINEL, GT_SENTINEL, LT_SENTINEL, NAMED_ENTITIES
+from ..functions.html import AMP_SENTINEL, GT_SENTINEL, LT_SENTINEL, NAMED_ENTITIES, NO_TEXT_ELEMENTS
 from ..functions.text import PY_SPACE, UNI_SPACE
 
 # Derived views, written as DuckDB SQL (must match corpuskit.sources.derived).
@@ -84,8 +84,8 @@ def html_to_text_sql(x: str) -> str:
             " 'DESC'), lambda z: substr(z, 3))")
     s = (f"list_reduce({refs}, lambda acc, m: replace(acc, m, "
          f"chr(cast(regexp_extract(m, '[0-9]+') as integer))), {s})")
-    s = (f"regexp_replace({s}, '(?s)<!--.*?-->|(?is)<script\\b[^>]*>.*?</script\\s*>"
-         f"|(?is)<style\\b[^>]*>.*?</style\\s*>', chr(1), 'g')")
+    blocks = "|".join(f"(?is)<{t}\\b[^>]*>.*?</{t}\\s*>" for t in NO_TEXT_ELEMENTS)
+    s = f"regexp_replace({s}, '(?s)<!--.*?-->|{blocks}', chr(1), 'g')"
     s = f"regexp_replace({s}, '<[a-zA-Z/!?][^>]*>', chr(1), 'g')"
     s = f"regexp_replace({s}, '[{PY_SPACE}]*\\x01[{PY_SPACE}\\x01]*', ' ', 'g')"
     s = f"regexp_replace({s}, '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g')"

@@ -23,6 +23,7 @@ CASES = [
     ("&amp;lt; &copy &#233; &#x3c;b&#62;", "&lt; © é <b>"),
     ("<p> a &nbsp;</p><p>&#32;b</p>", "a b"),
     ("<p>\t\n</p><p>x</p>", "x"),
+    ("<template><p>t</p></template>a<ruby>漢<rt>kan</rt></ruby>", "a 漢"),
     ("&unknown; &am &ampx", "&unknown; &am &x"),
 ]
 
