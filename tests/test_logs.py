@@ -48,3 +48,16 @@ def test_best_checkpoint(spark):
     df = _log(spark, [(1, s, T0, l, 1.0, None) for s, l in [(1, 0.5), (2, 0.3), (3, 0.3), (4, 0.4), (5, 0.6)]])
     got = {(r.step, r.is_best, r.is_recent) for r in logs.best_checkpoint(df, save_total_limit=2).collect()}
     assert got == {(2, True, False), (4, False, True), (5, False, True)}
+
+
+def test_step_times_without_exchange_reuse(spark):
+    """With exchange reuse off, the partitioned log is checkpointed once so
+    partition ids still come from a single shuffle."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        steps = derived.steps(spark, SF_MID)
+        a = logs.step_times(steps, num_partitions=13).select("run_id", "step", "step_time_ms")
+        b = logs.step_times_window(steps).select("run_id", "step", "step_time_ms")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
