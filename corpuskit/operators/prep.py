@@ -125,10 +125,11 @@ def split_preview(df: DataFrame, split_col: str = "split", chars: int = 300) ->
 def count_contract(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """One row ``(n_pred, n_ref, ok)``: prediction and reference counts must
     agree; and an empty corpus is flagged by ``n_ref = 0``."""
-    p = predictions.agg(F.count(F.lit(1)).alias("n_pred"))
-    r = references.agg(F.count(F.lit(1)).alias("n_ref"))
-    return (p.crossJoin(r)  # two one-row aggregates
-             .withColumn("ok", (F.col("n_pred") == F.col("n_ref")) & (F.col("n_ref") > 0)))
+    tags = (predictions.select(F.lit(1).alias("__p"), F.lit(0).alias("__r"))
+            .unionByName(references.select(F.lit(0).alias("__p"), F.lit(1).alias("__r"))))
+    counts = tags.agg(F.coalesce(F.sum("__p"), F.lit(0)).cast("long").alias("n_pred"),
+                      F.coalesce(F.sum("__r"), F.lit(0)).cast("long").alias("n_ref"))
+    return counts.withColumn("ok", (F.col("n_pred") == F.col("n_ref")) & (F.col("n_ref") > 0))
 
 
 def require_nonempty(df: DataFrame, message: str = "No Q&A pairs after filtering") -> DataFrame:

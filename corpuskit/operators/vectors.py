@@ -83,11 +83,9 @@ def distill_loss(logits: DataFrame, temperature: float = 2.0, alpha: float = 0.5
 
 def temperature_sweep(logits: DataFrame, temperatures: list[float] = (1.0, 2.0, 4.0),
                       alpha: float = 0.5) -> DataFrame:
-    """One row per temperature: KL (x T^2), CE, total loss.  The settings
-    table is a handful of rows, broadcast to every logits row."""
-    spark = logits.sparkSession
-    temps = spark.createDataFrame([(float(t),) for t in temperatures], "temperature double")
-    j = logits.crossJoin(F.broadcast(temps))
+    """One row per temperature: KL (x T^2), CE, total loss."""
+    # every logits row once per setting (a handful), no join needed
+    j = logits.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
     terms = distill_terms(j, F.col("temperature"))
     agg = terms.groupBy("temperature").agg(F.count(F.lit(1)).alias("valid_positions"),
                                            F.sum("kl").alias("__kl"), F.sum("ce").alias("__ce"))
