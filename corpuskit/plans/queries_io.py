@@ -49,10 +49,15 @@ def scan_samples(spark, sf):
     return files.read_samples(spark, path).select("prompt", "answer")
 
 
-@register("read_predictions")
+@register("read_predictions", """
+    select (row_number() over (order by conv_id, turn) - 1)::bigint as idx, text
+    from conversations where role = 'assistant'""")
 def read_predictions(spark, sf):
-    """Predictions as ``{"text": ...}`` JSON lines, numbered in read order."""
-    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select("text")
+    """Predictions written as ``{"text": ...}`` JSON lines in (conv_id, turn)
+    order (a distributed sort), then read back and numbered in read order
+    without a global window."""
+    c = (table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+         .orderBy("conv_id", "turn").select("text"))
     path = scratch_path(spark, "predictions-jsonl")
     c.write.mode("overwrite").json(path)
     return files.read_predictions(spark, path, "jsonl")

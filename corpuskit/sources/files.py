@@ -82,21 +82,30 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
 
 
 def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
-    """Consecutive 0-based row numbers in read order without a global sort
-    or single-partition window: count rows per input partition (one small
-    row each), turn the counts into offsets, and add each row's position
-    inside its partition.  File splits are deterministic, so the count pass
-    and the numbering pass see the same partitions."""
+    """Consecutive 0-based line numbers in file order (file path, then
+    position in the file) without a global sort or single-partition window.
+
+    Rows are tagged with their file, the start of the file split they were
+    read from, and their position in the task.  One small row per split
+    (count, first position) gets a running offset in (file, split start)
+    order, is broadcast (bounded by the number of splits), and every row's
+    number is its split's offset plus its position inside the split.  File
+    splits are deterministic, so both passes see the same splits.  ``df``
+    must be a file scan (optionally projected or filtered).
+    """
     from pyspark.sql import Window
 
-    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    return (tagged.join(F.broadcast(offsets), "__pid")  # one row per partition
-                  .withColumn(out, (F.col("__off") + F.col("__pos")).cast("long"))
-                  .drop("__pid", "__pos", "__off"))
+    tagged = (df.withColumn("__file", F.input_file_name())
+                .withColumn("__blk", F.input_file_block_start())
+                .withColumn("__pid", F.spark_partition_id())
+                .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    splits = tagged.groupBy("__pid", "__file", "__blk").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
+    offsets = splits.select("__pid", "__file", "__blk", "__first", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__file", "__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    return (tagged.join(F.broadcast(offsets), ["__pid", "__file", "__blk"])  # one row per split
+                  .withColumn(out, (F.col("__off") + F.col("__pos") - F.col("__first")).cast("long"))
+                  .drop("__pid", "__file", "__blk", "__pos", "__first", "__off"))
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:

@@ -41,11 +41,23 @@ def test_prediction_shapes(spark):
         assert got == list(enumerate(texts)), shape
 
 
-def test_line_index_is_consecutive(spark):
-    df = spark.range(0, 1000, numPartitions=7).selectExpr("cast(id as string) as text")
-    idx = files.with_line_index(df).collect()
-    assert sorted(r.idx for r in idx) == list(range(1000))
-    assert all(int(r.text) == r.idx for r in idx)
+def test_line_index_follows_file_order(spark):
+    d = tempfile.mkdtemp(prefix="lines-")
+    # files of very different sizes (the reader packs splits by size) and one
+    # file split into several blocks
+    n = 0
+    for i, count in enumerate([5, 3000, 40, 200000, 1]):
+        with open(f"{d}/part-{i:02d}.jsonl", "w") as f:
+            for _ in range(count):
+                f.write(json.dumps({"text": str(n)}) + "\n")
+                n += 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        got = files.read_predictions(spark, d, "jsonl").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == n
+    assert all(int(r.text) == r.idx for r in got)
 
 
 def test_csv_to_parquet_and_samples_head(spark):
