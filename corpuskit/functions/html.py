@@ -30,87 +30,121 @@ AMP_SENTINEL = "\ue000"
 LT_SENTINEL = "\ue001"
 GT_SENTINEL = "\ue002"
 
-# HTML named character references (name, character, whether
-# the legacy form without ``;`` is also recognised).  amp/lt/gt are handled
-# by the sentinels and not listed here.
-NAMED_ENTITIES = [
-    ("quot", '"', True), ("apos", "'", False), ("nbsp", "\u00a0", True),
-    ("copy", "©", True), ("reg", "®", True), ("middot", "·", True),
-    ("deg", "°", True), ("plusmn", "±", True), ("times", "×", True),
-    ("divide", "÷", True), ("laquo", "«", True), ("raquo", "»", True),
-    ("pound", "£", True), ("yen", "¥", True), ("cent", "¢", True),
-    ("sect", "§", True), ("para", "¶", True), ("iexcl", "¡", True),
-    ("iquest", "¿", True), ("eacute", "é", True), ("egrave", "è", True),
-    ("ecirc", "ê", True), ("agrave", "à", True), ("aacute", "á", True),
-    ("acirc", "â", True), ("ccedil", "ç", True), ("ouml", "ö", True),
-    ("uuml", "ü", True), ("auml", "ä", True), ("szlig", "ß", True),
-    ("ntilde", "ñ", True), ("oacute", "ó", True), ("iacute", "í", True),
-    ("uacute", "ú", True), ("Eacute", "É", True), ("Auml", "Ä", True),
-    ("Ouml", "Ö", True), ("Uuml", "Ü", True), ("ndash", "–", False),
-    ("mdash", "—", False), ("hellip", "…", False), ("lsquo", "‘", False),
-    ("rsquo", "’", False), ("ldquo", "“", False), ("rdquo", "”", False),
-    ("sbquo", "‚", False), ("bdquo", "„", False), ("bull", "•", False),
-    ("trade", "™", False), ("euro", "€", False), ("larr", "←", False),
-    ("rarr", "→", False), ("uarr", "↑", False), ("darr", "↓", False),
-    ("ensp", "\u2002", False), ("emsp", "\u2003", False), ("thinsp", "\u2009", False),
-    ("zwnj", "\u200c", False), ("zwj", "\u200d", False),
-]
+
+
+def _protect(text: str) -> str:
+    """Markup characters inside a decoded value become sentinels."""
+    return text.replace("&", AMP_SENTINEL).replace("<", LT_SENTINEL).replace(">", GT_SENTINEL)
+
+
+def named_references() -> tuple[dict[str, str], list[str], list[str]]:
+    """The HTML5 named character references, from Python's standard library
+    table: (name -> decoded text with markup characters as sentinels,
+    names that need ``;``, legacy names that may omit it)."""
+    from html.entities import html5
+
+    values: dict[str, str] = {}
+    legacy: set[str] = set()
+    for key, val in html5.items():
+        name = key[:-1] if key.endswith(";") else key
+        values[name] = _protect(val)
+        if not key.endswith(";"):
+            legacy.add(name)
+    strict = sorted((n for n in values if n not in legacy), key=lambda n: (-len(n), n))
+    return values, strict, sorted(legacy, key=lambda n: (-len(n), n))
+
+
+def c1_replacements() -> dict[int, str]:
+    """Numeric references 0x80-0x9F decode as their windows-1252 character
+    (the C1 control itself where that code page has none)."""
+    out = {}
+    for cp in range(0x80, 0xA0):
+        try:
+            out[cp] = bytes([cp]).decode("cp1252")
+        except UnicodeDecodeError:
+            out[cp] = chr(cp)
+    return out
+
 
 _SP = f"[{PY_SPACE}]"
 
-# The three references whose characters are markup decode to sentinels.
-_MARKUP_REFS = [("amp", AMP_SENTINEL), ("lt", LT_SENTINEL), ("gt", GT_SENTINEL)]
+def _json_map(d: dict) -> Column:
+    import json
 
+    return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
-def _reference_regex() -> str:
-    """What may follow an ``&`` to form a reference we decode (longest names
-    first; legacy names also without ``;``)."""
-    legacy = sorted([n for n, _, lg in NAMED_ENTITIES if lg] + [n for n, _ in _MARKUP_REFS],
-                    key=len, reverse=True)
-    strict = sorted([n for n, _, lg in NAMED_ENTITIES if not lg], key=len, reverse=True)
-    return (f"(?:{'|'.join(strict)});|(?:{'|'.join(legacy)});?"
-            f"|#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?")
 
+def _reference_maps() -> tuple[Column, Column]:
+    """(names usable with ``;``, legacy names usable without it) -> text."""
+    values, _, legacy = named_references()
+    return _json_map(values), _json_map({n: values[n] for n in legacy})
 
-def _named_map() -> Column:
-    pairs = [(n, c) for n, c, _ in NAMED_ENTITIES] + _MARKUP_REFS
-    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+LEGACY_MAX = 6  # longest legacy (semicolon-free) reference name
 
 
 def _codepoint_char(cp: Column) -> Column:
-    """One character for a code point; ``& < >`` become sentinels and an
-    invalid or NUL code point becomes U+FFFD."""
-    valid = (cp > 0) & (cp <= 0x10FFFF) & ~((cp >= 0xD800) & (cp <= 0xDFFF))
+    """One numeric reference's text, as an HTML parser decodes it: NUL and
+    out-of-range or surrogate code points give U+FFFD, 0x80-0x9F give their
+    windows-1252 character, CR stays CR, other control and non-character
+    code points give nothing; ``& < >`` become sentinels."""
+    import json
+
+    c1 = F.from_json(F.lit(json.dumps({str(k): v for k, v in c1_replacements().items()})), "map<string,string>")
+    noncharacter = (((cp >= 0x1) & (cp <= 0x8)) | (cp == 0xB) | ((cp >= 0xE) & (cp <= 0x1F)) | (cp == 0x7F)
+                    | ((cp >= 0xFDD0) & (cp <= 0xFDEF)) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
     as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
     return (F.when(cp == 38, F.lit(AMP_SENTINEL)).when(cp == 60, F.lit(LT_SENTINEL))
-            .when(cp == 62, F.lit(GT_SENTINEL)).when(valid, as_char)
-            .otherwise(F.lit("\ufffd")))
+            .when(cp == 62, F.lit(GT_SENTINEL))
+            .when((cp == 0) | (cp > 0x10FFFF) | ((cp >= 0xD800) & (cp <= 0xDFFF)), F.lit("\ufffd"))
+            .when((cp >= 0x80) & (cp <= 0x9F), F.element_at(c1, cp.cast("string")))
+            .when(noncharacter, F.lit(""))
+            .otherwise(as_char))
 
 
-def _decode_reference(body: Column) -> Column:
-    """Decode one reference given without its ``&`` (``;`` optional)."""
-    body = F.regexp_replace(body, ";$", "")
+def _decode_numeric(ref: Column) -> Column:
+    """Text of a numeric reference ``#NNN`` / ``#xHH`` (``;`` optional)."""
+    body = F.regexp_replace(ref, ";$", "")
     is_hex = body.startswith("#x") | body.startswith("#X")
-    is_dec = body.startswith("#") & ~is_hex
-    cp = (F.when(is_hex, F.conv(F.substring(body, 3, 16), 16, 10).cast("long"))
-          .when(is_dec, F.substring(body, 2, 16).cast("long")))
-    return F.when(body.startswith("#"), _codepoint_char(cp)).otherwise(
-        F.element_at(_named_map(), body))
+    digits = F.regexp_replace(F.regexp_extract(body, "[0-9a-fA-F]+$", 0), "^0+", "")
+    # more digits than any code point has: out of range (no overflow)
+    too_long = F.length(digits) > F.when(is_hex, 6).otherwise(7)
+    value = F.when(digits == "", F.lit(0).cast("long")).when(
+        is_hex, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+    return _codepoint_char(F.when(too_long, F.lit(0x110000).cast("long")).otherwise(value))
 
 
 def decode_references(s: Column) -> Column:
     """Decode character references in one left-to-right pass, linear in
-    the text: split at ``&``; a piece that starts with a known reference has
-    it decoded, any other piece gets its ``&`` back.  Each ``&`` is looked
-    at once, so ``&amp;lt;`` decodes to ``&lt;``.  Rows without ``&`` skip
-    the work entirely."""
-    head = f"^(?:{_reference_regex()})"
+    the text.
+
+    Split at ``&``; for each following piece: a numeric reference at its
+    start is decoded; otherwise its leading name is looked up (with ``;``
+    in the full table, without ``;`` among the legacy names), and failing
+    that the longest legacy name that prefixes it; any other piece gets its
+    ``&`` back.  Each ``&`` is looked at once, so ``&amp;lt;`` decodes to
+    ``&lt;``.  Rows without ``&`` skip the work entirely.
+    """
+    full, legacy = _reference_maps()
     parts = F.split(s, "&")
 
+    def rest(p: Column, n: Column) -> Column:
+        return F.substring(p, n + 1, 1 << 30)
+
     def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, head, 0)
-        return F.when(ref == "", F.concat(F.lit("&"), p)).otherwise(
-            F.concat(_decode_reference(ref), F.substring(p, F.length(ref) + 1, 1 << 30)))
+        num = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        cand = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
+        name = F.regexp_replace(cand, ";$", "")
+        res = (F.when(num != "", F.concat(_decode_numeric(num), rest(p, F.length(num))))
+                .when(cand.endswith(";") & F.element_at(full, name).isNotNull(),
+                      F.concat(F.element_at(full, name), rest(p, F.length(cand))))
+                .when(F.element_at(legacy, name).isNotNull(),
+                      F.concat(F.element_at(legacy, name), rest(p, F.length(name)))))
+        for k in range(LEGACY_MAX, 1, -1):  # longest legacy prefix
+            pre = F.substring(name, 1, k)
+            res = res.when((F.length(name) > k) & F.element_at(legacy, pre).isNotNull(),
+                           F.concat(F.element_at(legacy, pre), rest(p, F.lit(k))))
+        return res.otherwise(F.concat(F.lit("&"), p))
 
     decoded = F.concat(F.element_at(parts, 1),
                        F.array_join(F.transform(F.slice(parts, 2, 1 << 30), piece), ""))

@@ -6,7 +6,7 @@ compares results with the Spark side.  Fragments here are SQL text only.
 
 from __future__ import annotations
 
-from ..functions.html import AMP_SENTINEL, GT_SENTINEL, LT_SENTINEL, NAMED_ENTITIES, NO_TEXT_ELEMENTS
+from ..functions.html import AMP_SENTINEL, GT_SENTINEL, LT_SENTINEL, NO_TEXT_ELEMENTS
 from ..functions.text import PY_SPACE, UNI_SPACE
 
 # Derived views, written as DuckDB SQL (must match corpuskit.sources.derived).
@@ -68,22 +68,54 @@ def unicode_trim_sql(x: str, space_class: str = UNI_SPACE) -> str:
     return f"regexp_replace({x}, '^[{space_class}]+|[{space_class}]+$', '', 'g')"
 
 
+def _decode_references_sql(s: str) -> str:
+    """Character references decoded in one pass: split at ``&``; decode a
+    numeric reference, a full name with ``;``, a legacy name, or the
+    longest legacy prefix at the start of each piece (DuckDB list lambdas)."""
+    import json
+
+    from ..functions.html import LEGACY_MAX, c1_replacements, named_references
+
+    values, _, legacy = named_references()
+    full = f"cast(json({_lit(json.dumps(values))}) as map(varchar, varchar))"
+    leg = f"cast(json({_lit(json.dumps({n: values[n] for n in legacy}))}) as map(varchar, varchar))"
+    c1 = f"cast(json({_lit(json.dumps({str(k): v for k, v in c1_replacements().items()}))}) as map(varchar, varchar))"
+    # pr = [piece, numeric match, name candidate (with optional ;), name]
+    body = "regexp_replace(pr[2], ';$', '')"
+    is_hex = f"(starts_with({body}, '#x') or starts_with({body}, '#X'))"
+    digits = f"ltrim(regexp_extract({body}, '[0-9a-fA-F]+$'), '0')"
+    cp = (f"(case when length({digits}) > (case when {is_hex} then 6 else 7 end) then 1114112 "
+          f"when {digits} = '' then 0 "
+          f"when {is_hex} then ('0x' || {digits})::bigint else {digits}::bigint end)")
+    num = (f"(case when {cp} = 38 then {_lit(AMP_SENTINEL)} when {cp} = 60 then {_lit(LT_SENTINEL)} "
+           f"when {cp} = 62 then {_lit(GT_SENTINEL)} "
+           f"when {cp} = 0 or {cp} > 1114111 or ({cp} >= 55296 and {cp} <= 57343) then chr(65533) "
+           f"when {cp} >= 128 and {cp} <= 159 then map_extract_value({c1}, {cp}::varchar) "
+           f"when ({cp} between 1 and 8) or {cp} = 11 or ({cp} between 14 and 31) or {cp} = 127 "
+           f"or ({cp} between 64976 and 65007) or ({cp} & 65534) = 65534 then '' "
+           f"else chr({cp}::integer) end)")
+    prefix = " ".join(
+        f"when length(pr[4]) > {k} and map_extract_value({leg}, left(pr[4], {k})) is not null "
+        f"then map_extract_value({leg}, left(pr[4], {k})) || substr(pr[1], {k + 1})"
+        for k in range(LEGACY_MAX, 1, -1))
+    dec = (f"case when pr[2] <> '' then {num} || substr(pr[1], length(pr[2]) + 1) "
+           f"when ends_with(pr[3], ';') and map_extract_value({full}, pr[4]) is not null "
+           f"then map_extract_value({full}, pr[4]) || substr(pr[1], length(pr[3]) + 1) "
+           f"when map_extract_value({leg}, pr[4]) is not null "
+           f"then map_extract_value({leg}, pr[4]) || substr(pr[1], length(pr[4]) + 1) "
+           f"{prefix} else '&' || pr[1] end")
+    tagged = ("list_transform((string_split({s}, '&'))[2:], lambda p: [p, "
+              "regexp_extract(p, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?'), "
+              "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;?'), "
+              "regexp_replace(regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;?'), ';$', '')])").replace("{s}", s)
+    pieces = f"list_transform({tagged}, lambda pr: {dec})"
+    return (f"(case when instr({s}, '&') > 0 then (string_split({s}, '&'))[1] || array_to_string({pieces}, '') "
+            f"else {s} end)")
+
+
 def html_to_text_sql(x: str) -> str:
-    """The HTML text rule restated as DuckDB (RE2) regex steps."""
-    s = f"coalesce({x}, '')"
-    for names, dec, hx, sent in ((r"&amp;?", "38", "26", AMP_SENTINEL),
-                                 (r"&lt;?", "60", "3[cC]", LT_SENTINEL),
-                                 (r"&gt;?", "62", "3[eE]", GT_SENTINEL)):
-        s = f"regexp_replace({s}, '{names}|&#0*{dec};|&#[xX]0*{hx};', {_lit(sent)}, 'g')"
-        s = f"regexp_replace({s}, '&#0*{dec}([^0-9;]|$)', {_lit(sent)} || '\\1', 'g')"
-    for name, ch, legacy in sorted(NAMED_ENTITIES, key=lambda e: -len(e[0])):
-        pat = f"&{name};?" if legacy else f"&{name};"
-        s = f"regexp_replace({s}, '{pat}', {_lit(ch)}, 'g')"
-    refs = ("list_transform(list_sort(list_distinct(list_transform("
-            f"regexp_extract_all({s}, '&#[0-9]{{1,7}};?'), lambda m: lpad(length(m)::varchar, 2, '0') || m)),"
-            " 'DESC'), lambda z: substr(z, 3))")
-    s = (f"list_reduce({refs}, lambda acc, m: replace(acc, m, "
-         f"chr(cast(regexp_extract(m, '[0-9]+') as integer))), {s})")
+    """The HTML text rule restated as DuckDB (RE2) regex and list steps."""
+    s = _decode_references_sql(f"coalesce({x}, '')")
     blocks = "|".join(f"(?is)<{t}\\b[^>]*>.*?</{t}\\s*>" for t in NO_TEXT_ELEMENTS)
     s = f"regexp_replace({s}, '(?s)<!--.*?-->|{blocks}', chr(1), 'g')"
     s = f"regexp_replace({s}, '<[a-zA-Z/!?][^>]*>', chr(1), 'g')"

@@ -25,6 +25,8 @@ CASES = [
     ("<p>\t\n</p><p>x</p>", "x"),
     ("<template><p>t</p></template>a<ruby>漢<rt>kan</rt></ruby>", "a 漢"),
     ("&unknown; &am &ampx", "&unknown; &am &x"),
+    ("&notin; &notit; &alpha; &nvlt;b", "\u2209 \u00acit; \u03b1 <\u20d2b"),
+    ("&#150;&#0;&#x110000;&#00000000065;&#1;x&#xD800;", "\u2013\ufffd\ufffdAx\ufffd"),
 ]
 
 
