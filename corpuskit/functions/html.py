@@ -16,6 +16,8 @@ Because ``<`` and ``>`` only come back at the very end, a decoded
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,12 +33,12 @@ LT_SENTINEL = "\ue001"
 GT_SENTINEL = "\ue002"
 
 
-
 def _protect(text: str) -> str:
     """Markup characters inside a decoded value become sentinels."""
     return text.replace("&", AMP_SENTINEL).replace("<", LT_SENTINEL).replace(">", GT_SENTINEL)
 
 
+@lru_cache(maxsize=1)
 def named_references() -> tuple[dict[str, str], list[str], list[str]]:
     """The HTML5 named character references, from Python's standard library
     table: (name -> decoded text with markup characters as sentinels,
@@ -68,6 +70,7 @@ def c1_replacements() -> dict[int, str]:
 
 _SP = f"[{PY_SPACE}]"
 
+
 def _json_map(d: dict) -> Column:
     import json
 
