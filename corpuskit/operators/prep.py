@@ -155,3 +155,26 @@ def clean_stats(df: DataFrame, raw_col: str, clean_col: str, min_chars: int) ->
                  F.count_if(F.col("after") <= min_chars).alias("rows_dropped"),
                  F.coalesce(F.sum("before"), F.lit(0)).alias("chars_before"),
                  F.coalesce(F.sum("after"), F.lit(0)).alias("chars_after")))
+
+
+def pairing_stats(questions: DataFrame, answers: DataFrame, *, min_answer_chars: int = 50,
+                  min_body_chars: int = 10) -> DataFrame:
+    """Cleaning statistics of the pairing stage in one aggregate: joined
+    pairs, rows each length predicate drops, rows kept, and characters of
+    answers and question bodies before and after cleaning."""
+    q = questions.select(F.col("Id").alias("q_id"), F.col("Body").alias("q_body"))
+    a = answers.select(F.col("ParentId").alias("a_parent"), F.col("Body").alias("a_body"))
+    j = a.join(q, F.col("a_parent") == F.col("q_id"), "inner").select(
+        "a_body", "q_body", html_to_text(F.col("a_body")).alias("answer"),
+        html_to_text(F.col("q_body")).alias("body"))
+    short_answer = F.length("answer") <= min_answer_chars
+    short_body = F.length("body") <= min_body_chars
+    return j.agg(
+        F.count(F.lit(1)).alias("pairs_in"),
+        F.count_if(short_answer).alias("dropped_short_answer"),
+        F.count_if(short_body).alias("dropped_short_body"),
+        F.count_if(~short_answer & ~short_body).alias("pairs_out"),
+        F.coalesce(F.sum(F.length("a_body")), F.lit(0)).cast("long").alias("answer_chars_before"),
+        F.coalesce(F.sum(F.length("answer")), F.lit(0)).cast("long").alias("answer_chars_after"),
+        F.coalesce(F.sum(F.length("q_body")), F.lit(0)).cast("long").alias("body_chars_before"),
+        F.coalesce(F.sum(F.length("body")), F.lit(0)).cast("long").alias("body_chars_after"))

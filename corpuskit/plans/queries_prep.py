@@ -183,3 +183,23 @@ def prepared_top200(spark, sf):
 
     return prepare_corpus(derived.questions(spark, sf), derived.answers(spark, sf), min_score=5,
                           max_samples=TOP_N, test_size=TEST, val_size=VAL, seed=SEED)
+
+
+@register("pairing_stats", with_views(f"""
+    select count(*) as pairs_in,
+           count_if(length(answer) <= 50)::bigint as dropped_short_answer,
+           count_if(length(body) <= 10)::bigint as dropped_short_body,
+           count_if(length(answer) > 50 and length(body) > 10)::bigint as pairs_out,
+           coalesce(sum(length(a_body)), 0)::bigint as answer_chars_before,
+           coalesce(sum(length(answer)), 0)::bigint as answer_chars_after,
+           coalesce(sum(length(q_body)), 0)::bigint as body_chars_before,
+           coalesce(sum(length(body)), 0)::bigint as body_chars_after
+    from (select a.Body as a_body, q.Body as q_body, {html_to_text_sql('a.Body')} as answer,
+                 {html_to_text_sql('q.Body')} as body
+          from answers a join questions q on a.ParentId = q.Id
+          where a.Score > 5 and q.Score > 5)""", "questions", "answers"))
+def pairing_stats(spark, sf):
+    """Cleaning statistics of the pairing stage (both length predicates)."""
+    q = prep.score_filter(derived.questions(spark, sf), 5)
+    a = prep.score_filter(derived.answers(spark, sf), 5)
+    return prep.pairing_stats(q, a)
