@@ -94,3 +94,34 @@ def batches(spark, sf):
     from conversations group by conv_id""")
 def render_chat(spark, sf):
     return tokens.render_chat(table(spark, sf, "conversations"))
+
+
+def _split_token_stats_sql() -> str:
+    from .oracle import with_views
+    from .queries_prep import QA_SQL_CTE, SPLIT_SQL_CTE
+
+    text = ("'<bos>Question: ' || question_title || chr(10) || question_body || chr(10) || 'Answer: ' "
+            "|| answer || '<eos>'")
+    return with_views(f"""
+        select split, count(*) as rows, sum(least(n, {MAX_LEN}))::bigint as total_tokens,
+               round(avg(least(n, {MAX_LEN})), 6) as mean_tokens,
+               count(*) filter (where n > {MAX_LEN}) as truncated_rows
+        from (select split, len(regexp_extract_all({text}, '{tokens.TOKEN_PATTERN}')) as n from sp)
+        group by split""", "questions", "answers", extra={"qa": QA_SQL_CTE, "sp": SPLIT_SQL_CTE})
+
+
+@register("split_token_stats", _split_token_stats_sql())
+def split_token_stats(spark, sf):
+    """Training texts of the prepared corpus: vocabulary learned on the
+    train split, every split encoded, token statistics per split."""
+    from pyspark.sql import functions as F
+
+    from ..operators import prep
+    from .queries_prep import split_df
+
+    corpus = prep.render_training(split_df(spark, sf))
+    corpus = corpus.withColumn("pair_key", F.md5(F.concat_ws("\u0001", "question_title", "answer")))
+    v = tokens.vocab(corpus.filter(F.col("split") == "train"), "text", VOCAB_SIZE)
+    enc = tokens.encode(corpus, "text", v, ["pair_key", "split"], MAX_LEN,
+                        vocab_rows=VOCAB_SIZE + len(tokens.SPECIALS))
+    return round_doubles(tokens.token_stats(enc, "split", MAX_LEN))
