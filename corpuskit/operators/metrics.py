@@ -183,12 +183,20 @@ def per_sample_scores(pairs: DataFrame, stemmer=None) -> DataFrame:
     return ngram.join(rouge_l(pairs, stemmer), "pair_id")
 
 
-def evaluate_responses(pairs: DataFrame, stemmer=None) -> DataFrame:
-    """Corpus means of the four scores and ``num_samples`` (one row)."""
+def evaluate_responses(pairs: DataFrame, stemmer=None, references: DataFrame | None = None) -> DataFrame:
+    """Corpus means of the four scores over the scored pairs (one row).
+
+    ``num_samples`` counts the references (all of ``references`` when given,
+    so references without a hypothesis still count, as in the reference's
+    report), ``num_scored`` the pairs actually scored."""
     s = per_sample_scores(pairs, stemmer)
-    return s.agg(F.avg("rouge1_f1").alias("rouge1_f1"), F.avg("rouge2_f1").alias("rouge2_f1"),
-                 F.avg("rougeL_f1").alias("rougeL_f1"), F.avg("bleu").alias("bleu_score"),
-                 F.count(F.lit(1)).alias("num_samples"))
+    means = s.agg(F.avg("rouge1_f1").alias("rouge1_f1"), F.avg("rouge2_f1").alias("rouge2_f1"),
+                  F.avg("rougeL_f1").alias("rougeL_f1"), F.avg("bleu").alias("bleu_score"),
+                  F.count(F.lit(1)).alias("num_scored"))
+    if references is None:
+        return means.withColumn("num_samples", F.col("num_scored"))
+    n_ref = references.agg(F.count(F.lit(1)).alias("num_samples"))
+    return means.crossJoin(n_ref)  # two one-row aggregates
 
 
 def porter_stemmer(tok: DataFrame) -> DataFrame:

@@ -103,4 +103,9 @@ def per_sample_scores(spark, sf):
 
 @register("evaluate_responses")
 def evaluate_responses(spark, sf):
-    return round_doubles(metrics.evaluate_responses(derived.score_pairs(spark, sf)))
+    """Means over the scored pairs; ``num_samples`` counts every reference
+    turn, including those without a hypothesis (no next conversation turn)."""
+    from ..sources.tables import table
+
+    refs = table(spark, sf, "conversations").select("conv_id", "turn")
+    return round_doubles(metrics.evaluate_responses(derived.score_pairs(spark, sf), references=refs))

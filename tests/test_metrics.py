@@ -90,5 +90,7 @@ def test_stemmed_rouge(spark):
 def test_evaluate_responses_counts(spark):
     df = spark.createDataFrame([(1, "a b", "a b"), (2, "c d", "e f")], SCHEMA)
     row = metrics.evaluate_responses(df).first()
-    assert row.num_samples == 2
+    assert row.num_samples == 2 and row.num_scored == 2
+    refs = spark.range(5)
+    assert metrics.evaluate_responses(df, references=refs).first().num_samples == 5
     assert row.rouge1_f1 == pytest.approx(0.5)
