@@ -38,3 +38,12 @@ def test_hash_split_is_stable(spark):
     b = split.hash_split(_titles(spark, 300)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert {r.split for r in a} == {"train", "test", "val"}
+
+
+def test_hash_split_fractions_and_grouping(spark):
+    df = _titles(spark, 20000, dup=1).unionByName(_titles(spark, 100, dup=3))
+    out = split.hash_split(df)
+    per = {r.split: r.c for r in out.groupBy("split").agg(F.count_distinct("question_title").alias("c")).collect()}
+    n = sum(per.values())
+    assert abs(per["train"] / n - 0.80) < 0.02 and abs(per["test"] / n - 0.14) < 0.02
+    assert split.split_leakage(out).count() == 0
