@@ -47,3 +47,15 @@ def test_hash_split_fractions_and_grouping(spark):
     n = sum(per.values())
     assert abs(per["train"] / n - 0.80) < 0.02 and abs(per["test"] / n - 0.14) < 0.02
     assert split.split_leakage(out).count() == 0
+
+
+def test_grouped_split_with_hot_title(spark):
+    """One title holds a third of all rows: its rows stay together and the
+    title counts once in the sizes."""
+    rows = [(f"title {i}", f"a{i}") for i in range(400)] + [("hot title", f"h{j}") for j in range(200)]
+    df = spark.createDataFrame(rows, "question_title string, answer string")
+    out = split.grouped_split(df)
+    hot = {r.split for r in out.filter(F.col("question_title") == "hot title").select("split").collect()}
+    assert len(hot) == 1 and out.count() == 600
+    per = {r.split: r.c for r in out.groupBy("split").agg(F.count_distinct("question_title").alias("c")).collect()}
+    assert (per["train"], per["test"], per["val"]) == split.split_sizes(401)
