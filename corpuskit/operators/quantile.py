@@ -13,6 +13,10 @@ bounded by ``accuracy`` entries.  The result equals NumPy's / DuckDB
 Three passes over the input: (1) counts and the sketch, together with any
 other aggregates the caller wants per group; (2) counts below/at the bracket
 ends plus the small-group exact percentile; (3) the rows inside the bracket.
+
+The sketch holds on the order of ``accuracy`` entries per group and task,
+which suits few large groups (methods); for very many groups lower
+``accuracy`` (more groups then take the bounded exact path).
 """
 
 from __future__ import annotations
