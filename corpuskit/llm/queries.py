@@ -39,10 +39,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.decontaminate import decontaminate
+
+    judged = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
+    "op6_decontaminate": op6_decontaminate,
 }
 
 SQL: dict[str, str] = {
@@ -65,5 +73,31 @@ best as (
           where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)) as r
   from split)
 select page_id, host, path, r.rule as rule, coalesce(r.verdict, 'allow') as verdict from best
+""",
+    "op6_decontaminate": r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+b as (
+  select item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+bl as (select item_id, w, least(13, len(w)) as n from b where len(w) > 0),
+bs as (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as s from bl),
+bw as (select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as words from bs),
+lens as (select distinct n from bw),
+ds as (select rid, w, n, unnest(range(1, len(w) - n + 2)) as s from d, lens where len(w) >= n),
+hit as (
+  select rid, s, n, words from (select rid, s, n, array_to_string(w[s:s + n - 1], ' ') as words from ds)
+  where words in (select words from bw)),
+cover as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s + n)) as p from hit) group by rid),
+items as (
+  select rid, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+  from hit join bw using (words) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join cover using (rid) left join items using (rid)
 """,
 }
