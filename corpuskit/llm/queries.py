@@ -46,11 +46,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op6_decontaminate": op6_decontaminate,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 SQL: dict[str, str] = {
