@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import in_slices
+from corpuskit.llm.common import in_bitmap, in_slices, key_bitmap
 from corpuskit.llm.textwords import ALNUM, Words, grams, window_minima
 from corpuskit.session import materialize
 
@@ -77,7 +77,6 @@ def _items(batches, window: int):
 
 
 def _scan(batches, bitmap, lengths: list[int]):
-    bits = np.frombuffer(bitmap.value, np.uint8)
     row = TaskContext.get().partitionId() << 36
     kind = pa.list_(pa.struct([("print", pa.int64()), ("n", pa.int32()), ("at", pa.int64()), ("count", pa.int32()), ("words", pa.string())]))
     for batch in in_slices(batches, "text"):
@@ -86,8 +85,7 @@ def _scan(batches, bitmap, lengths: list[int]):
         hits: list[list] = [[] for _ in range(batch.num_rows)]
         for n in lengths:
             start, place, value = _prints(words, hashes, n)
-            slot = (value & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-            held = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            held = np.flatnonzero(in_bitmap(bitmap.value, value))
             # neighbouring windows with one gram as fingerprint make one hit
             start, place, value = start[held], place[held], value[held]
             text = np.searchsorted(words.first, start, "right") - 1
@@ -110,13 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     prints = items.select(F.explode("prints").alias("print")).distinct()
     lengths = sorted(r["n"] for r in owned.select("n").distinct().collect())
 
-    slot = F.col("print").bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1  # the bitmap functions count from 1
-    chunks = prints.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    bitmap = bytearray(BITMAP_BITS // 8)
-    for r in chunks:  # at most BITMAP_BITS / 32768 of them
-        at = (r["b"] - 1) * 4096
-        bitmap[at:at + 4096] = r["bits"]
-    bitmap = spark.sparkContext.broadcast(bytes(bitmap))
+    bitmap = spark.sparkContext.broadcast(key_bitmap(prints, "print", BITMAP_BITS))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialize(texts.mapInArrow(functools.partial(_scan, bitmap=bitmap, lengths=lengths), SCAN), "doc-prints")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import in_slices
+from corpuskit.llm.common import in_bitmap, in_slices, key_bitmap
 from corpuskit.llm.components import components
 from corpuskit.llm.textwords import WHITE, Words, grams, mix
 from corpuskit.session import materialize
@@ -106,10 +106,9 @@ def _sign(batches, k: int):
 def _full_sets(batches, k: int, bitmap):
     import xxhash
 
-    bits, seen = np.frombuffer(bitmap.value, np.uint8), set()
+    seen = set()
     for batch in in_slices(batches, "text"):
-        slot = batch.column("need_key").to_numpy() & (len(bits) * 8 - 1)
-        batch = batch.filter(pa.array(((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)))
+        batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column("need_key").to_numpy())))
         if not batch.num_rows:
             continue
         values, off = _sets(Words(batch.column("text"), WHITE), k)
@@ -142,15 +141,6 @@ def _likely_pairs(members: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 
-def _bitmap(keys: DataFrame, bits: int) -> bytes:
-    """Bits of ``need_key`` modulo ``bits``: at most bits / 32768 rows come here."""
-    slot = F.col("need_key").bitwiseAND(F.lit(bits - 1)) + 1
-    out = bytearray(bits // 8)
-    for r in keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toLocalIterator():
-        out[(r["b"] - 1) * 4096:r["b"] * 4096] = r["bits"]
-    return bytes(out)
-
-
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, text_key (xxhash64 of the text), n_shingles,
     component_id, links (confirmed links of its class), kept (doc_id =
@@ -173,7 +163,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     shared = materialize(members.select("node").distinct(), "shared-nodes")
 
     need = signed.join(shared, signed["row"] == shared["node"], "left_semi").select(F.xxhash64("doc_id", "text_key").alias("need_key"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(need, BITMAP_BITS))
+    bitmap = spark.sparkContext.broadcast(key_bitmap(need, "need_key", BITMAP_BITS))
     keyed = texts.select("text", F.xxhash64("doc_id", "text_key").alias("need_key"))
     sets = keyed.mapInArrow(functools.partial(_full_sets, k=k, bitmap=bitmap), "digest binary, shingles array<long>")
     sets = materialize(sets.join(classes.select("digest", "node"), "digest").join(shared, "node", "left_semi").select("node", "shingles"), "sets")

@@ -46,6 +46,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.substrings import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.neardup import near_duplicates
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substrings": op7_substrings,
     "op8_near_duplicates": op8_near_duplicates,
 }
 
