@@ -26,6 +26,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.tokenfiles import read_token_files, write_token_files
 
@@ -59,13 +66,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.linededup import dedup_lines
+
+    deduped = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", F.col("lines_seen").alias("n_lines"), F.col("lines_gone").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op6_decontaminate": op6_decontaminate,
     "op7_substrings": op7_substrings,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -114,5 +130,68 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join cover using (rid) left join items using (rid)
+""",
+    "op3_quality": r"""
+with d as (
+  select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l
+  from documents),
+g as (select rid, i, w[i:i + 2] as t from (select rid, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
+g2 as (select rid, i, count(*) over (partition by rid, t) as c from g),
+r as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 3)) as p from g2 where c > 1) group by rid),
+m as (
+  select rid, doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, len(l) as n_lines,
+         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+  from d left join r using (rid)),
+v as (
+  select *, case when n_words > 0 then 1000 * n_symbols // n_words end as v1, case when n_words > 0 then 1000 * n_dup_lines // n_lines end as v2,
+         case when n_words > 0 then 1000 * n_repeat_words // n_words end as v3, case when n_words > 0 then 100 * word_chars // n_words end as v4
+  from m),
+x as (
+  select lang, source, metric, (val >> greatest(0, length(bin(val)) - 10)) << greatest(0, length(bin(val)) - 10) as bucket
+  from (select lang, source, unnest([{'m': 1, 'v': v1}, {'m': 2, 'v': v2}, {'m': 3, 'v': v3}, {'m': 4, 'v': v4}]) as p from v where n_words > 0),
+       lateral (select p.m as metric, p.v as val)),
+q0 as (select lang, source, metric, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50 from x group by all),
+q1 as (select lang, metric, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50 from x group by all),
+q2 as (select metric, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50 from x group by all),
+q as (
+  select q0.lang, q0.source, q0.metric,
+         case when q0.n >= 200 then q0.q25 when q1.n >= 200 then q1.q25 else q2.q25 end as q25,
+         case when q0.n >= 200 then q0.q50 when q1.n >= 200 then q1.q50 else q2.q50 end as q50
+  from q0 join q1 on q0.lang is not distinct from q1.lang and q0.metric = q1.metric join q2 on q0.metric = q2.metric),
+lim as (
+  select lang, source, metric, q50 - greatest([100, 500, 400, 400][metric], 12 * (q50 - q25)) as low,
+         q50 + greatest([100, 500, 400, 400][metric], 12 * (q50 - q25)) as high
+  from q),
+p as (
+  select lang, source, max(case metric when 1 then high end) as h1, max(case metric when 2 then high end) as h2,
+         max(case metric when 3 then high end) as h3, max(case metric when 4 then high end) as h4, max(case metric when 4 then low end) as l4
+  from lim group by all),
+j as (
+  select v.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+         coalesce(v1 <= h1 and v2 <= h2 and v3 <= h3 and v4 <= h4 and v4 >= l4, false) as within
+  from v left join p on v.lang is not distinct from p.lang and v.source is not distinct from p.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and within as kept from j
+""",
+    "op10_line_dedup": r"""
+with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as l from documents),
+e as (
+  select rid, doc_id, len(l) as n, unnest(range(1, len(l) + 1)) as i, l,
+         list_transform(l, lambda x: len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) as c
+  from d where text is not null),
+w as (
+  select rid, doc_id, n, i as pos, (select min(k) from range(1, 9) t(k) where k = 8 or list_sum(c[i:i + k - 1]) >= 50) as len, l from e
+  union
+  select rid, doc_id, n, i - k + 1 as pos, k as len, l
+  from (select *, (select min(k) from range(1, 9) t(k) where k = 8 or (i - k >= 0 and list_sum(c[i - k + 1:i]) >= 50)) as k from e)),
+s as (select rid, doc_id, pos, len, array_to_string(l[pos:pos + len - 1], chr(10)) as body from w where pos >= 1 and pos + len - 1 <= n),
+f as (select *, row_number() over (partition by len, body order by doc_id nulls first, rid, pos) as nth from s),
+gone as (select distinct rid, unnest(range(pos, pos + len)) as i from f where nth > 1),
+g as (select rid, list(i) as gone from gone group by rid)
+select doc_id, coalesce(len(l), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(case when gone is null then text else array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(gone, i)), lambda i: l[i]), chr(10)) end) as text_sha256
+from d left join g using (rid)
 """,
 }
