@@ -26,6 +26,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = train(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), ["doc_id", "held_out"], model)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.quality import judge
 
@@ -75,6 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
