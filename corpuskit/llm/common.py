@@ -31,6 +31,11 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH
             at += part.num_rows
 
 
+def named(columns: list[str]) -> list:
+    """Columns by their plain names, whatever characters those hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ BITMAP_BITS = 1 << 24  # 2 MB, whatever the benchmark's size
 SPAN = np.uint64(0x9E3779B97F4A7C15)  # keeps fingerprints of different window lengths apart
 
 ITEM = "item_id string, windows array<struct<n: int, words: string>>, prints array<long>"
-SCAN = "row long, doc_id long, n_words long, hits array<struct<print: long, n: int, at: long, count: int, words: string>>"
+SCAN = "row long, doc_id long, text_key long, n_words long, hits array<struct<print: long, n: int, at: long, count: int, words: string>>"
 
 
 def _prints(words: Words, hashes: np.ndarray, length: int):
@@ -93,12 +93,13 @@ def _scan(batches, bitmap, lengths: list[int]):
             for a, b in zip(head.tolist(), [*head[1:].tolist(), len(start)]):
                 s, t = int(start[a]), int(text[a])
                 hits[t].append({"print": int(value[a:a + 1].view(np.int64)[0]), "n": n, "at": s - int(words.first[t]), "count": b - a, "words": words.text(s, s + b - a - 1 + n)})
-        yield pa.record_batch([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(hits, kind)], names=["row", "doc_id", "n_words", "hits"])
+        yield pa.record_batch([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(words.first)), pa.array(hits, kind)], names=["row", "doc_id", "text_key", "n_words", "hits"])
         row += batch.num_rows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per document: row (a number of its own), doc_id, n_words, n_hit (words
+    """Per document: row (a number of its own), doc_id, text_key (xxhash64 of the
+    text), n_words, n_hit (words
     inside an occurrence of a benchmark window), items (sorted ids, as strings)
     and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     spark = docs.sparkSession
@@ -110,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     bitmap = spark.sparkContext.broadcast(key_bitmap(prints, "print", BITMAP_BITS))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     scanned = materialize(texts.mapInArrow(functools.partial(_scan, bitmap=bitmap, lengths=lengths), SCAN), "doc-prints")
     hits = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(prints, "print", "left_semi")
     spread = hits.select("row", "n", F.split("words", " ").alias("w"), "at", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("i"))
@@ -124,5 +125,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     covered = found.groupBy("row").agg(covered.alias("n_hit"))
     named = found.select("row", "words").distinct().join(owned, "words").select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return (scanned.select("row", "doc_id", "n_words").join(covered.join(named, "row"), "row", "left")
-            .select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")))
+    return (scanned.select("row", "doc_id", "text_key", "n_words").join(covered.join(named, "row"), "row", "left")
+            .select("row", "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")))

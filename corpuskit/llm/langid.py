@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import in_slices
+from corpuskit.llm.common import in_slices, named
 from corpuskit.llm.encoding import utf8
 from corpuskit.session import materialize
 
@@ -127,6 +127,6 @@ def identify(docs: DataFrame, carry: list[str], model: tuple[list[str], np.ndarr
     """The carried columns with lang_pred and score (0 to 1)."""
     names, table, fill = model
     shared = docs.sparkSession.sparkContext.broadcast((table, fill))
-    picked = docs.select(*carry, F.col("text"))
+    picked = docs.select(*named(carry), F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text")
     return picked.mapInArrow(functools.partial(_predict, names=names, shared=shared), f"{schema}, lang_pred string, score double")

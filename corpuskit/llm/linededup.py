@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.common import named
 from corpuskit.session import materialize
 
 MIN_WORDS, MAX_LINES = 50, 8
@@ -86,5 +87,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MA
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     rest = F.element_at(F.transform(F.array(lines), lambda arr: F.array_join(F.transform(left, lambda i: F.get(arr, i)), "\n")), 1)
-    return joined.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+    return joined.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else x for c, x in zip(docs.columns, named(docs.columns))],
                          F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("lines_gone"))

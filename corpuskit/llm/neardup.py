@@ -146,8 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     component_id, links (confirmed links of its class), kept (doc_id =
     component_id) and first (one row of each component)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
     signed = materialize(texts.mapInArrow(functools.partial(_sign, k=k), SIGNED), "signatures")
 
     # the least document of each class stands for it; its row is the class's node

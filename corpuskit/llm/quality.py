@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.llm.common import named
 from corpuskit.session import materialize
 
 # metric: smallest distance of the limit from the median (in the metric's unit)
@@ -56,7 +57,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     word), n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    step = docs.select(F.struct(*carry).alias("doc"), "lang", "source", words_of(F.col("text")).alias("_w"), lines.alias("_l"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast(_LONG).alias("n_symbols"))
+    step = docs.select(F.struct(*named(carry)).alias("doc"), "lang", "source", words_of(F.col("text")).alias("_w"), lines.alias("_l"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast(_LONG).alias("n_symbols"))
     step = step.select("doc", "lang", "source", "n_symbols", "_w", F.size("_w").cast(_LONG).alias("n_words"), F.length(F.concat_ws("", "_w")).cast(_LONG).alias("word_chars"),
                        F.size("_l").cast(_LONG).alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast(_LONG).alias("n_dup_lines"))
     at = F.sequence(F.lit(0), F.size("_w") - 3)

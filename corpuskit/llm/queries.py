@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.pii import KINDS, detect, of_kind, told
+
+    found = detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [F.size(F.filter("base", functools.partial(of_kind, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc.doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.concat("base", "added")).alias("spans"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.linededup import dedup_lines
 
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_substrings": op7_substrings,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
 }
 
