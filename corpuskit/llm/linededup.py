@@ -81,11 +81,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int =
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
     """All columns of ``docs`` with the text without its later repeats, and
     ``lines_seen`` and ``lines_gone``."""
-    gone = repeated_lines(docs, min_words, max_lines).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    joined = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    lines = F.split("text", "\n")
+    gone = repeated_lines(docs, min_words, max_lines).withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+    # the columns travel in one struct, so their names meet no other
+    whole = docs.select(F.struct(*named(docs.columns)).alias("doc"))
+    text = F.col("doc.text")
+    joined = whole.join(gone, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key")), "left")
+    lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     rest = F.element_at(F.transform(F.array(lines), lambda arr: F.array_join(F.transform(left, lambda i: F.get(arr, i)), "\n")), 1)
-    return joined.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else x for c, x in zip(docs.columns, named(docs.columns))],
+    kept = F.when(F.col("gone").isNull(), text).otherwise(rest)
+    return joined.select(*[(kept if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns],
                          F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("lines_gone"))

@@ -67,7 +67,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _metrics() -> dict[str, Column]:
-    per = lambda a, unit, b: F.expr(f"({unit} * {a}) div {b}")
+    per = lambda a, unit, b: F.expr(f"({unit} * {a}) div nullif({b}, 0)")
     return {"symbol_pm": per("n_symbols", 1000, "n_words"), "dup_line_pm": per("n_dup_lines", 1000, "n_lines"),
             "repeat_pm": per("n_repeat_words", 1000, "n_words"), "word_len_pc": per("word_chars", 100, "n_words")}
 
