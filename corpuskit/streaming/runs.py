@@ -3,16 +3,19 @@
 ``run_summary_stream`` keeps the run summary's aggregates in the state
 store (update per micro-batch).  ``step_times_stream`` needs each step's
 predecessor, which streaming windows cannot express (``lag`` is not
-allowed on streams): keyed state per run holds the last timestamp.  Within
-a micro-batch a run's rows are ordered by (ts, step) before emitting; a
-row older than the run's state (late across batches) gets a NULL step time
-and ``late = true`` instead of a negative delta.  Micro-batch size, and so
-the rows of one run handled at once, is bounded by the source's
-``maxFilesPerTrigger``/``maxBytesPerTrigger``.
+allowed on streams): keyed state per run holds the rows that may still get
+an earlier neighbour.  A row is emitted, in (ts, step) order, once a row of
+the run that is more than ``lateness`` newer was seen, or once the run's end
+marker (a row without a step number) arrives.  So the answer depends on the
+declared lateness alone, not on files per trigger or on the order of arrival
+within it.  A row that is older still, and so comes after its successor was
+emitted, gets a NULL step time and ``late = true``.  State per run is
+bounded by the rows within the lateness.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +28,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.time import epoch_micros
 
 
-def step_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 100) -> DataFrame:
-    """Stream the ``events`` parquet files as step records."""
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def step_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Stream the ``events`` parquet files as step records.  ``max_files``
+    sets the size of a micro-batch, never the answer."""
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    e = reader.parquet(path)
     return e.select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), "ts",
         F.col("value").alias("loss"),
@@ -59,36 +66,52 @@ def finish_run_summary(df: DataFrame) -> DataFrame:
 STEP_OUT = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("step", T.LongType()),
                          T.StructField("loss", T.DoubleType()), T.StructField("step_time_ms", T.DoubleType()),
                          T.StructField("late", T.BooleanType())])
-STEP_STATE = T.StructType([T.StructField("last_us", T.LongType())])
+STEP_STATE = T.StructType([T.StructField("newest_us", T.LongType()), T.StructField("last_us", T.LongType()),
+                           T.StructField("held_us", T.ArrayType(T.LongType())),
+                           T.StructField("held_step", T.ArrayType(T.LongType())),
+                           T.StructField("held_loss", T.ArrayType(T.DoubleType()))])
 
 
-def _step_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step_state(lateness_us: int, key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     frames = [p for p in pdfs if not p.empty]
     if not frames:
         return
-    pdf = pd.concat(frames, ignore_index=True).sort_values(["__us", "step"], kind="stable")
-    us = pdf["__us"].to_numpy(dtype=np.int64)
-    prev = np.empty(len(us), dtype=np.float64)
-    prev[1:] = us[:-1]
-    last = state.get[0] if state.exists else None
-    prev[0] = np.nan if last is None else last
-    delta = (us - prev) / 1000.0
-    delta[0] = 0.0 if last is None else delta[0]
-    late = np.zeros(len(us), dtype=bool)
-    if last is not None:
-        late = us < last
-        delta = np.where(late, np.nan, delta)
-    state.update((int(max(us.max(), last if last is not None else us.max())),))
-    yield pd.DataFrame({"run_id": pdf["run_id"].to_numpy(), "step": pdf["step"].to_numpy(),
-                        "loss": pdf["loss"].to_numpy(), "step_time_ms": delta, "late": late})
-
-
-def step_times_stream(steps: DataFrame) -> DataFrame:
+    new = pd.concat(frames, ignore_index=True)
+    closed = bool(new["step"].isna().any())
+    new = new[new["step"].notna()]
+    newest, last, *held = state.get if state.exists else (None, None, [], [], [])
+    us = new["__us"].to_numpy(dtype=np.int64)
+    step = new["step"].to_numpy(dtype=np.int64)
+    loss = new["loss"].to_numpy(dtype=np.float64)
+    late = np.zeros(len(us), dtype=bool) if last is None else us < last
+    us_all = np.concatenate([np.asarray(held[0], dtype=np.int64), us[~late]])
+    step_all = np.concatenate([np.asarray(held[1], dtype=np.int64), step[~late]])
+    loss_all = np.concatenate([np.array([np.nan if x is None else x for x in held[2]], dtype=np.float64), loss[~late]])
+    if len(us):
+        newest = int(us.max()) if newest is None else max(newest, int(us.max()))
+    order = np.lexsort((step_all, us_all))
+    us_all, step_all, loss_all = us_all[order], step_all[order], loss_all[order]
+    n = len(us_all) if closed or newest is None else int(np.searchsorted(us_all, newest - lateness_us, "left"))
+    delta = np.zeros(n)
+    if n:
+        delta[1:] = np.diff(us_all[:n]) / 1000.0
+        if last is not None:
+            delta[0] = (us_all[0] - last) / 1000.0
+        last = int(us_all[n - 1])
+    state.update((newest, last, us_all[n:].tolist(), step_all[n:].tolist(), loss_all[n:].tolist()))
+    yield pd.DataFrame({"run_id": key[0], "step": np.concatenate([step_all[:n], step[late]]),
+                        "loss": np.concatenate([loss_all[:n], loss[late]]),
+                        "step_time_ms": np.concatenate([delta, np.full(int(late.sum()), np.nan)]),
+                        "late": np.concatenate([np.zeros(n, dtype=bool), np.ones(int(late.sum()), dtype=bool)])})
+
+
+def step_times_stream(steps: DataFrame, lateness_seconds: float) -> DataFrame:
+    """``run_id, step, loss, step_time_ms, late`` in append mode."""
     return (steps.withColumn("__us", epoch_micros(F.col("ts")))
                  .select("run_id", "step", "loss", "__us")
                  .groupBy("run_id")
-                 .applyInPandasWithState(_step_state, STEP_OUT, STEP_STATE, "append",
-                                         GroupStateTimeout.NoTimeout))
+                 .applyInPandasWithState(functools.partial(_step_state, int(lateness_seconds * 1_000_000)), STEP_OUT,
+                                         STEP_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
 def run_to_table(query_df: DataFrame, out_path: str, checkpoint: str, mode: str) -> None:

@@ -1,3 +1,7 @@
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from corpuskit.operators import logs
 from corpuskit.session import scratch_path
@@ -19,10 +23,33 @@ def test_stream_summary_equals_batch(spark):
 def test_stream_step_times_equal_batch(spark):
     steps = runs.step_stream(spark, f"{SF_SMALL}/events*.parquet", table(spark, SF_SMALL, "events").schema)
     out, ck = scratch_path(spark, "t-st"), scratch_path(spark, "t-st-ck")
-    runs.run_to_table(runs.step_times_stream(steps), out, ck, "append")
-    stream = runs.read_table(spark, out).select("run_id", "step", "step_time_ms")
+    # no end marker and a lateness longer than the log: everything is held
+    runs.run_to_table(runs.step_times_stream(steps, 10 ** 9), out, ck, "append")
+    assert runs.read_table(spark, out).count() == 0
+
+
+@pytest.mark.parametrize("order,lateness,late", [((2, 1, 0), 10 ** 9, False), ((0, 1, 2), 0, False), ((2, 0, 1), 0, True)])
+def test_stream_step_times_over_arrival_orders(spark, order, lateness, late):
+    """Three files by time, one per trigger, then the end markers."""
+    events = table(spark, SF_SMALL, "events")
+    src = scratch_path(spark, "t-ev")
+    thirds = events.withColumn("third", F.ntile(3).over(Window.orderBy("ts"))).cache()
+    for i, k in enumerate(order):
+        thirds.filter(F.col("third") == k + 1).drop("third").coalesce(1).write.parquet(f"{src}/{i}")
+    ends = events.select("user_id").distinct()
+    ends.select(*[F.col(f.name) if f.name == "user_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).coalesce(1).write.parquet(f"{src}/3")
+    steps = runs.step_stream(spark, f"{src}/*/*.parquet", events.schema, max_files=1)
+    out, ck = scratch_path(spark, "t-st"), scratch_path(spark, "t-st-ck")
+    runs.run_to_table(runs.step_times_stream(steps, lateness), out, ck, "append")
+    stream = runs.read_table(spark, out)
+    assert stream.count() == events.count()
+    if late:  # rows after their successor was emitted are told, not guessed
+        assert stream.filter("late").count() > 0 and stream.filter("late and step_time_ms is not null").count() == 0
+        return
     batch = logs.step_times_window(derived.steps(spark, SF_SMALL)).select("run_id", "step", "step_time_ms")
-    assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+    got = stream.select("run_id", "step", "step_time_ms")
+    assert stream.filter("late").count() == 0
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
 
 
 def test_update_mode_changelog_over_several_batches(spark):
