@@ -2,80 +2,36 @@
 
 ``step_times`` needs each row's predecessor within its run.  A window
 partitioned by run would put a whole run into one task, and one run may
-hold a large share of a log.  Instead the log is range-partitioned on
-(run, ts, step), which splits a long run across tasks; each task computes
-deltas locally (Arrow batches, vectorised), and the first row of each task
-takes its predecessor from the previous non-empty task's last row: a table
-with one row per partition, broadcast by plan.
+hold a large share of a log.  Instead the window is partitioned by run and
+time bucket, which splits a long run across tasks; the first row of a bucket
+takes its predecessor from the last time of the run's previous bucket, a
+table with one row per (run, bucket).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.time import epoch_micros
 
 
-def _local_deltas(run: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    prev_run, prev_us, first = None, None, True
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        runs = pdf[run].to_numpy()
-        us = pdf["__us"].to_numpy(dtype=np.int64)
-        prun = np.empty(len(pdf), dtype=object)
-        pus = np.zeros(len(pdf), dtype=np.int64)
-        prun[1:], pus[1:] = runs[:-1], us[:-1]
-        prun[0], pus[0] = prev_run, (prev_us if prev_us is not None else 0)
-        same = prun == runs
-        delta = np.where(same, (us - pus) / 1000.0, 0.0)
-        head = np.zeros(len(pdf), dtype=bool)
-        if first:
-            head[0] = True
-            first = False
-        prev_run, prev_us = runs[-1], int(us[-1])
-        yield pdf.assign(step_time_ms=delta, __head=head)
-
-
 def step_times(steps: DataFrame, run: str = "run_id", ts: str = "ts", step: str = "step",
-               num_partitions: int | None = None) -> DataFrame:
+               bucket_seconds: int = 3600) -> DataFrame:
     """Milliseconds since the previous step of the same run (ordered by
     ``ts`` then ``step``); the first step of a run is 0.0."""
-    spark = steps.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (steps.withColumn("__us", epoch_micros(F.col(ts)))
-                 .repartitionByRange(n, F.col(run), F.col(ts), F.col(step))
-                 .withColumn("__pid", F.spark_partition_id()))
-    if spark.conf.get("spark.sql.exchange.reuse", "true") != "true":
-        # partition ids must come from one shuffle; without exchange reuse,
-        # materialise it once in the shared checkpoint folder
-        base = base.checkpoint(eager=True)
-    # Last row of every non-empty partition, and the one before it.  The
-    # aggregate reads every column of ``base`` so its input plan equals the
-    # main branch's and the range exchange is reused: one shuffle, one set
-    # of partition ids.  The table has one row per partition.
-    last = F.max_by(F.struct(*[F.col(c) for c in base.columns]),
-                    F.struct(F.col(run), F.col("__us"), F.col(step)))
-    tails = base.groupBy("__pid").agg(last.alias("__l")).select(
-        "__pid", F.struct(F.col(f"__l.{run}").alias("r"), F.col("__l.__us").alias("u")).alias("__last"))
-    prev = tails.select("__pid", F.lag("__last").over(Window.orderBy("__pid")).alias("__prev"))
-
-    schema = T.StructType(base.schema.fields + [T.StructField("step_time_ms", T.DoubleType()),
-                                                T.StructField("__head", T.BooleanType())])
-    local = (base.sortWithinPartitions(run, ts, step)
-                 .mapInPandas(lambda it: _local_deltas(run, it), schema))
-    fixed = local.join(F.broadcast(prev), "__pid", "left").withColumn(
-        "step_time_ms",
-        F.when(~F.col("__head"), F.col("step_time_ms"))
-         .when(F.col("__prev.r") == F.col(run), (F.col("__us") - F.col("__prev.u")) / 1000.0)
-         .otherwise(F.lit(0.0)))
-    return fixed.drop("__us", "__pid", "__head", "__prev")
+    us = epoch_micros(F.col(ts))
+    base = steps.withColumn("__us", us).withColumn("__bucket", F.floor(F.col("__us") / (bucket_seconds * 1_000_000)))
+    inside = Window.partitionBy(run, "__bucket").orderBy("__us", step)
+    local = base.withColumn("__prev", F.lag("__us").over(inside))
+    # last time of every (run, bucket), moved on to the run's next bucket
+    tails = base.groupBy(run, "__bucket").agg(F.max("__us").alias("__last"))
+    moved = tails.select(F.col(run).alias("__run"), F.col("__bucket").alias("__b"),
+                         F.lag("__last").over(Window.partitionBy(run).orderBy("__bucket")).alias("__before"))
+    joined = local.join(moved, F.col(run).eqNullSafe(F.col("__run")) & (F.col("__bucket") == F.col("__b")), "left")
+    delta = (F.col("__us") - F.coalesce("__prev", "__before")) / 1000.0
+    return joined.withColumn("step_time_ms", F.coalesce(delta, F.lit(0.0))) \
+                 .drop("__us", "__bucket", "__prev", "__run", "__b", "__before")
 
 
 def step_times_window(steps: DataFrame, run: str = "run_id", ts: str = "ts",
@@ -106,12 +62,12 @@ def run_summary(steps: DataFrame, run: str = "run_id", ts: str = "ts", step: str
 
 def best_checkpoint(steps: DataFrame, run: str = "run_id", metric: str = "loss", step: str = "step",
                     greater_is_better: bool = False, save_total_limit: int = 2) -> DataFrame:
-    """Checkpoints kept per run: the best by ``metric`` (ties: earliest step)
-    and the newest ``save_total_limit``.  The best is a partial aggregate;
+    """Checkpoints kept per run: the best by ``metric`` (ties: earliest step;
+    a step without the metric is never the best) and the newest ``save_total_limit``.  The best is a partial aggregate;
     the newest-k filter plans as a window group limit, which keeps at most k
     rows per run in every task before the shuffle."""
     m = F.col(metric)
-    best = steps.groupBy(run).agg(
+    best = steps.filter(m.isNotNull()).groupBy(run).agg(
         F.min_by(F.struct(F.col(step).alias("step"), m.alias("metric")),
                  F.struct((-m if greater_is_better else m), F.col(step))).alias("b"))
     best = best.select(run, F.col("b.step").alias(step), F.col("b.metric").alias(metric),

@@ -2,21 +2,16 @@
 
 Spark's exact ``percentile`` merges a map of every distinct value of a group
 into one task, which does not survive a group holding a large share of the
-rows.  Here an approximate sketch (bounded size) first brackets the target
-rank, then only the rows strictly inside the bracket are ranked exactly; the
-rows equal to either bracket end are counted, not ranked.  Groups with at
-most ``accuracy`` values (where the sketch's rank error is not below the
-bracket margin) use Spark's exact ``percentile``, whose per-group map is then
-bounded by ``accuracy`` entries.  The result equals NumPy's / DuckDB
-``quantile_cont`` value.
+rows.  Here the two order statistics are found by narrowing: each round counts
+the rows of the current value range in ``BUCKETS`` equal parts (a partial,
+map-side combined aggregate), keeps the part that holds the wanted rank, and
+takes that part's least and greatest value as the next range.  A range whose
+ends are equal is the answer.  Every group takes the same path, whatever its
+size; no row is sorted or gathered, and the table of ranges has two rows per
+group, joined by broadcast once its size was checked.  The result equals
+NumPy's / DuckDB ``quantile_cont`` value.
 
-Three passes over the input: (1) counts and the sketch, together with any
-other aggregates the caller wants per group; (2) counts below/at the bracket
-ends plus the small-group exact percentile; (3) the rows inside the bracket.
-
-The sketch holds on the order of ``accuracy`` entries per group and task,
-which suits few large groups (methods); for very many groups lower
-``accuracy`` (more groups then take the bounded exact path).
+Values are expected to be finite; NULL and NaN are left out.
 """
 
 from __future__ import annotations
@@ -24,70 +19,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+BUCKETS = 4096
+MAX_ROUNDS = 100          # a round divides the range by BUCKETS; doubles need far fewer
+BROADCAST_GROUPS = 50_000
+
 
 def exact_percentile(df: DataFrame, group_cols: list[str], value: str, p: float,
-                     out: str = "percentile", accuracy: int = 100_000,
-                     extra_aggs: list[Column] = ()) -> DataFrame:
+                     out: str = "percentile", extra_aggs: list[Column] = ()) -> DataFrame:
     """One row per group: ``group_cols..., *extra_aggs, out`` (``out`` NULL
-    when the group has no non-NULL value)."""
+    when the group has no value).  Raises if a rank is not found."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be within [0, 1]")
-    margin = 4.0 / accuracy
-    lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
     v = F.col(value).cast("double")
-
-    # pass 1: per group count and a bracket [lb, ub] around the target rank
-    stats = df.groupBy(*group_cols).agg(
-        *extra_aggs,
-        F.count(v).alias("__n"),
-        F.percentile_approx(v, F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias("__b"),
-        F.min(v).alias("__min"), F.max(v).alias("__max"))
-    stats = (stats.withColumn("__lb", F.when(F.lit(lo_p) <= 0.0, F.col("__min")).otherwise(F.col("__b")[0]))
-                  .withColumn("__ub", F.when(F.lit(hi_p) >= 1.0, F.col("__max")).otherwise(F.col("__b")[1]))
-                  .drop("__b", "__min", "__max"))
-    bounds = stats.select(*group_cols, "__n", "__lb", "__ub")
-
-    vals = df.select(*group_cols, v.alias("__v")).filter(F.col("__v").isNotNull())
-    joined = vals.join(bounds, group_cols)
-    small = F.col("__n") <= accuracy
-    big = ~small
-
-    # pass 2: positions of the bracket ends; exact percentile of small groups
-    counts = joined.groupBy(*group_cols).agg(
-        F.percentile(F.when(small, F.col("__v")), F.lit(p)).alias("__small"),
-        F.count_if(big & (F.col("__v") < F.col("__lb"))).alias("__below"),
-        F.count_if(big & (F.col("__v") == F.col("__lb"))).alias("__eq_lb"),
-        F.count_if(big & (F.col("__v") == F.col("__ub")) & (F.col("__ub") != F.col("__lb"))).alias("__eq_ub"),
-        F.count_if(big & (F.col("__v") > F.col("__lb")) & (F.col("__v") < F.col("__ub"))).alias("__inside"))
-
-    # pass 3: the rows strictly inside the bracket, ranked per group
-    # (about 2 * margin * n rows per group)
-    inside = (joined.filter(big & (F.col("__v") > F.col("__lb")) & (F.col("__v") < F.col("__ub")))
-              .select(*group_cols, "__v")
-              .withColumn("__r", F.row_number().over(Window.partitionBy(*group_cols).orderBy("__v")) - 1))
-
-    st = stats.join(counts, group_cols, "left")
+    v = F.when(~F.isnan(v), v)
+    stats = materialize(df.groupBy(*group_cols).agg(
+        *extra_aggs, F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max")), "percentile-groups")
     h = (F.col("__n") - 1) * F.lit(p)
-    st = (st.withColumn("__i", F.floor(h).cast("long"))
-            .withColumn("__frac", h - F.floor(h))
-            .withColumn("__j", F.least(F.col("__i") + 1, F.col("__n") - 1)))
-
-    def value_at(k: str) -> Column:
-        # value of rank k in the order: [< lb] [= lb]* [inside, ranked] [= ub]* [> ub]
-        rel = F.col(k) - F.col("__below")
-        return (F.when(rel < 0, F.lit(None))
-                 .when(rel < F.col("__eq_lb"), F.col("__lb"))
-                 .when(rel < F.col("__eq_lb") + F.col("__inside"),
-                       F.when(F.col("__r") == rel - F.col("__eq_lb"), F.col("__v")))
-                 .when(rel < F.col("__eq_lb") + F.col("__inside") + F.col("__eq_ub"), F.col("__ub")))
-
-    picked = st.join(inside, group_cols, "left")
-    keep = [c for c in st.columns if c not in group_cols]
-    res = picked.groupBy(*group_cols).agg(
-        *[F.first(c).alias(c) for c in keep],
-        F.first(value_at("__i"), ignorenulls=True).alias("__xi"),
-        F.first(value_at("__j"), ignorenulls=True).alias("__xj"))
-    exact = F.col("__xi") + F.col("__frac") * (F.col("__xj") - F.col("__xi"))
-    result = F.when(F.col("__n") == 0, F.lit(None)).when(F.col("__n") <= accuracy, F.col("__small")).otherwise(exact)
+    want = stats.filter(F.col("__n") > 0).select(
+        *group_cols, F.explode(F.array(F.lit(0), F.lit(1))).alias("__k"), "__n", "__min", "__max", F.floor(h).cast("long").alias("__i"))
+    # (group, which of the two ranks): rank within the range [lo, hi]
+    ranges = materialize(want.select(*group_cols, "__k", F.least(F.col("__i") + F.col("__k"), F.col("__n") - 1).alias("__rank"),
+                                     F.col("__min").alias("__lo"), F.col("__max").alias("__hi")), "percentile-ranges")
+    few = ranges.count() <= BROADCAST_GROUPS
+    vals = df.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)], v.alias("__v")).filter(F.col("__v").isNotNull())
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group_cols)]
+    for _ in range(MAX_ROUNDS):
+        unsettled = ranges.filter(F.col("__lo") < F.col("__hi"))
+        if unsettled.isEmpty():
+            break
+        side = F.broadcast(unsettled) if few else unsettled
+        inside = vals.join(side, [*same, F.col("__v").between(F.col("__lo"), F.col("__hi"))] if same else F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        share = (F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)  # halves: no overflow
+        part = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        counted = inside.groupBy(*group_cols, "__k", "__rank", part.alias("__part")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        before = F.coalesce(F.sum("__c").over(Window.partitionBy(*group_cols, "__k").orderBy("__part")
+                                              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hit = counted.withColumn("__before", before).filter(
+            (F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__c")))
+        narrowed = hit.select(*group_cols, "__k", (F.col("__rank") - F.col("__before")).alias("__rank"), "__lo", "__hi")
+        settled = ranges.filter(F.col("__lo") >= F.col("__hi"))
+        ranges = materialize(settled.unionByName(narrowed), "percentile-ranges")
+    else:
+        raise RuntimeError("a percentile was not found; are all values finite?")
+    ends = ranges.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)]).agg(
+        F.max(F.when(F.col("__k") == 0, F.col("__lo"))).alias("__xi"), F.max(F.when(F.col("__k") == 1, F.col("__lo"))).alias("__xj"))
+    found = stats.join(ends, same, "left") if same else stats.crossJoin(ends)  # one row each
+    exact = F.col("__xi") + (h - F.floor(h)) * (F.col("__xj") - F.col("__xi"))
+    missed = (F.col("__n") > 0) & (F.col("__xi").isNull() | F.col("__xj").isNull())
+    result = F.when(missed, F.raise_error(F.lit("percentile rank not found")).cast("double")).otherwise(exact)
     extra_cols = [c for c in stats.columns if c not in group_cols and not c.startswith("__")]
-    return res.select(*group_cols, *extra_cols, result.alias(out))
+    return found.select(*group_cols, *extra_cols, result.alias(out))

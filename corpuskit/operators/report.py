@@ -35,7 +35,8 @@ def report_summary(samples: DataFrame, p95: str = "exact") -> DataFrame:
     per-sample ratios.  NULL GPU/ROUGE/BLEU values are "not recorded".
 
     ``p95="exact"`` gives the interpolated 95th percentile with bounded
-    per-task memory (see :mod:`.quantile`); ``"approx"`` uses one sketch.
+    per-task memory (see :mod:`.quantile`); ``"approx"`` uses one sketch.  Only
+    a method without any latency reports 0.0.
     """
     s = sample_throughput(samples)
     aggs = [
@@ -105,12 +106,12 @@ def cross_method(summary: DataFrame) -> DataFrame:
 
 def memory_reduction(df: DataFrame, config: str, value: str, baseline: str) -> DataFrame:
     """Value rounded to 1 decimal first, then
-    ``round(100 * (1 - v / max(baseline_v, 1)), 1)``; the baseline is named.
-    ``df`` is one row per configuration (a small table)."""
+    ``round(100 * (1 - v / max(baseline_v, 1)), 1)``; the baseline is named
+    (absent: the reduction is NULL).  ``df`` is one row per configuration (a small table)."""
     rounded = df.select(F.col(config).alias("method"), F.round(F.col(value), 1).alias("peak_mb"))
     base = _baseline("peak_mb", baseline)
     return rounded.select(F.col("method").alias("config"), "peak_mb",
-                          F.round(100 * (1 - F.col("peak_mb") / F.greatest(base, F.lit(1.0))), 1)
+                          F.when(base.isNotNull(), F.round(100 * (1 - F.col("peak_mb") / F.greatest(base, F.lit(1.0))), 1))
                            .alias("reduction_pct"))
 
 

@@ -7,9 +7,11 @@ and cut at the exact sizes of a two-stage shuffle split:
 ``val = ceil(val/(test+val)*temp)``, ``test = temp - val``.
 
 Exact cuts without a global sort: titles are counted per hash-prefix bucket
-(at most ``2**bucket_bits`` rows, broadcast by plan), a running sum over
-that small table places every bucket, and only titles of the (at most two)
-buckets a cut falls inside are ranked, by a window partitioned by bucket.
+(at most ``2**bucket_bits`` rows), a running sum over that small table places
+every bucket, and only titles of the (at most two) buckets a cut falls inside
+are ranked, to find the last title before each cut.  Rows are then compared
+with those two boundary keys, so the corpus is neither shuffled nor joined on
+the title.  Rows without a title go where the empty title goes.
 """
 
 from __future__ import annotations
@@ -50,9 +52,9 @@ def grouped_split(df: DataFrame, *, title: str = "question_title", test_size: fl
     held = test_size + val_size
     val_frac = val_size / held
 
-    keyed = df.withColumn("__key", title_key(F.col(title), seed)) \
-              .withColumn("__bucket", _bucket(F.col("__key"), bucket_bits))
-    titles = keyed.select(title, "__key", "__bucket").distinct()
+    name = F.coalesce(F.col(title), F.lit(""))  # rows without a title follow the empty title
+    titles = df.select(name.alias("__t")).distinct().withColumn("__key", title_key(F.col("__t"), seed)) \
+               .withColumn("__bucket", _bucket(F.col("__key"), bucket_bits))
 
     # one row per non-empty bucket: bounded by 2**bucket_bits rows
     counts = titles.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
@@ -66,25 +68,23 @@ def grouped_split(df: DataFrame, *, title: str = "question_title", test_size: fl
                .withColumn("__c1", n - n_temp)
                .withColumn("__c2", n - n_val))
     end = F.col("__start") + F.col("__cnt")
-    buckets = buckets.withColumn(
-        "__decided",
-        F.when(end <= F.col("__c1"), "train")
-         .when((F.col("__start") >= F.col("__c1")) & (end <= F.col("__c2")), "test")
-         .when(F.col("__start") >= F.col("__c2"), "val"))
-
-    # titles of the boundary buckets, ranked inside their bucket only
-    boundary = (titles.join(F.broadcast(buckets.filter(F.col("__decided").isNull())), "__bucket")
-                .withColumn("__rank", F.col("__start") + F.row_number().over(
-                    Window.partitionBy("__bucket").orderBy("__key", title)))
-                .select(F.col(title).alias("__b_title"),
-                        F.when(F.col("__rank") <= F.col("__c1"), "train")
-                         .when(F.col("__rank") <= F.col("__c2"), "test")
-                         .otherwise("val").alias("__b_split")))
-
-    out = (keyed.join(F.broadcast(buckets.select("__bucket", "__decided")), "__bucket", "left")
-                .join(boundary, F.col(title) == F.col("__b_title"), "left")
-                .withColumn(split_col, F.coalesce("__decided", "__b_split")))
-    return out.drop("__key", "__bucket", "__decided", "__b_title", "__b_split")
+    holds = lambda c: (F.col("__start") < F.col(c)) & (F.col(c) <= end)
+
+    # the last title before each cut: only the (at most two) buckets that hold
+    # a cut are ranked, and one row comes out
+    ranked = (titles.join(F.broadcast(buckets.filter(holds("__c1") | holds("__c2"))), "__bucket")
+              .withColumn("__rank", F.col("__start") + F.row_number().over(
+                  Window.partitionBy("__bucket").orderBy("__key", "__t"))))
+    at = F.struct("__key", "__t")
+    cuts = ranked.agg(F.max(F.when(F.col("__rank") == F.col("__c1"), at)).alias("__b1"),
+                      F.max(F.when(F.col("__rank") == F.col("__c2"), at)).alias("__b2"))
+
+    # a narrow comparison with the two boundary keys: the rows are never joined on the title
+    mine = F.struct(title_key(name, seed).alias("__key"), name.alias("__t"))
+    up_to = lambda b: F.coalesce(mine <= F.col(b), F.lit(False))
+    out = df.crossJoin(F.broadcast(cuts)).withColumn(
+        split_col, F.when(up_to("__b1"), "train").when(up_to("__b2"), "test").otherwise("val"))
+    return out.drop("__b1", "__b2")
 
 
 def hash_split(df: DataFrame, *, title: str = "question_title", test_size: float = 0.14,

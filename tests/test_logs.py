@@ -33,11 +33,11 @@ def test_step_times_matches_window_on_events(spark):
 
 
 def test_step_times_hot_run_spans_partitions(spark):
-    # one run holds most rows: it is split over many range partitions
+    # one run holds most rows: it is split over many time buckets
     rows = [(7, i, T0 + dt.timedelta(milliseconds=10 * i), 1.0, 1.0, None) for i in range(3000)]
     rows += [(r, 0, T0, 1.0, 1.0, None) for r in range(100, 120)]
     df = _log(spark, rows)
-    out = logs.step_times(df, num_partitions=16)
+    out = logs.step_times(df, bucket_seconds=1)
     hot = out.filter(F.col("run_id") == 7).orderBy("step").collect()
     assert hot[0].step_time_ms == 0.0
     assert all(r.step_time_ms == 10.0 for r in hot[1:])
@@ -50,14 +50,16 @@ def test_best_checkpoint(spark):
     assert got == {(2, True, False), (4, False, True), (5, False, True)}
 
 
-def test_step_times_without_exchange_reuse(spark):
-    """With exchange reuse off, the partitioned log is checkpointed once so
-    partition ids still come from a single shuffle."""
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        steps = derived.steps(spark, SF_MID)
-        a = logs.step_times(steps, num_partitions=13).select("run_id", "step", "step_time_ms")
-        b = logs.step_times_window(steps).select("run_id", "step", "step_time_ms")
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    finally:
-        spark.conf.set("spark.sql.exchange.reuse", "true")
+@pytest.mark.parametrize("seconds", [1, 60, 10 ** 7])
+def test_step_times_do_not_depend_on_the_bucket(spark, seconds):
+    steps = derived.steps(spark, SF_MID)
+    a = logs.step_times(steps, bucket_seconds=seconds).select("run_id", "step", "step_time_ms")
+    b = logs.step_times_window(steps).select("run_id", "step", "step_time_ms")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_a_missing_metric_is_never_best(spark):
+    df = _log(spark, [(1, s, T0, l, 1.0, None) for s, l in [(1, None), (2, 0.9), (3, 0.5), (4, 0.7), (5, 0.8)]])
+    for greater, want in ((False, 3), (True, 2)):
+        best = logs.best_checkpoint(df, greater_is_better=greater).filter("is_best").collect()
+        assert [r.step for r in best] == [want]

@@ -29,16 +29,17 @@ def test_p95_linear_interpolation(spark):
 
 
 @pytest.mark.parametrize("p", [0.0, 0.05, 0.5, 0.95, 1.0])
-def test_exact_percentile_bracket_path(spark, p):
+def test_exact_percentile_by_narrowing(spark, p):
     rng = np.random.default_rng(7)
     rows = ([("big", float(x)) for x in rng.normal(size=5000)]
             + [("dup", 3.0)] * 3000 + [("dup", float(x)) for x in rng.normal(size=50)]
-            + [("small", float(x)) for x in (1, 2, 3, 10)])
+            + [("small", float(x)) for x in (1, 2, 3, 10)]
+            + [("wide", float(x)) for x in (-1e300, -1.0, 1e-300, 5e-300, 2.0, 1e300)] + [("small", None), ("small", float("nan"))])
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.percentile for r in exact_percentile(df, ["g"], "v", p, accuracy=500).collect()}
-    for g in ("big", "dup", "small"):
-        vals = [v for k, v in rows if k == g]
-        assert got[g] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12)
+    got = {r.g: r.percentile for r in exact_percentile(df, ["g"], "v", p).collect()}
+    for g in ("big", "dup", "small", "wide"):
+        vals = [v for k, v in rows if k == g and v is not None and v == v]
+        assert got[g] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12, rel=1e-12)
 
 
 def test_baseline_compare_and_reduction(spark):
@@ -74,3 +75,9 @@ def test_p95_approx_option(spark):
     approx = report.report_summary(s, p95="approx").first().p95_latency_seconds
     assert exact == pytest.approx(float(np.percentile(range(1, 101), 95)))
     assert abs(approx - exact) <= 1.0
+
+
+def test_reduction_without_its_baseline_is_null(spark):
+    s = _samples(spark, [("a", 10, 2.0, 0.0, 0.0, 2000.0, 0.2, 0.0, 0.0, 0.1)])
+    got = report.memory_reduction(report.report_summary(s), "method", "avg_gpu_memory_mb", "nobody").collect()
+    assert [r.reduction_pct for r in got] == [None]
