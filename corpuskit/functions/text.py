@@ -17,7 +17,7 @@ PY_SPACE = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 UNI_SPACE = (r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
              r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 
-# Word pattern for BLEU and the vocabulary: runs of letters/digits/underscore,
+# Word pattern for the vocabulary: runs of letters/digits/underscore,
 # or any single other non-space character.
 WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
@@ -33,8 +33,35 @@ def rouge_tokens(col: Column) -> Column:
     return F.filter(F.split(cleaned, " "), lambda t: t != "")
 
 
+# The published Treebank word rules as replacements, in order.
+# Look-aheads are written out, and the final full stop of any white-space
+# delimited word is cut off (the sentence splitter's list of abbreviations is
+# a downloaded model).  Letters in contractions are ASCII.
+TREEBANK = (
+    (r"([«“‘„]|`+)", r" $1 "), (r'(^|\s)"', r"$1 `` "), (r"(``)", r" $1 "), (r"([ (\[{<])(\"|'')", r"$1 `` "),
+    (r"'([a-ce-lo-ru-z0-9_])\b", r"' $1"),
+    (r"([^.\s])\.([\])}>\"'»”’]*)(\s|$)", r"$1 . $2 $3"),
+    (r"([:,])([^0-9])", r" $1 $2"), (r"([:,])$", r" $1 "), (r"(\.{2,})", r" $1 "), (r"([;@#$%&])", r" $1 "),
+    (r"([?!])", r" $1 "), (r"([^'])' ", r"$1 ' "), (r"([*])", r" $1 "),
+    (r"([\]\[(){}<>])", r" $1 "), (r"--", r" -- "),
+    (r"([»”’])", r" $1 "), (r"''", r" '' "), (r'"', r" '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"$1 $2 "), (r"([^' ])('ll|'re|'ve|n't) ", r"$1 $2 "),
+    (r"\b(can)(not)\b", r" $1 $2 "), (r"\b(d)('ye)\b", r" $1 $2 "), (r"\b(gim)(me)\b", r" $1 $2 "), (r"\b(gon)(na)\b", r" $1 $2 "),
+    (r"\b(got)(ta)\b", r" $1 $2 "), (r"\b(lem)(me)\b", r" $1 $2 "), (r"\b(more)('n)\b", r" $1 $2 "), (r"\b(wan)(na)(\s)", r" $1 $2 $3"),
+    (r" ('t)(is)\b", r" $1 $2 "), (r" ('t)(was)\b", r" $1 $2 "),
+)
+
+
+def bleu_tokens(col: Column) -> Column:
+    """Lower-cased words and punctuation marks by the Treebank rules."""
+    text = F.concat(F.lit(" "), F.lower(F.coalesce(col, F.lit(""))), F.lit(" "))
+    for pattern, replacement in TREEBANK:
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
 def word_tokens(col: Column) -> Column:
-    """Lowercased word/punctuation tokens (the BLEU tokenizer)."""
+    """Lowercased word/punctuation tokens (the vocabulary's tokenizer)."""
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(WORD_PATTERN), 0)
 
 

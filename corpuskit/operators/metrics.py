@@ -1,110 +1,127 @@
 """Text-overlap metrics as corpus-scale Spark jobs.
 
-Input is a pairs table ``(pair_id, reference, hypothesis)``.  ROUGE-N and
-BLEU count n-grams with ``explode`` + two aggregations keyed by
-``(pair_id, n, gram)`` then ``(pair_id, n)``; both are map-side combined and
-the first is keyed by the gram as well, so one very long document is spread
-over many tasks.  ROUGE-L needs a longest-common-subsequence per pair: an
-Arrow-batched pandas UDF with a bit-parallel LCS (whole texts, no caps).
+Input is a pairs table ``(pair_id, reference, hypothesis)``; a pair is one row
+and is scored in that row.  ROUGE tokens are stemmed (as the usual scorer with
+its stemmer on does): the corpus's distinct tokens are stemmed once, as
+Catalyst expressions, and rows look their stems up.  All n-gram overlaps and
+the longest common subsequence then come from one Arrow-batched pass, and the
+scores from them are Catalyst expressions.  Nothing is joined or regrouped by
+``pair_id``, so ids may repeat.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import rouge_tokens, word_tokens
+from ..functions.stemming import stems
+from ..functions.text import bleu_tokens, rouge_tokens
+from ..session import materialize
 
+ROUGE_ORDERS, BLEU_ORDERS = (1, 2), (1, 2, 3, 4)
+LOOKUP_TOKENS = 2_000_000  # stems that differ from their token; beyond it rows and stems are joined
 
-def ngrams(tokens: Column, n: int, prefix: str = "") -> Column:
-    """Array of space-joined n-grams of a token array (each led by ``prefix``)."""
-    if n == 1:
-        return F.transform(tokens, lambda t: F.concat(F.lit(prefix), t)) if prefix else tokens
-    count = F.size(tokens) - n + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.lit(prefix), F.array_join(F.slice(tokens, i, n), " ")))
+COUNTS = T.StructType([T.StructField(f"rouge_o{n}", T.LongType()) for n in ROUGE_ORDERS]
+                      + [T.StructField("lcs", T.LongType())] + [T.StructField(f"bleu_o{n}", T.LongType()) for n in BLEU_ORDERS])
 
 
-def gram_stats(tok: DataFrame, specs: list[tuple[str, str, str, list[int]]]) -> DataFrame:
-    """One row per pair with, for every ``(kind, ref_col, hyp_col, orders)``
-    spec and order n: ``{kind}_o{n}`` (clipped overlap, sum over grams of
-    min(ref count, hyp count)), ``{kind}_r{n}`` and ``{kind}_h{n}`` (n-gram
-    counts of each side, from the token array sizes).
-
-    Each side is one branch: its n-grams of every kind and order, tagged
-    ``<kind-id><n>|``, are exploded at once next to a literal side flag, so
-    each text is read and tokenized once (column pruning keeps the other
-    side out of the branch).  The union is counted by (pair, tagged gram),
-    only grams present on both sides go on, and a per-pair sum gives the
-    overlaps.  Both aggregations are map-side combined; the first is keyed by
-    the gram, so one very long text is spread over many tasks.  A marker row
-    per pair keeps pairs without shared grams.
-    """
-    cols = {"r": [], "h": []}
-    for _, rcol, hcol, _ in specs:
-        cols["r"].append(rcol)
-        cols["h"].append(hcol)
-    size_names = {c: f"__size_{c}" for side in cols for c in cols[side]}
-    branches = []
-    for side, flag in (("r", 1), ("h", 0)):
-        parts = [F.array(F.lit(""))] if side == "r" else []
-        for kid, (kind, rcol, hcol, orders) in enumerate(specs):
-            col = rcol if side == "r" else hcol
-            parts += [ngrams(F.col(col), n, f"{kid}{n}|") for n in orders]
-        sizes = [F.size(c).alias(size_names[c]) if c in cols[side] else F.lit(None).cast("int").alias(size_names[c])
-                 for c in size_names]
-        branches.append(tok.select("pair_id", F.lit(flag).alias("__r"), *sizes,
-                                   F.explode(F.concat(*parts)).alias("__g")))
-    grams = branches[0].unionByName(branches[1])
-    per_gram = grams.groupBy("pair_id", "__g").agg(
-        F.sum("__r").alias("cr"), (F.count(F.lit(1)) - F.sum("__r")).alias("ch"),
-        *[F.max(c).alias(c) for c in size_names.values()])
-    shared = per_gram.filter(((F.col("cr") > 0) & (F.col("ch") > 0)) | (F.col("__g") == ""))
-    tag_of = F.substring_index("__g", "|", 1)
-    aggs = [F.max(c).alias(c) for c in size_names.values()]
-    for kid, (kind, _, _, orders) in enumerate(specs):
-        for n in orders:
-            aggs.append(F.coalesce(F.sum(F.when((tag_of == f"{kid}{n}") & (F.col("__g") != ""),
-                                                F.least("cr", "ch"))), F.lit(0)).alias(f"{kind}_o{n}"))
-    out = shared.groupBy("pair_id").agg(*aggs)
-    for kind, rcol, hcol, orders in specs:
-        for n in orders:
-            out = (out.withColumn(f"{kind}_r{n}", F.greatest(F.col(size_names[rcol]) - n + 1, F.lit(0)))
-                      .withColumn(f"{kind}_h{n}", F.greatest(F.col(size_names[hcol]) - n + 1, F.lit(0))))
-    return out.drop(*size_names.values())
-
-
-def _f1(overlap: Column, n_ref: Column, n_hyp: Column) -> Column:
-    p = overlap / F.greatest(n_hyp, F.lit(1))
-    r = overlap / F.greatest(n_ref, F.lit(1))
-    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-
+def lcs_length(a: list, b: list) -> int:
+    """Longest common subsequence length, bit-parallel (one big-int row of
+    the DP table per token of ``b``)."""
+    if not a or not b:
+        return 0
+    masks: dict = {}
+    for i, t in enumerate(a):
+        masks[t] = masks.get(t, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for t in b:
+        u = v & masks.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - bin(v).count("1")
 
-def _rouge_tok(pairs: DataFrame, stemmer=None) -> DataFrame:
-    tok = pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
-                       rouge_tokens(F.col("hypothesis")).alias("__ht"))
-    return stemmer(tok) if stemmer is not None else tok
 
+def overlap(a: list, b: list, n: int) -> int:
+    """Clipped n-gram matches of two token lists."""
+    left = Counter(zip(*(a[i:] for i in range(n))))
+    right = Counter(zip(*(b[i:] for i in range(n))))
+    return sum(min(c, right[g]) for g, c in left.items() if g in right)
+
+
+def _counter(shared):
+    """The pass over a batch of pairs, with a broadcast token -> stem table."""
+    @F.pandas_udf(COUNTS)
+    def count(rt: pd.Series, ht: pd.Series, wr: pd.Series, wh: pd.Series) -> pd.DataFrame:
+        stem = shared.value if shared is not None else {}
+        rows = []
+        for r, h, a, b in zip(rt, ht, wr, wh):
+            r, h = [stem.get(t, t) for t in r], [stem.get(t, t) for t in h]
+            a, b = list(a), list(b)
+            rows.append((*(overlap(r, h, n) for n in ROUGE_ORDERS), lcs_length(r, h), *(overlap(a, b, n) for n in BLEU_ORDERS)))
+        return pd.DataFrame(rows, columns=COUNTS.fieldNames())
+
+    return count
+
+
+def _distinct_stems(tok: DataFrame) -> DataFrame:
+    """(token, stem) of the distinct ROUGE tokens whose stem differs."""
+    tokens = tok.select(F.explode(F.array_distinct(F.concat("__rt", "__ht"))).alias("token")).distinct()
+    # written before it is filtered: a filter pushed below the stemming steps would nest them
+    return materialize(stems(tokens), "stems").filter("stem != token")
+
+
+def _join_stems(tok: DataFrame, table: DataFrame) -> DataFrame:
+    """Stemmed token arrays by a join: the way beyond ``LOOKUP_TOKENS``."""
+    keyed = materialize(tok.withColumn("__row", F.monotonically_increasing_id()), "tokens")
+    sides = []
+    for c in ("__rt", "__ht"):
+        flat = keyed.select("__row", F.posexplode(c).alias("i", "token")).join(table, "token", "left")
+        flat = flat.select("__row", F.struct("i", F.coalesce("stem", "token").alias("t")).alias("x"))
+        sides.append(flat.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias(f"{c}s")))
+    joined = keyed.join(sides[0], "__row", "left").join(sides[1], "__row", "left")
+    none = F.array().cast("array<string>")
+    return joined.withColumn("__rt", F.coalesce("__rts", none)).withColumn("__ht", F.coalesce("__hts", none)).drop("__row", "__rts", "__hts")
+
+
+def pair_counts(pairs: DataFrame, stem: bool = True) -> DataFrame:
+    """Every pair with its match counts (:data:`COUNTS`) and token numbers
+    ``rn``, ``hn`` (ROUGE) and ``rw``, ``hw`` (BLEU)."""
+    tok = pairs.select("*", rouge_tokens(F.col("reference")).alias("__rt"), rouge_tokens(F.col("hypothesis")).alias("__ht"),
+                       bleu_tokens(F.col("reference")).alias("__wr"), bleu_tokens(F.col("hypothesis")).alias("__wh"))
+    shared = None
+    if stem:
+        table = _distinct_stems(tok)
+        if table.count() <= LOOKUP_TOKENS:
+            shared = pairs.sparkSession.sparkContext.broadcast({r["token"]: r["stem"] for r in table.toLocalIterator()})
+        else:
+            tok = _join_stems(tok, table)
+    counted = tok.withColumn("__c", _counter(shared)("__rt", "__ht", "__wr", "__wh"))
+    sizes = [F.size(c).alias(n) for c, n in (("__rt", "rn"), ("__ht", "hn"), ("__wr", "rw"), ("__wh", "hw"))]
+    return counted.select(*pairs.columns, *sizes, "__c.*")
+
+
+def _f1(matches: Column, n_ref: Column, n_hyp: Column) -> Column:
+    p = matches / F.greatest(n_hyp, F.lit(1))
+    r = matches / F.greatest(n_ref, F.lit(1))
+    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
-def _rouge_cols(stats: DataFrame, orders) -> list[Column]:
-    return [_f1(F.col(f"rouge_o{n}"), F.col(f"rouge_r{n}"), F.col(f"rouge_h{n}")).alias(f"rouge{n}_f1")
-            for n in orders]
 
+def _rouge_cols(orders) -> list[Column]:
+    more = lambda c, n: F.greatest(F.col(c) - (n - 1), F.lit(0))
+    return [_f1(F.col(f"rouge_o{n}"), more("rn", n), more("hn", n)).alias(f"rouge{n}_f1") for n in orders]
 
-def rouge_n(pairs: DataFrame, orders: tuple[int, ...] = (1, 2), stemmer=None) -> DataFrame:
-    """ROUGE-N F1 per pair: ``pair_id, rouge{n}_f1`` for each order.
 
-    ``stemmer`` (optional) maps the token table to stemmed tokens
-    (see :func:`porter_stemmer`)."""
-    stats = gram_stats(_rouge_tok(pairs, stemmer), [("rouge", "__rt", "__ht", list(orders))])
-    return stats.select("pair_id", *_rouge_cols(stats, orders))
+def _rouge_l_col() -> Column:
+    return _f1(F.col("lcs"), F.col("rn"), F.col("hn")).alias("rougeL_f1")
 
 
-def _bleu_col(max_order: int = 4, k: float = 5.0) -> Column:
-    """Sentence BLEU-4 with smoothing method 4 from ``bleu_*`` gram stats.
+def _bleu_col(k: float = 5.0) -> Column:
+    """Sentence BLEU-4 with smoothing method 4.
 
     p_n = clipped matches / max(1, hyp n-grams).  No unigram match, or an
     empty side, scores 0.  With h > 1 hypothesis tokens, the j-th order with
@@ -112,84 +129,50 @@ def _bleu_col(max_order: int = 4, k: float = 5.0) -> Column:
     Orders with p_n = 0 are skipped in the geometric mean; BP = 1 if h > r
     else exp(1 - r/h).
     """
-    h, r = F.col("bleu_h1"), F.col("bleu_r1")
+    h, r = F.col("hw"), F.col("rw")
     log_terms = []
     zeros_before = F.lit(0)
-    for n in range(1, max_order + 1):
+    for n in BLEU_ORDERS:
         m = F.col(f"bleu_o{n}")
-        denom = F.greatest(F.col(f"bleu_h{n}"), F.lit(1)).cast("double")
-        j = zeros_before + 1  # this order's rank among the zero-match orders
-        smoothed = F.log(h.cast("double")) / (F.lit(k) * F.pow(F.lit(2.0), j)) / denom
+        denom = F.greatest(h - (n - 1), F.lit(1)).cast("double")
+        smoothed = F.log(h.cast("double")) / (F.lit(k) * F.pow(F.lit(2.0), zeros_before + 1)) / denom
         p = F.when(m > 0, m / denom).when(h > 1, smoothed).otherwise(F.lit(0.0))
-        log_terms.append(F.when(p > 0, F.log(p) / max_order).otherwise(F.lit(0.0)))
+        log_terms.append(F.when(p > 0, F.log(p) / len(BLEU_ORDERS)).otherwise(F.lit(0.0)))
         zeros_before = zeros_before + F.when(m == 0, 1).otherwise(0)
-    bp = F.when(h > r, F.lit(1.0)).otherwise(F.exp(1 - r / h))
-    score = bp * F.exp(sum(log_terms[1:], log_terms[0]))
-    return F.when((r == 0) | (h == 0) | (F.col("bleu_o1") == 0), F.lit(0.0)).otherwise(score)
+    bp = F.when(h > r, F.lit(1.0)).otherwise(F.exp(1 - r / F.greatest(h, F.lit(1))))
+    score = bp * F.exp(functools.reduce(lambda a, b: a + b, log_terms))
+    return F.when((r == 0) | (h == 0) | (F.col("bleu_o1") == 0), F.lit(0.0)).otherwise(score).alias("bleu")
 
 
-def _bleu_tok(pairs: DataFrame) -> DataFrame:
-    return pairs.select("pair_id", word_tokens(F.col("reference")).alias("__wr"),
-                        word_tokens(F.col("hypothesis")).alias("__wh"))
+def rouge_n(pairs: DataFrame, orders: tuple[int, ...] = ROUGE_ORDERS, stem: bool = True) -> DataFrame:
+    """ROUGE-1 / ROUGE-2 F1 per pair: ``pair_id, rouge{n}_f1``."""
+    return pair_counts(pairs, stem).select("pair_id", *_rouge_cols(orders))
 
 
-def bleu(pairs: DataFrame, max_order: int = 4, k: float = 5.0) -> DataFrame:
-    """Sentence BLEU per pair: ``pair_id, bleu`` (see :func:`_bleu_col`)."""
-    stats = gram_stats(_bleu_tok(pairs), [("bleu", "__wr", "__wh", list(range(1, max_order + 1)))])
-    return stats.select("pair_id", _bleu_col(max_order, k).alias("bleu"))
+def rouge_l(pairs: DataFrame, stem: bool = True) -> DataFrame:
+    """ROUGE-L F1 per pair: ``pair_id, rougeL_f1`` (0 if either side is empty)."""
+    return pair_counts(pairs, stem).select("pair_id", _rouge_l_col())
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Longest common subsequence length, bit-parallel (one big-int row of
-    the DP table per token of ``b``)."""
-    if not a or not b:
-        return 0
-    masks: dict = {}
-    for i, t in enumerate(a):
-        masks[t] = masks.get(t, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v = full
-    for t in b:
-        u = v & masks.get(t, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
+def bleu(pairs: DataFrame) -> DataFrame:
+    """Sentence BLEU per pair: ``pair_id, bleu``."""
+    return pair_counts(pairs, stem=False).select("pair_id", _bleu_col())
 
 
-@F.pandas_udf(T.LongType())
-def _lcs_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(a) if a is not None else [], list(b) if b is not None else [])
-                      for a, b in zip(ref, hyp)], dtype="int64")
+def per_sample_scores(pairs: DataFrame, stem: bool = True) -> DataFrame:
+    """ROUGE-1/2/L F1 and BLEU per pair, with the pair's other columns except
+    its two texts."""
+    rest = [c for c in pairs.columns if c not in ("reference", "hypothesis")]
+    return pair_counts(pairs, stem).select(*rest, *_rouge_cols(ROUGE_ORDERS), _rouge_l_col(), _bleu_col())
 
 
-def rouge_l(pairs: DataFrame, stemmer=None) -> DataFrame:
-    """ROUGE-L F1 per pair: ``pair_id, rougeL_f1`` (0 if either side is empty)."""
-    tok = _rouge_tok(pairs, stemmer)
-    lcs = _lcs_udf(F.col("__rt"), F.col("__ht"))
-    return tok.select("pair_id", _f1(lcs, F.size("__rt"), F.size("__ht")).alias("rougeL_f1"))
-
-
-def per_sample_scores(pairs: DataFrame, stemmer=None) -> DataFrame:
-    """ROUGE-1/2/L F1 and BLEU per pair: the n-gram scores of both token
-    rules come from one :func:`gram_stats` pass; ROUGE-L (which needs both
-    token arrays in one row) is a third branch joined on ``pair_id``."""
-    tok = pairs.select("pair_id", rouge_tokens(F.col("reference")).alias("__rt"),
-                       rouge_tokens(F.col("hypothesis")).alias("__ht"),
-                       word_tokens(F.col("reference")).alias("__wr"),
-                       word_tokens(F.col("hypothesis")).alias("__wh"))
-    if stemmer is not None:
-        tok = stemmer(tok)
-    stats = gram_stats(tok, [("rouge", "__rt", "__ht", [1, 2]), ("bleu", "__wr", "__wh", [1, 2, 3, 4])])
-    ngram = stats.select("pair_id", *_rouge_cols(stats, (1, 2)), _bleu_col().alias("bleu"))
-    return ngram.join(rouge_l(pairs, stemmer), "pair_id")
-
-
-def evaluate_responses(pairs: DataFrame, stemmer=None, references: DataFrame | None = None) -> DataFrame:
+def evaluate_responses(pairs: DataFrame, stem: bool = True, references: DataFrame | None = None) -> DataFrame:
     """Corpus means of the four scores over the scored pairs (one row).
 
     ``num_samples`` counts the references (all of ``references`` when given,
-    so references without a hypothesis still count, as in the reference's
-    report), ``num_scored`` the pairs actually scored."""
-    s = per_sample_scores(pairs, stemmer)
+    so references without a hypothesis still count), ``num_scored`` the pairs
+    actually scored."""
+    s = per_sample_scores(pairs, stem)
     means = s.agg(F.avg("rouge1_f1").alias("rouge1_f1"), F.avg("rouge2_f1").alias("rouge2_f1"),
                   F.avg("rougeL_f1").alias("rougeL_f1"), F.avg("bleu").alias("bleu_score"),
                   F.count(F.lit(1)).alias("num_scored"))
@@ -197,10 +180,3 @@ def evaluate_responses(pairs: DataFrame, stemmer=None, references: DataFrame | N
         return means.withColumn("num_samples", F.col("num_scored"))
     n_ref = references.agg(F.count(F.lit(1)).alias("num_samples"))
     return means.crossJoin(n_ref)  # two one-row aggregates
-
-
-def porter_stemmer(tok: DataFrame) -> DataFrame:
-    """Stem the ROUGE token arrays (tokens longer than three characters)."""
-    from ..functions.porter import stem_array
-
-    return tok.withColumn("__rt", stem_array(F.col("__rt"))).withColumn("__ht", stem_array(F.col("__ht")))

@@ -1,10 +1,12 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuskit.functions.porter import stem
+from corpuskit.functions.stemming import stems
+from corpuskit.functions.text import bleu_tokens
 from corpuskit.operators import metrics
 
 SCHEMA = "pair_id long, reference string, hypothesis string"
@@ -76,15 +78,26 @@ def test_accented_letters_are_separators(spark):
     ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("agreed", "agre"), ("hopping", "hop"),
     ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("generalizations", "gener"),
     ("running", "run"), ("dying", "die"), ("enjoy", "enjoy"), ("spied", "spi")])
-def test_porter(word, expected):
-    assert stem(word) == expected
-
-
-def test_stemmed_rouge(spark):
-    df = spark.createDataFrame([(1, "running dogs", "runs dog")], SCHEMA)
-    plain = metrics.rouge_n(df).first().rouge1_f1
-    stemmed = metrics.rouge_n(df, stemmer=metrics.porter_stemmer).first().rouge1_f1
-    assert plain == 0.0 and stemmed == 1.0
+def test_stems(spark, word, expected):
+    assert stems(spark.createDataFrame([(word,)], "token string")).first().stem == expected
+
+
+def test_stemmed_rouge(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "running dogs", "runs dog"), (1, "", "running"), (2, None, None)], SCHEMA)
+    assert metrics.rouge_n(df, stem=False).first().rouge1_f1 == 0.0
+    for limit in (10, 0):  # stems looked up in the row, and joined
+        monkeypatch.setattr(metrics, "LOOKUP_TOKENS", limit)
+        got = sorted((r.pair_id, r.rouge1_f1) for r in metrics.rouge_n(df).collect())
+        assert got == [(1, 0.0), (1, 1.0), (2, 0.0)]
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("Don't stop, it's 3.5 (or 4)...", ["do", "n't", "stop", ",", "it", "'s", "3.5", "(", "or", "4", ")", "..."]),
+    ('She said "Yes." Then left.', ["she", "said", "``", "yes", ".", "''", "then", "left", "."]),
+    ("a@b.com: cannot 100% -- #x;", ["a", "@", "b.com", ":", "can", "not", "100", "%", "--", "#", "x", ";"]), (None, []), (" ", [])])
+def test_bleu_words(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(bleu_tokens(F.col("t")).alias("w")).first().w == expected
 
 
 def test_evaluate_responses_counts(spark):

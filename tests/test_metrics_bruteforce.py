@@ -6,19 +6,14 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from corpuskit.functions.porter import stem
-from corpuskit.functions.text import WORD_PATTERN
+from porter_bruteforce import stem
+from corpuskit.functions.text import bleu_tokens
 from corpuskit.operators import metrics
 from corpuskit.sources import derived
 
-try:
-    import regex as _re  # supports \p{L}
-except ImportError:  # pragma: no cover
-    _re = None
-
-
 def rouge_tokens(text, use_stem=False):
     toks = [t for t in re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split() if t]
     return [stem(t) if use_stem and len(t) > 3 else t for t in toks]
@@ -54,9 +49,7 @@ def rouge_l(ref, hyp):
     return f1(lcs(ref, hyp), len(ref), len(hyp))
 
 
-def bleu(ref_text, hyp_text):
-    ref = _re.findall(WORD_PATTERN, (ref_text or "").lower())
-    hyp = _re.findall(WORD_PATTERN, (hyp_text or "").lower())
+def bleu(ref, hyp):
     if not ref or not hyp:
         return 0.0
     nums, dens = [], []
@@ -78,13 +71,12 @@ def bleu(ref_text, hyp_text):
     return bp * math.exp(math.fsum(0.25 * math.log(x) for x in p if x > 0))
 
 
-@pytest.mark.skipif(_re is None, reason="regex module not available")
 @pytest.mark.parametrize("use_stem", [False, True])
 def test_per_sample_scores_match_brute_force(spark, use_stem):
     pairs = derived.score_pairs(spark, SF_SMALL)
     got = {r.pair_id: r for r in metrics.per_sample_scores(
-        pairs, metrics.porter_stemmer if use_stem else None).collect()}
-    rows = pairs.collect()
+        pairs, stem=use_stem).collect()}
+    rows = pairs.select("*", bleu_tokens(F.col("reference")).alias("wr"), bleu_tokens(F.col("hypothesis")).alias("wh")).collect()
     assert len(got) == len(rows) > 0
     for row in rows:
         ref, hyp = rouge_tokens(row.reference, use_stem), rouge_tokens(row.hypothesis, use_stem)
@@ -92,7 +84,7 @@ def test_per_sample_scores_match_brute_force(spark, use_stem):
         assert g.rouge1_f1 == pytest.approx(rouge_n(ref, hyp, 1), abs=1e-12)
         assert g.rouge2_f1 == pytest.approx(rouge_n(ref, hyp, 2), abs=1e-12)
         assert g.rougeL_f1 == pytest.approx(rouge_l(ref, hyp), abs=1e-12)
-        assert g.bleu == pytest.approx(bleu(row.reference, row.hypothesis), abs=1e-9)
+        assert g.bleu == pytest.approx(bleu(row.wr, row.wh), abs=1e-9)
 
 
 def test_evaluate_responses_is_the_mean(spark):
