@@ -26,21 +26,6 @@ def truncate_words(text: str, max_new_tokens: int) -> str:
     return text if len(words) <= max_new_tokens else " ".join(words[:max_new_tokens])
 
 
-def extractive_model(max_words: int = 64) -> ModelFactory:
-    """Deterministic stand-in model: answers with the first words of the
-    question body found in the prompt (``Question: t\\nbody\\nAnswer:``)."""
-    def factory():
-        def run(prompts: list[str]) -> list[str]:
-            out = []
-            for p in prompts:
-                body = p.split("\n", 1)[1] if "\n" in p else p
-                body = body.rsplit("\nAnswer:", 1)[0]
-                out.append(" ".join(body.split()[:max_words]))
-            return out
-        return run
-    return factory
-
-
 def batch_generate(prompts: DataFrame, generate: ModelFactory | dict[str, ModelFactory], *,
                    key: str = "idx", prompt: str = "prompt", method: str | None = None,
                    carry: list[str] = (), batch_size: int = 16, max_new_tokens: int = 128) -> DataFrame:
@@ -59,8 +44,9 @@ def batch_generate(prompts: DataFrame, generate: ModelFactory | dict[str, ModelF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict = {}
         for pdf in batches:
-            groups = [(None, pdf)] if not method else list(pdf.groupby(method, sort=False))
+            groups = [(None, pdf)] if not method else list(pdf.groupby(method, sort=False, dropna=False))
             for name, part in groups:
+                name = None if pd.isna(name) else name
                 if name not in models:
                     models[name] = (factories[name] if factories else generate)()
                 model = models[name]

@@ -11,11 +11,6 @@ from ..functions.text import unicode_trim
 
 QA_COLUMNS = ["question_title", "question_body", "question_score", "answer", "answer_score"]
 
-# Largest top-N for which the question side is broadcast by plan (its size
-# is then bounded by N rows); above it AQE chooses from measured sizes.
-BROADCAST_TOP_N = 100_000
-
-
 def score_filter(df: DataFrame, min_score: int = 5, col: str = "Score") -> DataFrame:
     """Strict ``Score > min_score``; NULL scores are dropped.  Pushed down
     to the parquet scan when ``df`` is a scan."""
@@ -34,20 +29,18 @@ def trim_title(col: Column) -> Column:
 
 
 def build_qa_pairs(questions: DataFrame, answers: DataFrame, *, min_answer_chars: int = 50,
-                   min_body_chars: int = 10, questions_bounded: bool = False) -> DataFrame:
+                   min_body_chars: int = 10) -> DataFrame:
     """Join answers to their question (1:N inner equi-join on ParentId = Id),
     clean both bodies to text, trim the title, keep pairs whose cleaned
     answer has more than 50 and body more than 10 characters.
 
     Cleaning is written after the join so only paired answers are cleaned.
-    ``questions_bounded`` marks a question side of proven small size (top-N)
-    that may be broadcast; otherwise AQE picks the strategy at runtime and
-    splits skewed ParentId partitions.
+    AQE picks the join strategy from measured bytes and splits skewed
+    ParentId partitions; a top-N of questions bounds rows, not bytes, so
+    nothing is broadcast by plan.
     """
     q = questions.select(F.col("Id").alias("q_id"), F.col("Title").alias("q_title"),
                          F.col("Body").alias("q_body"), F.col("Score").alias("q_score"))
-    if questions_bounded:
-        q = F.broadcast(q)
     a = answers.select(F.col("ParentId").alias("a_parent"), F.col("Body").alias("a_body"),
                        F.col("Score").alias("a_score"))
     joined = a.join(q, F.col("a_parent") == F.col("q_id"), "inner")
@@ -73,10 +66,9 @@ def load_qa_pairs(questions: DataFrame, answers: DataFrame, *, min_score: int =
     (``max_samples=None`` keeps all), then :func:`build_qa_pairs`."""
     q = score_filter(questions.select("Id", "Title", "Body", "Score"), min_score)
     a = score_filter(answers.select("Id", "ParentId", "Body", "Score"), min_score)
-    bounded = max_samples is not None and max_samples <= BROADCAST_TOP_N
     if max_samples is not None:
         q = top_questions(q, max_samples)
-    return build_qa_pairs(q, a, questions_bounded=bounded)
+    return build_qa_pairs(q, a)
 
 
 def render_prompt(df: DataFrame, title: str = "question_title", body: str = "question_body",

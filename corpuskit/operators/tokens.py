@@ -2,15 +2,18 @@
 masks, token statistics, fixed-size batches and chat rendering.
 
 The vocabulary is learned on Spark (frequency order) in place of a
-pretrained subword tokenizer; encoding truncates first, then joins the
-(bounded) vocabulary by broadcast.
+pretrained subword tokenizer; encoding truncates first, then looks the ids
+up in the row.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Reserved special tokens, in id order.
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
@@ -40,46 +43,59 @@ def vocab(df: DataFrame, text: str, vocab_size: int = 32000) -> DataFrame:
     return specials.unionByName(ranked.select("token", "id", "count"))
 
 
-# Largest vocabulary broadcast by plan (rows); larger ones are joined as AQE decides.
-BROADCAST_VOCAB_ROWS = 2_000_000
+# Largest vocabulary that every task holds as a lookup table; beyond it the
+# tokens are joined with the vocabulary.
+LOOKUP_VOCAB_ROWS = 2_000_000
+
+
+def _lookup(shared, unknown: int):
+    @F.pandas_udf("array<int>")
+    def ids(tokens: pd.Series) -> pd.Series:
+        known = shared.value
+        return tokens.map(lambda ts: [known.get(t, unknown) for t in ts])
+
+    return ids
+
+
+def _joined_ids(base: DataFrame, v: DataFrame) -> DataFrame:
+    """Ids by a join, regrouped by a row number (keys may repeat)."""
+    keyed = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "encode-tokens")
+    flat = keyed.select("__row", F.posexplode("__t").alias("__pos", "__tok"))
+    looked = flat.join(v.select(F.col("token").alias("__tok"), F.col("id").alias("__id")), "__tok", "left")
+    entry = F.struct(F.col("__pos"), F.coalesce(F.col("__id"), F.lit(UNK)).alias("id"))
+    grouped = looked.groupBy("__row").agg(F.sort_array(F.collect_list(entry)).alias("__e"))
+    none = F.array().cast("array<int>")
+    return keyed.join(grouped, "__row", "left").withColumn("__ids", F.coalesce(F.col("__e.id"), none)).drop("__row", "__e")
 
 
 def encode(df: DataFrame, text: str, v: DataFrame, keys: list[str], max_length: int = 128,
-           pad_id: int = EOS, vocab_rows: int | None = None) -> DataFrame:
-    """Token table keyed by ``keys``: ``input_ids``, ``attention_mask``,
+           pad_id: int = EOS) -> DataFrame:
+    """One row per row of ``df``: ``keys``, ``input_ids``, ``attention_mask``,
     ``labels``, ``n_tokens`` (count before truncation).
 
-    Tokens are truncated to ``max_length`` *before* they are exploded, looked
-    up in the vocabulary (unknown -> ``<unk>``), and regrouped per text: at most
-    ``max_length`` small rows per text cross the shuffle, never the text.
-    Padding is ``pad_id`` (the end-of-sequence id, as the reference's
-    tokenizer is configured); ``labels`` equal the ids where the mask is 1
-    and -100 on padding.  ``vocab_rows`` is the vocabulary's proven size
-    bound (``vocab_size + 4`` for :func:`vocab` output): within
-    ``BROADCAST_VOCAB_ROWS`` the lookup is a broadcast hash join by plan;
-    without a bound AQE picks the join from measured sizes.
+    Tokens are truncated to ``max_length`` and looked up in the row (unknown
+    -> ``<unk>``): the vocabulary is counted, and up to ``LOOKUP_VOCAB_ROWS``
+    rows it goes to every task as a table, so nothing is shuffled and equal
+    keys stay apart.  Padding is ``pad_id`` (the end-of-sequence id, as the
+    reference's tokenizer is configured); ``labels`` equal the ids where the
+    mask is 1 and -100 on padding.
     """
     toks = tokenize(F.col(text))
-    # tokenize once per row (sizes and the truncated array share it), then
-    # explode only the truncated array
     base = (df.select(*keys, toks.alias("__all"))
-              .select(*keys, F.size("__all").alias("n_tokens"), F.slice("__all", 1, max_length).alias("__t"))
-              .select(*keys, "n_tokens", F.posexplode_outer("__t").alias("__pos", "__tok")))
-    vb = v.select(F.col("token").alias("__tok"), F.col("id").alias("__id"))
-    if vocab_rows is not None and vocab_rows <= BROADCAST_VOCAB_ROWS:
-        vb = F.broadcast(vb)
-    looked = base.join(vb, "__tok", "left")
-    entry = F.when(F.col("__pos").isNotNull(),
-                   F.struct(F.col("__pos"), F.coalesce(F.col("__id"), F.lit(UNK)).alias("id")))
-    grouped = looked.groupBy(*keys, "n_tokens").agg(F.sort_array(F.collect_list(entry)).alias("__e"))
-    ids = F.col("__e.id")
-    n = F.size("__e")
+              .select(*keys, F.size("__all").alias("n_tokens"), F.slice("__all", 1, max_length).alias("__t")))
+    v = materialize(v.select("token", "id"), "vocab")
+    if v.count() <= LOOKUP_VOCAB_ROWS:
+        shared = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in v.toLocalIterator()})
+        looked = base.withColumn("__ids", _lookup(shared, UNK)("__t"))
+    else:
+        looked = _joined_ids(base, v)
+    n = F.size("__ids")
     rest = F.lit(max_length) - n
-    return grouped.select(
+    return looked.select(
         *keys, "n_tokens",
-        F.concat(ids, F.array_repeat(F.lit(pad_id), rest)).alias("input_ids"),
+        F.concat("__ids", F.array_repeat(F.lit(pad_id), rest)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), rest)).alias("attention_mask"),
-        F.concat(ids, F.array_repeat(F.lit(-100), rest)).alias("labels"))
+        F.concat("__ids", F.array_repeat(F.lit(-100), rest)).alias("labels"))
 
 
 def collator_labels(df: DataFrame, ids: str = "input_ids", pad_id: int = EOS, out: str = "labels") -> DataFrame:
@@ -98,15 +114,16 @@ def token_stats(encoded: DataFrame, group: str, max_length: int = 128) -> DataFr
         F.count_if(F.col("n_tokens") > max_length).alias("truncated_rows"))
 
 
-def batches(encoded: DataFrame, key: str, batch_size: int = 16, shards: int | None = None) -> DataFrame:
+def batches(encoded: DataFrame, key: str, batch_size: int = 16, shards: int | None = None,
+            rows_per_shard: int = 100_000) -> DataFrame:
     """Fixed-size training batches.  Rows are spread over ``shards`` by a
     hash of ``key`` (uniform, so no shard is hot), ordered inside a shard by
     the same hash, and cut into groups of ``batch_size``; the last batch of a
     shard may be short.  Each batch row stacks at most ``batch_size``
-    arrays.  ``shards`` defaults to 8x the shuffle partitions; choose it so
-    that rows / shards fits one task."""
+    arrays.  ``shards`` defaults to one per ``rows_per_shard`` rows, so a
+    shard fits one task whatever the number of rows."""
     if shards is None:
-        shards = 8 * int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, -(-encoded.count() // rows_per_shard))
     h = F.md5(F.col(key).cast("string"))
     shard = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % shards).cast("int")
     w = Window.partitionBy("shard").orderBy("__h", key)

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codebooks import CODEBOOKS, midpoints
 
 
 def with_log_softmax(df: DataFrame, src: str, out: str) -> DataFrame:
@@ -56,7 +55,9 @@ def distill_terms(logits: DataFrame, temperature: Column | float = 2.0, shift: b
     df = with_logsumexp(df, "__t", "__lse_tT", F.col("__k"))
     df = with_logsumexp(df, "__s", "__lse_s")
     k = F.col("__k")
-    n = F.least(F.size("__s"), F.size("__t"))
+    # both sides score the same vocabulary; anything else is an error, not a truncation
+    n = F.when(F.size("__s") == F.size("__t"), F.size("__s")).otherwise(
+        F.raise_error(F.lit("student and teacher logits differ in length")).cast("int"))
     cross = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.exp(
         F.element_at("__t", i) * k - F.col("__lse_tT")) * (F.element_at("__t", i) - F.element_at("__s", i)))
     kl = cross * k - F.col("__lse_tT") + F.col("__lse_sT")
@@ -96,62 +97,6 @@ def temperature_sweep(logits: DataFrame, temperatures: list[float] = (1.0, 2.0,
                       ((1 - alpha) * ce + alpha * kl).alias("total_loss"))
 
 
-def _blocks(v: Column, block: int) -> Column:
-    n = F.size(v)
-    nb = F.ceil(n / F.lit(float(block))).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.greatest(nb - 1, F.lit(0))),
-                       lambda i: F.slice(v, i * block + 1, F.lit(block)))
-
-
-def quantize(vectors: DataFrame, col: str = "v", mode: str = "int8", block: int = 64,
-             double_quant: bool = False) -> DataFrame:
-    """Block-wise absmax quantization of an array column.
-
-    Adds ``codes`` (per element), ``scales`` (per block absmax),
-    ``dequant`` and ``max_abs_error``.  ``int8``: code = round(127 x / absmax);
-    ``nf4``/``fp4``: index of the nearest level of x / absmax (ties to the
-    lower level).  ``double_quant`` stores the scales themselves as int8
-    codes against their own absmax (and dequantizes through them).
-    """
-    v = F.col(col).cast("array<double>")
-    blocks = _blocks(v, block)
-    scales = F.transform(blocks, lambda b: F.coalesce(
-        F.array_max(F.transform(b, lambda x: F.abs(x))), F.lit(0.0)))
-    df = vectors.withColumn("__blocks", blocks).withColumn("scales", scales)
-    if double_quant:
-        smax = F.coalesce(F.array_max(F.col("scales")), F.lit(0.0))
-        df = (df.withColumn("scale_codes", F.transform("scales", lambda s: F.when(
-                  smax > 0, F.round(s / smax * 127)).otherwise(0).cast("int")))
-                .withColumn("scale_absmax", smax)
-                .withColumn("__eff", F.transform("scale_codes", lambda c: c * smax / 127.0)))
-    else:
-        df = df.withColumn("__eff", F.col("scales"))
-
-    def per_block(fn):
-        return F.flatten(F.transform(F.col("__blocks"), lambda b, i: F.transform(
-            b, lambda x: fn(x, F.element_at(F.col("scales"), i + 1), F.element_at(F.col("__eff"), i + 1)))))
-
-    if mode == "int8":
-        codes = per_block(lambda x, s, e: F.when(s > 0, F.round(x / s * 127)).otherwise(0).cast("int"))
-        df = df.withColumn("codes", codes)
-        deq = per_block(lambda x, s, e: F.when(s > 0, F.round(x / s * 127)).otherwise(0) * e / 127.0)
-    elif mode in CODEBOOKS:
-        levels = F.array(*[F.lit(x) for x in CODEBOOKS[mode]])
-        mids = F.array(*[F.lit(x) for x in midpoints(CODEBOOKS[mode])])
-
-        def idx(x, s):
-            norm = F.when(s > 0, x / s).otherwise(0.0)
-            return F.size(F.filter(mids, lambda m: m < norm))
-        df = df.withColumn("codes", per_block(lambda x, s, e: idx(x, s)))
-        deq = per_block(lambda x, s, e: F.element_at(levels, idx(x, s) + 1) * e)
-    else:
-        raise ValueError(f"unknown mode {mode!r}; use int8, nf4 or fp4")
-    df = df.withColumn("dequant", deq)
-    err = F.aggregate(F.zip_with(v, F.col("dequant"), lambda a, b: F.abs(a - b)), F.lit(0.0),
-                      lambda acc, x: F.greatest(acc, x))
-    return df.withColumn("max_abs_error", err).drop("__blocks", "__eff")
-
-
 def global_norm_clip(vectors: DataFrame, col: str = "v", max_norm: float = 1.0, norm_type: float = 2.0,
                      error_if_nonfinite: bool = False) -> DataFrame:
     """Clip a whole table of vectors by their joint p-norm.
@@ -172,6 +117,7 @@ def global_norm_clip(vectors: DataFrame, col: str = "v", max_norm: float = 1.0,
         bad = total.filter(F.isnan("total_norm") | (F.abs("total_norm") == float("inf"))).take(1)
         if bad:
             raise ValueError("the total norm is not finite")
-    coef = F.least(F.lit(1.0), F.lit(float(max_norm)) / (F.col("total_norm") + 1e-6))
+    scale = F.lit(float(max_norm)) / (F.col("total_norm") + 1e-6)
+    coef = F.when(F.isnan(scale), scale).otherwise(F.least(F.lit(1.0), scale))  # a NaN norm makes every value NaN
     out = vectors.crossJoin(F.broadcast(total))  # one row
     return out.withColumn(col, F.transform(v, lambda x: x * coef))

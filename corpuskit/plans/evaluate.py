@@ -1,52 +1,34 @@
-"""End-to-end evaluation: held-out prompts -> generation -> scoring ->
-samples table -> per-method report.  Methods are a column, so every method
-is scored in the same jobs."""
+"""End-to-end evaluation: stored responses -> scoring -> samples table ->
+per-method report.  Methods are a column, so every method is scored in the
+same jobs.  Responses come from :func:`..operators.generate.batch_generate`
+with a user's models, or from any other table of that shape."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import generate as gen
 from ..operators import metrics, prep, report
 from ..session import materialize
 
-# Stand-in "methods": extractive answers of different lengths.
-STAND_INS = {"extract16": 16, "extract32": 32, "extract64": 64}
+TIMINGS = ("latency", "num_tokens", "cpu_percent", "memory_percent", "gpu_memory_mb")
 
 
 def prompt_table(test: DataFrame) -> DataFrame:
-    """``idx, prompt, reference, question`` from a test split."""
-    keyed = test.withColumn("idx", F.conv(F.substring(F.md5(F.concat_ws("\u0001", "question_title", "answer")),
-                                                      1, 15), 16, 10).cast("long"))
+    """``idx, prompt, reference, question`` from a test split; ``idx`` is the
+    md5 of title and answer (equal pairs are one prompt)."""
+    keyed = test.withColumn("idx", F.md5(F.concat_ws("\u0001", "question_title", "answer")))
     return prep.render_prompt(keyed).select("idx", "prompt", F.col("answer").alias("reference"),
                                             F.col("question_title").alias("question"))
 
 
-def evaluate_methods(test: DataFrame, methods: dict[str, int] = STAND_INS,
-                     batch_size: int = 16, max_new_tokens: int = 128) -> DataFrame:
-    """Samples table: one row per (method, prompt) with scores and timings."""
-    prompts = prompt_table(test)
-    # every prompt once per method (methods are a column of one job)
-    work = prompts.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    factories = {m: gen.extractive_model(k) for m, k in methods.items()}
-    out = gen.batch_generate(work, factories, key="idx", method="method", carry=["reference"],
-                             batch_size=batch_size, max_new_tokens=max_new_tokens)
-    # Generation is the expensive, non-repeatable step (timings differ on a
-    # rerun): write it once; scoring and reporting read the written table.
-    out = materialize(out, "generations")
-    pairs = (out.select(F.concat_ws(":", "method", F.col("idx").cast("string")).alias("pair_id"),
-                     "method", "idx", "reference", F.col("response").alias("hypothesis"),
-                     "latency", "num_tokens"))
-    scores = metrics.per_sample_scores(pairs.select("pair_id", "reference", "hypothesis"))
-    # the samples table feeds several report passes: written once as well
-    return materialize(pairs.join(scores, "pair_id")
-            .select("method", "idx", "num_tokens", "latency",
-                    F.lit(None).cast("double").alias("cpu_percent"),
-                    F.lit(None).cast("double").alias("memory_percent"),
-                    F.lit(None).cast("double").alias("gpu_memory_mb"),
-                    "rouge1_f1", "rouge2_f1", "rougeL_f1", F.col("bleu").alias("bleu_score")), "samples")
-
-
-def evaluation_report(test: DataFrame, **kw) -> DataFrame:
-    return report.report_summary(evaluate_methods(test, **kw))
+def score_responses(responses: DataFrame) -> DataFrame:
+    """Samples table from ``method, idx, reference, response`` and the recorded
+    :data:`TIMINGS`: one row per response with its four scores."""
+    pairs = responses.select("method", "idx", "reference", F.col("response").alias("hypothesis"), *TIMINGS)
+    # the samples table feeds several report passes: written once
+    return materialize(metrics.per_sample_scores(pairs).withColumnRenamed("bleu", "bleu_score"), "samples")
+
+
+def evaluation_report(responses: DataFrame) -> DataFrame:
+    return report.report_summary(score_responses(responses))

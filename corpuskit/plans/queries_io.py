@@ -1,5 +1,5 @@
 """Registered queries: file round trips, parser-based cleaning, stemmed
-ROUGE, batch generation, the end-to-end evaluation report and the
+ROUGE, the end-to-end evaluation report and the
 streaming log analytics."""
 
 from __future__ import annotations
@@ -7,17 +7,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import html as html_ops
-from ..operators import metrics
-from ..operators.generate import batch_generate as _batch_generate
-from ..operators.generate import extractive_model
 from ..plans import evaluate
 from ..session import scratch_path
 from ..sources import derived, files
 from ..sources.tables import table
-from ..functions.text import PY_SPACE
+from ..functions.text import PY_SPACE, whitespace_word_count
 from ..streaming import runs
 from .oracle import html_to_text_sql, with_views
 from .queries_eval import RUN_SUMMARY_SQL, STEP_TIME_SQL, SUMMARY_SQL, round_doubles, summary_df, _r
+from .queries_metrics import BLEU, R1, R2, RL, scores_sql
 from .queries_prep import QA_SQL_CTE, SPLIT_SQL_CTE, split_df
 from .registry import register
 
@@ -43,7 +41,7 @@ _PROMPT_SQL = "'Question: ' || question_title || chr(10) || question_body || chr
 def scan_samples(spark, sf):
     """The test split written as prompt/answer JSONL and read back."""
     test = split_df(spark, sf).filter(F.col("split") == "test")
-    samples = evaluate.prompt_table(test).select("idx", "prompt", F.col("reference").alias("answer"))
+    samples = evaluate.prompt_table(test).select("prompt", F.col("reference").alias("answer"))
     path = scratch_path(spark, "samples-jsonl")
     files.write_jsonl(samples, path)
     return files.read_samples(spark, path).select("prompt", "answer")
@@ -63,6 +61,51 @@ def read_predictions(spark, sf):
     return files.read_predictions(spark, path, "jsonl")
 
 
+_PREDICTED = """
+    select (row_number() over (order by conv_id, turn) - 1)::bigint as idx, text
+    from conversations where role = 'assistant'"""
+
+
+def _listed(spark, sf, key):
+    """The answers of all conversations as one JSON document holding a list,
+    the shape of a results file (one document, written by one task)."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda x: x["text"])
+    path = scratch_path(spark, "predictions-json")
+    whole = c.agg(texts.alias(key or "value"))
+    if key:
+        whole.coalesce(1).write.json(path)
+    else:
+        whole.select(F.to_json("value").alias("value")).coalesce(1).write.text(path)
+    return files.read_predictions(spark, path, key or "array")
+
+
+@register("read_responses_object", _PREDICTED)
+def read_responses_object(spark, sf):
+    return _listed(spark, sf, "responses")
+
+
+@register("read_predictions_object", _PREDICTED)
+def read_predictions_object(spark, sf):
+    return _listed(spark, sf, "predictions")
+
+
+@register("read_references_array", _PREDICTED)
+def read_references_array(spark, sf):
+    return _listed(spark, sf, None)
+
+
+@register("scan_answers", with_views("select Id, ParentId, Body, Score from answers", "answers"))
+def scan_answers(spark, sf):
+    """Answers written as a quoted multi-line CSV dump and scanned back with
+    an explicit schema."""
+    a = derived.answers(spark, sf).select(
+        "Id", F.lit(None).cast("long").alias("OwnerUserId"), F.lit(None).cast("string").alias("CreationDate"), "ParentId", "Score", "Body")
+    path = scratch_path(spark, "answers-csv")
+    files.write_qa_csv(a, path)
+    return files.read_qa_csv(spark, path, files.ANSWERS_SCHEMA).select("Id", "ParentId", "Body", "Score")
+
+
 @register("write_roundtrip", with_views(
     "select method, total_samples, total_tokens, " + _r(
         "avg_tokens_per_sample avg_latency_seconds p95_latency_seconds avg_throughput_tokens_per_sec "
@@ -70,13 +113,15 @@ def read_predictions(spark, sf):
     + " from s", "samples", extra={"s": SUMMARY_SQL}))
 def write_roundtrip(spark, sf):
     """The per-method summary written as CSV, JSON and parquet (one file
-    each: one row per method); the parquet copy is read back."""
+    each: one row per method); the CSV and JSON copies are read back with the
+    parquet copy's schema, and a row is returned only if all three hold it."""
     base = scratch_path(spark, "summary")
     files.write_results(round_doubles(summary_df(spark, sf)), f"{base}/parquet", "parquet", single_file=True)
     s = spark.read.parquet(f"{base}/parquet")  # computed once, copied to the other formats
     files.write_results(s, f"{base}/csv", "csv", single_file=True)
     files.write_results(s, f"{base}/json", "json", single_file=True)
-    return s
+    csv = spark.read.schema(s.schema).option("header", "true").csv(f"{base}/csv")
+    return s.intersect(csv).intersect(spark.read.schema(s.schema).json(f"{base}/json"))
 
 
 @register("clean_html_parser", f"select page_id, {html_to_text_sql('html')} as text from pages")
@@ -84,35 +129,33 @@ def clean_html_parser(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_ops.html_to_text_parser(F.col("html")).alias("text"))
 
 
-@register("rouge_n_stem")
-def rouge_n_stem(spark, sf):
-    return round_doubles(metrics.rouge_n(derived.score_pairs(spark, sf), (1, 2), metrics.porter_stemmer))
-
-
-@register("rouge_l_stem")
-def rouge_l_stem(spark, sf):
-    return round_doubles(metrics.rouge_l(derived.score_pairs(spark, sf), metrics.porter_stemmer))
+_STORED = """
+    select 'm' || (k % 3) as method, 'stored' as kind, length(hyp) / 1000.0 as latency,
+           len(list_filter(regexp_split_to_array(hyp, '[{space}]+'), lambda w: w <> ''))::integer as num_tokens,
+           (k % 97)::double as cpu_percent, (k % 31)::double as memory_percent,
+           case when k % 5 = 0 then null else (k % 1000)::double end as gpu_memory_mb, k
+    from (select pair_id as k, hypothesis as hyp from pairs)""".replace("{space}", PY_SPACE)
 
 
-@register("batch_generate", with_views(f"""
-    select ('0x' || substr(md5(question_title || chr(1) || answer), 1, 15))::bigint as idx,
-           array_to_string(w[1:64], ' ') as response, least(len(w), 64)::integer as num_tokens
-    from (select question_title, answer,
-                 list_filter(regexp_split_to_array(question_body, '[{PY_SPACE}]+'), lambda x: x <> '') as w
-          from sp)""", "questions", "answers", extra={"qa": QA_SQL_CTE, "sp": SPLIT_SQL_CTE}))
-def batch_generate(spark, sf):
-    """The stand-in model over every prompt of the prepared corpus."""
-    prompts = evaluate.prompt_table(split_df(spark, sf))
-    return _batch_generate(prompts, extractive_model(64), key="idx", batch_size=16, max_new_tokens=128) \
-        .select("idx", "response", "num_tokens")
-
-
-@register("eval_report")
+@register("eval_report", scores_sql(f""",
+    timed as ({_STORED}),
+    samples as (select method, num_tokens, latency, cpu_percent, memory_percent, gpu_memory_mb, {R1} as rouge1_f1, {R2} as rouge2_f1,
+                       {RL} as "rougeL_f1", {BLEU} as bleu_score from scored join timed on timed.k = scored.pair_id)
+    select method, total_samples, total_tokens, """ + _r(
+        "avg_tokens_per_sample avg_latency_seconds p95_latency_seconds avg_throughput_tokens_per_sec "
+        "avg_cpu_percent avg_memory_percent avg_gpu_memory_mb rouge1_f1 rouge2_f1 rougeL_f1 bleu_score")
+    + f" from ({SUMMARY_SQL})", True))
 def eval_report(spark, sf):
-    """Generation -> scoring -> per-method report over the test split."""
-    test = split_df(spark, sf).filter(F.col("split") == "test")
-    return round_doubles(evaluate.evaluation_report(test)).drop("avg_latency_seconds", "p95_latency_seconds",
-                                                                "avg_throughput_tokens_per_sec")
+    """Stored responses (the next conversation's turns, three methods) ->
+    scoring -> per-method report."""
+    p = derived.score_pairs(spark, sf)
+    k, hyp = F.col("pair_id"), F.col("hypothesis")
+    responses = p.select(
+        F.concat(F.lit("m"), (k % 3).cast("string")).alias("method"), k.alias("idx"), "reference", hyp.alias("response"),
+        (F.length(hyp) / 1000.0).alias("latency"), whitespace_word_count(hyp).alias("num_tokens"),
+        (k % 97).cast("double").alias("cpu_percent"), (k % 31).cast("double").alias("memory_percent"),
+        F.when(k % 5 != 0, (k % 1000).cast("double")).alias("gpu_memory_mb"))
+    return round_doubles(evaluate.evaluation_report(responses))
 
 
 def _events_schema(spark, sf):

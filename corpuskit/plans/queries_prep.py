@@ -136,11 +136,17 @@ def hash_split(spark, sf):
     return split.hash_split(qa_pairs_df(spark, sf), test_size=TEST, val_size=VAL, seed=SEED)
 
 
-@register("split_leakage", _split_sql(
-    "select question_title, count(distinct split) as n_splits from sp group by question_title"
-    " having count(distinct split) > 1"))
+@register("split_leakage", _split_sql("""
+    select substr(question_title, 1, 3) as question_title, count(distinct s) as n_splits
+    from (select question_title, case when substr(md5(answer), 1, 1) < '8' then 'train' else 'test' end as s from sp)
+    group by substr(question_title, 1, 3) having count(distinct s) > 1"""))
 def split_leakage(spark, sf):
-    return split.split_leakage(split_df(spark, sf))
+    """The audit over a split that leaks: pairs of one (shortened) title are
+    dealt out by their answer."""
+    leaking = split_df(spark, sf).select(
+        F.substring("question_title", 1, 3).alias("question_title"),
+        F.when(F.substring(F.md5("answer"), 1, 1) < "8", "train").otherwise("test").alias("split"))
+    return split.split_leakage(leaking)
 
 
 @register("split_preview", _split_sql("""

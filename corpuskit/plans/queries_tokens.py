@@ -12,7 +12,7 @@ from .registry import register
 VOCAB_SIZE = 5000
 MAX_LEN = 128
 BATCH = 16
-SHARDS = 8
+SHARD_ROWS = 125
 
 _TOK = f"regexp_extract_all(coalesce(text, ''), '{tokens.TOKEN_PATTERN}')"
 _SPECIALS_SQL = " union all ".join(
@@ -44,8 +44,7 @@ def _vocab(spark, sf):
 
 def _encoded(spark, sf):
     docs = table(spark, sf, "documents")
-    return tokens.encode(docs, "text", _vocab(spark, sf), ["doc_id", "lang"], MAX_LEN,
-                         vocab_rows=VOCAB_SIZE + len(tokens.SPECIALS))
+    return tokens.encode(docs, "text", _vocab(spark, sf), ["doc_id", "lang"], MAX_LEN)
 
 
 @register("vocab", f"with vocab as ({VOCAB_CTE}) select * from vocab")
@@ -76,7 +75,7 @@ def token_stats(spark, sf):
 
 @register("batches", f"""with vocab as ({VOCAB_CTE}), enc as ({ENCODED_CTE}),
     r as (select *, md5(doc_id::varchar) as h,
-                 (('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % {SHARDS})::integer as shard from enc),
+                 (('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % greatest(1, ((select count(*) from enc) + {SHARD_ROWS - 1}) // {SHARD_ROWS}))::integer as shard from enc),
     b as (select *, ((row_number() over (partition by shard order by h, doc_id) - 1) // {BATCH})::integer as batch
           from r)
     select shard, batch, list(doc_id order by h, doc_id) as keys,
@@ -85,7 +84,7 @@ def token_stats(spark, sf):
            list(labels order by h, doc_id) as labels
     from b group by shard, batch""")
 def batches(spark, sf):
-    return tokens.batches(_encoded(spark, sf), "doc_id", BATCH, SHARDS)
+    return tokens.batches(_encoded(spark, sf), "doc_id", BATCH, rows_per_shard=SHARD_ROWS)
 
 
 @register("render_chat", """
@@ -120,8 +119,6 @@ def split_token_stats(spark, sf):
     from .queries_prep import split_df
 
     corpus = prep.render_training(split_df(spark, sf))
-    corpus = corpus.withColumn("pair_key", F.md5(F.concat_ws("\u0001", "question_title", "answer")))
     v = tokens.vocab(corpus.filter(F.col("split") == "train"), "text", VOCAB_SIZE)
-    enc = tokens.encode(corpus, "text", v, ["pair_key", "split"], MAX_LEN,
-                        vocab_rows=VOCAB_SIZE + len(tokens.SPECIALS))
+    enc = tokens.encode(corpus, "text", v, ["split"], MAX_LEN)
     return round_doubles(tokens.token_stats(enc, "split", MAX_LEN))

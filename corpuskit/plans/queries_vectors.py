@@ -62,58 +62,6 @@ def temperature_sweep(spark, sf):
     return round_doubles(vectors.temperature_sweep(derived.logits(spark, sf), SWEEP, ALPHA))
 
 
-_BLOCK = 64
-_BLOCKED = f"""
-    select vec_id, v, list_transform(range(0, nb), lambda b: coalesce(list_max(
-               list_transform(v[b * {_BLOCK} + 1 : b * {_BLOCK} + {_BLOCK}], lambda x: abs(x))), 0.0)) as s, nb
-    from (select vec_id, embedding::double[] as v,
-                 greatest(ceil(len(embedding) / {_BLOCK})::integer, 1) as nb from embeddings)"""
-
-
-def _per_element(fn: str) -> str:
-    """``fn`` over every element with its block's scale (``x``, ``sc``, ``e``)."""
-    return (f"flatten(list_transform(range(0, nb), lambda b: list_transform("
-            f"v[b * {_BLOCK} + 1 : b * {_BLOCK} + {_BLOCK}], lambda x: {fn.replace('sc', 's[b + 1]').replace('ee', 'eff[b + 1]')})))")
-
-
-INT8_SQL = f"""
-    select vec_id, codes, s as scales,
-           round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - deq[i]))), 6) as max_abs_error
-    from (select vec_id, v, s,
-                 {_per_element("case when sc > 0 then round(x / sc * 127)::integer else 0 end")} as codes,
-                 {_per_element("(case when sc > 0 then round(x / sc * 127) else 0 end) * sc / 127.0")} as deq
-          from ({_BLOCKED}))"""
-
-
-def _nf4_sql() -> str:
-    from ..functions.codebooks import NF4, midpoints
-    levels = "[" + ", ".join(repr(x) for x in NF4) + "]"
-    mids = "[" + ", ".join(repr(x) for x in midpoints(NF4)) + "]"
-    idx = f"len(list_filter({mids}, lambda m: m < (case when sc > 0 then x / sc else 0.0 end)))"
-    return f"""
-    select vec_id, codes, scale_codes, smax as scale_absmax,
-           round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - deq[i]))), 6) as max_abs_error
-    from (select vec_id, v, s, smax, scale_codes, eff,
-                 {_per_element(idx)}::integer[] as codes,
-                 {_per_element(f"{levels}[{idx} + 1] * ee")} as deq
-          from (select *, list_transform(scale_codes, lambda c: c * smax / 127.0) as eff
-                from (select *, list_transform(s, lambda q: case when smax > 0 then round(q / smax * 127)::integer
-                                                                 else 0 end) as scale_codes
-                      from (select *, coalesce(list_max(s), 0.0) as smax from ({_BLOCKED})))))"""
-
-
-@register("quantize_int8", INT8_SQL)
-def quantize_int8(spark, sf):
-    return round_doubles(vectors.quantize(derived.vectors(spark, sf), mode="int8", block=64)
-                         .select("vec_id", "codes", "scales", "max_abs_error"))
-
-
-@register("quantize_nf4", _nf4_sql())
-def quantize_nf4(spark, sf):
-    return round_doubles(vectors.quantize(derived.vectors(spark, sf), mode="nf4", block=64, double_quant=True)
-                         .select("vec_id", "codes", "scale_codes", "scale_absmax", "max_abs_error"))
-
-
 @register("global_norm_clip", """
     select vec_id, list_transform(v, lambda x: round(x * least(1.0, 1.0 / (n + 1e-6)), 6)) as v,
            round(n, 6) as total_norm

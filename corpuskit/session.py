@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -83,7 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Read from the session; only when it is unset (local tests) do we create
-    and register a folder of our own.
+    and register a folder of our own, which is removed at exit.  On a cluster
+    an unset folder is an error: executors do not share a local one.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -91,9 +94,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = id(sc)
     if key not in _LOCAL_CHECKPOINT:
         local = tempfile.mkdtemp(prefix="corpuskit-ckpt-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
         sc.setCheckpointDir(local)
         _LOCAL_CHECKPOINT[key] = local
     return _LOCAL_CHECKPOINT[key]

@@ -45,9 +45,14 @@ SAMPLE_SCHEMA = T.StructType([T.StructField("idx", T.LongType()), T.StructField(
 
 
 def read_samples(spark: SparkSession, path: str, num_samples: int | None = None) -> DataFrame:
-    """Prompt/answer JSONL; ``num_samples`` keeps the first n by ``idx``."""
+    """Prompt/answer JSONL; ``num_samples`` keeps the first n by ``idx``, or by
+    line where the file has no ``idx`` field."""
     df = spark.read.schema(SAMPLE_SCHEMA).json(path)
-    return df.orderBy("idx").limit(num_samples) if num_samples is not None else df
+    if num_samples is None:
+        return df
+    if df.filter("idx is not null").isEmpty():
+        df = with_line_index(df.select("prompt", "answer"), "idx").select("idx", "prompt", "answer")
+    return df.orderBy("idx").limit(num_samples)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -65,14 +70,14 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
     task per file and exploded; JSONL splits and is the format for scale.
     """
     if shape == "jsonl":
-        df = spark.read.json(path)
-        if "idx" in df.columns:
-            return df.select(F.col("idx").cast("long"), F.col("text").cast("string"))
-        return with_line_index(df.select(F.col("text").cast("string")), "idx").select("idx", "text")
+        df = spark.read.schema("idx long, text string").json(path)
+        if not df.filter("idx is not null").isEmpty():
+            return df
+        return with_line_index(df.select("text"), "idx").select("idx", "text")
     if shape in ("responses", "predictions"):
-        df = spark.read.option("multiLine", "true").json(path)
-        if shape not in df.columns:
-            raise ValueError(f"{path} has no {shape!r} key")
+        df = spark.read.schema(f"{shape} array<string>").option("multiLine", "true").json(path)
+        if df.filter(F.col(shape).isNotNull()).isEmpty():
+            raise ValueError(f"{path} has no {shape!r} list")
         return df.select(F.posexplode(shape).alias("idx", "text")).select(F.col("idx").cast("long"), "text")
     if shape == "array":
         txt = spark.read.text(path, wholetext=True)
@@ -82,14 +87,15 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
 
 
 def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
-    """Consecutive 0-based line numbers in file order (file path, then
-    position in the file) without a global sort or single-partition window.
+    """Consecutive 0-based line numbers in file order (path up to the first
+    digit of the file's name, that number, the name; then the position in the
+    file, so ``part-100000`` follows ``part-99999``) without a global sort.
 
     Rows are tagged with their file, the start of the file split they were
     read from, and their position in the task.  One small row per split
-    (count, first position) gets a running offset in (file, split start)
-    order, is broadcast (bounded by the number of splits), and every row's
-    number is its split's offset plus its position inside the split.  File
+    (count, first position) gets a running offset in that order and is joined
+    back (AQE broadcasts it if it is small), and every row's number is its
+    split's offset plus its position inside the split.  File
     splits are deterministic, so both passes see the same splits.  ``df``
     must be a file scan (optionally projected or filtered).
     """
@@ -101,9 +107,10 @@ def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
                 .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     splits = tagged.groupBy("__pid", "__file", "__blk").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
+    number = F.coalesce(F.expr("try_cast(regexp_extract(__file, '/[^/0-9]*([0-9]+)[^/]*$', 1) as decimal(38, 0))"), F.lit(-1).cast("decimal(38,0)"))
     offsets = splits.select("__pid", "__file", "__blk", "__first", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__file", "__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    return (tagged.join(F.broadcast(offsets), ["__pid", "__file", "__blk"])  # one row per split
+        Window.orderBy(F.regexp_extract("__file", "^(.*/[^/0-9]*)", 1), number, "__file", "__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    return (tagged.join(offsets, ["__pid", "__file", "__blk"])
                   .withColumn(out, (F.col("__off") + F.col("__pos") - F.col("__first")).cast("long"))
                   .drop("__pid", "__file", "__blk", "__pos", "__first", "__off"))
 

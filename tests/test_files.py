@@ -60,6 +60,15 @@ def test_line_index_follows_file_order(spark):
     assert all(int(r.text) == r.idx for r in got)
 
 
+def test_first_samples_by_line_without_idx(spark):
+    d = tempfile.mkdtemp(prefix="smp-")
+    for name, lines in (("part-99999.jsonl", [0, 1]), ("part-100000.jsonl", [2, 3]), ("part-100001.jsonl", [4])):
+        with open(f"{d}/{name}", "w") as f:
+            f.write("".join(json.dumps({"prompt": f"p{i}", "answer": "x"}) + "\n" for i in lines))
+    assert sorted(r.prompt for r in files.read_samples(spark, d, num_samples=3).collect()) == ["p0", "p1", "p2"]
+    assert files.read_samples(spark, d).count() == 5
+
+
 def test_csv_to_parquet_and_samples_head(spark):
     d = tempfile.mkdtemp(prefix="conv-")
     q = spark.createDataFrame([(i, None, None, None, i, f"t{i}", f"<p>b\n{i}</p>") for i in range(20)],

@@ -69,10 +69,18 @@ def test_run_summary_is_one_aggregate_no_window(spark):
     assert "partial_max_by" in plan and "Window" not in plan
 
 
-def test_encode_joins_vocabulary_by_broadcast(spark):
+def test_encode_shuffles_no_tokens(spark):
     docs = table(spark, SF_SMALL, "documents")
-    plan = _executed(tokens.encode(docs, "text", tokens.vocab(docs, "text", 100), ["doc_id"], vocab_rows=104))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plan = _executed(tokens.encode(docs, "text", tokens.vocab(docs, "text", 100), ["doc_id"]))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_scoring_shuffles_no_ngrams(spark):
+    from corpuskit.operators import metrics
+
+    pairs = materialize(derived.score_pairs(spark, SF_SMALL), "pairs")
+    plan = _executed(metrics.per_sample_scores(pairs))
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_html_cleaning_stays_in_jvm(spark):

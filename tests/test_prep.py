@@ -4,18 +4,18 @@ from corpuskit.operators import prep
 
 Q_SCHEMA = "Id long, Title string, Body string, Score int"
 A_SCHEMA = "Id long, ParentId long, Body string, Score int"
-LONG = "<p>This is a sufficiently long answer to pass the filter check.</p>"
+LONG = "<ul><li>Sort by key, then merge the runs</li><li>This keeps memory flat</li></ul>"
 
 
-def test_build_qa_pairs_basic(spark):
-    q = spark.createDataFrame([(1, "Test question", "<p>Question body</p>", 10)], Q_SCHEMA)
-    a = spark.createDataFrame([(100, 1, LONG, 5)], A_SCHEMA)
+def test_a_pair_keeps_its_columns(spark):
+    q = spark.createDataFrame([(7, "How to sort a large file?", "<p>Two runs of <i>sorted</i> lines</p>", 42)], Q_SCHEMA)
+    a = spark.createDataFrame([(70, 7, LONG, 3)], A_SCHEMA)
     out = prep.build_qa_pairs(q, a)
     rows = out.collect()
     assert len(rows) == 1
     assert out.columns == prep.QA_COLUMNS
-    assert rows[0].answer == "This is a sufficiently long answer to pass the filter check."
-    assert rows[0].answer_score == 5  # no score filter inside pairing
+    assert rows[0].answer == "Sort by key, then merge the runs This keeps memory flat"
+    assert rows[0].answer_score == 3  # no score filter inside pairing
 
 
 def test_one_question_many_answers_and_length_filter(spark):

@@ -58,3 +58,12 @@ def test_render_chat(spark):
     assert r.chat == ("<start_of_turn>user\nhello<end_of_turn>\n"
                       "<start_of_turn>assistant\nhi<end_of_turn>\n")
     assert r.turns == 2
+
+
+def test_rows_of_one_key_stay_apart(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b"), (1, "c a"), (1, "a b"), (2, "")], "k long, t string")
+    want = [(1, [5, 6, 0]), (1, [5, 6, 0]), (1, [7, 5, 0]), (2, [0, 0, 0])]
+    for limit in (10, 0):  # looked up in the row, and joined
+        monkeypatch.setattr(tokens, "LOOKUP_VOCAB_ROWS", limit)
+        got = tokens.encode(df, "t", _vocab(spark), ["k"], max_length=3, pad_id=0).collect()
+        assert sorted((r.k, r.input_ids) for r in got) == want

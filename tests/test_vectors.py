@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.functions.codebooks import NF4
 from corpuskit.operators import vectors
 
 LOGITS = "sample_id long, pos int, student array<float>, teacher array<float>, label int"
@@ -27,24 +26,6 @@ def test_distill_all_masked_and_sweep(spark):
     assert sweep[2.0] == pytest.approx(0.373699, abs=1e-6)
 
 
-def test_int8_golden(spark):
-    df = spark.createDataFrame([(1, [0.5, -1.0, 2.0, 0.25])], "vec_id long, v array<double>")
-    r = vectors.quantize(df, mode="int8").first()
-    assert r.codes == [32, -64, 127, 16] and r.scales == [2.0]
-
-
-@pytest.mark.parametrize("mode", ["int8", "nf4", "fp4"])
-def test_quantize_error_within_code_gap(spark, mode):
-    rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=int(rng.integers(1, 200))).tolist()) for i in range(30)] + [(99, [0.0] * 5)]
-    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    out = vectors.quantize(df, mode=mode, block=16).collect()
-    gap = {"int8": 1 / 127, "nf4": max(b - a for a, b in zip(NF4, NF4[1:])), "fp4": 1 / 3}[mode]
-    for r in out:
-        assert len(r.codes) == len(r.dequant)
-        assert r.max_abs_error <= gap / 2 * max(r.scales) + 1e-12
-
-
 def test_global_norm_clip_golden(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 12.0])], "vec_id long, v array<double>")
     rows = {r.vec_id: r for r in vectors.global_norm_clip(df, max_norm=1.0).collect()}
@@ -84,3 +65,16 @@ def test_distill_shifted_labels(spark):
                                    2.0, 0.5).first()
     assert shifted.valid_positions == 2
     assert shifted.total_loss == pytest.approx(aligned.total_loss)
+
+
+def test_logits_of_different_length_are_an_error(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0], 1)],
+                               "sample_id long, pos int, student array<double>, teacher array<double>, label int")
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.distill_loss(df).collect()
+
+
+def test_nan_norm_clips_to_nan(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [float("nan"), 1.0])], "id long, v array<double>")
+    for r in vectors.global_norm_clip(df, max_norm=1.0).collect():
+        assert all(x != x for x in r.v) and r.total_norm != r.total_norm
