@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import derived, files
 from ..sources.tables import table
 from ..functions.text import PY_SPACE, whitespace_word_count
+from ..functions.time import epoch_micros
 from ..streaming import runs
 from .oracle import html_to_text_sql, with_views
 from .queries_eval import RUN_SUMMARY_SQL, STEP_TIME_SQL, SUMMARY_SQL, round_doubles, summary_df, _r
@@ -143,7 +144,7 @@ _STORED = """
                        {RL} as "rougeL_f1", {BLEU} as bleu_score from scored join timed on timed.k = scored.pair_id)
     select method, total_samples, total_tokens, """ + _r(
         "avg_tokens_per_sample avg_latency_seconds p95_latency_seconds avg_throughput_tokens_per_sec "
-        "avg_cpu_percent avg_memory_percent avg_gpu_memory_mb rouge1_f1 rouge2_f1 rougeL_f1 bleu_score")
+        "avg_cpu_percent avg_memory_percent avg_gpu_memory_mb rouge1_f1 rouge2_f1 rougeL_f1 bleu_score").replace(", 6)", ", 4)")
     + f" from ({SUMMARY_SQL})", True))
 def eval_report(spark, sf):
     """Stored responses (the next conversation's turns, three methods) ->
@@ -155,7 +156,7 @@ def eval_report(spark, sf):
         (F.length(hyp) / 1000.0).alias("latency"), whitespace_word_count(hyp).alias("num_tokens"),
         (k % 97).cast("double").alias("cpu_percent"), (k % 31).cast("double").alias("memory_percent"),
         F.when(k % 5 != 0, (k % 1000).cast("double")).alias("gpu_memory_mb"))
-    return round_doubles(evaluate.evaluation_report(responses))
+    return round_doubles(evaluate.evaluation_report(responses), 4)
 
 
 def _events_schema(spark, sf):
@@ -181,9 +182,10 @@ def step_times_stream(spark, sf):
     slices of time in the order 2, 1, 4, 3 and then one end marker per run,
     one file per micro-batch; rows are up to two slices late."""
     events = table(spark, sf, "events")
-    span = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    us = epoch_micros(F.col("ts"))
+    span = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
     src, width = scratch_path(spark, "step-events"), ((span["hi"] or 0) - (span["lo"] or 0)) // 4 + 1
-    slice_of = F.floor((F.unix_micros("ts") - F.lit(span["lo"] or 0)) / F.lit(width))
+    slice_of = F.floor((us - F.lit(span["lo"] or 0)) / F.lit(width))
     for arrival, part in enumerate((1, 0, 3, 2)):
         events.filter(slice_of == part).write.parquet(f"{src}/{arrival}")
     ends = events.groupBy("user_id").agg(F.max("ts").alias("ts"))
