@@ -23,33 +23,30 @@ from pyspark.sql import functions as F
 
 from .text import PY_SPACE
 
-MARK = "\u0001"
+# Stands for markup that was cut out.  A Unicode noncharacter: texts do not
+# interchange it, and no character reference decodes to it.
+MARK = "\ufdd0"
 
 # Elements whose content is not document text (scripts, style
-# sheets, templates, ruby annotations).
-NO_TEXT_ELEMENTS = ["script", "style", "template", "rt", "rp"]
-AMP_SENTINEL = "\ue000"
-LT_SENTINEL = "\ue001"
-GT_SENTINEL = "\ue002"
-
-
-def _protect(text: str) -> str:
-    """Markup characters inside a decoded value become sentinels."""
-    return text.replace("&", AMP_SENTINEL).replace("<", LT_SENTINEL).replace(">", GT_SENTINEL)
+# sheets, templates, ruby annotations).  The first two hold raw text, so
+# without an end tag they run to the end.
+RAW_ELEMENTS, HIDDEN_ELEMENTS = ["script", "style"], ["template", "rt", "rp"]
+# The names that most references use, tried before the table.
+COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\u00a0", "apos;": "'"}
 
 
 @lru_cache(maxsize=1)
 def named_references() -> tuple[dict[str, str], list[str], list[str]]:
     """The HTML5 named character references, from Python's standard library
-    table: (name -> decoded text with markup characters as sentinels,
-    names that need ``;``, legacy names that may omit it)."""
+    table: (name -> decoded text, names that need ``;``, legacy names that
+    may omit it)."""
     from html.entities import html5
 
     values: dict[str, str] = {}
     legacy: set[str] = set()
     for key, val in html5.items():
         name = key[:-1] if key.endswith(";") else key
-        values[name] = _protect(val)
+        values[name] = val
         if not key.endswith(";"):
             legacy.add(name)
     strict = sorted((n for n in values if n not in legacy), key=lambda n: (-len(n), n))
@@ -90,16 +87,14 @@ def _codepoint_char(cp: Column) -> Column:
     """One numeric reference's text, as an HTML parser decodes it: NUL and
     out-of-range or surrogate code points give U+FFFD, 0x80-0x9F give their
     windows-1252 character, CR stays CR, other control and non-character
-    code points give nothing; ``& < >`` become sentinels."""
+    code points give nothing."""
     import json
 
     c1 = F.from_json(F.lit(json.dumps({str(k): v for k, v in c1_replacements().items()})), "map<string,string>")
     noncharacter = (((cp >= 0x1) & (cp <= 0x8)) | (cp == 0xB) | ((cp >= 0xE) & (cp <= 0x1F)) | (cp == 0x7F)
                     | ((cp >= 0xFDD0) & (cp <= 0xFDEF)) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
     as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return (F.when(cp == 38, F.lit(AMP_SENTINEL)).when(cp == 60, F.lit(LT_SENTINEL))
-            .when(cp == 62, F.lit(GT_SENTINEL))
-            .when((cp == 0) | (cp > 0x10FFFF) | ((cp >= 0xD800) & (cp <= 0xDFFF)), F.lit("\ufffd"))
+    return (F.when((cp == 0) | (cp > 0x10FFFF) | ((cp >= 0xD800) & (cp <= 0xDFFF)), F.lit("\ufffd"))
             .when((cp >= 0x80) & (cp <= 0x9F), F.element_at(c1, cp.cast("string")))
             .when(noncharacter, F.lit(""))
             .otherwise(as_char))
@@ -134,37 +129,50 @@ def decode_references(s: Column) -> Column:
     def rest(p: Column, n: Column) -> Column:
         return F.substring(p, n + 1, 1 << 30)
 
-    def piece(p: Column) -> Column:
+    def by_table(p: Column, full: Column, legacy: Column) -> Column:
         num = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
         cand = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
         name = F.regexp_replace(cand, ";$", "")
         res = (F.when(num != "", F.concat(_decode_numeric(num), rest(p, F.length(num))))
-                .when(cand.endswith(";") & F.element_at(full, name).isNotNull(),
-                      F.concat(F.element_at(full, name), rest(p, F.length(cand))))
-                .when(F.element_at(legacy, name).isNotNull(),
-                      F.concat(F.element_at(legacy, name), rest(p, F.length(name)))))
+                .when(cand.endswith(";") & F.try_element_at(full, name).isNotNull(),
+                      F.concat(F.try_element_at(full, name), rest(p, F.length(cand))))
+                .when(F.try_element_at(legacy, name).isNotNull(),
+                      F.concat(F.try_element_at(legacy, name), rest(p, F.length(name)))))
         for k in range(LEGACY_MAX, 1, -1):  # longest legacy prefix
             pre = F.substring(name, 1, k)
-            res = res.when((F.length(name) > k) & F.element_at(legacy, pre).isNotNull(),
-                           F.concat(F.element_at(legacy, pre), rest(p, F.lit(k))))
+            res = res.when((F.length(name) > k) & F.try_element_at(legacy, pre).isNotNull(),
+                           F.concat(F.try_element_at(legacy, pre), rest(p, F.lit(k))))
         return res.otherwise(F.concat(F.lit("&"), p))
 
+    # the tables are bound once: as literals in every branch they would
+    # take longer to plan than the texts take to decode
+    tables = F.array(F.struct(full.alias("full"), legacy.alias("legacy")))
+
+    def piece(p: Column) -> Column:
+        res = None
+        for common, text in COMMON.items():
+            value = F.concat(F.lit(text), rest(p, F.lit(len(common))))
+            res = F.when(p.startswith(common), value) if res is None else res.when(p.startswith(common), value)
+        return res.otherwise(F.element_at(F.transform(tables, lambda t: by_table(p, t["full"], t["legacy"])), 1))
+
     decoded = F.concat(F.element_at(parts, 1),
                        F.array_join(F.transform(F.slice(parts, 2, 1 << 30), piece), ""))
     return F.when(F.instr(s, "&") > 0, decoded).otherwise(s)
 
 
 def html_to_text(col: Column) -> Column:
-    """Text content of an HTML string (NULL or empty -> ``""``)."""
-    s = decode_references(F.coalesce(col, F.lit("")))
-    # markup that carries no text, then every remaining tag, become markers
-    s = F.regexp_replace(
-        s, "(?s)<!--.*?-->|" + "|".join(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in NO_TEXT_ELEMENTS), MARK)
-    s = F.regexp_replace(s, r"<[a-zA-Z/!?][^>]*>", MARK)
+    """Text content of an HTML string (NULL or empty -> ``""``).
+
+    Markup is cut out before references are decoded, so a decoded ``<`` is
+    never taken for a tag.  A tag ends at the first ``>`` outside its quoted
+    attribute values (at the first ``>`` at all if its quotes do not pair).
+    """
+    raw, hidden = "|".join(RAW_ELEMENTS), "|".join(HIDDEN_ELEMENTS)
+    s = F.coalesce(col, F.lit(""))
+    # one pattern with one first character, so other text is skipped quickly
+    s = F.regexp_replace(s, rf"(?is)<(?:!--.*?-->|({raw})\b[^>]*>.*?(?:</\1\s*>|\z)|({hidden})\b[^>]*>.*?</\2\s*>)", MARK)
+    s = F.regexp_replace(s, r"""<(?:[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[a-zA-Z/!?][^>]*>)""", MARK)
+    s = decode_references(s)
     # strip each text node, drop empty ones, join with one space
-    s = F.regexp_replace(s, f"{_SP}*{MARK}[{PY_SPACE}{MARK}]*", " ")
-    s = F.regexp_replace(s, f"^{_SP}+|{_SP}+$", "")
-    # sentinels back to characters
-    s = F.replace(s, F.lit(LT_SENTINEL), F.lit("<"))
-    s = F.replace(s, F.lit(GT_SENTINEL), F.lit(">"))
-    return F.replace(s, F.lit(AMP_SENTINEL), F.lit("&"))
+    s = F.regexp_replace(s, f"{_SP}*+{MARK}[{PY_SPACE}{MARK}]*+", " ")
+    return F.regexp_replace(s, f"^{_SP}+|{_SP}+$", "")

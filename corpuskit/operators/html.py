@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.html import NO_TEXT_ELEMENTS, html_to_text
+from ..functions.html import HIDDEN_ELEMENTS, RAW_ELEMENTS, html_to_text
 
 
 def clean_html(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -25,13 +25,13 @@ def clean_html(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 class _TextNodes(HTMLParser):
     """Collects stripped, non-empty text nodes outside no-text elements."""
 
-    _SKIP = set(NO_TEXT_ELEMENTS)
+    _SKIP = {*RAW_ELEMENTS, *HIDDEN_ELEMENTS}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self._buf: list[str] = []
-        self._skip_depth = 0
+        self._skipped: list[str] = []  # open elements without text
 
     def _flush(self) -> None:
         if self._buf:
@@ -43,18 +43,20 @@ class _TextNodes(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self._flush()
         if tag in self._SKIP:
-            self._skip_depth += 1
+            self._skipped.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self._flush()
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in self._SKIP and self._skip_depth:
-            self._skip_depth -= 1
+        if tag == "ruby":  # ends the annotations that it holds
+            self._skipped = [t for t in self._skipped if t not in ("rt", "rp")]
+        elif tag in self._skipped:
+            self._skipped.remove(tag)
 
     def handle_data(self, data):
-        if not self._skip_depth:
+        if not self._skipped:
             self._buf.append(data)
 
     def handle_comment(self, data):

@@ -6,7 +6,6 @@ compares results with the Spark side.  Fragments here are SQL text only.
 
 from __future__ import annotations
 
-from ..functions.html import AMP_SENTINEL, GT_SENTINEL, LT_SENTINEL, NO_TEXT_ELEMENTS
 from ..functions.text import PY_SPACE, UNI_SPACE
 
 # Derived views, written as DuckDB SQL (must match corpuskit.sources.derived).
@@ -73,13 +72,15 @@ def _decode_references_sql(s: str) -> str:
     numeric reference, a full name with ``;``, a legacy name, or the
     longest legacy prefix at the start of each piece (DuckDB list lambdas)."""
     import json
+    from html.entities import html5
 
-    from ..functions.html import LEGACY_MAX, c1_replacements, named_references
-
-    values, _, legacy = named_references()
+    values = {n.rstrip(";"): v for n, v in html5.items()}
+    legacy = [n for n in html5 if not n.endswith(";")]
+    # Windows-1252 text of the numbers 128 to 159; five of them have none
+    c1_text = {n: (chr(n) if n in (129, 141, 143, 144, 157) else bytes([n]).decode("cp1252")) for n in range(128, 160)}
     full = f"cast(json({_lit(json.dumps(values))}) as map(varchar, varchar))"
     leg = f"cast(json({_lit(json.dumps({n: values[n] for n in legacy}))}) as map(varchar, varchar))"
-    c1 = f"cast(json({_lit(json.dumps({str(k): v for k, v in c1_replacements().items()}))}) as map(varchar, varchar))"
+    c1 = f"cast(json({_lit(json.dumps({str(k): v for k, v in c1_text.items()}))}) as map(varchar, varchar))"
     # pr = [piece, numeric match, name candidate (with optional ;), name]
     body = "regexp_replace(pr[2], ';$', '')"
     is_hex = f"(starts_with({body}, '#x') or starts_with({body}, '#X'))"
@@ -87,9 +88,7 @@ def _decode_references_sql(s: str) -> str:
     cp = (f"(case when length({digits}) > (case when {is_hex} then 6 else 7 end) then 1114112 "
           f"when {digits} = '' then 0 "
           f"when {is_hex} then ('0x' || {digits})::bigint else {digits}::bigint end)")
-    num = (f"(case when {cp} = 38 then {_lit(AMP_SENTINEL)} when {cp} = 60 then {_lit(LT_SENTINEL)} "
-           f"when {cp} = 62 then {_lit(GT_SENTINEL)} "
-           f"when {cp} = 0 or {cp} > 1114111 or ({cp} >= 55296 and {cp} <= 57343) then chr(65533) "
+    num = (f"(case when {cp} = 0 or {cp} > 1114111 or ({cp} >= 55296 and {cp} <= 57343) then chr(65533) "
            f"when {cp} >= 128 and {cp} <= 159 then map_extract_value({c1}, {cp}::varchar) "
            f"when ({cp} between 1 and 8) or {cp} = 11 or ({cp} between 14 and 31) or {cp} = 127 "
            f"or ({cp} between 64976 and 65007) or ({cp} & 65534) = 65534 then '' "
@@ -97,7 +96,7 @@ def _decode_references_sql(s: str) -> str:
     prefix = " ".join(
         f"when length(pr[4]) > {k} and map_extract_value({leg}, left(pr[4], {k})) is not null "
         f"then map_extract_value({leg}, left(pr[4], {k})) || substr(pr[1], {k + 1})"
-        for k in range(LEGACY_MAX, 1, -1))
+        for k in range(max(map(len, legacy)), 1, -1))
     dec = (f"case when pr[2] <> '' then {num} || substr(pr[1], length(pr[2]) + 1) "
            f"when ends_with(pr[3], ';') and map_extract_value({full}, pr[4]) is not null "
            f"then map_extract_value({full}, pr[4]) || substr(pr[1], length(pr[3]) + 1) "
@@ -115,11 +114,13 @@ def _decode_references_sql(s: str) -> str:
 
 def html_to_text_sql(x: str) -> str:
     """The HTML text rule restated as DuckDB (RE2) regex and list steps."""
-    s = _decode_references_sql(f"coalesce({x}, '')")
-    blocks = "|".join(f"(?is)<{t}\\b[^>]*>.*?</{t}\\s*>" for t in NO_TEXT_ELEMENTS)
-    s = f"regexp_replace({s}, '(?s)<!--.*?-->|{blocks}', chr(1), 'g')"
-    s = f"regexp_replace({s}, '<[a-zA-Z/!?][^>]*>', chr(1), 'g')"
-    s = f"regexp_replace({s}, '[{PY_SPACE}]*\\x01[{PY_SPACE}\\x01]*', ' ', 'g')"
-    s = f"regexp_replace({s}, '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g')"
-    s = f"replace(replace(replace({s}, {_lit(LT_SENTINEL)}, '<'), {_lit(GT_SENTINEL)}, '>'), {_lit(AMP_SENTINEL)}, '&')"
-    return s
+    s = f"coalesce({x}, '')"
+    for t in ("script", "style", "template", "rt", "rp"):
+        end = f"(?:</{t}\\s*>|\\z)" if t in ("script", "style") else f"</{t}\\s*>"
+        cut = f"(?is)<{t}\\b[^>]*>.*?{end}"
+        # the first of comments and this element goes first, as they may hold one another
+        s = f"regexp_replace({s}, '(?s)<!--.*?-->|{cut}', chr(64976), 'g')"
+    s = f"regexp_replace({s}, '<[a-zA-Z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>|<[a-zA-Z/!?][^>]*>', chr(64976), 'g')"
+    s = _decode_references_sql(s)
+    s = f"regexp_replace({s}, '[{PY_SPACE}]*\\x{{FDD0}}[{PY_SPACE}\\x{{FDD0}}]*', ' ', 'g')"
+    return f"regexp_replace({s}, '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g')"

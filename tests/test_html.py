@@ -22,6 +22,9 @@ CASES = [
     ("&amp;lt; &copy &#233; &#x3c;b&#62;", "&lt; © é <b>"),
     ("<p> a &nbsp;</p><p>&#32;b</p>", "a b"),
     ("<p>\t\n</p><p>x</p>", "x"),
+    ("a\ue001b \ue000 \x01c", "a\ue001b \ue000 \x01c"),
+    ("<a title='x>y'>k</a> <b data=\"1>2\">m</b>", "k m"),
+    ("a &lt;script&gt; b<p title=\"it's\">c</p>", "a <script> b c"),
     ("<template><p>t</p></template>a<ruby>漢<rt>kan</rt></ruby>", "a 漢"),
     ("&unknown; &am &ampx", "&unknown; &am &x"),
     ("&notin; &notit; &alpha; &nvlt;b", "\u2209 \u00acit; \u03b1 <\u20d2b"),
@@ -61,3 +64,12 @@ def test_many_distinct_references_decode_in_one_pass(spark):
     got = df.select(html_to_text(F.col("h")).alias("t")).first().t
     assert got == parse_text(html)
     assert len(got) == 5000 + 1 + 1 + 4
+
+
+def test_script_without_end_runs_to_the_end(spark):
+    df = spark.createDataFrame([("a<script>var x = 1; <b>no</b>",), ("a<style>p{}",), ("<p don't>kept</p> it's",)], "h string")
+    assert [r.t for r in df.select(html_to_text(F.col("h")).alias("t")).collect()] == ["a", "a", "kept it's"]
+
+
+def test_parser_ends_annotations_with_their_ruby():
+    assert parse_text("<ruby>A<rt>x</ruby> tail") == "A tail"
