@@ -11,9 +11,11 @@ every link is confirmed on the full sets.
    confirmed links give first components.
 3. In buckets that still hold several components, the pairs across components
    are compared by signature inside tasks of bounded size (a larger bucket is
-   dealt out in blocks), and those that may reach the threshold are confirmed.
-   So no link between components is lost, and no bucket is expanded into its
-   pairs.
+   dealt out in blocks).  A row of the result lists the likely pairs of two
+   blocks of documents; each pair is listed for its first common band only.
+   The lists meet the sets of their documents by blocks, and a task confirms
+   pairs until their components are one.  So no link between components is
+   lost, and no bucket is expanded into rows of pairs.
 4. Sets for confirmation are computed again from the texts, only for classes
    with a candidate (a fixed-size bitmap tells most others).
 
@@ -41,10 +43,10 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 BLOCK = 1000         # rows that meet in one pairwise comparison
-LIKELY = 0.5         # share of equal coordinates below which 0.75 is out of the question (8 deviations)
+LIKELY = 0.57        # share of equal coordinates below which 0.75 is out of the question (4.7 deviations)
 BITMAP_BITS = 1 << 26
 
-SIGNED = "row long, doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, signature binary"
+SIGNED = "row long, doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, short_bands binary, signature binary"
 
 
 def _sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +100,8 @@ def _sign(batches, k: int):
         digest = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(size) + 1) * BANDS, BANDS), pa.int32()), pa.array(key.view(np.int64).reshape(-1)))
         yield pa.record_batch([pa.array(np.arange(row, row + len(size))), batch.column("doc_id"), batch.column("text_key"), pa.array(size), pa.array(digest, pa.binary()), bands,
-                               pa.array([x.tobytes() for x in signed.astype(np.uint8)], pa.binary())],
-                              names=["row", "doc_id", "text_key", "n_shingles", "digest", "bands", "signature"])
+                               pa.array([x.tobytes() for x in key.astype(np.uint32)], pa.binary()), pa.array([x.tobytes() for x in signed.astype(np.uint8)], pa.binary())],
+                              names=["row", "doc_id", "text_key", "n_shingles", "digest", "bands", "short_bands", "signature"])
         row += len(size)
 
 
@@ -122,28 +124,61 @@ def _full_sets(batches, k: int, bitmap):
         yield pa.record_batch([pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
 
-def _likely_pairs(members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one group, across components and (for two blocks) across
-    blocks, that may reach the threshold."""
-    members = members.drop_duplicates("node")
-    node, root, size, part = (members[c].to_numpy() for c in ("node", "root", "n", "part"))
+def _likely(members: pd.DataFrame) -> pd.DataFrame:
+    """One group (a bucket, or two parts of it): the pairs across components
+    that may reach the threshold, one row for each pair of blocks, and the
+    nodes in them."""
+    members = members.drop_duplicates("node").sort_values("node")
+    node, root, size, part, block = (members[c].to_numpy() for c in ("node", "root", "n", "part", "block"))
+    band, two = members["band"].iloc[0], len(np.unique(part)) > 1
     sign = np.frombuffer(b"".join(members["signature"]), np.uint8).reshape(len(members), -1)
-    two = len(np.unique(part)) > 1
-    found = []
+    keys = np.frombuffer(b"".join(members["short_bands"]), np.uint32).reshape(len(members), -1)
+    us, vs = [], []
     for i in range(len(node) - 1):
         j = np.arange(i + 1, len(node))
         j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i]))]
         if two:
             j = j[part[j] != part[i]]
-        if len(j):
-            j = j[(sign[j] == sign[i]).mean(axis=1) >= LIKELY]
-            found += [(min(node[i], node[x]), max(node[i], node[x])) for x in j]
-    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+        if not len(j):
+            continue
+        first = (keys[j] == keys[i]).argmax(axis=1) >= band  # else an earlier bucket has the pair
+        j = j[first & ((sign[j] == sign[i]).mean(axis=1) >= LIKELY)]
+        us.append(np.full(len(j), i))
+        vs.append(j)
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+    meet = pd.DataFrame({"lo": np.minimum(block[u], block[v]), "hi": np.maximum(block[u], block[v]), "us": node[u], "vs": node[v]})
+    rows = [(lo, hi, p["us"].to_numpy(), p["vs"].to_numpy(), np.union1d(p["us"], p["vs"])) for (lo, hi), p in meet.groupby(["lo", "hi"])]
+    return pd.DataFrame(rows, columns=["lo", "hi", "us", "vs", "nodes"])
+
+
+def _confirm(lists: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """Links of two blocks that join components not joined so far."""
+    at = {n: k for k, n in enumerate(sets["node"])}
+    values, up = sets["shingles"].tolist(), {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    root, links = sets["root"].to_numpy(), []
+    for us, vs in zip(lists["us"], lists["vs"]):
+        for u, v in zip(us, vs):
+            x, y = find(root[at[u]]), find(root[at[v]])
+            if x == y:
+                continue
+            a, b = values[at[u]], values[at[v]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                up[max(x, y)] = min(x, y)
+                links.append((min(u, v), max(u, v)))
+    return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, text_key (xxhash64 of the text), n_shingles,
-    component_id, links (confirmed links of its class), kept (doc_id =
+    component_id, links (confirmed links of its class that were needed to find the
+    component), kept (doc_id =
     component_id) and first (one row of each component)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
@@ -180,14 +215,24 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("left")).where("a != b")
     rest = labelled.select("bucket", "node", "n", "root").join(open_buckets.select("bucket", "left"), "bucket")
-    # a bucket of several blocks: each row meets its own block and every other block once
-    blocks = F.ceil(F.col("left") / BLOCK).cast("long")
-    part = F.pmod(F.xxhash64("node"), blocks)
-    rest = rest.select("bucket", "node", "n", "root", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    # a bucket of several parts: each row meets its own part and every other part once
+    parts = F.ceil(F.col("left") / BLOCK).cast("long")
+    part = F.pmod(F.xxhash64("node"), parts)
+    rest = rest.select("bucket", "node", "n", "root", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     rest = rest.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    rest = rest.join(nodes.select(F.col("row").alias("node"), "signature"), "node")
-    likely = rest.groupBy("bucket", "lo", "hi").applyInPandas(_likely_pairs, "u long, v long").distinct()
-    second = materialize(confirmed(materialize(likely, "likely")), "more-links")
+    # blocks of nodes that share a least centre, as likely partners do
+    near = members.groupBy("node").agg(F.min("centre").alias("label"))
+    wide = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    blocks = near.join(wide, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
+    held = materialize(nodes.select(F.col("row").alias("node"), "signature", "short_bands", "bands").join(blocks, "node"), "node-blocks")
+    rest = rest.join(held, "node").withColumn("band", F.array_position("bands", F.col("bucket")) - 1).drop("bands", "other")
+    lists = rest.groupBy("bucket", "lo", "hi").applyInPandas(_likely, "lo long, hi long, us array<long>, vs array<long>, nodes array<long>")
+    lists = materialize(lists, "likely")
+    wanted = lists.select("lo", "hi", F.explode("nodes").alias("node")).distinct()
+    labels = labelled.select("node", "root").distinct()
+    met = materialize(wanted.join(labels, "node").join(sets, "node"), "met-sets")
+    second = lists.drop("nodes").groupBy("lo", "hi").cogroup(met.groupBy("lo", "hi")).applyInPandas(_confirm, "u long, v long")
+    second = materialize(second.distinct(), "more-links")
     links = first.union(second).distinct()
     roots = materialize(components(links), "roots")
 
