@@ -213,5 +213,24 @@ g as (select rid, list(i) as gone from gone group by rid)
 select doc_id, coalesce(len(l), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
        sha256(case when gone is null then text else array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(gone, i)), lambda i: l[i]), chr(10)) end) as text_sha256
 from d left join g using (rid)
+""",
+    "op8_near_duplicates": r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+s as (
+  select rid, doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                           when len(w) > 0 then [array_to_string(w, ' ')] else [] end as sh
+  from d),
+x as (select rid, unnest(sh) as g from s),
+p as (select a.rid as u, b.rid as v, count(*) as n from x a join x b on a.g = b.g and a.rid < b.rid group by a.rid, b.rid),
+l as (
+  select u, v from p join s a on a.rid = u join s b on b.rid = v
+  where 100 * n >= 75 * (len(a.sh) + len(b.sh) - n)),
+e as (select u, v from l union select v, u from l),
+reach as (select rid as a, rid as b from d union select reach.a, e.v from reach join e on reach.b = e.u),
+c as (select a as rid, min(doc_id) as component_id from reach join d on d.rid = reach.b group by a)
+select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c using (rid)
 """,
 }
