@@ -25,6 +25,13 @@ def sample_throughput(samples: DataFrame) -> DataFrame:
         F.when(F.col("latency") > 0, F.col("num_tokens") / F.col("latency")).otherwise(F.lit(0.0)))
 
 
+def record_rouge(df: DataFrame, scores: str = "rouge") -> DataFrame:
+    """Score columns from a map of scores: no or an empty map means "not recorded" (NULL,
+    left out of the means), a map without a key counts as 0.0."""
+    pick = lambda k: F.when(F.size(F.coalesce(scores, F.create_map().cast("map<string,double>"))) > 0, F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0)))
+    return df.select("*", *[pick(k).alias(k) for k in ("rouge1_f1", "rouge2_f1", "rougeL_f1")]).drop(scores)
+
+
 def _mean(c: str):
     # mean over recorded values; an empty list reports 0.0
     return F.coalesce(F.avg(c), F.lit(0.0))

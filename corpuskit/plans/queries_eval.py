@@ -140,6 +140,22 @@ def methods_missing(spark, sf):
     return report.methods_missing(_configured(spark), derived.samples(spark, sf))
 
 
+@register("record_rouge", """
+    select l_orderkey * 10 + l_linenumber as sample_id,
+           case when l_discount > 0 then l_discount * 10 end as rouge1_f1,
+           case when l_discount > 0 then case when l_tax > 0 then l_tax * 10 else 0.0 end end as rouge2_f1,
+           case when l_discount > 0 then 0.0::double end as "rougeL_f1"
+    from lineitem""")
+def record_rouge(spark, sf):
+    """Scores given as a map: absent for some samples, without one key for
+    others, and never with the third."""
+    li = table(spark, sf, "lineitem")
+    one, two = F.map_from_arrays(F.array(F.lit("rouge1_f1")), F.array(F.col("l_discount") * 10)), F.create_map(
+        F.lit("rouge1_f1"), F.col("l_discount") * 10, F.lit("rouge2_f1"), F.col("l_tax") * 10)
+    scores = F.when(F.col("l_discount") > 0, F.when(F.col("l_tax") > 0, two).otherwise(one))
+    return report.record_rouge(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample_id"), scores.alias("rouge")))
+
+
 STEP_TIME_SQL = """coalesce((epoch_us(ts) - lag(epoch_us(ts)) over (partition by run_id order by ts, step))
                             / 1000.0, 0.0)"""
 

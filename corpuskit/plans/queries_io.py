@@ -96,6 +96,19 @@ def read_references_array(spark, sf):
     return _listed(spark, sf, None)
 
 
+@register("write_evaluation", """
+    select (row_number() over (order by conv_id, turn) - 1)::bigint as idx, text, count(*) over () as answers
+    from conversations where role = 'assistant'""")
+def write_evaluation(spark, sf):
+    """Metrics and responses written as one document; both parts read back."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
+    path = scratch_path(spark, "evaluation-json")
+    files.write_evaluation(c.agg(F.count("*").alias("answers")), c, path)
+    metrics = spark.read.schema("metrics struct<answers: bigint>").json(path).select("metrics.answers")
+    return files.read_predictions(spark, path, "responses").crossJoin(metrics)
+
+
 @register("scan_answers", with_views("select Id, ParentId, Body, Score from answers", "answers"))
 def scan_answers(spark, sf):
     """Answers written as a quoted multi-line CSV dump and scanned back with

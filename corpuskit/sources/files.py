@@ -115,6 +115,15 @@ def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
                   .drop("__pid", "__file", "__blk", "__pos", "__first", "__off"))
 
 
+def write_evaluation(metrics: DataFrame, responses: DataFrame, path: str, order: str = "idx", text: str = "text") -> None:
+    """One JSON document ``{"metrics": {...}, "responses": [...]}`` from a
+    one-row table and the responses in ``order``.  A single JSON value, so one
+    task writes it; corpora use :func:`write_jsonl`."""
+    listed = responses.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("responses"))
+    both = metrics.select(F.struct("*").alias("metrics")).crossJoin(listed)  # one row each
+    both.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
     """Result sink.  ``single_file`` is for one-row-per-method reports only;
     corpus outputs keep their partitioning."""

@@ -81,3 +81,10 @@ def test_reduction_without_its_baseline_is_null(spark):
     s = _samples(spark, [("a", 10, 2.0, 0.0, 0.0, 2000.0, 0.2, 0.0, 0.0, 0.1)])
     got = report.memory_reduction(report.report_summary(s), "method", "avg_gpu_memory_mb", "nobody").collect()
     assert [r.reduction_pct for r in got] == [None]
+
+
+def test_rouge_maps_absent_empty_and_partial(spark):
+    df = spark.sql("select 1 as id, map('rouge1_f1', 0.5D, 'rouge2_f1', 0.25D, 'rougeL_f1', 0.4D) as rouge union all "
+                   "select 2, map('rouge1_f1', 0.3D) union all select 3, cast(null as map<string,double>) union all select 4, cast(map() as map<string,double>)")
+    got = {r.id: (r.rouge1_f1, r.rouge2_f1, r.rougeL_f1) for r in report.record_rouge(df).collect()}
+    assert got == {1: (0.5, 0.25, 0.4), 2: (0.3, 0.0, 0.0), 3: (None, None, None), 4: (None, None, None)}
