@@ -109,7 +109,7 @@ def _predict(batches, names: list[str], shared):
         for bit in range(len(names)):
             hits = np.bincount(text, weights=((mask >> np.uint64(bit)) & np.uint64(1)).astype(np.float64), minlength=batch.num_rows)
             share[:, bit] = np.clip((hits - n * fill[bit]) / np.maximum(n * (1 - fill[bit]), 1e-9), 0, 1)
-        has_letter = np.array([any(map(str.isalpha, t)) if k == 0 and t else k > 0 for t, k in zip(_short(batch, n), n)], bool)
+        has_letter = _has_letter(batch.column("text"), raw, off)
         known = has_letter & bool(names)
         best = share.argmax(axis=1)
         lang = [names[b] if k else "und" for b, k in zip(best, known)]
@@ -117,10 +117,13 @@ def _predict(batches, names: list[str], shared):
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(lang, pa.string()), pa.array(score)], names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"])
 
 
-def _short(batch: pa.RecordBatch, n: np.ndarray):
-    """The text of rows without a trigram (to look for a letter), else None."""
-    column = batch.column("text")
-    return [column[i].as_py() if not k else None for i, k in enumerate(n.tolist())]
+def _has_letter(column: pa.Array, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """An ASCII letter, or else (looked up one by one) any other letter."""
+    upto = np.concatenate([[0], np.cumsum((ALPHABET[raw] > 0) & (raw < 0x80))])
+    found = upto[off[1:]] > upto[off[:-1]]
+    for i in np.flatnonzero(~found & (np.diff(off) > 0)):
+        found[i] = any(map(str.isalpha, column[int(i)].as_py() or ""))
+    return found
 
 
 def identify(docs: DataFrame, carry: list[str], model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:

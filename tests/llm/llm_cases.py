@@ -31,7 +31,8 @@ def texts(seed: int = 7) -> list[str | None]:
     out += base + [base[7], base[7], " ".join(near), base[8] + " tail", passage + "\n" + base[5], "x\n" + passage + "\ny z", passage]
     out += ["\n".join(["same line here"] * 30), "ab" * 3000, "word " * 4000, "### $$$ %%% " * 40, _prose(rng, 15_000, words)]
     out += ["Mail first.last@mail.example.com, ip 10.0.0.255 or 1.2.3.456, card 4111 1111 1111 1111 and +1 (234) 555-0199 x",
-            'key token = "9fceb02d0ae598e95dc970b74767f19372d61af8" end', "a@b.c_d@e.f 1.2.3.4.5 +49 30 1234567890123 4111-1111-1111-1112 é 000.001.02.3"]
+            'key token = "9fceb02d0ae598e95dc970b74767f19372d61af8" end', "a@b.c_d@e.f 1.2.3.4.5 +49 30 1234567890123 4111-1111-1111-1112 é 000.001.02.3",
+            "€€€ ½ … １２３ 😀 \u0301", "…ж…"]
     return out
 
 
