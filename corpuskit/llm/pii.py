@@ -1,8 +1,10 @@
 """Personal data by weak supervision (DataFrame expressions only).
 
 1. Base spans: e-mail, IP address, payment card and phone patterns with their
-   checks, all of which stay.  Further candidates are tokens of eight or more
-   characters that hold a digit and touch no base span.
+   checks, all of which stay.  Further candidates touch no base span: unbroken,
+   hyphenated or base64 tokens of eight or more characters that hold a digit;
+   six or more digits in groups (also an account number's, with letters); any
+   token, or quoted text, after an asked-for word and ``:`` or ``=``.
 2. Labelers vote on every span (yes, no, abstain): the patterns, two word lists
    (gazetteers), the characters around it, its shape, its variety.
 3. Expectation-maximisation over the counts of vote patterns (at most 3^5,
@@ -10,7 +12,7 @@
    probability of every pattern.
 4. A naive Bayes classifier over span features, trained on all spans weighted
    by those probabilities, decides on the further candidates; the accepted ones
-   are added with kind ``other``.
+   that lie in no wider accepted one are added with kind ``other``.
 
 Null or empty text: no span.  A text's spans come from that row alone, so
 repeated rows and null ids do no harm.  No span in the corpus: nothing added.
@@ -33,6 +35,15 @@ OTHER = "other"
 _SPAN = "array<struct<kind:string,lo:int,hi:int,match:string,before:string,after:string>>"
 _ON, _OFF = "\u0001", "\u0002"
 
+# Word lists (fixed values).
+ASKED = ("account", "address", "api", "auth", "card", "email", "fax", "iban", "key", "login", "mail", "mobile", "passport", "password", "phone", "secret", "ssn", "tel", "token", "user")
+UNITS = ("%", "cm", "days", "eur", "hours", "kb", "kg", "km", "mb", "mm", "px", "times", "usd", "years")
+COUNTED = ("chapter", "fig", "isbn", "line", "no", "page", "section", "table", "version", "vol")
+
+# What joins two groups of digits, and an asked-for word with what stands after it.
+_JOIN = r"(?: [-/] | ?[(\[]|[)\]][ ./-]?[(\[]?|[ ./-])"
+_AFTER_ASKED = rf"(?<=(?<![A-Za-z0-9])(?i:{'|'.join(ASKED)})[\"']? {{0,2}}[:=]{{1,2}}>? {{0,2}}[\"']?)"
+
 # Possessive forms of the contract's patterns: the same matches, without
 # backtracking or recursion over long runs.
 PATTERNS = {
@@ -41,13 +52,12 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     OTHER: r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{8,}+",
+    "joined": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?:[A-Za-z0-9_+/-]|(?<=[0-9+/])=|={1,2}(?![A-Za-z0-9_=])){8,}+",
+    "groups": rf"(?<![A-Za-z0-9_])(?:[A-Z]{{2}}[0-9]{{2}}(?:(?: ?[A-Z]{{4}})?+ ?[0-9A-Z]{{0,3}}[0-9][0-9A-Z]{{0,3}})++|[(\[]?[0-9]++(?:{_JOIN}[0-9]++)++)",
+    "asked": rf"{_AFTER_ASKED}(?![:=>])(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|(?:(?![,;&][A-Za-z_][A-Za-z0-9_.-]*+[:=])(?![.,;:)\]}}]{{1,4}}(?:[\s\"'<>]|\z))[^\s\"'<>])++)",
 }
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", OTHER: None}
-
-# Word lists (fixed values).
-ASKED = ("account", "address", "api", "auth", "card", "email", "fax", "iban", "key", "login", "mail", "mobile", "passport", "password", "phone", "secret", "ssn", "tel", "token", "user")
-UNITS = ("%", "cm", "days", "eur", "hours", "kb", "kg", "km", "mb", "mm", "px", "times", "usd", "years")
-COUNTED = ("chapter", "fig", "isbn", "line", "no", "page", "section", "table", "version", "vol")
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+MORE = (OTHER, "joined", "groups", "asked")  # patterns of the further candidates, all of kind other
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -59,7 +69,7 @@ def _found(text: Column, kind: str) -> Column:
         match = F.substring_index(x, _OFF, 1)
         rest = F.substring_index(x, _OFF, -1)
         n = F.length(match)
-        span = F.struct(F.lit(kind).alias("kind"), a["at"].alias("lo"), (a["at"] + n).alias("hi"), match.alias("match"), a["before"].alias("before"), F.substring(rest, 1, 8).alias("after"))
+        span = F.struct(F.lit(OTHER if kind in MORE else kind).alias("kind"), a["at"].alias("lo"), (a["at"] + n).alias("hi"), match.alias("match"), a["before"].alias("before"), F.substring(rest, 1, 8).alias("after"))
         return F.struct((a["at"] + F.length(x) - 1).alias("at"), F.right(rest, F.lit(24)).alias("before"), F.concat(a["spans"], F.array(span)).alias("spans"))
 
     def walk(parts: Column) -> Column:
@@ -68,8 +78,8 @@ def _found(text: Column, kind: str) -> Column:
         return F.aggregate(F.slice(parts, 2, F.size(parts)), start, add, lambda a: a["spans"])
 
     spans = F.element_at(F.transform(F.array(parts), walk), 1)  # the parts are bound once
-    need = NEEDS[kind]
-    return F.when(text.contains(need) if need else text.rlike("[0-9]"), spans).otherwise(F.array().cast(_SPAN))
+    need = NEEDS.get(kind)
+    return F.when(text.contains(need) if need else text.rlike("[:=]" if kind == "asked" else "[0-9]"), spans).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(match: Column) -> Column:
@@ -97,6 +107,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
+    if kind == "groups":
+        return F.length(_digits(match)) >= 6  # the labelers vote against fewer
     return F.lit(True)
 
 
@@ -104,6 +116,26 @@ def _holds(kind: str, s: Column) -> Column:
     return _valid(kind, s["match"])
 
 
+def _in_order(spans: Column) -> Column:
+    """By start, the widest first of those that start together."""
+    return F.array_sort(spans, lambda x, y: F.when(x["lo"] != y["lo"], x["lo"] - y["lo"]).otherwise(y["hi"] - x["hi"]))
+
+
+def _differing(spans: Column) -> Column:
+    """Spans in order; of those with one place, the first."""
+    def first(s: Column, i: Column, arr: Column) -> Column:
+        last = F.get(arr, i - 1)
+        return F.coalesce((last["lo"] != s["lo"]) | (last["hi"] != s["hi"]), F.lit(True))
+
+    return F.element_at(F.transform(F.array(_in_order(spans)), lambda arr: F.filter(arr, lambda s, i: first(s, i, arr))), 1)
+
+
+def _outermost(spans: Column) -> Column:
+    """Spans in order, without those that lie in another one."""
+    start = F.struct(F.lit(-1).alias("hi"), F.array().cast(_SPAN).alias("spans"))
+    return F.aggregate(_in_order(spans), start, lambda a, s: F.when(s["hi"] <= a["hi"], a).otherwise(F.struct(s["hi"].alias("hi"), F.concat(a["spans"], F.array(s)).alias("spans"))), lambda a: a["spans"])
+
+
 def of_kind(kind: str, s: Column) -> Column:
     return s["kind"] == kind
 
@@ -114,8 +146,9 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.when(text.rlike(f"[{_ON}{_OFF}]"), F.translate(text, _ON + _OFF, "\u0003\u0003")).otherwise(text)  # marks of its own would shift places
     step = docs.select(F.struct(*named(carry)).alias("doc"), plain.alias("_t"))
-    step = step.select("doc", *[_found(F.col("_t"), k).alias(k) for k in (*KINDS, OTHER)])
-    step = step.select("doc", F.concat(*[F.filter(k, functools.partial(_holds, k)) for k in KINDS]).alias("base"), OTHER)
+    step = step.select("doc", *[_found(F.col("_t"), k).alias(k) for k in (*KINDS, *MORE)])
+    held = lambda kinds: F.concat(*[F.filter(k, functools.partial(_holds, k)) for k in kinds])
+    step = step.select("doc", held(KINDS).alias("base"), _differing(held(MORE)).alias(OTHER))
     free = F.filter(OTHER, lambda s: ~F.exists("base", lambda b: (b["lo"] < s["hi"]) & (s["lo"] < b["hi"])))
     return step.select("doc", "base", free.alias("more"))
 
@@ -204,7 +237,7 @@ def detect(docs: DataFrame, carry: list[str]) -> DataFrame:
             score = score + _lookup(weight, 32 * j + f)
         return score >= 0
 
-    return found.select("doc", "base", F.filter("more", accepted).alias("added"))
+    return found.select("doc", "base", _outermost(F.filter("more", accepted)).alias("added"))
 
 
 def told(spans: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm import quality
 from corpuskit.llm.langid import identify, train
-from corpuskit.llm.pii import KINDS, detect, reliabilities, told
+from corpuskit.llm.pii import KINDS, detect, find_spans, reliabilities, told
 from corpuskit.llm.queries import QUERIES, URL_RULES
 from corpuskit.llm.urls import build_digest_array, filter_urls, probe
 
@@ -144,6 +144,32 @@ def test_personal_data_adds_secrets_and_leaves_words(spark):
     assert set(KINDS) == {s["kind"] for r in found for s in r["base"]}
 
 
+ASKED_FORMS = [("phone: ", "555-123-4567"), ("tel ", "(030) 123 4567"), ("ssn: ", "123-45-6789"), ("iban: ", "DE89 3704 0044 0532 0130 00"),
+               ("password: ", "correct_horse_Battery"), ("passport: ", "C01X00T"), ("key: ", "123e4567-e89b-12d3-a456-426614174000"), ('key = "', "two words")]
+
+
+def test_personal_data_candidates_are_whole(spark):
+    forms = [*ASKED_FORMS, ("x ", "aB3/xY9+kQ2=Zz8/pL4"), ("IBAN ", "GB29 NWBK 6016 1331 9268 19"), ("user=bob&token=", "ab"), ("a@b.co 10.0.0.1 ", "12345678901")]
+    docs = spark.createDataFrame([(i, f'Before. {b}{m}" and after.') for i, (b, m) in enumerate(forms)], "doc_id long, text string")
+    for r in find_spans(docs, ["doc_id"]).collect():
+        before, match = forms[r["doc"]["doc_id"]]
+        lo = len(f"Before. {before}")
+        assert (lo, lo + len(match), match) in {(s["lo"], s["hi"], s["match"]) for s in r["more"]}
+        assert not any(s["lo"] < b["hi"] and b["lo"] < s["hi"] for s in r["more"] for b in r["base"])
+
+
+def test_personal_data_accepts_usual_forms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    planted = [(-1 - i, f'Some words before this. {b}{re.sub("[0-9]", lambda d: str((int(d[0]) + i) % 10), m)}" and words after.', m) for i, (b, m) in enumerate(ASKED_FORMS * 10)]
+    got = detect(docs.unionByName(spark.createDataFrame([p[:2] for p in planted], docs.schema)), ["doc_id", "text"]).select("doc.*", "added").collect()
+    added = {r["doc_id"]: [s["match"] for s in r["added"]] for r in got if r["doc_id"] is not None and r["doc_id"] < 0}
+    hit = collections.Counter(m for i, t, m in planted if any(len(a) == len(m) and a in t for a in added[i]))
+    assert len(hit) == len(ASKED_FORMS) and min(hit.values()) >= 8
+    rest = [r for r in got if r["doc_id"] is None or r["doc_id"] >= 0]
+    assert all(m in [s["match"] for s in r["added"]] for r in rest for m in re.findall(r'token = "([0-9a-f]{40})"', r["text"] or ""))
+    assert not any(re.fullmatch("[0-9]{16}", s["match"]) for r in rest for s in r["added"])
+
+
 def test_reliabilities_follow_the_agreeing_labelers():
     def code(*v):
         out = 0
