@@ -149,6 +149,24 @@ def split_leakage(spark, sf):
     return split.split_leakage(leaking)
 
 
+@register("split_title_leakage", _split_sql("""
+    select question_title, count(distinct split) as n_splits from sp
+    group by question_title having count(distinct split) > 1"""))
+def split_title_leakage(spark, sf):
+    """The audit over the split that is handed out, by whole title: no rows."""
+    return split.split_leakage(split_df(spark, sf))
+
+
+@register("naive_split_leakage", _qa_sql("""
+    select question_title, count(distinct s) as n_splits
+    from (select question_title, case when substr(md5(question_body || answer), 1, 1) < '8' then 'train' else 'test' end as s from qa)
+    group by question_title having count(distinct s) > 1"""))
+def naive_split_leakage(spark, sf):
+    """The audit, by whole title, over a split that deals out single rows."""
+    naive = F.when(F.substring(F.md5(F.concat("question_body", "answer")), 1, 1) < "8", "train").otherwise("test")
+    return split.split_leakage(qa_pairs_df(spark, sf).withColumn("split", naive))
+
+
 @register("split_preview", _split_sql("""
     select split, count(*) as rows,
            arg_min(substr(question_body, 1, 300), (md5(question_title), md5(answer))) as question_preview,

@@ -59,3 +59,13 @@ def test_grouped_split_with_hot_title(spark):
     assert len(hot) == 1 and out.count() == 600
     per = {r.split: r.c for r in out.groupBy("split").agg(F.count_distinct("question_title").alias("c")).collect()}
     assert (per["train"], per["test"], per["val"]) == split.split_sizes(401)
+
+
+def test_registered_audit_reads_the_split_by_whole_title(spark, monkeypatch):
+    from corpuskit.plans import queries_prep
+    from corpuskit.plans.registry import all_queries
+
+    rows = [("abc one", "x", "train"), ("abc one", "y", "test"), ("abc two", "x", "train"), ("abc three", "x", "test")]
+    monkeypatch.setattr(queries_prep, "split_df", lambda spark, sf: spark.createDataFrame(rows, "question_title string, answer string, split string"))
+    got = all_queries()["split_title_leakage"](spark, "").collect()
+    assert [(r["question_title"], r["n_splits"]) for r in got] == [("abc one", 2)]
