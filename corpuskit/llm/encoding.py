@@ -25,9 +25,16 @@ _STOPS = np.frombuffer(b"!#$%&*,.:;?|", np.uint8)  # marks that no word or contr
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # marker strings inside a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
+
+
+def markers_of(tok) -> list[bytes] | None:
+    """The strings that the tokenizer takes out of a text before it splits
+    words; None if some are not found by their plain bytes alone."""
+    added = tok.get_added_tokens_decoder().values()
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+        return None
+    return [t.content.encode() for t in added if t.content]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +48,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def _cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Ascending piece boundaries, all text boundaries included."""
+def _cuts(raw: np.ndarray, off: np.ndarray, markers: list[bytes] | None) -> np.ndarray:
+    """Ascending piece boundaries, all text boundaries included (no other ones
+    if the markers cannot be told by their bytes)."""
     n = len(raw)
     if not n:
         return np.zeros(1, np.int64)
+    if markers is None:
+        return np.unique(off)
     lead = np.isin(raw, np.array(_WIDE_SPACE_LEADS, np.uint8))
     space = raw <= 0x20
     end_ok = ~space                    # a non-space character ends with this byte
@@ -67,6 +77,12 @@ def _cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     mark[blank] = True
     mark[feed] = True
     mark[feed + 1] = True
+    data = raw.tobytes() if markers else b""
+    for m in markers:
+        at = data.find(m)
+        while at >= 0:
+            mark[at + 1:at + len(m)] = False
+            at = data.find(m, at + 1)
     mark[off] = True
     return np.flatnonzero(mark)
 
@@ -76,6 +92,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
+        self.markers = markers_of(self.tok)
         self.reset()
 
     def reset(self) -> None:
@@ -106,7 +123,7 @@ class Encoder:
         raw, off = utf8(column)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        cuts = _cuts(raw, off)
+        cuts = _cuts(raw, off, self.markers)
         pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw))
         coded = pieces.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()

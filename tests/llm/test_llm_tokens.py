@@ -41,6 +41,47 @@ def test_pieces_encode_as_whole_texts_property(texts):
             assert ids[off[k]:off[k + 1]].tolist() == want
 
 
+MARKED = ["see <|endoftext|> here", "a<|endoftext|>b, c|d <|startoftext|>", "<|endoftext|>\nx\n<|endoftext|> y <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof", "text|> z", None, "é<|endoftext|>, é", "<|endoftext|"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_marked_texts_encode_as_the_files_own_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    texts = MARKED + C.texts()
+    ids, off = Encoder(path).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[off[k]:off[k + 1]].tolist() == own.encode(t or "", add_special_tokens=False).ids
+    assert ids[off[0]:off[1]].tolist() == ([3826, 220, 50256, 994] if path == BYTE else [862, 49407, 763])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", " ", "\n", ",", "'s", "é", "|", ">", "1", "\u3000"]), max_size=12).map("".join), max_size=4))
+def test_marked_texts_encode_as_whole_texts_property(texts):
+    from tokenizers import Tokenizer
+
+    for path in (BYTE, WORD):
+        own = Tokenizer.from_file(path)
+        ids, off = Encoder(path).encode(pa.array(texts, pa.string()))
+        for k, t in enumerate(texts):
+            assert ids[off[k]:off[k + 1]].tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_cuts_spare_added_tokens_that_bytes_do_not_tell():
+    from tokenizers import AddedToken
+
+    enc = Encoder(BYTE)
+    assert enc.markers == [b"<|endoftext|>"]
+    enc.tok = type(enc.tok).from_file(BYTE)
+    enc.tok.add_tokens([AddedToken("b c", lstrip=True)])
+    from corpuskit.llm.encoding import markers_of
+
+    enc.markers = markers_of(enc.tok)
+    ids, off = enc.encode(pa.array(["a b c d", "", "x, b c"]))
+    assert [ids[off[k]:off[k + 1]].tolist() for k in range(3)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in ("a b c d", "", "x, b c")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_plan_uses_every_piece_once(counts):
