@@ -107,6 +107,20 @@ def test_urls_match_brute_force(spark):
     assert {r["verdict"] for r in filter_urls(pages, [], default="block").collect()} == {"block"}
 
 
+def test_urls_match_brute_force_over_many_shards(spark, monkeypatch):
+    from corpuskit.llm import urls
+
+    build, built = urls.build_digest_array, []
+    monkeypatch.setattr(urls, "SHARD_ROWS", 100)
+    monkeypatch.setattr(urls, "build_digest_array", lambda listed: built.append(build(listed)) or built[0])
+    rules = [(("block", "allow")[i % 2], f"host{i}.net/{'p/' * (i % 3)}") for i in range(2000)]
+    asked = [f"http://{'www.' * (i % 2)}host{i}.net/{'p/' * (i % 4)}x" for i in range(0, 4000, 13)]
+    got = filter_urls(spark.createDataFrame(list(enumerate(asked)), "page_id long, url string"), rules).collect()
+    want = [(i, *brute(u, rules)) for i, u in enumerate(asked)]
+    assert len(built[0]) >= 15 and 50 < sum(w[3] is not None for w in want) < len(want)
+    assert sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got) == want
+
+
 def test_digest_collision_does_not_decide(spark, monkeypatch):
     from corpuskit.llm import urls
 
