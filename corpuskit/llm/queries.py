@@ -91,6 +91,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", F.col("lines_seen").alias("n_lines"), F.col("lines_gone").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.periodic import find_runs, periodic_tail
+
+    found = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], exponent=4, least=6, tail=periodic_tail)
+    longer = lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), longer)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    step = found.select("doc.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period")
+    return step.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.blockanchors import remove_passages
+
+    return remove_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.convtrie import prefix_trie, rebuilt
+
+    convs, turns = rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie(convs, turns).drop("a", "b")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -102,8 +128,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_passage_dedup": op12_passage_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
+# CRC-32 of a whole number's digits, bit by bit
+_CRC32 = ("xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}::varchar) + 1), lambda i: ascii(substr({0}::varchar, i::integer, 1))::bigint)),"
+          " lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))")
+
 SQL: dict[str, str] = {
     "op5_url_filter": r"""
 with parts as (
@@ -232,5 +265,64 @@ e as (select u, v from l union select v, u from l),
 reach as (select rid as a, rid as b from d union select reach.a, e.v from reach join e on reach.b = e.u),
 c as (select a as rid, min(doc_id) as component_id from reach join d on d.rid = reach.b group by a)
 select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c using (rid)
+""",
+    "op11_periodic_runs": rf"""
+with d as (
+  select row_number() over () as rid, doc_id, {_CRC32.format("doc_id")} as h,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w0
+  from documents),
+s as (select rid, doc_id, w0, len(w0)::bigint as n, h, (h // 10) % greatest(len(w0), 1) as a, h // 10 as g from d),
+r as (
+  select rid, doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(0, n), lambda i: w0[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) else w0 end as w
+  from s),
+x as (select rid, n, i, w[i + 1] as word from (select rid, n, w, unnest(range(0, n)) as i from r)),
+m as (select p.rid, p.i, q.i - p.i as q from x p join x q on p.rid = q.rid and p.word = q.word and q.i > p.i and 4 * (q.i - p.i) <= p.n),
+isl as (select rid, q, i, i - row_number() over (partition by rid, q order by i) as g from m),
+st as (select rid, q, min(i) as start, count(*) + q as length from isl group by rid, q, g having count(*) >= 3 * q and count(*) + q >= 6),
+runs as (select rid, start, length, min(q) as period from st group by rid, start, length),
+best as (
+  select rid, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines,
+         min(struct_pack(k := -(length::decimal(38, 15) / period), start := start, period := period, length := length)) as b
+  from runs group by rid),
+gone as (select distinct rid, unnest(range(start + period, start + length)) as i from runs),
+kept as (select rid, string_agg(word, ' ' order by i) as words from x where not exists (from gone where gone.rid = x.rid and gone.i = x.i) group by rid)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.start as start, b.length as length, b.period as period,
+       (1000 * b.length // b.period)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from r left join best using (rid) left join kept using (rid)
+""",
+    "op12_passage_dedup": r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+s as (select rid, doc_id, i, array_to_string(w[i:i + 12], ' ') as body from (select rid, doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+f as (select rid, i from (select *, min(doc_id) over (partition by body) as least from s) where doc_id > least),
+gone as (select rid, list(distinct p) as gone from (select rid, unnest(range(i, i + 13)) as p from f) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(case when gone is null then array_to_string(w, ' ')
+              else array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]), ' ') end) as kept_sha256
+from d left join gone using (rid)
+""",
+    "op13_conversation_trie": rf"""
+with c as (
+  select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first) as s
+  from conversations where conv_id is not null group by conv_id),
+k as (select conv_id, s, conv_id - conv_id % 20 as base, {_CRC32.format("conv_id")} % 4 as h from c),
+b as (select k.conv_id, list_concat(coalesce(o.s[1:k.h], []), k.s[k.h + 1:]) as s from k left join c o on o.conv_id = k.base),
+p as (
+  select conv_id, len(s) as n, d, array_to_string(list_transform(s[1:d], lambda x: md5(x.r || chr(0) || x.t)), '') as path,
+         case when d > 0 then len(list_filter(regexp_split_to_array(s[d].t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) else 0 end as words
+  from (select conv_id, s, unnest(range(0, len(s) + 1)) as d from b)),
+nodes as (
+  select path, d, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(words) as saved,
+         coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '') as ends
+  from p group by path, d),
+kids as (select left(path, 32 * (d - 1)::integer) as path, count(*) as n_children from nodes where d > 0 group by all),
+n2 as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (path)),
+up as (select left(path, 32 * a::integer) as path, saved, n_children from (select path, saved, n_children, unnest(range(0, d + 1)) as a from n2)),
+tot as (select path, sum(saved)::bigint as saved_tokens, count(*) filter (where n_children = 0) as n_leaves from up group by path)
+select n2.conv_id, n2.d::bigint as depth, o.conv_id as parent_conv_id, n2.n_convs, n2.n_children, n_leaves, saved_tokens, sha256(n2.ends) as ends_sha256
+from n2 join tot on tot.path = n2.path left join nodes o on n2.d > 0 and o.path = left(n2.path, 32 * (n2.d - 1)::integer)
 """,
 }
