@@ -13,12 +13,13 @@ a document with a smaller doc_id.
    matched as a whole (128-bit hash) with the least doc_id they start in.
    Neighbouring matched windows make the maximal repeats.
 
-Lookups go through bitmaps of a fixed size, which have no false negative: a
-chance hit only adds windows that the match of step 3 then drops.  No pair of
-places is ever formed: a window of a passage shared by many documents takes
-part in one grouped minimum (combined before the shuffle) and one join by
-window, whose hot keys Spark splits.  Equal texts are one class and only its
-least document goes through; the others repeat it wholly.
+Lookups go through Bloom filters of a fixed size, which have no false negative:
+a chance hit only adds windows that the match of step 3 then drops.  No pair of
+places is ever formed.  A task first matches its own windows: one that a smaller
+doc_id of the same task has is settled there, and of each other window the task
+sends one row with its starts.  So a passage shared by very many documents
+reaches the shuffle once per task, and no key is hot.  Equal texts are one class
+and only its least document goes through; the others repeat it wholly.
 
 Null or empty text: no words.  Fewer than ``length`` words: nothing removed.  A
 row without doc_id neither removes nor loses words.  Rows of equal doc_id do
@@ -32,7 +33,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import in_bitmap, in_slices, key_bitmap
@@ -41,9 +42,35 @@ from corpuskit.llm.textwords import grams, mix
 from corpuskit.session import materialize
 
 LENGTH = 13
-BITS = 1 << 27  # of each bitmap (16 MB)
+BITS = 1 << 28       # of each Bloom filter (32 MB)
+PROBES = 3           # bits of a key in it
+HELD = 1 << 21       # windows that a task matches together
 
-_WINDOWS = "doc_id long, key1 long, first int, w1 array<long>, w2 array<long>"
+_WINDOWS = "doc_id long, key1 long, w1 long, w2 long, starts array<int>, settled boolean"
+_SALTS = [0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B]
+
+
+def _bits_of(keys: np.ndarray) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        return [mix(keys + np.uint64(salt)) for salt in _SALTS[:PROBES]]
+
+
+def _spread(batches):
+    for batch in batches:
+        keys = np.concatenate(_bits_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        yield pa.record_batch([pa.array(keys.view(np.int64))], names=["bit"])
+
+
+def _bloom(keys: DataFrame, bits: int) -> bytes:
+    return key_bitmap(keys.mapInArrow(_spread, "bit long"), "bit", bits)
+
+
+def _in_bloom(bloom: bytes, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for bit in _bits_of(keys):
+        some = np.flatnonzero(out)
+        out[some] = in_bitmap(bloom, bit[some])
+    return out
 
 
 def _within(values: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,14 +96,14 @@ def _anchors(values: np.ndarray, first: np.ndarray, block: int, index, twice):
     """(places of all block-long windows, their texts, is a reference block, is an anchor)."""
     at, text = _within(values, first, block)
     own = (at - first[text]) % block == 0
-    hit = in_bitmap(index, values[at])
-    hit[own] = in_bitmap(twice, values[at[own]])
+    hit = _in_bloom(index, values[at])
+    hit[own] = _in_bloom(twice, values[at[own]])
     return at, text, own, hit
 
 
 def _going(batches, heads):
     for batch in in_slices(batches, "text"):
-        batch = batch.filter(pa.array(in_bitmap(heads, batch.column("need_key").to_numpy())))
+        batch = batch.filter(pa.array(_in_bloom(heads, batch.column("need_key").to_numpy().view(np.uint64))))
         if batch.num_rows:
             yield batch
 
@@ -94,31 +121,48 @@ def _probes(batches, block: int, heads, index, twice):
         yield pa.record_batch([pa.array(keys.view(np.int64))], names=["print"])
 
 
+def _matched(doc, key, start, one, two):
+    """Rows of _WINDOWS for the windows that a task holds together."""
+    order = np.lexsort((start, key, doc, two, one))
+    doc, key, start, one, two = doc[order], key[order], start[order], one[order], two[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    settled = doc > least
+    row = new.copy()
+    row[1:] |= (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    head = np.flatnonzero(row)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([head, [len(doc)]]), pa.int32()), pa.array(start, pa.int32()))
+    return pa.record_batch([pa.array(doc[head]), pa.array(key[head]), pa.array(one[head].view(np.int64)), pa.array(two[head].view(np.int64)), lists, pa.array(settled[head])],
+                           names=["doc_id", "key1", "w1", "w2", "starts", "settled"])
+
+
 def _windows(batches, block: int, length: int, heads, index, twice, met):
-    """The windows around every anchor, in runs of neighbours."""
+    """The windows around every anchor, matched within the task."""
+    held, n = [], 0
     for batch in _going(batches, heads.value):
         words, _ = spelled_words(batch.column("text"))
         first, hashes = words.first, words.hashes()
         values = grams(hashes, block)
         at, text, own, hit = _anchors(values, first, block, index.value, twice.value)
-        hit[own] |= in_bitmap(met.value, values[at[own]])
+        hit[own] |= _in_bloom(met.value, values[at[own]])
         at, text = at[hit], text[hit]
         lo = np.maximum(at - (length - block), first[text])
         hi = np.minimum(at, first[text + 1] - length)
         lo, hi = lo[hi >= lo], hi[hi >= lo]
-        mark = np.zeros(len(words) + 1, np.int64)
-        np.add.at(mark, lo, 1)
-        np.add.at(mark, hi + 1, -1)
+        mark = np.bincount(lo, minlength=len(words) + 1) - np.bincount(hi + 1, minlength=len(words) + 1)
         start = np.flatnonzero(np.cumsum(mark)[:-1])
         if not len(start):
             continue
         text = np.searchsorted(first, start, "right") - 1
-        head = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(text) != 0)]))
-        edge = pa.array(np.concatenate([head, [len(start)]]), pa.int32())
-        one, two = grams(hashes, length)[start], grams(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), length)[start]
-        rows = pa.array(text[head])
-        yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("key1").take(rows), pa.array((start - first[text])[head], pa.int32()),
-                               pa.ListArray.from_arrays(edge, pa.array(one.view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(two.view(np.int64)))], names=["doc_id", "key1", "first", "w1", "w2"])
+        doc, key = batch.column("doc_id").to_numpy()[text], batch.column("key1").to_numpy()[text]
+        held.append((doc, key, (start - first[text]).astype(np.int32), grams(hashes, length)[start], grams(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), length)[start]))
+        n += len(start)
+        if n >= HELD:
+            yield _matched(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield _matched(*map(np.concatenate, zip(*held)))
 
 
 def _cut(batches, length: int):
@@ -132,7 +176,7 @@ def _cut(batches, length: int):
                 gone[first[t + 1]] -= 1
             elif mine:
                 s = first[t] + np.array(mine)
-                np.add.at(gone, s, 1)
+                np.add.at(gone, s, 1)  # a text's starts may come more than once
                 np.add.at(gone, s + length, -1)
         stay = np.cumsum(gone)[:-1] == 0
         upto = np.concatenate([[0], np.cumsum(stay)])[first]
@@ -164,15 +208,16 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, bits: int = BITS) ->
     heads = classes.select(F.col("least").alias("doc_id"), "key1", "key2")
     entries = index.join(heads, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"]).select(F.explode("blocks").alias("print"))
     entries = materialize(entries.groupBy("print").count(), "index")
-    share = lambda df, column: spark.sparkContext.broadcast(key_bitmap(df, column, bits))
-    known = {"heads": share(heads.select(F.xxhash64("doc_id", "key1").alias("need_key")), "need_key"), "index": share(entries, "print"), "twice": share(entries.where("count > 1"), "print")}
+    share = lambda df: spark.sparkContext.broadcast(_bloom(df, bits))
+    known = {"heads": share(heads.select(F.xxhash64("doc_id", "key1"))), "index": share(entries.select("print")), "twice": share(entries.where("count > 1").select("print"))}
     keyed = named.select("doc_id", "key1", F.xxhash64("doc_id", "key1").alias("need_key"), "text")
     met = materialize(keyed.mapInArrow(functools.partial(_probes, block=block, **known), "print long"), "met")
-    places = materialize(keyed.mapInArrow(functools.partial(_windows, block=block, length=length, met=share(met, "print"), **known), _WINDOWS), "windows")
+    places = materialize(keyed.mapInArrow(functools.partial(_windows, block=block, length=length, met=share(met), **known), _WINDOWS), "windows")
 
-    flat = places.select("doc_id", "key1", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("nth", "w")).select("doc_id", "key1", (F.col("first") + F.col("nth")).alias("start"), "w.w1", "w.w2")
-    least = flat.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("w1", "w2", "least")
-    again = flat.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "key1").agg(F.collect_set("start").alias("starts"))
+    # at most one row of a window and task is left to match
+    least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
+    again = places.where("not settled").withColumn("least", least).where("doc_id > least").select("doc_id", "key1", "starts")
+    again = again.union(places.where("settled").select("doc_id", "key1", "starts")).groupBy("doc_id", "key1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     copies = classes.where("least < last").select("key1", "key2", "least")
     told = texts.join(again, ["doc_id", "key1"], "left").join(copies, ["key1", "key2"], "left")
     told = told.select("doc_id", "text", "starts", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("whole"))
