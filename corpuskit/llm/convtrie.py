@@ -60,13 +60,13 @@ def _carried(df: DataFrame, inside: list[Column], running: dict[str, Column], to
     and the total of the spans before (``add`` joins the two)."""
     span = Window.partitionBy("conv_id", "span").orderBy(*inside).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("conv_id", "span")
-    held = materialize(df.withColumns({k: c.over(span) for k, c in running.items()} | {f"_{k}": c.over(whole) for k, c in total.items()} | {"_nth": F.row_number().over(span)}), "spans")
+    held = materialize(df.withColumns({k: c.over(span) for k, c in running.items()} | {f"_{k}": c.over(whole) for k, c in total.items()} | {"_row": F.row_number().over(span)}), "spans")
     earlier = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     # a conversation within one span (nearly all) has no offset
-    several = held.where("_nth = 1").groupBy("conv_id").agg(F.count("*").alias("spans")).where("spans > 1").select("conv_id")
-    heads = held.where("_nth = 1").join(several, "conv_id", "left_semi")
+    several = held.where("_row = 1").groupBy("conv_id").agg(F.count("*").alias("spans")).where("spans > 1").select("conv_id")
+    heads = held.where("_row = 1").join(several, "conv_id", "left_semi")
     sums = heads.select("conv_id", "span", *[(F.sum if k == "nth" else F.bit_xor)(f"_{k}").over(earlier).alias(f"_off_{k}") for k in total])
-    joined = held.drop("_nth", *[f"_{k}" for k in total]).join(sums, ["conv_id", "span"], "left")
+    joined = held.drop("_row", *[f"_{k}" for k in total]).join(sums, ["conv_id", "span"], "left")
     return joined.withColumns({k: add(F.col(k), F.coalesce(F.col(f"_off_{k}"), F.lit(0).cast("long"))) for k in running}).drop("span", *[f"_off_{k}" for k in total])
 
 
@@ -92,33 +92,34 @@ def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def contract(nodes: DataFrame) -> DataFrame:
     """(a, b, n_children, n_leaves, saved_tokens) of every node of a forest
     from (a, b, pa, pb, saved): the parent of a root is null."""
-    active = nodes.select(*_KEY, *_PARENT, F.lit(0).cast("long").alias("n_leaves"), F.col("saved").cast("long").alias("saved_tokens"))
+    none = F.lit(0).cast("long")
+    # (the round is a column, so that all rounds run the same compiled code)
+    active = nodes.select(*_KEY, *_PARENT, none.alias("n_leaves"), F.col("saved").cast("long").alias("saved_tokens"), none.alias("round"))
     raked, spliced, children = [], [], None
     while True:
         kids = active.where("pa is not null").groupBy(*_PARENT).agg(F.count("*").alias("kids"))
         marked = active.join(_renamed(kids, {"pa": "a", "pb": "b", "kids": "kids"}), _KEY, "left")
         # a node without a child in the first round is a leaf; later ones hold what was raked before
-        leaf = F.when(F.col("kids").isNull() & F.lit(children is None), F.lit(1).cast("long")).otherwise(F.col("n_leaves"))
-        marked = materialize(marked.withColumn("n_leaves", leaf), "marked")
+        marked = marked.withColumn("n_leaves", F.when(F.col("kids").isNull() & (F.col("round") == 0), F.lit(1).cast("long")).otherwise(F.col("n_leaves")))
+        given = marked.where("kids is null and pa is not null").groupBy(*_PARENT).agg(*[F.sum(c).alias(f"_{c}") for c in _SUMS])
+        given = marked.join(_renamed(given, {"pa": "a", "pb": "b"} | {f"_{c}": f"_{c}" for c in _SUMS}), _KEY, "left")
+        after = materialize(given.select(*_KEY, *_PARENT, "kids", *[(F.col(c) + F.coalesce(f"_{c}", none)).alias(c) for c in _SUMS], (F.col("round") + 1).alias("round")), "raked")
+        raked.append(after.where("kids is null").select(*_KEY, *_SUMS))
         if children is None:
-            children = marked.select(*_KEY, F.coalesce("kids", F.lit(0).cast("long")).alias("n_children"))
-        off = marked.where("kids is null").select(*_KEY, *_PARENT, *_SUMS)
-        raked.append(off.select(*_KEY, *_SUMS))
-        given = off.where("pa is not null").groupBy(*_PARENT).agg(*[F.sum(c).alias(f"_{c}") for c in _SUMS])
-        left = marked.where("kids is not null").select(*_KEY, *_PARENT, *_SUMS).join(_renamed(given, {"pa": "a", "pb": "b"} | {f"_{c}": f"_{c}" for c in _SUMS}), _KEY, "left")
-        left = materialize(left.select(*_KEY, *_PARENT, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0).cast("long"))).alias(c) for c in _SUMS]), "left")
+            children = after.select(*_KEY, F.coalesce("kids", none).alias("n_children"))
+        left = after.where("kids is not null").drop("kids")
         if left.isEmpty():
             break
         only = left.where("pa is not null").groupBy(*_PARENT).agg(F.count("*").alias("kids"), F.min(F.struct(*_KEY)).alias("kid")).where("kids = 1")
         only = only.select(F.col("pa").alias("a"), F.col("pb").alias("b"), F.col("kid.a").alias("ka"), F.col("kid.b").alias("kb"))
-        order = lambda x, y: F.xxhash64(F.lit(len(raked)), x, y)
+        order = lambda x, y: F.xxhash64("round", x, y)
         least = (order("a", "b") < order("pa", "pb")) & (order("a", "b") < order("ka", "kb"))
         out = materialize(left.join(only, _KEY).where("pa is not null").where(least), "spliced")
         spliced.append(out)
         taken = out.select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.col("pa").alias("_pa"), F.col("pb").alias("_pb"), *[F.col(c).alias(f"_{c}") for c in _SUMS])
         rest = left.join(out.select(*_KEY), _KEY, "left_anti").join(taken, _KEY, "left")
         got = F.col("_pa").isNotNull()
-        active = rest.select(*_KEY, *[F.when(got, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in _PARENT], *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0).cast("long"))).alias(c) for c in _SUMS])
+        active = rest.select(*_KEY, *[F.when(got, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in _PARENT], *[(F.col(c) + F.coalesce(f"_{c}", none)).alias(c) for c in _SUMS], "round")
     totals = raked[0]
     for more in raked[1:]:
         totals = totals.union(more)
