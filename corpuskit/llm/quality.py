@@ -1,18 +1,24 @@
 """Quality rules with adaptive limits (DataFrame expressions only).
 
 Fixed cutoffs are replaced by limits from quantile sketches per language and
-source.  A sketch is a table of (bucket, count): a whole-number metric under
-1024 is its own bucket, a larger one keeps its ten leading bits (an error under
-0.2 %), so a sketch has a bounded number of rows, and sketches merge by adding
-counts.  Groups of fewer than ``MIN_DOCS`` documents use the sketch merged over
-their language, then over everything.
-
-A document fails if a metric is over ``q50 + max(margin, SPREAD * (q50 - q25))``
-of its group (mean word length: also under the mirrored limit).  The lower half
-gives the spread, so junk of nearly half a group does not widen its own limit.
-
-Null or empty text: no words, so the base rule rejects it.  Null language or
-source: a group like any other.  Any extra columns are carried as they are.
+source, over the documents that the base rules pass.  A sketch is a table of
+(bucket, count): a whole-number metric under 1024 is its own bucket, a larger
+one keeps its ten leading bits (an error under 0.2 %), so a sketch has a bounded
+number of rows, and sketches merge by adding counts (a language's is the sum of
+its groups', and so on).
+
+A document fails if a metric is over ``q50 + max(floor, spread * (upper - q50))``
+of its group, where ``upper`` is the metric's upper quantile (``METRICS``); the
+mean word length also under the mirrored limit.  Every quantile of a group is
+drawn towards its language's, and that one towards the whole corpus's, as if
+``PRIOR`` documents of that kind were added: one rule at every size, by which
+limits move smoothly as a group grows.  The floor only decides where a metric's
+spread is (nearly) zero.
+
+Null or empty text: no words, so the base rule rejects it.  Very long texts are
+measured whole, in the row.  Null language or source: a group like any other.
+Repeated rows count each.  An empty table gives an empty result.  Any extra
+columns are carried as they are.
 """
 
 from __future__ import annotations
@@ -23,10 +29,9 @@ from pyspark.sql import functions as F
 from corpuskit.llm.common import named
 from corpuskit.session import materialize
 
-# metric: smallest distance of the limit from the median (in the metric's unit)
-MARGINS = {"symbol_pm": 100, "dup_line_pm": 500, "repeat_pm": 400, "word_len_pc": 400}
-SPREAD, MIN_DOCS = 12, 200
-GROUPS_BROADCAST = 100_000  # (language, source) groups; beyond it the limits are shuffled
+# metric: upper quantile in eighths, spread, floor (smallest distance of the limit from the median, in the metric's unit)
+METRICS = {"symbol_pm": (6, 12, 100), "dup_line_pm": (7, 12, 400), "repeat_pm": (7, 32, 250), "word_len_pc": (6, 12, 50)}
+PRIOR = 30  # documents that the wider sketch counts for
 
 _LONG = "bigint"
 
@@ -78,47 +83,51 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): one mergeable sketch per group and metric."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(c).alias("bucket")) for m, c in _metrics().items()]))
-    return measured.where("n_words > 0").select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.metric").alias("metric"), F.col("p.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    return measured.where(~base_failed()).select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.metric").alias("metric"), F.col("p.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _of_metric(which: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x).cast(_LONG) if i else F.lit(x) for m, told in METRICS.items() for i, x in enumerate((m, told[which]))]), F.col("metric"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q25 and q50 of each sketch (a quantile is the first bucket at which
-    the running count reaches its share)."""
+def _quantiles(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """docs, lower quantile, median and upper quantile of each sketch (a quantile
+    is the first bucket at which the running count reaches its share)."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     run = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "metric")))
-    reach = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("docs"), reach(1).alias("q25"), reach(2).alias("q50"))
+    reach = lambda k: F.min(F.when(F.col("upto") * 8 >= F.col("total") * k, F.col("bucket")))
+    eighth = _of_metric(0)
+    return run.groupBy(*keys, "metric").agg(F.max("total").alias(f"docs{mark}"), reach(8 - eighth).alias(f"lo{mark}"), reach(F.lit(4)).alias(f"mid{mark}"), reach(eighth).alias(f"hi{mark}"))
 
 
 def limits(measured: DataFrame) -> DataFrame:
     """One row per (lang, source): ``low_<metric>`` and ``high_<metric>``."""
     own = materialize(sketches(measured), "sketches")
-    a, b, c = _quartiles(own, ["lang", "source"]), _quartiles(own, ["lang"]), _quartiles(own, [])
-    rename = lambda df, s: df.select(*[F.col(x) for x in df.columns if x in ("lang", "source", "metric")], *[F.col(x).alias(f"{x}{s}") for x in ("docs", "q25", "q50")])
-    by_lang = rename(b, "1").withColumnRenamed("lang", "lang1").withColumnRenamed("metric", "metric1")
-    all_ = rename(c, "2").withColumnRenamed("metric", "metric2")
-    joined = rename(a, "0").join(by_lang, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("metric") == F.col("metric1"))).join(all_, F.col("metric") == F.col("metric2"))
-    pick = lambda q: F.when(F.col("docs0") >= MIN_DOCS, F.col(f"{q}0")).when(F.col("docs1") >= MIN_DOCS, F.col(f"{q}1")).otherwise(F.col(f"{q}2"))
-    margin = F.element_at(F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv]), F.col("metric"))
-    reach = F.greatest(margin.cast(_LONG), SPREAD * (pick("q50") - pick("q25")))
-    told = joined.select("lang", "source", "metric", (pick("q50") - reach).alias("low"), (pick("q50") + reach).alias("high"))
-    return told.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in MARGINS for side in ("low", "high")])
+    by_lang = _quantiles(own, ["lang"], "1").withColumnsRenamed({"lang": "lang1", "metric": "metric1"})
+    all_ = _quantiles(own, [], "2").withColumnRenamed("metric", "metric2")
+    joined = _quantiles(own, ["lang", "source"], "0").join(by_lang, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("metric") == F.col("metric1"))).join(all_, F.col("metric") == F.col("metric2"))
+    drawn = lambda q: F.expr(f"(docs0 * {q}0 + {PRIOR} * ((docs1 * {q}1 + {PRIOR} * {q}2) div (docs1 + {PRIOR}))) div (docs0 + {PRIOR})")
+    told = joined.select("lang", "source", "metric", *[drawn(q).alias(q) for q in ("lo", "mid", "hi")])
+    reach = lambda spread: F.greatest(_of_metric(2), _of_metric(1) * spread)
+    told = told.select("lang", "source", "metric", (F.col("mid") - reach(F.col("mid") - F.col("lo"))).alias("low"), (F.col("mid") + reach(F.col("hi") - F.col("mid"))).alias("high"))
+    return told.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("low", "high")])
 
 
 def judge(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``doc`` (the carried columns), the counts, base_failed and kept."""
     measured = materialize(measure(docs, carry), "measured")
     told = materialize(limits(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "limits")
-    if told.count() <= GROUPS_BROADCAST:
-        told = F.broadcast(told)
     joined = measured.join(told, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     metrics = _metrics()
     within = metrics["word_len_pc"] >= F.col("low_word_len_pc")
     for m, c in metrics.items():
         within = within & (c <= F.col(f"high_{m}"))
-    return joined.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.coalesce(within, F.lit(False))).alias("kept"))
+    return joined.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & F.coalesce(within, F.lit(False))).alias("kept"))

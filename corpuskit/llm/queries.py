@@ -199,32 +199,31 @@ m as (
          (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
   from d left join r using (rid)),
 v as (
-  select *, case when n_words > 0 then 1000 * n_symbols // n_words end as v1, case when n_words > 0 then 1000 * n_dup_lines // n_lines end as v2,
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+         case when n_words > 0 then 1000 * n_symbols // n_words end as v1, case when n_words > 0 then 1000 * n_dup_lines // n_lines end as v2,
          case when n_words > 0 then 1000 * n_repeat_words // n_words end as v3, case when n_words > 0 then 100 * word_chars // n_words end as v4
   from m),
 x as (
   select lang, source, metric, (val >> greatest(0, length(bin(val)) - 10)) << greatest(0, length(bin(val)) - 10) as bucket
-  from (select lang, source, unnest([{'m': 1, 'v': v1}, {'m': 2, 'v': v2}, {'m': 3, 'v': v3}, {'m': 4, 'v': v4}]) as p from v where n_words > 0),
+  from (select lang, source, unnest([{'m': 1, 'v': v1}, {'m': 2, 'v': v2}, {'m': 3, 'v': v3}, {'m': 4, 'v': v4}]) as p from v where not base_failed),
        lateral (select p.m as metric, p.v as val)),
-q0 as (select lang, source, metric, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50 from x group by all),
-q1 as (select lang, metric, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50 from x group by all),
-q2 as (select metric, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50 from x group by all),
+q0 as (select lang, source, metric, count(*) as n, quantile_disc(bucket, [0.125, 0.25, 0.5, 0.75, 0.875]) as q from x group by all),
+q1 as (select lang, metric, count(*) as n, quantile_disc(bucket, [0.125, 0.25, 0.5, 0.75, 0.875]) as q from x group by all),
+q2 as (select metric, count(*) as n, quantile_disc(bucket, [0.125, 0.25, 0.5, 0.75, 0.875]) as q from x group by all),
 q as (
   select q0.lang, q0.source, q0.metric,
-         case when q0.n >= 200 then q0.q25 when q1.n >= 200 then q1.q25 else q2.q25 end as q25,
-         case when q0.n >= 200 then q0.q50 when q1.n >= 200 then q1.q50 else q2.q50 end as q50
+         list_transform([1, 2, 3, 4, 5], lambda i: (q0.n * q0.q[i] + 30 * ((q1.n * q1.q[i] + 30 * q2.q[i]) // (q1.n + 30))) // (q0.n + 30)) as q
   from q0 join q1 on q0.lang is not distinct from q1.lang and q0.metric = q1.metric join q2 on q0.metric = q2.metric),
 lim as (
-  select lang, source, metric, q50 - greatest([100, 500, 400, 400][metric], 12 * (q50 - q25)) as low,
-         q50 + greatest([100, 500, 400, 400][metric], 12 * (q50 - q25)) as high
+  select lang, source, metric, q[3] - greatest([100, 400, 250, 50][metric], [12, 12, 32, 12][metric] * (q[3] - q[[2, 1, 1, 2][metric]])) as low,
+         q[3] + greatest([100, 400, 250, 50][metric], [12, 12, 32, 12][metric] * (q[[4, 5, 5, 4][metric]] - q[3])) as high
   from q),
 p as (
   select lang, source, max(case metric when 1 then high end) as h1, max(case metric when 2 then high end) as h2,
          max(case metric when 3 then high end) as h3, max(case metric when 4 then high end) as h4, max(case metric when 4 then low end) as l4
   from lim group by all),
 j as (
-  select v.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-         coalesce(v1 <= h1 and v2 <= h2 and v3 <= h3 and v4 <= h4 and v4 >= l4, false) as within
+  select v.*, coalesce(v1 <= h1 and v2 <= h2 and v3 <= h3 and v4 <= h4 and v4 >= l4, false) as within
   from v left join p on v.lang is not distinct from p.lang and v.source is not distinct from p.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and within as kept from j
 """,
