@@ -36,6 +36,17 @@ def scan_qa(spark, sf):
 _PROMPT_SQL = "'Question: ' || question_title || chr(10) || question_body || chr(10) || 'Answer:'"
 
 
+@register("scan_qa_splits", with_views("select Id, Title, Body, Score from questions", "questions"))
+def scan_qa_splits(spark, sf):
+    """The questions as one multi-line CSV file, scanned back by splits."""
+    q = derived.questions(spark, sf).select(
+        "Id", F.lit(None).cast("long").alias("OwnerUserId"), F.lit(None).cast("string").alias("CreationDate"),
+        F.lit(None).cast("string").alias("ClosedDate"), "Score", "Title", "Body")
+    path = scratch_path(spark, "questions-one-csv")
+    files.write_qa_csv(q.coalesce(1), path)
+    return files.read_qa_csv_splits(spark, path, files.QUESTIONS_SCHEMA).select("Id", "Title", "Body", "Score")
+
+
 @register("scan_samples", with_views(
     f"select {_PROMPT_SQL} as prompt, answer from sp where split = 'test'", "questions", "answers",
     extra={"qa": QA_SQL_CTE, "sp": SPLIT_SQL_CTE}))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csvsplits import read_csv_splits
+
 QUESTIONS_SCHEMA = T.StructType([
     T.StructField("Id", T.LongType()), T.StructField("OwnerUserId", T.LongType()),
     T.StructField("CreationDate", T.StringType()), T.StructField("ClosedDate", T.StringType()),
@@ -25,18 +27,23 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 
 def read_qa_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Scan a Q&A CSV with an explicit schema (no inference pass).  A bad
-    UTF-8 byte decodes to U+FFFD.  Multi-line CSV files are not splittable,
-    so convert once to parquet (:func:`csv_to_parquet`) and query that."""
+    UTF-8 byte decodes to U+FFFD.  Spark's multi-line reader takes one task
+    per file; :func:`read_qa_csv_splits` takes one per split."""
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
+def read_qa_csv_splits(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of :func:`read_qa_csv` from any number of tasks per file."""
+    return read_csv_splits(spark, path, schema, CSV_OPTIONS)
+
+
 def write_qa_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items()
                                           if k not in ("multiLine", "mode")}).csv(path)
 
 
 def csv_to_parquet(spark: SparkSession, src: str, dst: str, schema: T.StructType) -> DataFrame:
-    read_qa_csv(spark, src, schema).write.mode("overwrite").parquet(dst)
+    read_qa_csv_splits(spark, src, schema).write.mode("overwrite").parquet(dst)
     return spark.read.parquet(dst)
 
 
