@@ -42,7 +42,7 @@ from corpuskit.llm.textwords import grams, mix
 from corpuskit.session import materialize
 
 LENGTH = 13
-BITS = 1 << 28       # of each Bloom filter (32 MB)
+BITS = 1 << 27       # of the index's Bloom filter (16 MB); the other three have a quarter of them each
 PROBES = 3           # bits of a key in it
 HELD = 1 << 21       # windows that a task matches together
 
@@ -208,11 +208,11 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, bits: int = BITS) ->
     heads = classes.select(F.col("least").alias("doc_id"), "key1", "key2")
     entries = index.join(heads, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"]).select(F.explode("blocks").alias("print"))
     entries = materialize(entries.groupBy("print").count(), "index")
-    share = lambda df: spark.sparkContext.broadcast(_bloom(df, bits))
-    known = {"heads": share(heads.select(F.xxhash64("doc_id", "key1"))), "index": share(entries.select("print")), "twice": share(entries.where("count > 1").select("print"))}
+    share = lambda df, size: spark.sparkContext.broadcast(_bloom(df, size))
+    known = {"heads": share(heads.select(F.xxhash64("doc_id", "key1")), bits // 4), "index": share(entries.select("print"), bits), "twice": share(entries.where("count > 1").select("print"), bits // 4)}
     keyed = named.select("doc_id", "key1", F.xxhash64("doc_id", "key1").alias("need_key"), "text")
     met = materialize(keyed.mapInArrow(functools.partial(_probes, block=block, **known), "print long"), "met")
-    places = materialize(keyed.mapInArrow(functools.partial(_windows, block=block, length=length, met=share(met), **known), _WINDOWS), "windows")
+    places = materialize(keyed.mapInArrow(functools.partial(_windows, block=block, length=length, met=share(met, bits // 4), **known), _WINDOWS), "windows")
 
     # at most one row of a window and task is left to match
     least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
