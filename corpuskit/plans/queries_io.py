@@ -13,7 +13,7 @@ from ..sources import derived, files
 from ..sources.tables import table
 from ..functions.text import PY_SPACE, whitespace_word_count
 from ..functions.time import epoch_micros
-from ..streaming import runs
+from ..streaming import runs, timers
 from .oracle import html_to_text_sql, with_views
 from .queries_eval import RUN_SUMMARY_SQL, STEP_TIME_SQL, SUMMARY_SQL, round_doubles, summary_df, _r
 from .queries_metrics import BLEU, R1, R2, RL, scores_sql
@@ -220,3 +220,26 @@ def step_times_stream(spark, sf):
     out, ck = scratch_path(spark, "step-times-stream"), scratch_path(spark, "step-times-ckpt")
     runs.run_to_table(runs.step_times_stream(steps, 2 * width / 1e6), out, ck, "append")
     return round_doubles(runs.read_table(spark, out))
+
+
+@register("step_times_timers", with_views(
+    f"select run_id, step, loss, round({STEP_TIME_SQL}, 6) as step_time_ms from steps", "steps"))
+def step_times_timers(spark, sf):
+    """Step times with event-time timers.  The events arrive as four slices of
+    time in the order 2, 1, 4, 3, one file per micro-batch, without any end
+    marker of a run; one heartbeat ends the log."""
+    events = table(spark, sf, "events")
+    us = epoch_micros(F.col("ts"))
+    span = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    src, width = scratch_path(spark, "timer-events"), (hi - lo) // 4 + 1
+    for arrival, part in enumerate((1, 0, 3, 2)):
+        events.filter(F.floor((us - F.lit(lo)) / F.lit(width)) == part).write.parquet(f"{src}/{arrival}")
+    # lateness: two slices; a run is over when it is silent for the whole span
+    beat = F.timestamp_micros(F.lit(hi + 8 * width)).cast(events.schema["ts"].dataType)
+    spark.range(1).select(*[beat.alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.parquet(f"{src}/4")
+    steps = runs.step_stream(spark, f"{src}/*/*.parquet", events.schema, max_files=1)
+    out, ck = scratch_path(spark, "step-timers"), scratch_path(spark, "step-timers-ckpt")
+    with timers.with_rocksdb(spark):
+        runs.run_to_table(timers.step_times_timers(steps, 2 * width / 1e6, 4 * width / 1e6), out, ck, "append")
+    return round_doubles(runs.read_table(spark, out))
