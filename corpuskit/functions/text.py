@@ -52,6 +52,9 @@ TREEBANK = (
 )
 
 
+BLEU_SPACE = r"[ \t\n\x{0B}\f\r]+"
+
+
 def bleu_tokens(col: Column) -> Column:
     """Lower-cased words and punctuation marks by the Treebank rules."""
     text = F.concat(F.lit(" "), F.lower(F.coalesce(col, F.lit(""))), F.lit(" "))

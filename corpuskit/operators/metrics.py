@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.stemming import stems
 from ..functions.text import bleu_tokens, rouge_tokens
 from ..session import materialize
+from .sentences import sentence_tokens
 
 ROUGE_ORDERS, BLEU_ORDERS = (1, 2), (1, 2, 3, 4)
 LOOKUP_TOKENS = 2_000_000  # stems that differ from their token; beyond it rows and stems are joined
@@ -68,6 +69,15 @@ def _counter(shared):
     return count
 
 
+BLEU_COUNTS = T.StructType([T.StructField(f"bleu_o{n}", T.LongType()) for n in BLEU_ORDERS])
+
+
+@F.pandas_udf(BLEU_COUNTS)
+def _bleu_matches(wr: pd.Series, wh: pd.Series) -> pd.DataFrame:
+    rows = [[overlap(a, b, n) for n in BLEU_ORDERS] for a, b in ((list(x), list(y)) for x, y in zip(wr, wh))]
+    return pd.DataFrame(rows, columns=BLEU_COUNTS.fieldNames())
+
+
 def _distinct_stems(tok: DataFrame) -> DataFrame:
     """(token, stem) of the distinct ROUGE tokens whose stem differs."""
     tokens = tok.select(F.explode(F.array_distinct(F.concat("__rt", "__ht"))).alias("token")).distinct()
@@ -154,9 +164,14 @@ def rouge_l(pairs: DataFrame, stem: bool = True) -> DataFrame:
     return pair_counts(pairs, stem).select("pair_id", _rouge_l_col())
 
 
-def bleu(pairs: DataFrame) -> DataFrame:
-    """Sentence BLEU per pair: ``pair_id, bleu``."""
-    return pair_counts(pairs, stem=False).select("pair_id", _bleu_col())
+def bleu(pairs: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
+    """Sentence BLEU per pair: ``pair_id, bleu``.  With learned
+    ``abbreviations`` full stops are words of their own only at sentence ends."""
+    if abbreviations is None:
+        return pair_counts(pairs, stem=False).select("pair_id", _bleu_col())
+    tok = sentence_tokens(pairs.select("pair_id", "reference", "hypothesis"), {"__wr": "reference", "__wh": "hypothesis"}, abbreviations)
+    counted = tok.select("pair_id", F.size("__wr").alias("rw"), F.size("__wh").alias("hw"), _bleu_matches("__wr", "__wh").alias("__c"))
+    return counted.select("pair_id", "rw", "hw", "__c.*").select("pair_id", _bleu_col())
 
 
 def per_sample_scores(pairs: DataFrame, stem: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ common subsequence)."""
 
 from __future__ import annotations
 
-from ..operators import metrics
+from ..operators import metrics, sentences
 from ..sources import derived
 from ..sources.tables import table
 from .oracle import VIEWS
@@ -193,3 +193,47 @@ def evaluate_responses(spark, sf):
     turn, including those without a hypothesis (no next conversation turn)."""
     refs = table(spark, sf, "conversations").select("conv_id", "turn")
     return round_doubles(metrics.evaluate_responses(derived.score_pairs(spark, sf), references=refs))
+
+
+# White-space words, their types and the abbreviations among them (see operators/sentences.py).
+_SPACED = lambda x: f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+_BARE = lambda w: f"regexp_replace({w}, '^[^\\p{{L}}\\p{{N}}.]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g')"
+_STOP = lambda b: f"regexp_matches({b}, '[^.]\\.$')"
+_TYPE = lambda b: f"(case when {_STOP(b)} then regexp_replace({b}, '\\.$', '') else {b} end)"
+
+
+def _abbreviation_ctes(source: str, text: str) -> str:
+    return f"""
+    aw as (select unnest({_SPACED(text)}) as w0 from {source}),
+    ab as (select {_BARE('w0')} as b from aw where {_BARE('w0')} <> ''),
+    ac as (select {_TYPE('b')} as type, count(*) filter ({_STOP('b')}) as p, count(*) filter (not {_STOP('b')}) as q from ab group by 1),
+    share_of as (select sum(p)::double / sum(p + q) as share from ac),
+    al as (select type, p, q, length(replace(type, '.', ''))::double as letters, length(type) - length(replace(type, '.', '')) + 1 as stops,
+                  2 * (p * (ln(0.99::double) - ln(share)) + q * (ln((1 - 0.99::double)) - ln(1 - share))) as r
+           from ac, share_of where p > 0 and share < 1 and regexp_matches(type, '\\p{{L}}')),
+    abbr as (select type as abbreviation, p as with_stop, q as without_stop, r * exp(-letters) * stops * pow(letters, -q::double) as score from al
+             where r * exp(-letters) * stops * pow(letters, -q::double) >= 0.3)"""
+
+
+def _sentence_words_sql(x: str) -> str:
+    word = f"case when {_STOP(_BARE('w'))} and i < len(ws) and list_contains(names, {_TYPE(_BARE('w'))}) then regexp_replace(w, '\\.([^\\p{{L}}\\p{{N}}.]*)$', '\ue000\\1') else w end"
+    joined = f"(select array_to_string(list_transform(ws, lambda w, i: {word}), ' ') from (select {_SPACED(x)} as ws))"
+    return f"list_transform({_words_sql(joined)}, lambda t: replace(t, '\ue000', '.'))"
+
+
+@register("sentence_abbreviations", f"with {_abbreviation_ctes('documents', 'text')} select abbreviation, with_stop, without_stop, round(score, 6) as score from abbr")
+def sentence_abbreviations(spark, sf):
+    """Abbreviations learned from the documents."""
+    return round_doubles(sentences.abbreviations(table(spark, sf, "documents"), "text"))
+
+
+@register("bleu_sentences", f"""with pairs as ({VIEWS['pairs']}), {_abbreviation_ctes('conversations', 'text')},
+    named as (select coalesce(list(abbreviation), []) as names from abbr),
+    tok as (select pair_id, {_sentence_words_sql('reference')} as wr, {_sentence_words_sql('hypothesis')} as wh from pairs, named),
+    scored as (select *, {_overlap_sql([1, 2, 3, 4], 'wr', 'wh')} from tok)
+    select pair_id, {BLEU} as bleu from scored""")
+def bleu_sentences(spark, sf):
+    """BLEU with full stops split off at sentence ends only; abbreviations are
+    learned from all turns."""
+    learned = sentences.abbreviations(table(spark, sf, "conversations"), "text")
+    return round_doubles(metrics.bleu(derived.score_pairs(spark, sf), learned))
