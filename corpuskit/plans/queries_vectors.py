@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import blocks, vectors
 from ..sources import derived
 from .oracle import VIEWS
 from .queries_eval import round_doubles
@@ -57,6 +57,15 @@ def distill_loss(spark, sf):
     return round_doubles(vectors.distill_loss(derived.logits(spark, sf), T, ALPHA))
 
 
+@register("distill_loss_blocks", DISTILL_SQL)
+def distill_loss_blocks(spark, sf):
+    """The same loss from two tables of vocabulary blocks (8 entries each, so
+    that a position has several)."""
+    logits = derived.logits(spark, sf)
+    student, teacher = blocks.to_blocks(logits, "student", 8), blocks.to_blocks(logits, "teacher", 8)
+    return round_doubles(blocks.distill_loss_blocks(student, teacher, logits.select("sample_id", "pos", "label"), 8, T, ALPHA))
+
+
 @register("temperature_sweep", SWEEP_SQL)
 def temperature_sweep(spark, sf):
     return round_doubles(vectors.temperature_sweep(derived.logits(spark, sf), SWEEP, ALPHA))
