@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import in_bitmap, in_slices, key_bitmap
+from corpuskit.llm.common import in_bitmap, in_slices, key_bitmap, partitions
 from corpuskit.llm.components import components
 from corpuskit.llm.textwords import WHITE, Words, grams, mix
 from corpuskit.session import materialize
@@ -44,6 +44,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 BLOCK = 1000         # rows that meet in one pairwise comparison
 LIKELY = 0.57        # share of equal coordinates below which 0.75 is out of the question (4.7 deviations)
+PAIRS_A_TASK = 1 << 22  # pairs that one task of the pairwise comparison should hold
+MOST_TASKS = 100_000
 BITMAP_BITS = 1 << 26
 
 SIGNED = "row long, doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, short_bands binary, signature binary"
@@ -128,15 +130,16 @@ def _likely(members: pd.DataFrame) -> pd.DataFrame:
     """One group (a bucket, or two parts of it): the pairs across components
     that may reach the threshold, one row for each pair of blocks, and the
     nodes in them."""
-    members = members.drop_duplicates("node").sort_values("node")
+    members = members.drop_duplicates("node").sort_values(["n", "node"])
     node, root, size, part, block = (members[c].to_numpy() for c in ("node", "root", "n", "part", "block"))
     band, two = members["band"].iloc[0], len(np.unique(part)) > 1
     sign = np.frombuffer(b"".join(members["signature"]), np.uint8).reshape(len(members), -1)
     keys = np.frombuffer(b"".join(members["short_bands"]), np.uint32).reshape(len(members), -1)
     us, vs = [], []
+    upto = np.searchsorted(size * PERCENT, 100 * size, "right")  # larger sets than that are out of reach
     for i in range(len(node) - 1):
-        j = np.arange(i + 1, len(node))
-        j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i]))]
+        j = np.arange(i + 1, upto[i])
+        j = j[root[j] != root[i]]
         if two:
             j = j[part[j] != part[i]]
         if not len(j):
@@ -226,7 +229,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     blocks = near.join(wide, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
     held = materialize(nodes.select(F.col("row").alias("node"), "signature", "short_bands", "bands").join(blocks, "node"), "node-blocks")
     rest = rest.join(held, "node").withColumn("band", F.array_position("bands", F.col("bucket")) - 1).drop("bands", "other")
-    lists = rest.groupBy("bucket", "lo", "hi").applyInPandas(_likely, "lo long, hi long, us array<long>, vs array<long>, nodes array<long>")
+    # tasks by the pairs they compare, not by the bytes they read
+    pairs = open_buckets.agg(F.coalesce(F.sum(F.col("left").cast("double") * F.col("left")), F.lit(0.0)).alias("pairs")).first()["pairs"]
+    tasks = int(min(MOST_TASKS, max(partitions(spark), pairs // PAIRS_A_TASK)))
+    lists = rest.repartition(tasks, "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInPandas(_likely, "lo long, hi long, us array<long>, vs array<long>, nodes array<long>")
     lists = materialize(lists, "likely")
     wanted = lists.select("lo", "hi", F.explode("nodes").alias("node")).distinct()
     labels = labelled.select("node", "root").distinct()
