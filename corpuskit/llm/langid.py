@@ -12,7 +12,11 @@ for the language's false-positive rate (measured from its filled positions) and
 the largest share decides.
 
 Null text, or one without a letter: ``und``, score 0.  No labelled text: every
-text is ``und``.  Only text and language are ever read; up to 64 languages.
+text is ``und``.  Equal shares: the first name.  Only text and language are
+ever read.  Bitmasks have as many 64-bit words as the languages need, so any
+number of labels works (8 MB of filter per 64); a label with little text keeps
+all its trigrams above the rate.  Very long texts are read whole, in pieces of
+rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +33,7 @@ from corpuskit.llm.encoding import utf8
 from corpuskit.session import materialize
 
 RATE, SHARE = 1e-5, 0.25
-SLOTS, PROBES = 1 << 20, 3  # positions of the filter (8 MB of bitmasks) and positions per trigram
-MAX_LANGUAGES = 64
+SLOTS, PROBES = 1 << 20, 3  # positions of the filter (8 MB per word of a bitmask) and positions per trigram
 
 
 def _alphabet() -> np.ndarray:
@@ -77,24 +80,26 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, filter, false-positive rates) from columns text, lang.
 
     All texts are counted; what reaches the driver is at most 1 / RATE
-    trigrams of each of at most 64 languages."""
+    trigrams of each language, language by language."""
     texts = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
     counts = texts.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "trigrams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(total, "lang").select("lang", "code", (F.col("n") / F.col("total")).alias("rate"), "n")
     best = F.max("rate").over(Window.partitionBy("code"))  # at most one row per language
-    kept = rated.withColumn("best", best).where((F.col("rate") >= RATE) & (F.col("rate") >= SHARE * F.col("best")) & (F.col("n") > 1))
-    names = sorted(r["lang"] for r in total.select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table, fill = np.zeros(SLOTS, np.uint64), np.zeros(len(names))
-    rows = kept.select("lang", "code").toArrow()
-    langs, codes = np.array(rows["lang"].to_pylist(), object), rows["code"].to_numpy()
-    for bit, name in enumerate(names):
-        for at in _positions(codes[langs == name]):
-            table[at] |= np.uint64(1 << bit)
-        fill[bit] = ((table >> np.uint64(bit)) & np.uint64(1)).mean() ** PROBES
+    kept = rated.withColumn("best", best).where((F.col("rate") >= RATE) & (F.col("rate") >= SHARE * F.col("best"))).select("lang", "code")
+    names = sorted(r["lang"] for r in total.select("lang").collect())
+    table, fill = np.zeros((max(1, -(-len(names) // 64)), SLOTS), np.uint64), np.zeros(len(names))
+    rows = kept.toArrow()
+    place = {name: k for k, name in enumerate(names)}
+    of, codes = np.fromiter((place[x] for x in rows["lang"].to_pylist()), np.int64, len(rows)), rows["code"].to_numpy()
+    order = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[order], np.arange(len(names) + 1))
+    for k in range(len(names)):
+        word, bit = table[k // 64], np.uint64(k % 64)
+        for at in _positions(codes[order[edge[k]:edge[k + 1]]]):
+            word[at] |= np.uint64(1) << bit
+        fill[k] = ((word >> bit) & np.uint64(1)).mean() ** PROBES
     return names, table, fill
 
 
@@ -103,11 +108,12 @@ def _predict(batches, names: list[str], shared):
     for batch in in_slices(batches, "text"):
         raw, off = utf8(batch.column("text"))
         code, text = trigrams(raw, off)
-        mask = functools.reduce(np.bitwise_and, (table[at] for at in _positions(code)))
+        places = _positions(code)
+        masks = [functools.reduce(np.bitwise_and, (word[at] for at in places)) for word in table]
         n = np.bincount(text, minlength=batch.num_rows)
         share = np.zeros((batch.num_rows, max(len(names), 1)))
         for bit in range(len(names)):
-            hits = np.bincount(text, weights=((mask >> np.uint64(bit)) & np.uint64(1)).astype(np.float64), minlength=batch.num_rows)
+            hits = np.bincount(text, weights=((masks[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(np.float64), minlength=batch.num_rows)
             share[:, bit] = np.clip((hits - n * fill[bit]) / np.maximum(n * (1 - fill[bit]), 1e-9), 0, 1)
         has_letter = _has_letter(batch.column("text"), raw, off)
         known = has_letter & bool(names)

@@ -38,6 +38,38 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in identify(docs, ["doc_id"], nothing).collect()} == {"und"}
 
 
+def test_language_of_a_hundred_labels_matches_brute_force(spark):
+    """More labels than one 64-bit mask holds; every label has its own letters,
+    and shares are those of exact sets (the filter is corrected for chance)."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    pairs = list(itertools.combinations("abcdefghijklmnopqrst", 3))[:100]
+    prose = lambda k, n: " ".join("".join(rng.choice(pairs[k]) for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    labelled = [(prose(k, 400), f"l{k:03d}") for k in range(100)] + [(prose(7, 1), "few")]
+    model = train(spark.createDataFrame(labelled, "text string, lang string"))
+    assert len(model[0]) == 101 and model[1].shape[0] == 2
+    asked = [(k, prose(k, 40)) for k in range(100)]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(asked, "doc_id long, text string"), ["doc_id"], model).collect()}
+
+    def grams(text):
+        t = f"{text}"
+        return [t[i:i + 3] for i in range(len(t) - 2) if t[i + 1] != " "]
+
+    seen = {lang: collections.Counter(g for text, x in labelled if x == lang for g in grams(text)) for lang in model[0]}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in seen.items()}
+    best = collections.Counter()
+    for r in rate.values():
+        for g, x in r.items():
+            best[g] = max(best[g], x)
+    sets = {lang: {g for g, x in r.items() if x >= 1e-5 and x >= 0.25 * best[g]} for lang, r in rate.items()}
+    for k, text in asked:
+        mine = grams(text)
+        want = max(sum(g in s for g in mine) / len(mine) for s in sets.values())
+        assert got[k]["score"] == pytest.approx(want, abs=0.02) and got[k]["lang_pred"] == f"l{k:03d}"
+
+
 def counts(text):
     t = text or ""
     w = C.white_words(t)
@@ -70,6 +102,29 @@ def test_quality_limits_follow_the_group(spark):
     assert got[2001]  # a small group uses its language's sketch, whose median is between
 
 
+def test_quality_has_no_step_in_the_size_of_a_group(spark):
+    """A symbol-rich clean source beside a plain one of its language: its
+    documents stay at 150, 199, 200 and 250 documents alike."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    marked = " ".join(f"word{i}" + ("#" if i % 3 == 0 else "") for i in range(80))
+    for n in (150, 199, 200, 250):
+        data = [(i, plain, "en", "plain") for i in range(1000)] + [(2000 + i, marked, "en", "code") for i in range(n)]
+        got = quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), ["doc_id"])
+        assert got.where("kept").count() == 1000 + n
+
+
+def test_quality_limits_differ_and_keep_labelled_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    measured = quality.measure(docs, ["doc_id"])
+    told = quality.limits(measured).collect()
+    for m in ("repeat_pm", "word_len_pc"):
+        assert len({r[f"high_{m}"] for r in told}) > 10
+    judged = quality.judge(docs, ["doc_id"]).select("doc.doc_id", "base_failed", "kept").join(labels, "doc_id").where("not base_failed")
+    by = {(r["quality"], r["kept"]): r["n"] for r in judged.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    assert by.get((1, False), 0) == 0 and by[1, True] > 3000 and by.get((0, True), 0) == 0 and by[0, False] > 200
+
+
 def test_sketches_merge_by_adding(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = quality.measure(docs, ["doc_id"]).persist()
