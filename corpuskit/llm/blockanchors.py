@@ -42,11 +42,12 @@ from corpuskit.llm.textwords import grams, mix
 from corpuskit.session import materialize
 
 LENGTH = 13
-BITS = 1 << 27       # of the index's Bloom filter (16 MB); the other three have a quarter of them each
+BITS = 1 << 28       # of the index's Bloom filter (32 MB); the other four have an eighth of them each
 PROBES = 3           # bits of a key in it
 HELD = 1 << 21       # windows that a task matches together
 
 _WINDOWS = "doc_id long, key1 long, w1 long, w2 long, starts array<int>, settled boolean"
+_CUT = "doc_id long, n_words long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary"
 _SALTS = [0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B]
 
 
@@ -194,6 +195,20 @@ def _cut(batches, length: int):
         yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(upto)), lists, pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
+def _touched(batches, touched):
+    for batch in batches:
+        yield batch.filter(pa.array(_in_bloom(touched.value, batch.column("key1").to_numpy().view(np.uint64))))
+
+
+def _untouched(batches, length: int, touched):
+    for batch in batches:
+        batch = batch.filter(pa.array(~_in_bloom(touched.value, batch.column("key1").to_numpy().view(np.uint64))))
+        n = batch.num_rows
+        if n:
+            none, no = pa.nulls(n, pa.list_(pa.int32())), pa.array(np.zeros(n, bool))
+            yield from _cut([pa.record_batch([batch.column("doc_id"), batch.column("text"), none, no], names=["doc_id", "text", "starts", "whole"])], length)
+
+
 def remove_passages(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, spans (maximal removed runs of
     words, end exclusive) and kept (the other words, one space between)."""
@@ -207,18 +222,23 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, bits: int = BITS) ->
     classes = materialize(index.groupBy("key1", "key2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), "classes")
     heads = classes.select(F.col("least").alias("doc_id"), "key1", "key2")
     entries = index.join(heads, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"]).select(F.explode("blocks").alias("print"))
-    entries = materialize(entries.groupBy("print").count(), "index")
+    often = materialize(entries.groupBy("print").count().where("count > 1").select("print"), "repeated-blocks")
     share = lambda df, size: spark.sparkContext.broadcast(_bloom(df, size))
-    known = {"heads": share(heads.select(F.xxhash64("doc_id", "key1")), bits // 4), "index": share(entries.select("print"), bits), "twice": share(entries.where("count > 1").select("print"), bits // 4)}
+    known = {"heads": share(heads.select(F.xxhash64("doc_id", "key1")), bits // 8), "index": share(index.select(F.explode("blocks").alias("print")), bits), "twice": share(often, bits // 8)}
     keyed = named.select("doc_id", "key1", F.xxhash64("doc_id", "key1").alias("need_key"), "text")
     met = materialize(keyed.mapInArrow(functools.partial(_probes, block=block, **known), "print long"), "met")
-    places = materialize(keyed.mapInArrow(functools.partial(_windows, block=block, length=length, met=share(met, bits // 4), **known), _WINDOWS), "windows")
+    places = materialize(keyed.mapInArrow(functools.partial(_windows, block=block, length=length, met=share(met, bits // 8), **known), _WINDOWS), "windows")
 
     # at most one row of a window and task is left to match
     least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
     again = places.where("not settled").withColumn("least", least).where("doc_id > least").select("doc_id", "key1", "starts")
     again = again.union(places.where("settled").select("doc_id", "key1", "starts")).groupBy("doc_id", "key1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    again = materialize(again, "repeated-starts")
     copies = classes.where("least < last").select("key1", "key2", "least")
-    told = texts.join(again, ["doc_id", "key1"], "left").join(copies, ["key1", "key2"], "left")
+    # only texts that may lose words are shuffled, to meet their starts
+    touched = share(again.select("key1").union(copies.select("key1")), bits // 8)
+    rest = texts.select("doc_id", "key1", "text").mapInArrow(functools.partial(_untouched, length=length, touched=touched), _CUT)
+    held = texts.mapInArrow(functools.partial(_touched, touched=touched), texts.schema)
+    told = held.join(again, ["doc_id", "key1"], "left").join(copies, ["key1", "key2"], "left")
     told = told.select("doc_id", "text", "starts", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("whole"))
-    return told.mapInArrow(functools.partial(_cut, length=length), "doc_id long, n_words long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return told.mapInArrow(functools.partial(_cut, length=length), _CUT).union(rest)

@@ -15,7 +15,9 @@
    that lie in no wider accepted one are added with kind ``other``.
 
 Null or empty text: no span.  A text's spans come from that row alone, so
-repeated rows and null ids do no harm.  No span in the corpus: nothing added.
+repeated rows and null ids do no harm.  Very long texts are read whole; places
+are added up in chunks, so that work grows nearly linearly with a text's spans.
+No span in the corpus: nothing added.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from corpuskit.llm.common import named
 from corpuskit.session import materialize
 
+CHUNK = 256  # spans whose places are added up together
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
 _SPAN = "array<struct<kind:string,lo:int,hi:int,match:string,before:string,after:string>>"
@@ -40,6 +43,9 @@ ASKED = ("account", "address", "api", "auth", "card", "email", "fax", "iban", "k
 UNITS = ("%", "cm", "days", "eur", "hours", "kb", "kg", "km", "mb", "mm", "px", "times", "usd", "years")
 COUNTED = ("chapter", "fig", "isbn", "line", "no", "page", "section", "table", "version", "vol")
 
+# A short number, or one of a card's length that fails the card's check.
+UNCHECKED = "^[0-9]{1,10}$|^[0-9](?:[ -]?[0-9]){12,18}$"
+
 # What joins two groups of digits, and an asked-for word with what stands after it.
 _JOIN = r"(?: [-/] | ?[(\[]|[)\]][ ./-]?[(\[]?|[ ./-])"
 _AFTER_ASKED = rf"(?<=(?<![A-Za-z0-9])(?i:{'|'.join(ASKED)})[\"']? {{0,2}}[:=]{{1,2}}>? {{0,2}}[\"']?)"
@@ -60,24 +66,50 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MORE = (OTHER, "joined", "groups", "asked")  # patterns of the further candidates, all of kind other
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, zero: Column, op) -> Column:
+    """Running ``op`` (sum, greatest or least) over an array of whole numbers,
+    its own value included.  Appending to an array copies it, so values are
+    carried on within chunks of ``CHUNK`` and over the chunks' last values:
+    the work stays nearly linear in texts of very many spans."""
+    def carried(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), lambda acc, v: F.concat(acc, F.array(op(F.coalesce(F.get(acc, F.size(acc) - 1), zero), v))))
+
+    def chunked(vs: Column) -> Column:
+        count = F.floor((F.size(vs) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda c: carried(F.slice(vs, c * CHUNK + 1, F.lit(CHUNK))))
+
+    def joined(runs: Column) -> Column:
+        tops = carried(F.transform(runs, lambda r: F.element_at(r, -1)))
+        return _bound(tops, lambda ts: F.flatten(F.transform(runs, lambda r, c: F.transform(r, lambda x: op(F.coalesce(F.get(ts, c - 1), zero), x)))))
+
+    return _bound(values, lambda vs: F.when(F.size(vs) == 0, F.array().cast("array<int>")).otherwise(F.when(F.size(vs) <= CHUNK, carried(vs)).otherwise(_bound(chunked(vs), joined))))
+
+
 def _found(text: Column, kind: str) -> Column:
     """All leftmost, non-overlapping matches, with their place in code points:
     matches are put between two marks and the text is cut at the marks."""
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_ON}$0{_OFF}"), _ON)
+    rest = lambda x: F.substring_index(x, _OFF, -1)  # noqa: E731  (all of the first part, which has no mark)
+
+    def spans_of(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda x, i: F.length(x) - F.when(i == 0, 0).otherwise(1))
 
-    def add(a: Column, x: Column) -> Column:
-        match = F.substring_index(x, _OFF, 1)
-        rest = F.substring_index(x, _OFF, -1)
-        n = F.length(match)
-        span = F.struct(F.lit(OTHER if kind in MORE else kind).alias("kind"), a["at"].alias("lo"), (a["at"] + n).alias("hi"), match.alias("match"), a["before"].alias("before"), F.substring(rest, 1, 8).alias("after"))
-        return F.struct((a["at"] + F.length(x) - 1).alias("at"), F.right(rest, F.lit(24)).alias("before"), F.concat(a["spans"], F.array(span)).alias("spans"))
+        def placed(ends: Column) -> Column:
+            def span(i: Column) -> Column:
+                x, lo = F.get(parts, i), F.get(ends, i - 1)
+                match = F.substring_index(x, _OFF, 1)
+                return F.struct(F.lit(OTHER if kind in MORE else kind).alias("kind"), lo.alias("lo"), (lo + F.length(match)).alias("hi"), match.alias("match"),
+                                F.right(rest(F.get(parts, i - 1)), F.lit(24)).alias("before"), F.substring(rest(x), 1, 8).alias("after"))
+            return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), span)
 
-    def walk(parts: Column) -> Column:
-        head = F.get(parts, F.lit(0))
-        start = F.struct(F.length(head).alias("at"), F.right(head, F.lit(24)).alias("before"), F.array().cast(_SPAN).alias("spans"))
-        return F.aggregate(F.slice(parts, 2, F.size(parts)), start, add, lambda a: a["spans"])
+        return _bound(running(sizes, F.lit(0), lambda a, x: a + x), placed)
 
-    spans = F.element_at(F.transform(F.array(parts), walk), 1)  # the parts are bound once
+    spans = _bound(parts, lambda ps: F.when(F.size(ps) > 1, spans_of(ps)).otherwise(F.array().cast(_SPAN)))
     need = NEEDS.get(kind)
     return F.when(text.contains(need) if need else text.rlike("[:=]" if kind == "asked" else "[0-9]"), spans).otherwise(F.array().cast(_SPAN))
 
@@ -118,7 +150,7 @@ def _holds(kind: str, s: Column) -> Column:
 
 def _in_order(spans: Column) -> Column:
     """By start, the widest first of those that start together."""
-    return F.array_sort(spans, lambda x, y: F.when(x["lo"] != y["lo"], x["lo"] - y["lo"]).otherwise(y["hi"] - x["hi"]))
+    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["lo"].alias("lo"), (-s["hi"]).alias("hi"), s.alias("s")))), lambda x: x["s"])
 
 
 def _differing(spans: Column) -> Column:
@@ -132,8 +164,27 @@ def _differing(spans: Column) -> Column:
 
 def _outermost(spans: Column) -> Column:
     """Spans in order, without those that lie in another one."""
-    start = F.struct(F.lit(-1).alias("hi"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(_in_order(spans), start, lambda a, s: F.when(s["hi"] <= a["hi"], a).otherwise(F.struct(s["hi"].alias("hi"), F.concat(a["spans"], F.array(s)).alias("spans"))), lambda a: a["spans"])
+    def kept(arr: Column) -> Column:
+        far = running(F.transform(arr, lambda s: s["hi"]), F.lit(-1), F.greatest)
+        return _bound(far, lambda ends: F.filter(arr, lambda s, i: F.coalesce(s["hi"] > F.get(ends, i - 1), F.lit(True))))
+
+    return _bound(_in_order(spans), kept)
+
+
+def _free(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``, by one sweep over both in order:
+    the farthest end of a base span before, and the nearest start of one after."""
+    far, none = F.lit(-1), F.lit(2_147_483_647)
+    item = lambda s, own: F.struct(s["lo"].alias("lo"), F.lit(own).alias("own"), (-s["hi"]).alias("hi"), s.alias("s"))
+    items = F.array_sort(F.concat(F.transform(base, lambda s: item(s, 0)), F.transform(spans, lambda s: item(s, 1))))
+
+    def swept(arr: Column) -> Column:
+        ends = running(F.transform(arr, lambda x: F.when(x["own"] == 0, -x["hi"]).otherwise(far)), far, F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(arr, lambda x: F.when(x["own"] == 0, x["lo"]).otherwise(none))), none, F.least))
+        free = lambda x, i, e, s: (x["own"] == 1) & (F.get(e, i) <= x["lo"]) & (F.get(s, i) >= -x["hi"])
+        return F.transform(_bound(ends, lambda e: _bound(starts, lambda s: F.filter(arr, lambda x, i: free(x, i, e, s)))), lambda x: x["s"])
+
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(_bound(items, swept))
 
 
 def of_kind(kind: str, s: Column) -> Column:
@@ -149,8 +200,7 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     step = step.select("doc", *[_found(F.col("_t"), k).alias(k) for k in (*KINDS, *MORE)])
     held = lambda kinds: F.concat(*[F.filter(k, functools.partial(_holds, k)) for k in kinds])
     step = step.select("doc", held(KINDS).alias("base"), _differing(held(MORE)).alias(OTHER))
-    free = F.filter(OTHER, lambda s: ~F.exists("base", lambda b: (b["lo"] < s["hi"]) & (s["lo"] < b["hi"])))
-    return step.select("doc", "base", free.alias("more"))
+    return step.select("doc", "base", _free(F.col(OTHER), F.col("base")).alias("more"))
 
 
 def _votes(span: Column) -> list[Column]:
@@ -159,7 +209,7 @@ def _votes(span: Column) -> list[Column]:
     digits, distinct = F.length(_digits(match)), F.size(F.array_distinct(F.split(match, "")))
     vote = lambda yes, no: F.when(yes, 2).when(no, 0).otherwise(1)
     return [
-        vote(span["kind"] != OTHER, match.rlike("^[0-9]{1,10}$")),
+        vote(span["kind"] != OTHER, match.rlike(UNCHECKED)),
         vote(before.rlike(rf"\b({'|'.join(ASKED)})\b[^a-z0-9]*$"), after.rlike(rf"^ ?({'|'.join(UNITS)})\b")),
         vote(before.rlike("[=:] ?[\"']?$"), before.rlike(rf"\b({'|'.join(COUNTED)})\b[. ]*$")),
         vote((digits >= 9) | match.rlike("^(?i)[0-9a-f]{16,}$"), digits <= 5),
@@ -168,6 +218,7 @@ def _votes(span: Column) -> list[Column]:
 
 
 LABELERS = 5
+SURE, MOST = 0.99, 0.85  # reliability of the labeler that is right by construction; the most that another can earn, so that two do not outvote it
 
 
 def _pattern(span: Column) -> Column:
@@ -188,25 +239,34 @@ def _features(span: Column) -> list[Column]:
         F.when(before.rlike("[\"'=:]$"), 0).when(before.rlike("[ \\n]$"), 1).when(F.length(before) == 0, 2).otherwise(3),
         F.least(F.size(F.array_distinct(F.split(match, ""))), F.lit(31)),
         F.when(F.lower(before).rlike(rf"\b({'|'.join(ASKED)})\b[^a-z0-9]*$"), 1).otherwise(0),
+        F.when(match.rlike(UNCHECKED), 1).otherwise(0),
     ]
 
 
 def reliabilities(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """Probability of 'personal' for each vote pattern, by EM over the pattern
-    counts; the start is the share of yes among the votes that were given."""
+    counts.  A labeler has one reliability, the probability that a vote it
+    gives is right; an abstention says nothing.
+
+    What the classes mean is held fast, whatever is common in the corpus: the
+    first labeler, which tells checked patterns from numbers that fail the
+    check, is right by construction and keeps ``SURE``; a span of a base
+    pattern is personal; and the others earn between one half and ``MOST``.
+    """
     votes = {p: [p // 3 ** (LABELERS - 1 - j) % 3 for j in range(LABELERS)] for p in counts}
-    belief = {p: (0.5 + v.count(2)) / (1.0 + v.count(2) + v.count(0)) for p, v in votes.items()}
-    total = sum(counts.values())
+    sure = {p for p, v in votes.items() if v[0] == 2}
+    belief = {p: SURE if p in sure else (0.5 + v.count(2)) / (1.0 + v.count(2) + v.count(0)) for p, v in votes.items()}
+    open_ = [(p, n) for p, n in counts.items() if p not in sure]  # base spans are in no doubt, so the prior is of the others
     for _ in range(rounds):
-        prior = (1 + sum(n * belief[p] for p, n in counts.items())) / (2 + total)
-        seen = [[[1.0] * 3 for _ in range(2)] for _ in range(LABELERS)]
+        prior = min(0.5, (1 + sum(n * belief[p] for p, n in open_)) / (2 + sum(n for _, n in open_)))  # never a vote for
+        right, given = [1.0] * LABELERS, [2.0] * LABELERS
         for (p, n), j in itertools.product(counts.items(), range(LABELERS)):
-            seen[j][1][votes[p][j]] += n * belief[p]
-            seen[j][0][votes[p][j]] += n * (1 - belief[p])
-        for p, v in votes.items():
-            odds = math.log(prior / (1 - prior))
-            for j in range(LABELERS):
-                odds += math.log(seen[j][1][v[j]] / sum(seen[j][1])) - math.log(seen[j][0][v[j]] / sum(seen[j][0]))
+            if votes[p][j] != 1:
+                right[j] += n * (belief[p] if votes[p][j] == 2 else 1 - belief[p])
+                given[j] += n
+        weight = [math.log(SURE / (1 - SURE))] + [min(math.log(MOST / (1 - MOST)), max(0.0, math.log(right[j] / max(given[j] - right[j], 1e-9)))) for j in range(1, LABELERS)]
+        for p, _ in open_:
+            odds = math.log(prior / (1 - prior)) + sum(w * (v - 1) for w, v in zip(weight, votes[p]))
             belief[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return belief
 
@@ -224,10 +284,13 @@ def detect(docs: DataFrame, carry: list[str]) -> DataFrame:
     if not counts:
         return found.select("doc", "base", F.array().cast(_SPAN).alias("added"))
     belief = reliabilities(counts)
+    # the classifier decides on further candidates, and those train it
+    open_ = spans.where(F.col("s.kind") == OTHER)
     parts = F.explode(F.array(*[32 * j + f for j, f in enumerate(_features(F.col("s")))]))
-    trained = spans.select("s", _lookup(belief, _pattern(F.col("s"))).alias("w")).select("w", parts.alias("f")).groupBy("f").agg(F.sum("w").alias("yes"), F.sum(1 - F.col("w")).alias("no")).collect()
-    yes = sum(n * belief[p] for p, n in counts.items())
-    no = sum(counts.values()) - yes
+    trained = open_.select("s", _lookup(belief, _pattern(F.col("s"))).alias("w")).select("w", parts.alias("f")).groupBy("f").agg(F.sum("w").alias("yes"), F.sum(1 - F.col("w")).alias("no")).collect()
+    asked = [(n, belief[p]) for p, n in counts.items() if p // 3 ** (LABELERS - 1) != 2]
+    yes = sum(n * b for n, b in asked)
+    no = sum(n for n, _ in asked) - yes
     weight = {r["f"]: math.log((r["yes"] + 1) / (yes + 32)) - math.log((r["no"] + 1) / (no + 32)) for r in trained}
     prior = math.log((yes + 1) / (no + 1))
 

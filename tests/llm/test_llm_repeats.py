@@ -128,7 +128,7 @@ def same_passages(df, docs, **kw):
     return want
 
 
-@pytest.mark.parametrize("bits", [1 << 17, 1 << 22])  # the small bitmap is nearly full: chance hits decide nothing
+@pytest.mark.parametrize("bits", [1 << 18, 1 << 22])  # the small bitmap is nearly full: chance hits decide nothing
 def test_passages_match_brute_force(spark, bits):
     docs = C.table(spark, null_ids=True, repeats=True)
     same_passages(docs, [(r["doc_id"], r["text"]) for r in docs.collect()], bits=bits)
