@@ -138,14 +138,16 @@ def _likely(members: pd.DataFrame) -> pd.DataFrame:
     us, vs = [], []
     upto = np.searchsorted(size * PERCENT, 100 * size, "right")  # larger sets than that are out of reach
     for i in range(len(node) - 1):
-        j = np.arange(i + 1, upto[i])
-        j = j[root[j] != root[i]]
+        after = slice(i + 1, max(upto[i], i + 1))
+        asked = root[after] != root[i]
         if two:
-            j = j[part[j] != part[i]]
+            asked &= part[after] != part[i]
+        if band:  # else an earlier bucket has the pair
+            asked &= ~(keys[after, :band] == keys[i, :band]).any(axis=1)
+        j = np.flatnonzero(asked) + i + 1
         if not len(j):
             continue
-        first = (keys[j] == keys[i]).argmax(axis=1) >= band  # else an earlier bucket has the pair
-        j = j[first & ((sign[j] == sign[i]).mean(axis=1) >= LIKELY)]
+        j = j[(sign[j] == sign[i]).mean(axis=1) >= LIKELY]
         us.append(np.full(len(j), i))
         vs.append(j)
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
