@@ -3,7 +3,7 @@ length filter, prompt/training text rendering, previews and contracts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_text
@@ -170,3 +170,29 @@ def pairing_stats(questions: DataFrame, answers: DataFrame, *, min_answer_chars:
         F.coalesce(F.sum(F.length("answer")), F.lit(0)).cast("long").alias("answer_chars_after"),
         F.coalesce(F.sum(F.length("q_body")), F.lit(0)).cast("long").alias("body_chars_before"),
         F.coalesce(F.sum(F.length("body")), F.lit(0)).cast("long").alias("body_chars_after"))
+
+
+def observed_clean(df: DataFrame, raw_col: str, clean_col: str, min_chars: int) -> tuple[DataFrame, Observation]:
+    """The rows that :func:`clean_stats` counts as kept, and an observation
+    that holds its figures once any action has run the returned table: the
+    figures ride on the plan that does the work, with no second scan."""
+    seen = Observation()
+    after = F.length(clean_col)
+    told = df.observe(seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(after > min_chars).alias("rows_out"), F.count_if(after <= min_chars).alias("rows_dropped"),
+                      F.coalesce(F.sum(F.length(raw_col)), F.lit(0)).alias("chars_before"), F.coalesce(F.sum(after), F.lit(0)).alias("chars_after"))
+    return told.where(after > min_chars), seen
+
+
+def observed_contract(pairs: DataFrame, prediction: str = "prediction", reference: str = "reference") -> tuple[DataFrame, Observation]:
+    """Positionally paired rows (a full join, so either side may be null) with
+    the counts of both sides observed as they pass: ``n_pred`` and ``n_ref``."""
+    seen = Observation()
+    return pairs.observe(seen, F.count(prediction).alias("n_pred"), F.count(reference).alias("n_ref")), seen
+
+
+def check_contract(seen: Observation) -> dict:
+    """The observed counts; raises if they differ or no reference passed."""
+    told = seen.get
+    if told["n_pred"] != told["n_ref"] or not told["n_ref"]:
+        raise ValueError(f"{told['n_pred']} predictions for {told['n_ref']} references")
+    return told

@@ -102,3 +102,13 @@ def split_leakage(df: DataFrame, title: str = "question_title", split_col: str =
     """Titles found in more than one split (must be empty)."""
     return (df.groupBy(title).agg(F.count_distinct(split_col).alias("n_splits"))
               .filter(F.col("n_splits") > 1))
+
+
+def split_audit(df: DataFrame, title: str = "question_title", split_col: str = "split") -> DataFrame:
+    """Per split: rows, distinct titles, and titles that also stand in another
+    split.  Two grouped counts: a title is reduced to its splits before any
+    row meets another, so a hot title is no hot key."""
+    per = df.groupBy(title, split_col).agg(F.count(F.lit(1)).alias("rows"))
+    several = per.groupBy(title).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(title, "__t")
+    told = per.join(several, F.col(title).eqNullSafe(F.col("__t")))
+    return told.groupBy(split_col).agg(F.sum("rows").alias("rows"), F.count(title).alias("titles"), F.count_if((F.col("__n") > 1) & F.col(title).isNotNull()).alias("leaking_titles"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_to_text
 from ..operators import prep, split
+from ..session import materialize
 from ..sources import derived
 from ..sources.tables import table
 from .oracle import html_to_text_sql, unicode_trim_sql, with_views
@@ -92,17 +93,30 @@ def clean_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-@register("clean_stats", f"""
+CLEAN_STATS_SQL = f"""
     select count(*) as rows_in, count_if(length(t) > 50)::bigint as rows_out,
            count_if(length(t) <= 50)::bigint as rows_dropped,
            coalesce(sum(length(html)), 0)::bigint as chars_before,
            coalesce(sum(length(t)), 0)::bigint as chars_after
-    from (select html, {html_to_text_sql('html')} as t from pages)""")
+    from (select html, {html_to_text_sql('html')} as t from pages)"""
+
+
+@register("clean_stats", CLEAN_STATS_SQL)
 def clean_stats(spark, sf):
     pages = table(spark, sf, "pages").withColumn("text", html_to_text(F.col("html")))
     return prep.clean_stats(pages, "html", "text", 50)
 
 
+@register("clean_observed", CLEAN_STATS_SQL)
+def clean_observed(spark, sf):
+    """The same figures, observed while the cleaned pages are written."""
+    pages = table(spark, sf, "pages").withColumn("text", html_to_text(F.col("html")))
+    kept, seen = prep.observed_clean(pages, "html", "text", 50)
+    materialize(kept.select("page_id", "text"), "clean-pages")
+    told = seen.get
+    return spark.createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
+
+
 @register("render_prompt", _qa_sql(
     "select question_title, answer_score, 'Question: ' || question_title || chr(10) || question_body"
     " || chr(10) || 'Answer:' as prompt from qa"))
@@ -136,17 +150,29 @@ def hash_split(spark, sf):
     return split.hash_split(qa_pairs_df(spark, sf), test_size=TEST, val_size=VAL, seed=SEED)
 
 
-@register("split_leakage", _split_sql("""
-    select substr(question_title, 1, 3) as question_title, count(distinct s) as n_splits
-    from (select question_title, case when substr(md5(answer), 1, 1) < '8' then 'train' else 'test' end as s from sp)
-    group by substr(question_title, 1, 3) having count(distinct s) > 1"""))
+# The corpus in which every title is asked twice (the second time with another
+# answer), as titles of a forum recur.
+ASKED_AGAIN = "select * from qa union all select * replace (answer || ' (again)' as answer) from qa"
+_ROW_SPLIT = "case when substr(md5(question_body || answer), 1, 1) < '8' then 'train' else 'test' end"
+
+
+def _asked_again(df):
+    return df.unionByName(df.withColumn("answer", F.concat("answer", F.lit(" (again)"))))
+
+
+def _row_split(df):
+    """A naive split that deals out single rows."""
+    return df.withColumn("split", F.when(F.substring(F.md5(F.concat("question_body", "answer")), 1, 1) < "8", "train").otherwise("test"))
+
+
+@register("split_leakage", _qa_sql(f"""
+    select question_title, count(distinct s) as n_splits
+    from (select question_title, {_ROW_SPLIT} as s from ({ASKED_AGAIN}))
+    group by question_title having count(distinct s) > 1"""))
 def split_leakage(spark, sf):
-    """The audit over a split that leaks: pairs of one (shortened) title are
-    dealt out by their answer."""
-    leaking = split_df(spark, sf).select(
-        F.substring("question_title", 1, 3).alias("question_title"),
-        F.when(F.substring(F.md5("answer"), 1, 1) < "8", "train").otherwise("test").alias("split"))
-    return split.split_leakage(leaking)
+    """The audit, by whole title, of a split that leaks: rows are dealt out
+    singly in a corpus whose titles recur."""
+    return split.split_leakage(_row_split(_asked_again(qa_pairs_df(spark, sf))))
 
 
 @register("split_title_leakage", _split_sql("""
@@ -157,14 +183,24 @@ def split_title_leakage(spark, sf):
     return split.split_leakage(split_df(spark, sf))
 
 
-@register("naive_split_leakage", _qa_sql("""
+@register("naive_split_leakage", _qa_sql(f"""
     select question_title, count(distinct s) as n_splits
-    from (select question_title, case when substr(md5(question_body || answer), 1, 1) < '8' then 'train' else 'test' end as s from qa)
+    from (select question_title, {_ROW_SPLIT} as s from qa)
     group by question_title having count(distinct s) > 1"""))
 def naive_split_leakage(spark, sf):
     """The audit, by whole title, over a split that deals out single rows."""
-    naive = F.when(F.substring(F.md5(F.concat("question_body", "answer")), 1, 1) < "8", "train").otherwise("test")
-    return split.split_leakage(qa_pairs_df(spark, sf).withColumn("split", naive))
+    return split.split_leakage(_row_split(qa_pairs_df(spark, sf)))
+
+
+@register("split_audit", _qa_sql(f"""
+    select split, count(*) as rows, count(distinct question_title) as titles,
+           count(distinct question_title) filter (where n > 1) as leaking_titles
+    from (select *, count(distinct s) over (partition by question_title) as n, s as split
+          from (select *, {_ROW_SPLIT} as s from ({ASKED_AGAIN})))
+    group by split""".replace("count(distinct s) over (partition by question_title)", "(max(s) over (partition by question_title) <> min(s) over (partition by question_title))::integer + 1")))
+def split_audit(spark, sf):
+    """Per split: rows, titles, and titles that another split holds as well."""
+    return split.split_audit(_row_split(_asked_again(qa_pairs_df(spark, sf))))
 
 
 @register("split_preview", _split_sql("""

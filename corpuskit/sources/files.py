@@ -57,11 +57,20 @@ def read_samples(spark: SparkSession, path: str, num_samples: int | None = None)
     df = spark.read.schema(SAMPLE_SCHEMA).json(path)
     if num_samples is None:
         return df
-    if df.filter("idx is not null").isEmpty():
+    if not _numbered(df, path):
         df = with_line_index(df.select("prompt", "answer"), "idx").select("idx", "prompt", "answer")
     return df.orderBy("idx").limit(num_samples)
 
 
+def _numbered(df: DataFrame, path: str) -> bool:
+    """Whether the rows have ``idx``; some with and some without is an error,
+    as neither the given numbers nor line numbers would then be whole."""
+    told = df.agg(F.count("idx").alias("with_idx"), F.count(F.lit(1)).alias("rows")).first()
+    if 0 < told["with_idx"] < told["rows"]:
+        raise ValueError(f"{path}: {told['with_idx']} of {told['rows']} rows have an idx")
+    return told["with_idx"] > 0
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -78,7 +87,7 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
     """
     if shape == "jsonl":
         df = spark.read.schema("idx long, text string").json(path)
-        if not df.filter("idx is not null").isEmpty():
+        if _numbered(df, path):
             return df
         return with_line_index(df.select("text"), "idx").select("idx", "text")
     if shape in ("responses", "predictions"):
