@@ -25,10 +25,10 @@ from ..session import materialize
 from .sentences import sentence_tokens
 
 ROUGE_ORDERS, BLEU_ORDERS = (1, 2), (1, 2, 3, 4)
-LOOKUP_TOKENS = 2_000_000  # stems that differ from their token; beyond it rows and stems are joined
+LOOKUP_BYTES = 32 << 20  # of tokens and stems that every task may hold as a table; beyond it rows and stems are joined
 
-COUNTS = T.StructType([T.StructField(f"rouge_o{n}", T.LongType()) for n in ROUGE_ORDERS]
-                      + [T.StructField("lcs", T.LongType())] + [T.StructField(f"bleu_o{n}", T.LongType()) for n in BLEU_ORDERS])
+SCORES = ("rouge", "lcs", "bleu")
+FIELDS = {"rouge": [f"rouge_o{n}" for n in ROUGE_ORDERS], "lcs": ["lcs"], "bleu": [f"bleu_o{n}" for n in BLEU_ORDERS]}
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -54,17 +54,29 @@ def overlap(a: list, b: list, n: int) -> int:
     return sum(min(c, right[g]) for g, c in left.items() if g in right)
 
 
-def _counter(shared):
-    """The pass over a batch of pairs, with a broadcast token -> stem table."""
-    @F.pandas_udf(COUNTS)
+def _counter(shared, scores: tuple[str, ...]):
+    """The pass over a batch of pairs for the scores that are asked for, with a
+    broadcast token -> stem table.  Of the four token lists, those that no
+    score needs come as nulls."""
+    fields = T.StructType([T.StructField(f, T.LongType()) for s in SCORES if s in scores for f in FIELDS[s]])
+
+    @F.pandas_udf(fields)
     def count(rt: pd.Series, ht: pd.Series, wr: pd.Series, wh: pd.Series) -> pd.DataFrame:
         stem = shared.value if shared is not None else {}
         rows = []
         for r, h, a, b in zip(rt, ht, wr, wh):
-            r, h = [stem.get(t, t) for t in r], [stem.get(t, t) for t in h]
-            a, b = list(a), list(b)
-            rows.append((*(overlap(r, h, n) for n in ROUGE_ORDERS), lcs_length(r, h), *(overlap(a, b, n) for n in BLEU_ORDERS)))
-        return pd.DataFrame(rows, columns=COUNTS.fieldNames())
+            row: list[int] = []
+            if r is not None:
+                r, h = [stem.get(t, t) for t in r], [stem.get(t, t) for t in h]
+            if "rouge" in scores:
+                row += [overlap(r, h, n) for n in ROUGE_ORDERS]
+            if "lcs" in scores:
+                row.append(lcs_length(r, h))
+            if "bleu" in scores:
+                a, b = list(a), list(b)
+                row += [overlap(a, b, n) for n in BLEU_ORDERS]
+            rows.append(row)
+        return pd.DataFrame(rows, columns=fields.fieldNames())
 
     return count
 
@@ -98,19 +110,23 @@ def _join_stems(tok: DataFrame, table: DataFrame) -> DataFrame:
     return joined.withColumn("__rt", F.coalesce("__rts", none)).withColumn("__ht", F.coalesce("__hts", none)).drop("__row", "__rts", "__hts")
 
 
-def pair_counts(pairs: DataFrame, stem: bool = True) -> DataFrame:
-    """Every pair with its match counts (:data:`COUNTS`) and token numbers
-    ``rn``, ``hn`` (ROUGE) and ``rw``, ``hw`` (BLEU)."""
-    tok = pairs.select("*", rouge_tokens(F.col("reference")).alias("__rt"), rouge_tokens(F.col("hypothesis")).alias("__ht"),
-                       bleu_tokens(F.col("reference")).alias("__wr"), bleu_tokens(F.col("hypothesis")).alias("__wh"))
+def pair_counts(pairs: DataFrame, stem: bool = True, scores: tuple[str, ...] = SCORES) -> DataFrame:
+    """Every pair with the match counts of the asked ``scores`` (``FIELDS``)
+    and token numbers ``rn``, ``hn`` (ROUGE) and ``rw``, ``hw`` (BLEU); texts
+    are only cut into the tokens that those need."""
+    rouge, none = "rouge" in scores or "lcs" in scores, F.lit(None).cast("array<string>")
+    cut = lambda f, c, needed: f(F.col(c)) if needed else none
+    tok = pairs.select("*", cut(rouge_tokens, "reference", rouge).alias("__rt"), cut(rouge_tokens, "hypothesis", rouge).alias("__ht"),
+                       cut(bleu_tokens, "reference", "bleu" in scores).alias("__wr"), cut(bleu_tokens, "hypothesis", "bleu" in scores).alias("__wh"))
     shared = None
-    if stem:
+    if stem and rouge:
         table = _distinct_stems(tok)
-        if table.count() <= LOOKUP_TOKENS:
+        size = table.agg(F.coalesce(F.sum(F.octet_length("token") + F.octet_length("stem")), F.lit(0)).alias("n")).first()["n"]
+        if size <= LOOKUP_BYTES:
             shared = pairs.sparkSession.sparkContext.broadcast({r["token"]: r["stem"] for r in table.toLocalIterator()})
         else:
             tok = _join_stems(tok, table)
-    counted = tok.withColumn("__c", _counter(shared)("__rt", "__ht", "__wr", "__wh"))
+    counted = tok.withColumn("__c", _counter(shared, scores)("__rt", "__ht", "__wr", "__wh"))
     sizes = [F.size(c).alias(n) for c, n in (("__rt", "rn"), ("__ht", "hn"), ("__wr", "rw"), ("__wh", "hw"))]
     return counted.select(*pairs.columns, *sizes, "__c.*")
 
@@ -156,19 +172,19 @@ def _bleu_col(k: float = 5.0) -> Column:
 
 def rouge_n(pairs: DataFrame, orders: tuple[int, ...] = ROUGE_ORDERS, stem: bool = True) -> DataFrame:
     """ROUGE-1 / ROUGE-2 F1 per pair: ``pair_id, rouge{n}_f1``."""
-    return pair_counts(pairs, stem).select("pair_id", *_rouge_cols(orders))
+    return pair_counts(pairs, stem, ("rouge",)).select("pair_id", *_rouge_cols(orders))
 
 
 def rouge_l(pairs: DataFrame, stem: bool = True) -> DataFrame:
     """ROUGE-L F1 per pair: ``pair_id, rougeL_f1`` (0 if either side is empty)."""
-    return pair_counts(pairs, stem).select("pair_id", _rouge_l_col())
+    return pair_counts(pairs, stem, ("lcs",)).select("pair_id", _rouge_l_col())
 
 
 def bleu(pairs: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
     """Sentence BLEU per pair: ``pair_id, bleu``.  With learned
     ``abbreviations`` full stops are words of their own only at sentence ends."""
     if abbreviations is None:
-        return pair_counts(pairs, stem=False).select("pair_id", _bleu_col())
+        return pair_counts(pairs, False, ("bleu",)).select("pair_id", _bleu_col())
     tok = sentence_tokens(pairs.select("pair_id", "reference", "hypothesis"), {"__wr": "reference", "__wh": "hypothesis"}, abbreviations)
     counted = tok.select("pair_id", F.size("__wr").alias("rw"), F.size("__wh").alias("hw"), _bleu_matches("__wr", "__wh").alias("__c"))
     return counted.select("pair_id", "rw", "hw", "__c.*").select("pair_id", _bleu_col())

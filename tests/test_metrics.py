@@ -85,8 +85,8 @@ def test_stems(spark, word, expected):
 def test_stemmed_rouge(spark, monkeypatch):
     df = spark.createDataFrame([(1, "running dogs", "runs dog"), (1, "", "running"), (2, None, None)], SCHEMA)
     assert metrics.rouge_n(df, stem=False).first().rouge1_f1 == 0.0
-    for limit in (10, 0):  # stems looked up in the row, and joined
-        monkeypatch.setattr(metrics, "LOOKUP_TOKENS", limit)
+    for limit in (1 << 20, 0):  # stems looked up in the row, and joined
+        monkeypatch.setattr(metrics, "LOOKUP_BYTES", limit)
         got = sorted((r.pair_id, r.rouge1_f1) for r in metrics.rouge_n(df).collect())
         assert got == [(1, 0.0), (1, 1.0), (2, 0.0)]
 
