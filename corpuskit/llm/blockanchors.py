@@ -10,7 +10,7 @@ a document with a smaller doc_id.
    a hit on another place is an anchor.  A text's own blocks are hits if the
    index has them twice, or if another text's probe met them.
 3. Extension: an anchor is extended to the windows around it, and these are
-   matched as a whole (128-bit hash) with the least doc_id they start in.
+   matched as a whole (96-bit hash) with the least doc_id they start in.
    Neighbouring matched windows make the maximal repeats.
 
 Lookups go through Bloom filters of a fixed size, which have no false negative:
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import in_bitmap, in_slices, key_bitmap
+from corpuskit.llm.common import in_bitmap, in_slices, partitions
 from corpuskit.llm.spelled import joined, spelled_words
 from corpuskit.llm.textwords import grams, mix
 from corpuskit.session import materialize
@@ -46,7 +46,7 @@ BITS = 1 << 28       # of the index's Bloom filter (32 MB); the other four have
 PROBES = 3           # bits of a key in it
 HELD = 1 << 21       # windows that a task matches together
 
-_WINDOWS = "doc_id long, key1 long, w1 long, w2 long, starts array<int>, settled boolean"
+_WINDOWS = "doc_id long, key1 long, w1 long, w2 int, starts array<int>, settled boolean"
 _CUT = "doc_id long, n_words long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary"
 _SALTS = [0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B]
 
@@ -56,14 +56,30 @@ def _bits_of(keys: np.ndarray) -> list[np.ndarray]:
         return [mix(keys + np.uint64(salt)) for salt in _SALTS[:PROBES]]
 
 
-def _spread(batches):
+def _filled(batches, bits: int):
+    """The task's Bloom filter, in pieces of 4 KB that hold a bit."""
+    own = np.zeros(bits // 8, np.uint8)
     for batch in batches:
-        keys = np.concatenate(_bits_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-        yield pa.record_batch([pa.array(keys.view(np.int64))], names=["bit"])
+        for slot in _bits_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+            slot = (slot & np.uint64(bits - 1)).astype(np.int64)
+            for r in range(8):
+                own[slot[(slot & 7) == r] >> 3] |= np.uint8(1 << r)
+    pieces = own.reshape(-1, 4096)
+    some = np.flatnonzero(pieces.any(axis=1))
+    for at in range(0, len(some), 512):
+        part = some[at:at + 512]
+        yield pa.record_batch([pa.array(part), pa.array([x.tobytes() for x in pieces[part]], pa.binary())], names=["piece", "bits"])
 
 
 def _bloom(keys: DataFrame, bits: int) -> bytes:
-    return key_bitmap(keys.mapInArrow(_spread, "bit long"), "bit", bits)
+    """A Bloom filter of a long column.  At most ``bits`` / 32768 rows of 4 KB
+    reach the driver; few tasks fill it, since each sends up to all of it."""
+    out = np.zeros(bits // 8, np.uint8)
+    few = max(4, partitions(keys.sparkSession) // 32)
+    pieces = keys.coalesce(few).mapInArrow(functools.partial(_filled, bits=bits), "piece long, bits binary").groupBy("piece").agg(F.bitmap_or_agg("bits").alias("bits"))
+    for r in pieces.toLocalIterator():
+        out[r["piece"] * 4096:(r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
 
 
 def _in_bloom(bloom: bytes, keys: np.ndarray) -> np.ndarray:
@@ -134,8 +150,11 @@ def _matched(doc, key, start, one, two):
     row[1:] |= (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
     head = np.flatnonzero(row)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([head, [len(doc)]]), pa.int32()), pa.array(start, pa.int32()))
-    return pa.record_batch([pa.array(doc[head]), pa.array(key[head]), pa.array(one[head].view(np.int64)), pa.array(two[head].view(np.int64)), lists, pa.array(settled[head])],
+    # in order of the documents, whose columns are then small on disk
+    back = pa.array(np.lexsort((start[head], key[head], doc[head])))
+    rows = pa.record_batch([pa.array(doc[head]), pa.array(key[head]), pa.array(one[head].view(np.int64)), pa.array(two[head].view(np.int32)), lists, pa.array(settled[head])],
                            names=["doc_id", "key1", "w1", "w2", "starts", "settled"])
+    return rows.take(back)
 
 
 def _windows(batches, block: int, length: int, heads, index, twice, met):
@@ -157,7 +176,7 @@ def _windows(batches, block: int, length: int, heads, index, twice, met):
             continue
         text = np.searchsorted(first, start, "right") - 1
         doc, key = batch.column("doc_id").to_numpy()[text], batch.column("key1").to_numpy()[text]
-        held.append((doc, key, (start - first[text]).astype(np.int32), grams(hashes, length)[start], grams(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), length)[start]))
+        held.append((doc, key, (start - first[text]).astype(np.int32), grams(hashes, length)[start], (grams(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), length)[start] >> np.uint64(32)).astype(np.uint32)))
         n += len(start)
         if n >= HELD:
             yield _matched(*map(np.concatenate, zip(*held)))
