@@ -78,7 +78,7 @@ _PREDICTED = """
     from conversations where role = 'assistant'"""
 
 
-def _listed(spark, sf, key):
+def _listed(spark, sf, key, reader=files.read_predictions):
     """The answers of all conversations as one JSON document holding a list,
     the shape of a results file (one document, written by one task)."""
     c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
@@ -89,7 +89,7 @@ def _listed(spark, sf, key):
         whole.coalesce(1).write.json(path)
     else:
         whole.select(F.to_json("value").alias("value")).coalesce(1).write.text(path)
-    return files.read_predictions(spark, path, key or "array")
+    return reader(spark, path, key or "array")
 
 
 @register("read_responses_object", _PREDICTED)
@@ -107,6 +107,12 @@ def read_references_array(spark, sf):
     return _listed(spark, sf, None)
 
 
+@register("read_responses_splits", _PREDICTED)
+def read_responses_splits(spark, sf):
+    """The answers in one document under a key, read back by splits."""
+    return _listed(spark, sf, "responses", files.read_predictions_splits)
+
+
 @register("write_evaluation", """
     select (row_number() over (order by conv_id, turn) - 1)::bigint as idx, text, count(*) over () as answers
     from conversations where role = 'assistant'""")

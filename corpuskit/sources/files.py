@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .csvsplits import read_csv_splits
+from .jsonsplits import read_strings
 
 QUESTIONS_SCHEMA = T.StructType([
     T.StructField("Id", T.LongType()), T.StructField("OwnerUserId", T.LongType()),
@@ -102,6 +103,14 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
     raise ValueError(f"unknown shape {shape!r}")
 
 
+def read_predictions_splits(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    """The rows of :func:`read_predictions` for the whole-document shapes, by
+    any number of tasks per document."""
+    if shape not in ("responses", "predictions", "array"):
+        raise ValueError(f"unknown shape {shape!r}")
+    return read_strings(spark, path, None if shape == "array" else shape)
+
+
 def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
     """Consecutive 0-based line numbers in file order (path up to the first
     digit of the file's name, that number, the name; then the position in the

@@ -34,7 +34,7 @@ def rows(df):
 @pytest.fixture()
 def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
     yield
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
