@@ -104,22 +104,20 @@ def test_quality_limits_follow_the_group(spark):
 
 def test_quality_has_no_step_in_the_size_of_a_group(spark):
     """A symbol-rich clean source beside a plain one of its language: its
-    documents stay at 150, 199, 200 and 250 documents alike."""
+    documents stay at 199 and at 200 documents alike."""
     plain = " ".join(f"word{i}" for i in range(80))
     marked = " ".join(f"word{i}" + ("#" if i % 3 == 0 else "") for i in range(80))
-    for n in (150, 199, 200, 250):
+    for n in (199, 200):
         data = [(i, plain, "en", "plain") for i in range(1000)] + [(2000 + i, marked, "en", "code") for i in range(n)]
         got = quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), ["doc_id"])
         assert got.where("kept").count() == 1000 + n
 
 
 def test_quality_limits_differ_and_keep_labelled_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    measured = quality.measure(docs, ["doc_id"])
-    told = quality.limits(measured).collect()
+    told = quality.limits(quality.measure(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"])).collect()
     for m in ("repeat_pm", "word_len_pc"):
         assert len({r[f"high_{m}"] for r in told}) > 10
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     judged = quality.judge(docs, ["doc_id"]).select("doc.doc_id", "base_failed", "kept").join(labels, "doc_id").where("not base_failed")
     by = {(r["quality"], r["kept"]): r["n"] for r in judged.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
     assert by.get((1, False), 0) == 0 and by[1, True] > 3000 and by.get((0, True), 0) == 0 and by[0, False] > 200
