@@ -10,11 +10,15 @@ result equals encoding each whole text; ``tests/llm`` checks this.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_PIECES = 1_000_000  # pieces a worker remembers before it starts again
+CACHE_PIECES = 600_000  # pieces a worker remembers before it forgets those that did not come again
+ENCODE_BYTES = 2 << 20  # text bytes that are encoded at a time
+LEARN_PIECES = 5_000  # new pieces that are handed to the library at a time
 
 # Lead bytes of the UTF-8 forms of every non-ASCII white space.
 _WIDE_SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
@@ -25,6 +29,7 @@ _STOPS = np.frombuffer(b"!#$%&*,.:;?|", np.uint8)  # marks that no word or contr
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -99,24 +104,42 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.off = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)  # pieces met in a later batch than the one that brought them
         self.n = 0
 
+    def _forget(self) -> None:
+        """Keep the pieces that came again since the last time, if they are few
+        enough; the texts' one-off pieces would fill any cache."""
+        keep = np.flatnonzero(self.again[:self.n])
+        if len(keep) > CACHE_PIECES // 2:
+            return self.reset()
+        names = list(self.known)  # in the order of their numbers
+        names = [names[k] for k in keep.tolist()]
+        first, count = self.off[keep], self.off[keep + 1] - self.off[keep]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(first - (ends - count), count) + np.arange(count.sum())]
+        self.reset()
+        self._store(names, ids, count)
+
+    def _store(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        base = self.off[self.n]
+        while base + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(pieces) + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
+        self.ids[base:base + len(ids)] = ids
+        self.off[self.n + 1:self.n + 1 + len(pieces)] = base + np.cumsum(counts)
+        for k, p in enumerate(pieces, self.n):
+            self.known[p] = k
+        self.n += len(pieces)
+
     def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at:at + 20_000]
+        for at in range(0, len(pieces), LEARN_PIECES):
+            part = pieces[at:at + LEARN_PIECES]
             got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
-            base = self.off[self.n]
-            while base + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n + len(part) + 1 > len(self.off):
-                self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-            self.ids[base:base + len(flat)] = flat
-            self.off[self.n + 1:self.n + 1 + len(part)] = base + np.cumsum(lens)
-            for k, p in enumerate(part, self.n):
-                self.known[p] = k
-            self.n += len(part)
+            self._store(part, np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum())), lens)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ``ids[offsets[i]:offsets[i + 1]]``."""
@@ -128,9 +151,13 @@ class Encoder:
         coded = pieces.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if self.n > CACHE_PIECES:
-            self.reset()
-        self._learn([w for w in words if w not in self.known])
-        slot = np.fromiter((self.known[w] for w in words), np.int64, len(words))[codes]
+            self._forget()
+        slot = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new, before = slot < 0, self.n
+        self.again[slot[~new]] = True
+        self._learn([words[k] for k in np.flatnonzero(new).tolist()])
+        slot[new] = np.arange(before, self.n)
+        slot = slot[codes]
         first, count = self.off[slot], self.off[slot + 1] - self.off[slot]
         ends = np.cumsum(count)
         total = int(ends[-1])

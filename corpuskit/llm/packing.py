@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import in_slices
-from corpuskit.llm.encoding import encoder
+from corpuskit.llm.encoding import ENCODE_BYTES, encoder
 from corpuskit.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
@@ -38,7 +38,7 @@ OFFSETS_BROADCAST_ROWS = 200_000  # of (task, length) counts; beyond it they are
 def _cut(batches, tokenizer: str, max_tokens: int, end_id: int):
     encode = encoder(tokenizer).encode
     part, seen = TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64)
-    for batch in in_slices(batches, "text"):
+    for batch in in_slices(batches, "text", ENCODE_BYTES):
         ids, off = encode(batch.column("text"))
         n = np.diff(off) + 1
         flat = np.insert(ids, off[1:], np.uint32(end_id)).astype("<u4")

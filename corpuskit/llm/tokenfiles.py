@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import in_slices, partitions
-from corpuskit.llm.encoding import encoder
+from corpuskit.llm.encoding import ENCODE_BYTES, encoder
 from corpuskit.session import materialize
 
 # Fixed values of the public zstandard seekable format.
@@ -60,7 +60,7 @@ def _write(batches, out: str, tokenizer: str, end_id: int, level: int):
     fs.create_dir(root, recursive=True)
     doc_ids, counts, entries = [], [], []
     sink = None
-    for batch in in_slices(batches, "text"):
+    for batch in in_slices(batches, "text", ENCODE_BYTES):
         sink = sink or fs.open_output_stream(draft)
         ids, off = encode(batch.column("text"))
         plain = np.insert(ids, off[1:], np.uint32(end_id)).astype("<u4").tobytes()

@@ -160,3 +160,18 @@ def test_damaged_frame_is_noticed(spark):
 def test_empty_tables(spark):
     assert pack(C.empty(spark), BYTE).count() == 0
     assert read_token_files(write_token_files(C.empty(spark), scratch_path(spark, "files"), WORD)).count() == 0
+
+
+def test_forgotten_one_off_pieces_change_no_ids_and_common_ones_are_learned_once(monkeypatch):
+    from corpuskit.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 60)
+    coder, learned = Encoder(WORD), collections.Counter()
+    learn = coder._learn
+    coder._learn = lambda pieces: (learned.update(p.strip() for p in pieces), learn(pieces))
+    for batch in range(12):
+        texts = [f"the common words stay q{batch}x{i} z{i * 977 + batch}" for i in range(20)] + [None, ""]
+        ids, off = coder.encode(pa.array(texts))
+        assert [ids[lo:hi].tolist() for lo, hi in zip(off, off[1:])] == ids_of(WORD, texts)
+        assert len(coder.known) <= 120 and list(coder.known.values()) == list(range(coder.n))
+    assert sum(learned.values()) > 240 and learned["common"] == 1
