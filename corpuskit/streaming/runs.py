@@ -10,7 +10,9 @@ marker (a row without a step number) arrives.  So the answer depends on the
 declared lateness alone, not on files per trigger or on the order of arrival
 within it.  A row that is older still, and so comes after its successor was
 emitted, gets a NULL step time and ``late = true``.  State per run is
-bounded by the rows within the lateness.
+bounded by the rows within the lateness.  Runs are keyed by hash into
+``BUCKETS`` groups, each handled in one call on whole columns: calls per
+micro-batch do not grow with the number of runs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -66,52 +68,78 @@ def finish_run_summary(df: DataFrame) -> DataFrame:
 STEP_OUT = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("step", T.LongType()),
                          T.StructField("loss", T.DoubleType()), T.StructField("step_time_ms", T.DoubleType()),
                          T.StructField("late", T.BooleanType())])
-STEP_STATE = T.StructType([T.StructField("newest_us", T.LongType()), T.StructField("last_us", T.LongType()),
-                           T.StructField("held_us", T.ArrayType(T.LongType())),
-                           T.StructField("held_step", T.ArrayType(T.LongType())),
-                           T.StructField("held_loss", T.ArrayType(T.DoubleType()))])
+BUCKETS = 512  # groups of runs; a stream's checkpoint is bound to it
+NONE = np.iinfo(np.int64).min
+RUN = np.dtype([("run", "<i8"), ("newest", "<i8"), ("last", "<i8")])
+HELD = np.dtype([("run", "<i8"), ("us", "<i8"), ("step", "<i8"), ("loss", "<f8")])
+STEP_STATE = T.StructType([T.StructField("runs", T.BinaryType()), T.StructField("held", T.BinaryType())])  # RUN, HELD
+
+
+def run_bucket() -> Column:
+    """The group a run belongs to; -1 for the null run, which is alone there."""
+    run = F.col("run_id").cast("long")
+    return F.when(run.isNull(), F.lit(-1)).otherwise(F.pmod(F.hash(run), F.lit(BUCKETS)))
+
+
+def run_ids(bucket: int, runs: np.ndarray):
+    return runs if bucket >= 0 else np.full(len(runs), None)
+
+
+def held_rows(part: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(part), HELD)
+    for name, dtype in HELD.fields.items():
+        out[name] = part[name].to_numpy(dtype=dtype[0])
+    return out
+
+
+def step_deltas(at: np.ndarray, us: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Milliseconds since the run's step before, of rows sorted by run (place
+    ``at`` in ``last``) and time; ``last`` then holds each run's newest."""
+    edge = np.ones(len(at) + 1, bool)
+    edge[1:-1] = at[1:] != at[:-1]
+    before = np.where(edge[:-1], last[at], np.roll(us, 1))
+    last[at[edge[1:]]] = us[edge[1:]]
+    return np.where(before == NONE, 0.0, (us - before) / 1000.0)
 
 
 def _step_state(lateness_us: int, key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One call for all the rows of a bucket's runs."""
     frames = [p for p in pdfs if not p.empty]
     if not frames:
         return
     new = pd.concat(frames, ignore_index=True)
-    closed = bool(new["step"].isna().any())
-    new = new[new["step"].notna()]
-    newest, last, *held = state.get if state.exists else (None, None, [], [], [])
-    us = new["__us"].to_numpy(dtype=np.int64)
-    step = new["step"].to_numpy(dtype=np.int64)
-    loss = new["loss"].to_numpy(dtype=np.float64)
-    late = np.zeros(len(us), dtype=bool) if last is None else us < last
-    us_all = np.concatenate([np.asarray(held[0], dtype=np.int64), us[~late]])
-    step_all = np.concatenate([np.asarray(held[1], dtype=np.int64), step[~late]])
-    loss_all = np.concatenate([np.array([np.nan if x is None else x for x in held[2]], dtype=np.float64), loss[~late]])
-    if len(us):
-        newest = int(us.max()) if newest is None else max(newest, int(us.max()))
-    order = np.lexsort((step_all, us_all))
-    us_all, step_all, loss_all = us_all[order], step_all[order], loss_all[order]
-    n = len(us_all) if closed or newest is None else int(np.searchsorted(us_all, newest - lateness_us, "left"))
-    delta = np.zeros(n)
-    if n:
-        delta[1:] = np.diff(us_all[:n]) / 1000.0
-        if last is not None:
-            delta[0] = (us_all[0] - last) / 1000.0
-        last = int(us_all[n - 1])
-    state.update((newest, last, us_all[n:].tolist(), step_all[n:].tolist(), loss_all[n:].tolist()))
-    yield pd.DataFrame({"run_id": key[0], "step": np.concatenate([step_all[:n], step[late]]),
-                        "loss": np.concatenate([loss_all[:n], loss[late]]),
-                        "step_time_ms": np.concatenate([delta, np.full(int(late.sum()), np.nan)]),
-                        "late": np.concatenate([np.zeros(n, dtype=bool), np.ones(int(late.sum()), dtype=bool)])})
+    rows, ends = held_rows(new), new["ends"].to_numpy(dtype=bool)
+    known, held = (np.frombuffer(x, t) for x, t in zip(state.get, (RUN, HELD))) if state.exists else (np.zeros(0, RUN), np.zeros(0, HELD))
+    names = np.union1d(known["run"], rows["run"])
+    table = np.full(len(names), NONE, RUN)
+    table["run"] = names
+    table[np.searchsorted(names, known["run"])] = known
+    newest, last, closed = table["newest"], table["last"], np.isin(names, rows["run"][ends])
+    rows = rows[~ends]
+    at = np.searchsorted(names, rows["run"])
+    late = rows["us"] < last[at]
+    np.maximum.at(newest, at, rows["us"])
+    late_rows, live = rows[late], np.concatenate([held, rows[~late]])
+    live = live[np.lexsort((live["step"], live["us"], live["run"]))]
+    at = np.searchsorted(names, live["run"])
+    due = closed[at] | (live["us"] < newest[at] - lateness_us)
+    done = live[due]
+    delta = step_deltas(at[due], done["us"], last)
+    state.update((table.tobytes(), live[~due].tobytes()))
+    out = np.concatenate([done, late_rows])
+    yield pd.DataFrame({"run_id": run_ids(key[0], out["run"]), "step": out["step"], "loss": out["loss"],
+                        "step_time_ms": np.concatenate([delta, np.full(len(late_rows), np.nan)]),
+                        "late": np.arange(len(out)) >= len(done)})
 
 
 def step_times_stream(steps: DataFrame, lateness_seconds: float) -> DataFrame:
     """``run_id, step, loss, step_time_ms, late`` in append mode."""
-    return (steps.withColumn("__us", epoch_micros(F.col("ts")))
-                 .select("run_id", "step", "loss", "__us")
-                 .groupBy("run_id")
-                 .applyInPandasWithState(functools.partial(_step_state, int(lateness_seconds * 1_000_000)), STEP_OUT,
-                                         STEP_STATE, "append", GroupStateTimeout.NoTimeout))
+    zero = F.lit(0).cast("long")
+    rows = steps.select(run_bucket().alias("bucket"), F.coalesce(F.col("run_id").cast("long"), zero).alias("run"), epoch_micros(F.col("ts")).alias("us"),
+                        F.coalesce(F.col("step"), zero).alias("step"), "loss", F.col("step").isNull().alias("ends"))
+    return (rows.groupBy("bucket")
+                .applyInPandasWithState(functools.partial(_step_state, int(lateness_seconds * 1_000_000)), STEP_OUT,
+                                        STEP_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
 def run_to_table(query_df: DataFrame, out_path: str, checkpoint: str, mode: str) -> None:

@@ -73,3 +73,38 @@ def test_update_mode_changelog_over_several_batches(spark):
     batch = logs.run_summary(derived.steps(spark, SF_SMALL))
     assert stream.exceptAll(batch.select(*stream.columns)).count() == 0
     assert stream.count() == batch.count()
+
+
+def test_step_state_does_not_grow_with_the_number_of_runs(spark, monkeypatch):
+    """Runs share buckets, the null run too; a row without a step ends its run alone."""
+    import datetime as dt
+
+    monkeypatch.setattr(runs, "BUCKETS", 2)
+    t0, schema = dt.datetime(2024, 1, 1), "run_id long, step long, ts timestamp, loss double"
+    src, ck = scratch_path(spark, "t-bk"), scratch_path(spark, "t-bk-ck")
+    batches = [[(r, 1, 2.0) for r in range(30)] + [(None, 1, 1.0)], [(r, 0, r / 64) for r in range(30)] + [(None, 2, 1.5)], [(r, None, 0.0) for r in [*range(29), None]]]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame([(r, s, t0 + dt.timedelta(seconds=t), None) for r, s, t in batch], schema).coalesce(1).write.parquet(f"{src}/{i}")
+    got, steps = [], spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*/*.parquet")
+    q = (runs.step_times_stream(steps, 60).writeStream.outputMode("append").option("checkpointLocation", ck)
+         .foreachBatch(lambda df, i: got.extend(tuple(r) for r in df.collect())).trigger(availableNow=True).start())
+    q.awaitTermination()
+    want = {(r, 0, None, 0.0, False) for r in range(29)} | {(r, 1, None, 2000 - r * 1000 / 64, False) for r in range(29)}
+    assert len(got) == 60 and set(got) == want | {(None, 1, None, 0.0, False), (None, 2, None, 500.0, False)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3
+
+
+@pytest.mark.parametrize("query", ["step_times_stream", "step_times_timers"])
+def test_a_log_of_many_files_takes_no_more_micro_batches(spark, monkeypatch, query):
+    from corpuskit.plans import queries_io
+
+    sf, asked, step_stream = scratch_path(spark, "t-sf"), [], runs.step_stream
+    table(spark, SF_SMALL, "events").repartition(3).write.parquet(f"{sf}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    monkeypatch.setattr(runs, "step_stream", lambda *a, max_files=None: asked.append(max_files) or step_stream(*a, max_files=max_files))
+    try:
+        got = getattr(queries_io, query)(spark, sf)
+        assert asked[0] > 1 and got.count() == table(spark, SF_SMALL, "events").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
