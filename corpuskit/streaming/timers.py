@@ -8,10 +8,11 @@ itself gets no more rows, so no end marker is needed and idle runs are emitted.
 When nothing has come for ``idle_seconds`` of event time after a run's last
 row, its state is freed; a run that goes on after that starts anew (0.0).
 
-A run's state holds the rows within the lateness and one time.  Rows older than
+A run's state holds the rows within the lateness and one time.  Runs share the
+state, timer and calls of a bucket (:func:`run_bucket`), so calls do not grow
+with the number of runs.  Rows older than
 the watermark are dropped by Spark and counted in the query's progress
-(``numRowsDroppedByWatermark``).  A run holds each micro-batch's rows in one
-call; rows of equal time are ordered by step.
+(``numRowsDroppedByWatermark``).  Rows of equal time are ordered by step.
 
 The watermark only moves with data: a live log moves it by itself, a finished
 one by a heartbeat (a row with a time and no step).
@@ -29,53 +30,66 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.time import epoch_micros
+from .runs import HELD, NONE, held_rows, run_bucket, run_ids, step_deltas
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("step", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("step_time_ms", T.DoubleType())])
-HELD = T.StructType([T.StructField("us", T.LongType()), T.StructField("step", T.LongType()), T.StructField("loss", T.DoubleType())])
-LAST = T.StructType([T.StructField("us", T.LongType())])
+ROWS = T.StructType([T.StructField("rows", T.BinaryType())])  # HELD or LAST
+LAST = np.dtype([("run", "<i8"), ("us", "<i8")])
 
 
 class StepTimes(StatefulProcessor):
+    """All runs of a bucket: their held rows, and the last time of each."""
+
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", HELD)
-        self.last = handle.getValueState("last", LAST)
+        self.held = handle.getListState("held", ROWS)
+        self.last = handle.getValueState("last", ROWS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        oldest = []
         for part in rows:
-            loss = [None if pd.isna(x) else float(x) for x in part["loss"]]
-            self.held.appendList(list(zip(part["us"].astype("int64").tolist(), part["step"].astype("int64").tolist(), loss)))
-            self.handle.registerTimer(-(-int(part["us"].min()) // 1000))
+            if len(part):
+                new = held_rows(part)
+                self.held.appendValue((new.tobytes(),))
+                oldest.append(int(new["us"].min()))
+        if oldest:
+            self.handle.registerTimer(-(-min(oldest) // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get(), key=lambda r: (r[0], r[1]))
-        done = [r for r in held if r[0] <= upto]
-        last = self.last.get()[0] if self.last.exists() else None
-        if done:
-            us = np.array([r[0] for r in done], np.int64)
-            before = np.concatenate([[us[0] if last is None else last], us[:-1]])
-            last = int(us[-1])
-            self.last.update((last,))
-            yield pd.DataFrame({"run_id": np.full(len(us), key[0], np.int64), "step": [r[1] for r in done], "loss": [np.nan if r[2] is None else r[2] for r in done], "step_time_ms": (us - before) / 1000.0})
-        if len(done) < len(held):
-            self.held.put(held[len(done):])
-            self.handle.registerTimer(-(-held[len(done)][0] // 1000))
-            return
-        if done:
-            self.held.clear()
-        if last is None:
-            return
+        held = np.concatenate([np.zeros(0, HELD), *(np.frombuffer(r[0], HELD) for r in self.held.get())])
+        known = np.frombuffer(self.last.get()[0], LAST) if self.last.exists() else np.zeros(0, LAST)
+        held = held[np.lexsort((held["step"], held["us"], held["run"]))]
+        due = held["us"] <= upto
+        done, rest = held[due], held[~due]
+        names = np.union1d(known["run"], done["run"])
+        last = np.full(len(names), NONE)
+        last[np.searchsorted(names, known["run"])] = known["us"]
+        if len(done):
+            delta = step_deltas(np.searchsorted(names, done["run"]), done["us"], last)
+            yield pd.DataFrame({"run_id": run_ids(key[0], done["run"]), "step": done["step"], "loss": done["loss"], "step_time_ms": delta})
+            if len(rest):
+                self.held.put([(rest.tobytes(),)])
+            else:
+                self.held.clear()
+        waits = np.isin(names, rest["run"])
         idle = -(-last // 1000) + self.idle_ms
-        if upto >= idle * 1000:
-            self.last.clear()  # the run is over: nothing of it is left in the store
-        else:
-            self.handle.registerTimer(idle)
+        stays = waits | (upto < idle * 1000)  # else the run is over: nothing of it is left in the store
+        if stays.any():
+            table = np.empty(int(stays.sum()), LAST)
+            table["run"], table["us"] = names[stays], last[stays]
+            self.last.update((table.tobytes(),))
+        elif len(known):
+            self.last.clear()
+        wake = [-(-rest["us"].min() // 1000)] if len(rest) else []
+        wake += [idle[stays & ~waits].min()] if (stays & ~waits).any() else []
+        if wake:
+            self.handle.registerTimer(int(min(wake)))
 
 
 def step_times_timers(steps: DataFrame, lateness_seconds: float, idle_seconds: float) -> DataFrame:
@@ -85,7 +99,8 @@ def step_times_timers(steps: DataFrame, lateness_seconds: float, idle_seconds: f
     marked = timed.withWatermark("ts", f"{int(lateness_seconds * 1000)} milliseconds")
     # one condition with the event time in it, so that no part of it is moved below the watermark, which heartbeats must reach
     rows = marked.where(F.when(F.col("ts").isNotNull(), F.col("step").isNotNull()).otherwise(False))
-    keyed = rows.select("run_id", "step", "loss", "ts", "us").groupBy("run_id")
+    run = F.coalesce(F.col("run_id").cast("long"), F.lit(0).cast("long"))
+    keyed = rows.select(run_bucket().alias("bucket"), run.alias("run"), "step", "loss", "ts", "us").groupBy("bucket")
     return keyed.transformWithStateInPandas(statefulProcessor=StepTimes(int(idle_seconds * 1000)), outputStructType=OUT, outputMode="append", timeMode="EventTime")
 
 

@@ -56,3 +56,16 @@ def test_order_of_arrival_within_the_lateness_is_no_matter(spark, order):
 def test_later_rows_are_dropped_and_counted(spark):
     got, _, dropped = play(spark, [[(1, 0, 0.0), (1, 1, 100.0)], [(1, 2, 110.0)], [(1, 9, 50.0)], [(None, None, 1000.0)]])
     assert got == [(1, 0, 0.0), (1, 1, 100000.0), (1, 2, 10000.0)] and dropped == 1
+
+
+def test_state_does_not_grow_with_the_number_of_runs(spark, monkeypatch):
+    from corpuskit.streaming import runs
+
+    monkeypatch.setattr(runs, "BUCKETS", 3)
+    first, second = [(r, 0, 1.0 + r / 100) for r in range(40)], [(r, 1, 5.0 + r % 6) for r in range(40)]
+    got, state, _ = play(spark, [first, second], lateness=20.0)
+    assert got == [] and 0 < state <= 3 * 4  # two blobs and two timers in each of three buckets
+    got, state, dropped = play(spark, [first, second, [(5, 2, 70.0)], [(5, 3, 130.0)], [(None, None, 999.0)]])
+    want = [(r, 0, 0.0) for r in range(40)] + [(r, 1, 1000 * (5 + r % 6) - (1000 + 10 * r)) for r in range(40)]
+    assert got == sorted([*want, (5, 2, 60000.0), (5, 3, 60000.0)])
+    assert state == 0 and dropped == 0
