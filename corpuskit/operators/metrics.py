@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,29 +57,47 @@ def overlap(a: list, b: list, n: int) -> int:
     return sum(min(c, right[g]) for g, c in left.items() if g in right)
 
 
+def _coded(left: pa.Array, right: pa.Array, stems: pa.Table | None = None) -> Iterator[tuple[list[int], list[int]]]:
+    """Rows of two columns of token lists as numbers, equal for equal tokens
+    (or stems).  Only one row at a time becomes Python objects."""
+    flat = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
+    words, codes = flat.dictionary, flat.indices
+    if stems is not None:
+        known, stem = (stems[c].combine_chunks().cast(words.type) for c in ("token", "stem"))
+        words = pc.coalesce(stem.take(pc.index_in(words, known)), words)
+        codes = words.dictionary_encode().indices.take(codes)
+    codes = codes.to_numpy()
+    ends = np.cumsum(np.concatenate([[0], *(pc.list_value_length(x).to_numpy() for x in (left, right))]))
+    n = len(left)
+    for i in range(n):
+        yield codes[ends[i]:ends[i + 1]].tolist(), codes[ends[n + i]:ends[n + i + 1]].tolist()
+
+
+def _struct(columns: dict[str, list[int]]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], names=list(columns))
+
+
 def _counter(shared, scores: tuple[str, ...]):
     """The pass over a batch of pairs for the scores that are asked for, with a
-    broadcast token -> stem table.  Of the four token lists, those that no
-    score needs come as nulls."""
+    broadcast table of tokens and stems.  Of the four token lists, those that
+    no score needs come as nulls."""
     fields = T.StructType([T.StructField(f, T.LongType()) for s in SCORES if s in scores for f in FIELDS[s]])
 
-    @F.pandas_udf(fields)
-    def count(rt: pd.Series, ht: pd.Series, wr: pd.Series, wh: pd.Series) -> pd.DataFrame:
-        stem = shared.value if shared is not None else {}
-        rows = []
-        for r, h, a, b in zip(rt, ht, wr, wh):
-            row: list[int] = []
-            if r is not None:
-                r, h = [stem.get(t, t) for t in r], [stem.get(t, t) for t in h]
-            if "rouge" in scores:
-                row += [overlap(r, h, n) for n in ROUGE_ORDERS]
-            if "lcs" in scores:
-                row.append(lcs_length(r, h))
-            if "bleu" in scores:
-                a, b = list(a), list(b)
-                row += [overlap(a, b, n) for n in BLEU_ORDERS]
-            rows.append(row)
-        return pd.DataFrame(rows, columns=fields.fieldNames())
+    @F.arrow_udf(fields)
+    def count(rt: pa.Array, ht: pa.Array, wr: pa.Array, wh: pa.Array) -> pa.Array:
+        out: dict[str, list[int]] = {f: [] for s in SCORES if s in scores for f in FIELDS[s]}
+        if "rouge" in scores or "lcs" in scores:
+            for r, h in _coded(rt, ht, shared.value if shared is not None else None):
+                if "rouge" in scores:
+                    for f, n in zip(FIELDS["rouge"], ROUGE_ORDERS):
+                        out[f].append(overlap(r, h, n))
+                if "lcs" in scores:
+                    out["lcs"].append(lcs_length(r, h))
+        if "bleu" in scores:
+            for a, b in _coded(wr, wh):
+                for f, n in zip(FIELDS["bleu"], BLEU_ORDERS):
+                    out[f].append(overlap(a, b, n))
+        return _struct(out)
 
     return count
 
@@ -84,10 +105,10 @@ def _counter(shared, scores: tuple[str, ...]):
 BLEU_COUNTS = T.StructType([T.StructField(f"bleu_o{n}", T.LongType()) for n in BLEU_ORDERS])
 
 
-@F.pandas_udf(BLEU_COUNTS)
-def _bleu_matches(wr: pd.Series, wh: pd.Series) -> pd.DataFrame:
-    rows = [[overlap(a, b, n) for n in BLEU_ORDERS] for a, b in ((list(x), list(y)) for x, y in zip(wr, wh))]
-    return pd.DataFrame(rows, columns=BLEU_COUNTS.fieldNames())
+@F.arrow_udf(BLEU_COUNTS)
+def _bleu_matches(wr: pa.Array, wh: pa.Array) -> pa.Array:
+    rows = [[overlap(a, b, n) for n in BLEU_ORDERS] for a, b in _coded(wr, wh)]
+    return _struct({f: [row[k] for row in rows] for k, f in enumerate(BLEU_COUNTS.fieldNames())})
 
 
 def _distinct_stems(tok: DataFrame) -> DataFrame:
@@ -123,7 +144,7 @@ def pair_counts(pairs: DataFrame, stem: bool = True, scores: tuple[str, ...] = S
         table = _distinct_stems(tok)
         size = table.agg(F.coalesce(F.sum(F.octet_length("token") + F.octet_length("stem")), F.lit(0)).alias("n")).first()["n"]
         if size <= LOOKUP_BYTES:
-            shared = pairs.sparkSession.sparkContext.broadcast({r["token"]: r["stem"] for r in table.toLocalIterator()})
+            shared = pairs.sparkSession.sparkContext.broadcast(table.toArrow())
         else:
             tok = _join_stems(tok, table)
     counted = tok.withColumn("__c", _counter(shared, scores)("__rt", "__ht", "__wr", "__wh"))

@@ -107,3 +107,22 @@ def test_evaluate_responses_counts(spark):
     refs = spark.range(5)
     assert metrics.evaluate_responses(df, references=refs).first().num_samples == 5
     assert row.rouge1_f1 == pytest.approx(0.5)
+
+
+def test_token_lists_are_numbered_without_a_python_table_of_the_batch():
+    """Rows come one at a time; tokens of one stem get one number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    lists = lambda rows: pa.array(rows, pa.list_(pa.string()))
+    stems = pa.table({"token": ["cats", "dogs"], "stem": ["cat", "dog"]})
+    rows = list(metrics._coded(lists([["x"], ["cats", "a"], []]).slice(1), lists([["y"], ["cat", "dogs", "dog"], ["a"]]).slice(1), stems))
+    (a, b), (none, c) = rows
+    assert a[0] == b[0] and b[1] == b[2] != b[0] and none == [] and c == [a[1]]
+    many = lists([[f"w{i}x{j}" for j in range(50)] for i in range(2000)])
+    tracemalloc.start()
+    assert sum(len(x) + len(y) for x, y in metrics._coded(many, many)) == 200_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # 200,000 strings alone take 11 MB
