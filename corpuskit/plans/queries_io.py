@@ -80,16 +80,12 @@ _PREDICTED = """
 
 def _listed(spark, sf, key, reader=files.read_predictions):
     """The answers of all conversations as one JSON document holding a list,
-    the shape of a results file (one document, written by one task)."""
+    the shape of a results file (one document, in parts)."""
     c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda x: x["text"])
     path = scratch_path(spark, "predictions-json")
-    whole = c.agg(texts.alias(key or "value"))
-    if key:
-        whole.coalesce(1).write.json(path)
-    else:
-        whole.select(F.to_json("value").alias("value")).coalesce(1).write.text(path)
-    return reader(spark, path, key or "array")
+    head, tail = (f'{{"{key}":[', "]}") if key else ("[", "]")
+    files.write_list(c, path, ["conv_id", "turn"], "text", head, tail)
+    return reader(spark, path, key or "array", parts=True)
 
 
 @register("read_responses_object", _PREDICTED)
@@ -122,8 +118,8 @@ def write_evaluation(spark, sf):
     c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
     path = scratch_path(spark, "evaluation-json")
     files.write_evaluation(c.agg(F.count("*").alias("answers")), c, path)
-    metrics = spark.read.schema("metrics struct<answers: bigint>").json(path).select("metrics.answers")
-    return files.read_predictions(spark, path, "responses").crossJoin(metrics)
+    metrics = files.read_evaluation_metrics(spark, path, "answers: bigint")
+    return files.read_predictions(spark, path, "responses", parts=True).crossJoin(F.broadcast(metrics))
 
 
 @register("scan_answers", with_views("select Id, ParentId, Body, Score from answers", "answers"))

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .csvsplits import read_csv_splits
-from .jsonsplits import read_strings
+from .jsonsplits import file_order, read_strings
 
 QUESTIONS_SCHEMA = T.StructType([
     T.StructField("Id", T.LongType()), T.StructField("OwnerUserId", T.LongType()),
@@ -76,7 +77,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, shape: str, parts: bool = False) -> DataFrame:
     """``(idx, text)`` from one of the accepted shapes:
 
     * ``"jsonl"``: one ``{"text": ...}`` per line (add ``idx`` to keep order
@@ -85,7 +86,11 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
     * ``"array"``: a JSON array of strings.
     The three whole-document shapes are single JSON values, read by one
     task per file and exploded; JSONL splits and is the format for scale.
+    With ``parts`` the files of a folder are together one document, as
+    :func:`write_list` leaves it, and are read by splits.
     """
+    if parts and shape != "jsonl":
+        return read_predictions_splits(spark, path, shape, parts)
     if shape == "jsonl":
         df = spark.read.schema("idx long, text string").json(path)
         if _numbered(df, path):
@@ -103,12 +108,12 @@ def read_predictions(spark: SparkSession, path: str, shape: str) -> DataFrame:
     raise ValueError(f"unknown shape {shape!r}")
 
 
-def read_predictions_splits(spark: SparkSession, path: str, shape: str) -> DataFrame:
+def read_predictions_splits(spark: SparkSession, path: str, shape: str, parts: bool = False) -> DataFrame:
     """The rows of :func:`read_predictions` for the whole-document shapes, by
     any number of tasks per document."""
     if shape not in ("responses", "predictions", "array"):
         raise ValueError(f"unknown shape {shape!r}")
-    return read_strings(spark, path, None if shape == "array" else shape)
+    return read_strings(spark, path, None if shape == "array" else shape, parts)
 
 
 def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
@@ -132,21 +137,51 @@ def with_line_index(df: DataFrame, out: str = "idx") -> DataFrame:
                 .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     splits = tagged.groupBy("__pid", "__file", "__blk").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
-    number = F.coalesce(F.expr("try_cast(regexp_extract(__file, '/[^/0-9]*([0-9]+)[^/]*$', 1) as decimal(38, 0))"), F.lit(-1).cast("decimal(38,0)"))
     offsets = splits.select("__pid", "__file", "__blk", "__first", F.coalesce(F.sum("__n").over(
-        Window.orderBy(F.regexp_extract("__file", "^(.*/[^/0-9]*)", 1), number, "__file", "__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+        Window.orderBy(*file_order("__file"), "__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     return (tagged.join(offsets, ["__pid", "__file", "__blk"])
                   .withColumn(out, (F.col("__off") + F.col("__pos") - F.col("__first")).cast("long"))
                   .drop("__pid", "__file", "__blk", "__pos", "__first", "__off"))
 
 
+def write_list(texts: DataFrame, path: str, order: list[str], text: str, head: str, tail: str) -> None:
+    """One JSON document: ``head``, the strings of ``text`` in ``order`` (equal
+    ones by text; nulls first), ``tail``, each value on a line of its own.
+
+    The document is cut into parts between lines, one per task of a sort by
+    range, so no task holds the whole list: the files of ``path``, put together
+    in the order of their names, are the document.  A small one is one file.
+    """
+    # equal keys meet in one task: the head is there with the first value, the tail with the last
+    key = F.struct(*order, F.substring(text, 1, 64).alias("__start"))
+    rows = materialize(texts.select(key.alias("key"), F.col(text).alias("text")), "list")
+    ends = rows.agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    no_text = F.lit(None).cast("string").alias("text")
+    lines = (rows.select(F.lit(1).alias("section"), "key", "text")
+             .union(ends.select(F.lit(0), "first", no_text)).union(ends.select(F.lit(2), "last", no_text)))
+    lines = (lines.repartitionByRange("key").sortWithinPartitions("section", "key", "text")
+             .select("section", F.to_json(F.array("text")).alias("list"), F.monotonically_increasing_id().alias("n")))  # 0 the head, 1 the first value
+    value = F.expr("substring(list, 2, length(list) - 2)")
+    line = (F.when(F.col("section") == 0, F.lit(head)).when(F.col("section") == 2, F.lit(tail))
+            .when(F.col("n") == 1, value).otherwise(F.concat(F.lit(","), value)))
+    lines.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_evaluation(metrics: DataFrame, responses: DataFrame, path: str, order: str = "idx", text: str = "text") -> None:
     """One JSON document ``{"metrics": {...}, "responses": [...]}`` from a
-    one-row table and the responses in ``order``.  A single JSON value, so one
-    task writes it; corpora use :func:`write_jsonl`."""
-    listed = responses.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("responses"))
-    both = metrics.select(F.struct("*").alias("metrics")).crossJoin(listed)  # one row each
-    both.coalesce(1).write.mode("overwrite").json(path)
+    one-row table and the responses in ``order``, in parts as
+    :func:`write_list` cuts it."""
+    told = metrics.select(F.to_json(F.struct("*")).alias("json")).limit(2).collect()
+    if len(told) != 1:
+        raise ValueError("metrics must be one row")
+    write_list(responses, path, [order], text, f'{{"metrics":{told[0]["json"]},"responses":[', "]}")
+
+
+def read_evaluation_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The metrics, as ``schema``, of a document by :func:`write_evaluation`:
+    its first line, closed."""
+    head = spark.read.text(path).where(F.col("value").startswith('{"metrics":'))
+    return head.select(F.from_json(F.concat("value", F.lit("]}")), f"metrics struct<{schema}>").alias("d")).select("d.metrics.*")
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:

@@ -6,22 +6,27 @@ the pieces between its quote characters, in any number of byte ranges:
 
 1. a quote is escaped if its piece ends with an odd number of backslashes, which
    needs no context; counting the others per split, with running sums over the
-   splits of a file (one small row each), tells for every piece whether it lies
-   inside a string, and the number of that string in the file;
-2. for a list under a key, brackets outside of strings are summed the same way,
-   which tells the top-level keys (a few rows) and so the strings between the
-   list's key and the next one;
-3. the pieces of every string are joined and unescaped; only strings that cross
+   splits of a document (one small row each), tells for every piece whether it
+   lies inside a string;
+2. the bare words outside of strings (null, true, numbers) are counted the same
+   way, so every string and word has its number in the document;
+3. for a list under a key, brackets outside of strings are summed too, which
+   tells the top-level keys (a few rows) and so the values between the list's
+   key and the next one;
+4. the pieces of every string are joined and unescaped; only strings that cross
    a split's edge are shuffled.
 
-List elements must be strings.  ``idx`` counts within each file.  A bad UTF-8
-byte becomes U+FFFD.
+List elements must be strings, null, numbers or booleans (as their text), not
+lists or objects.  A document is a file, and ``idx`` counts within each; with
+``parts`` it is all files of a folder in the order of their names, each of them
+whole lines that end outside of strings.  A bad UTF-8 byte becomes U+FFFD.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +37,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def file_order(path: str) -> list[Column]:
+    """The order of written parts: the path up to the first digit of the file's
+    name, that number (``part-100000`` follows ``part-99999``), the name."""
+    number = F.expr(f"try_cast(regexp_extract({path}, '/[^/0-9]*([0-9]+)[^/]*$', 1) as decimal(38, 0))")
+    return [F.regexp_extract(path, "^(.*/[^/0-9]*)", 1), F.coalesce(number, F.lit(-1).cast("decimal(38,0)")), F.col(path)]
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    file, block = F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.file_block_start")
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     pieces = spark.read.option("lineSep", '"').text(path)
-    return pieces.select(file.alias("file"), block.alias("block"), F.make_valid_utf8("value").alias("value"))
+    return pieces.select(F.xxhash64(file).alias("file"), block.alias("block"), F.make_valid_utf8("value").alias("value"), file.alias("path"))
 
 
 def _closes(value: Column) -> Column:
@@ -43,10 +55,25 @@ def _closes(value: Column) -> Column:
     return F.length(F.regexp_extract(value, r"(\\*)$", 1)) % 2 == 0
 
 
-def _before(per_split: DataFrame, total: str, out: str) -> DataFrame:
-    """(file, block, out): the sum of ``total`` over the file's splits before."""
-    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return per_split.select("file", "block", F.coalesce(F.sum(total).over(order), F.lit(0)).cast("long").alias(out))
+def _quotes(pieces: DataFrame, parts: bool) -> dict[tuple, tuple]:
+    """{(file, block): (quotes,)} in the order of the splits, one small row each."""
+    counted = pieces.groupBy("path", "file", "block").agg(F.count_if(_closes(F.col("value"))).alias("quotes"))
+    if parts:  # no quote follows the last piece of a part
+        last = F.col("block") == F.max("block").over(Window.partitionBy("file"))
+        counted = counted.withColumn("quotes", F.col("quotes") - last.cast("int"))
+    return {(r["file"], r["block"]): (r["quotes"],) for r in counted.orderBy(*file_order("path"), "block").collect()}
+
+
+def _before(totals: dict[tuple, tuple], parts: bool) -> dict[tuple, tuple]:
+    """The sums over the splits of the document before each split."""
+    out, now, sums = {}, None, ()
+    for (file, block), more in totals.items():
+        if now is None or (file != now and not parts):
+            sums = (0,) * len(more)
+        now = file
+        out[file, block] = sums
+        sums = tuple(x + y for x, y in zip(sums, more))
+    return out
 
 
 def _real(values: pa.Array) -> np.ndarray:
@@ -77,41 +104,49 @@ def _parts(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple]:
 
 
 _DEPTHS = (("[", 1), ("{", 1), ("]", -1), ("}", -1))
+_BARE = r"[^\s,:\[\]{}\x{feff}]+"
+_WORDS = re.compile(r"[^\s,:\[\]{}\ufeff]+", re.ASCII)
 
 
-def _depth_changes(batches, known):
-    """Sum of the brackets outside of strings, per run of pieces."""
+def _changes(batches, known):
+    """Sum of the brackets and count of the bare words outside of strings, per
+    run of pieces."""
     for file, block, values, before, _ in _parts(batches, known):
         outside = values.filter(pa.array(before % 2 == 0))
         change = sum(sign * int(pc.sum(pc.count_substring(outside, mark)).as_py() or 0) for mark, sign in _DEPTHS)
-        yield pa.record_batch([pa.array([file]), pa.array([block]), pa.array([change])], names=["file", "block", "change"])
+        bare = int(pc.sum(pc.count_substring_regex(outside, _BARE)).as_py() or 0)
+        yield pa.record_batch([pa.array([file]), pa.array([block]), pa.array([change]), pa.array([bare])], names=["file", "block", "change", "bare"])
 
 
 def _keys(batches, known):
-    """Of the strings at depth 1: their pieces (kind 0), and whether a colon
-    follows (kind 1), told by the number of the quote that opens them."""
-    now, depth = None, 0
+    """Of the strings at depth 1: their pieces (kind 0) with the number of the
+    string, and whether a colon follows (kind 1), told by the number of the
+    quote that opens them."""
+    now, depth, bare = None, 0, 0
     for file, block, values, before, _ in _parts(batches, known):
         if (file, block) != now:
-            now, depth = (file, block), known.value[file, block][1]
-        quotes, kinds, texts = [], [], []
+            now = (file, block)
+            _, depth, bare = known.value[now]
+        quotes, kinds, numbers, texts = [], [], [], []
         for text, q in zip(values.to_pylist(), before.tolist()):
             if q % 2:
                 if depth == 1:
-                    quotes, kinds, texts = [*quotes, q], [*kinds, 0], [*texts, text]
+                    quotes, kinds, numbers, texts = [*quotes, q], [*kinds, 0], [*numbers, (q - 1) // 2 + bare], [*texts, text]
                 continue
             if depth == 1 and q and text.lstrip().startswith(":"):
-                quotes, kinds, texts = [*quotes, q - 1], [*kinds, 1], [*texts, ""]
-            depth += sum(sign * text.count(mark) for mark, sign in _DEPTHS)
+                quotes, kinds, numbers, texts = [*quotes, q - 1], [*kinds, 1], [*numbers, None], [*texts, ""]
+            if text != ",":
+                depth += sum(sign * text.count(mark) for mark, sign in _DEPTHS)
+                bare += len(_WORDS.findall(text))
         if quotes:
-            yield pa.record_batch([pa.array([file] * len(quotes)), pa.array(quotes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], names=["file", "quote", "kind", "text"])
+            yield pa.record_batch([pa.array([file] * len(quotes)), pa.array(quotes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["file", "quote", "kind", "nr", "text"])
 
 
 def _strings(batches, known, crossing: bool):
-    """Strings whole within a split, or the parts of those that cross an edge:
-    (file, nr, block, text)."""
+    """Strings whole within a split and bare words, or the parts of strings that
+    cross an edge: (file, nr, block, text)."""
     held: list[str] = []
-    now, nr, began = None, None, True
+    now, nr, began, bare = None, None, True, 0
 
     def row(files, numbers, blocks, texts):
         return pa.record_batch([pa.array(files, pa.int64()), pa.array(numbers, pa.int64()), pa.array(blocks, pa.int64()), pa.array(texts, pa.string())], names=["file", "nr", "block", "text"])
@@ -121,16 +156,25 @@ def _strings(batches, known, crossing: bool):
             if held and crossing:
                 yield row([now[0]], [nr], [now[1]], ['"'.join(held)])
             now, held, began = (file, block), [], not (before[0] % 2)
+            bare = known.value[now][2]
         numbers, texts = [], []
-        inside = np.flatnonzero(before % 2)
-        for text, q, closes in zip(values.take(pa.array(inside)).to_pylist(), before[inside].tolist(), real[inside].tolist()):
-            nr = (q - 1) // 2
+        inside, outside = np.flatnonzero(before % 2), np.flatnonzero(before % 2 == 0)
+        words = np.zeros(len(values), np.int64)
+        words[outside] = pc.count_substring_regex(values.take(pa.array(outside)), _BARE).to_numpy(zero_copy_only=False)
+        bares = bare + np.cumsum(words) - words
+        bare += int(words.sum())
+        for text, q, n, closes in zip(values.take(pa.array(inside)).to_pylist(), before[inside].tolist(), bares[inside].tolist(), real[inside].tolist()):
+            nr = (q - 1) // 2 + n
             held.append(text)
             if closes:
                 if began != crossing:
                     numbers.append(nr)
                     texts.append('"'.join(held))
                 held, began = [], True
+        for i in [] if crossing else np.flatnonzero(words).tolist():
+            for j, word in enumerate(_WORDS.findall(values[i].as_py())):
+                numbers.append(int(before[i]) // 2 + int(bares[i]) + j)
+                texts.append(None if word == "null" else word)
         if numbers:
             yield row([file] * len(numbers), numbers, [block] * len(numbers), texts)
     if held and crossing:
@@ -139,33 +183,33 @@ def _strings(batches, known, crossing: bool):
 
 @F.pandas_udf(T.StringType())
 def _unescaped(raw):
-    return raw.map(lambda x: json.loads(f'"{x}"', strict=False) if "\\" in x else x)
+    return raw.map(lambda x: json.loads(f'"{x}"', strict=False) if "\\" in x else x, na_action="ignore")
 
 
-def read_strings(spark: SparkSession, path: str, key: str | None) -> DataFrame:
-    """(idx, text): the strings of the document's list (``key`` None), or of the
+def read_strings(spark: SparkSession, path: str, key: str | None, parts: bool = False) -> DataFrame:
+    """(idx, text): the values of the document's list (``key`` None), or of the
     list under a top-level ``key``."""
     pieces = _pieces(spark, path)
-    counted = pieces.groupBy("file", "block").agg(F.count_if(_closes(F.col("value"))).alias("quotes"))
-    splits = {(r["file"], r["block"]): [r["n"], 0] for r in _before(counted, "quotes", "n").collect()}  # one small row per split
-    known = spark.sparkContext.broadcast(splits)
+    quotes = _quotes(pieces, parts)
+    pieces = pieces.drop("path")
+    counted = spark.sparkContext.broadcast(_before(quotes, parts))
+    changes = pieces.mapInArrow(functools.partial(_changes, known=counted), "file long, block long, change long, bare long")
+    changes = changes.groupBy("file", "block").agg(F.sum("change").alias("change"), F.sum("bare").alias("bare"))
+    more = {(r["file"], r["block"]): (r["change"], r["bare"]) for r in changes.collect()}  # one small row per split
+    known = spark.sparkContext.broadcast(_before({split: n + more[split] for split, n in quotes.items()}, parts))
+    document = (F.lit(0).cast("long") if parts else F.col("file")).alias("file")
     schema = "file long, nr long, block long, text string"
-    strings = lambda crossing: pieces.mapInArrow(functools.partial(_strings, known=known, crossing=crossing), schema)
+    strings = lambda crossing: pieces.mapInArrow(functools.partial(_strings, known=known, crossing=crossing), schema).select(document, "nr", "block", "text")
     joined = strings(True).groupBy("file", "nr").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), '"').alias("text"))
     found = strings(False).select("file", "nr", "text").union(joined)
     if key is None:
         return found.select(F.col("nr").alias("idx"), _unescaped("text").alias("text"))
-    changes = pieces.mapInArrow(functools.partial(_depth_changes, known=known), "file long, block long, change long").groupBy("file", "block").agg(F.sum("change").alias("change"))
-    for r in _before(changes, "change", "n").collect():
-        splits[r["file"], r["block"]][1] = r["n"]
-    deep = spark.sparkContext.broadcast({k: tuple(v) for k, v in splits.items()})
-    ends = pieces.mapInArrow(functools.partial(_keys, known=deep), "file long, quote long, kind int, text string")
+    ends = pieces.mapInArrow(functools.partial(_keys, known=known), "file long, quote long, kind int, nr long, text string").withColumn("file", document)
     # top-level keys: strings at depth 1 with a colon after them
-    keys = ends.groupBy("file", "quote").agg(F.max("kind").alias("colon"), F.max(F.when(F.col("kind") == 0, F.col("text"))).alias("name")).where("colon = 1")
-    keys = keys.select("file", F.floor((F.col("quote") - 1) / 2).alias("at"), "name")
+    keys = ends.groupBy("file", "quote").agg(F.max("kind").alias("colon"), F.max("nr").alias("at"), F.max(F.when(F.col("kind") == 0, F.col("text"))).alias("name")).where("colon = 1")
     after = F.lead("at").over(Window.partitionBy("file").orderBy("at"))
     wanted = keys.withColumn("to", F.coalesce(after, F.lit((1 << 62)))).where(F.col("name") == key).select("file", "at", "to")
     if wanted.isEmpty():
         raise ValueError(f"{path} has no {key!r} list")
-    held = found.join(wanted, "file").where((F.col("nr") > F.col("at")) & (F.col("nr") < F.col("to")))
+    held = found.join(F.broadcast(wanted), "file").where((F.col("nr") > F.col("at")) & (F.col("nr") < F.col("to")))
     return held.select((F.col("nr") - F.col("at") - 1).alias("idx"), _unescaped("text").alias("text"))
